@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from standmill.llm import quality_rules
+from standmill.llm import piece_sampling, quality_rules, token_counts
 from standmill.llm.common import table
 
 
@@ -14,8 +15,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), seed=17)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules,)}
+    return {f.__name__: f for f in (op4_quality_rules, op6_token_counts, op7_piece_sampling)}
 
 
 def oracle_sql() -> dict[str, str]:
