@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from standmill.llm import piece_sampling, quality_rules, token_counts
+from standmill.llm import hamming_search, language_id, piece_sampling, quality_rules, token_counts
 from standmill.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
@@ -23,9 +27,14 @@ def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), seed=17)
 
 
+def op9_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming_search.binary_codes(table(spark, sf_dir, "embeddings"))
+    return hamming_search.top_k(codes, codes.filter("id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules, op6_token_counts, op7_piece_sampling)}
+    return {f.__name__: f for f in (op1_language_id, op4_quality_rules, op6_token_counts, op7_piece_sampling, op9_hamming_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.SQL}
+    return {"op4_quality_rules": quality_rules.SQL, "op9_hamming_search": hamming_search.SQL}
