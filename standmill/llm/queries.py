@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from standmill.llm import hamming_search, language_id, piece_sampling, quality_rules, token_counts
+from standmill.llm import hamming_search, html_content, language_id, piece_sampling, quality_rules, token_counts
 from standmill.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op9_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_quality_rules, op6_token_counts, op7_piece_sampling, op9_hamming_search)}
+    return {f.__name__: f for f in (op1_language_id, op3_html_content, op4_quality_rules, op6_token_counts, op7_piece_sampling, op9_hamming_search)}
 
 
 def oracle_sql() -> dict[str, str]:
