@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from standmill.llm import hamming_search, html_content, language_id, piece_sampling, quality_rules, token_counts
+from standmill.llm import hamming_search, html_content, language_id, piece_sampling, quality_rules, token_counts, toxicity
 from standmill.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -37,7 +42,7 @@ def op9_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_html_content, op4_quality_rules, op6_token_counts, op7_piece_sampling, op9_hamming_search)}
+    return {f.__name__: f for f in (op1_language_id, op3_html_content, op4_quality_rules, op5_toxicity, op6_token_counts, op7_piece_sampling, op9_hamming_search)}
 
 
 def oracle_sql() -> dict[str, str]:
