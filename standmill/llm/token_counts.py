@@ -3,7 +3,8 @@
 No piece of such a model holds a space mark after another character, nor a line feed, so merges never cross the place
 before a run of spaces or around a line feed: a text's count is the sum over its pre-tokens. Every distinct pre-token is
 counted once and joined to the per-document frequencies. The most frequent pre-tokens (a bounded number of bounded
-length) are joined by a broadcast dictionary; all others by a shuffle on the pre-token, in which no key is frequent.
+length) are joined by a broadcast dictionary; all others meet their counts in one shuffle on the pre-token, in which no
+key is frequent, and go back to their documents as sums.
 
 Defined results: a null text counts as empty and has no tokens; every row gives a row, with repeated ids too; an empty
 table gives an empty result; columns other than doc_id and text are ignored.
@@ -16,17 +17,18 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from standmill.llm.common import map_slices, slices, written
+from standmill.llm.common import map_slices, slices
 
 #: A pre-token: spaces and what follows them up to the next space or line feed; or a line feed.
 PRETOKEN = re.compile(r" *[^ \n]+| +|\n")
 #: The dictionary that is broadcast has at most so many pre-tokens, none longer than so many characters.
-FREQUENT, FREQUENT_CHARS = 200_000, 64
+FREQUENT, FREQUENT_CHARS = 400_000, 64
 #: A pre-token enters the choice of frequent ones where a slice of at most 1,024 documents holds it so often.
 FREQUENT_IN_SLICE = 8
 
@@ -66,9 +68,10 @@ def frequent_pretokens(docs: DataFrame, model: str) -> dict[str, int]:
 
 
 def pretoken_frequencies(docs: DataFrame, known: dict[str, int]) -> DataFrame:
-    """Per document a row without pre-token, with the pieces of known pre-tokens; and a row for each distinct other one.
+    """Rows (row, pretoken, n): how often a document holds each distinct pre-token that is not known.
 
-    ``row`` numbers the documents: repeated ids stay apart."""
+    A document's own row, with doc_id, n_bytes and in n the pieces of its known pre-tokens, goes under a key that no
+    pre-token can be. ``row`` numbers the documents: repeated ids stay apart."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,25 +86,38 @@ def pretoken_frequencies(docs: DataFrame, known: dict[str, int]) -> DataFrame:
                         out.append((row, None, None, token, k))
                     else:
                         n += c * k
-                out.append((row, doc_id, len(text.encode("utf-8", "surrogatepass")), None, n))
+                out.append((row, doc_id, len(text.encode("utf-8", "surrogatepass")), f"\n{row}", n))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["row", "doc_id", "n_bytes", "pretoken", "n"])
 
     return docs.mapInArrow(work, "row long, doc_id long, n_bytes long, pretoken string, n long")
 
 
+def with_pieces(frequencies: DataFrame, model: str) -> DataFrame:
+    """Replaces n by n times the pieces of the pre-token: rows of a pre-token meet in order, so that it is counted once."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pieces = "", 0
+        for batch in batches:
+            encoded = batch.column("pretoken").dictionary_encode()
+            tokens = encoded.dictionary.to_pylist()
+            own = np.array([t[0] == "\n" and len(t) > 1 for t in tokens], dtype=bool)
+            counts = np.ones(len(tokens), dtype=np.int64)
+            if tokens and tokens[0] == last:
+                counts[0] = pieces
+            new = [i for i, t in enumerate(tokens) if not own[i] and not (i == 0 and t == last)]
+            counts[new] = piece_counts(model, [tokens[i] for i in new]) if new else 0
+            if tokens:
+                last, pieces = tokens[-1], int(counts[-1])
+            n = batch.column("n").to_numpy() * counts[encoded.indices.to_numpy()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("n_bytes"), pa.array(n)], ["row", "doc_id", "n_bytes", "n"])
+
+    return frequencies.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(work, "row long, doc_id long, n_bytes long, n long")
+
+
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = written(pretoken_frequencies(docs, frequent_pretokens(docs, model)))
-    rare = found.filter(F.col("pretoken").isNotNull()).select("row", "pretoken", "n")
-
-    def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([part.column("pretoken"), pa.array(piece_counts(model, part.column("pretoken").to_pylist()), pa.int64())], ["pretoken", "pieces"])
-
-    pieces = map_slices(rare.select("pretoken").distinct(), work, "pretoken string, pieces long", "pretoken")
-    joined = rare.join(pieces.hint("shuffle_hash"), "pretoken").select("row", (F.col("n") * F.col("pieces")).alias("n"))
-    rest = joined.groupBy("row").agg(F.sum("n").alias("n_rest"))
-    base = found.filter(F.col("pretoken").isNull()).select("row", "doc_id", "n_bytes", "n")
-    total = F.col("n") + F.coalesce(F.col("n_rest"), F.lit(0))
-    return base.join(rest, "row", "left").select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
+    counted = with_pieces(pretoken_frequencies(docs, frequent_pretokens(docs, model)), model)
+    total = counted.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    return total.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
