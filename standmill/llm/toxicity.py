@@ -5,7 +5,8 @@ of the terms of toxic examples those are kept that are far more frequent there t
 its TF-IDF vector over these terms (document frequencies are counted over all documents), of length 1. The examples'
 vectors form a block-max inverted index: postings in blocks of examples, with the largest weight of each term in each
 block, so that blocks whose bound is below the k-th best cosine are not opened; the k nearest are exact. Their labels
-vote with weights that fall with distance, against a prior; the neighbours are returned as evidence.
+vote with weights that fall with distance, against a prior. Votes are calibrated by a rising step function, fitted to
+the examples' own votes with each left out in turn; the neighbours are returned as evidence.
 
 Defined results: a null or empty text, or one without known terms, has the rate of toxic examples among such texts as
 its score; with no usable labels the score is 0; several labels of one id count as the highest; null labels and ids are
@@ -68,6 +69,7 @@ class Index:
     examples: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
     most: np.ndarray = field(default_factory=lambda: np.empty(0))  # terms x blocks
+    steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))  # votes, and how often they were right
     prior: float = 0.0  # of examples with terms
     empty: float = 0.0  # of examples without
 
@@ -102,14 +104,32 @@ class Index:
             best, score = best[kept], score[kept]
         return best, score
 
+    def vote(self, counts: dict[int, int], without: int = -1) -> tuple[float, list[int]]:
+        """The neighbours' vote, weighted by closeness, and their numbers; one example may be left out."""
+        best, cosine = self.nearest(counts, NEIGHBOURS + (without >= 0))
+        kept = best != without
+        best, weight = best[kept][:NEIGHBOURS], cosine[kept][:NEIGHBOURS] ** 2
+        return (float(weight @ self.labels[best]) + PRIOR_WEIGHT * self.prior) / (float(weight.sum()) + PRIOR_WEIGHT), best.tolist()
+
     def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        """The vote of the neighbours, and their ids."""
+        """The calibrated vote, and the neighbours' ids."""
         if not counts or not len(self.ids):
             return self.empty, []
-        best, cosine = self.nearest(counts)
-        weight = cosine**2
-        vote = (float(weight @ self.labels[best]) + PRIOR_WEIGHT * self.prior) / (float(weight.sum()) + PRIOR_WEIGHT)
-        return min(1.0, max(0.0, vote)), self.ids[best].tolist()
+        vote, best = self.vote(counts)
+        rate = float(np.interp(vote, *self.steps))
+        return min(1.0, max(0.0, 0.98 * rate + 0.02 * vote)), self.ids[best].tolist()  # the rest keeps the order within a step
+
+
+def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rising step function of votes that is nearest to the labels, as points to interpolate between."""
+    order = np.argsort(votes, kind="stable")
+    parts: list[list[float]] = []  # sum of labels, rows, sum of votes
+    for x, y in zip(votes[order].tolist(), labels[order].tolist()):
+        parts.append([y, 1, x])
+        while len(parts) > 1 and parts[-2][0] * parts[-1][1] >= parts[-1][0] * parts[-2][1]:
+            last = parts.pop()
+            parts[-1] = [a + b for a, b in zip(parts[-1], last)]
+    return np.array([p[2] / p[1] for p in parts]), np.array([p[0] / p[1] for p in parts])
 
 
 def build_index(known: dict[str, int], idf: np.ndarray, rows: list[tuple[int, int, dict[int, int]]]) -> Index:
@@ -131,6 +151,7 @@ def build_index(known: dict[str, int], idf: np.ndarray, rows: list[tuple[int, in
     index.starts = np.stack([edges[np.arange(blocks + 1) + t * blocks] for t in range(len(known))])
     index.most = np.zeros((len(known), blocks))
     np.maximum.at(index.most, (term, index.examples // BLOCK), index.weights)
+    index.steps = isotonic(np.array([index.vote(c, n)[0] for n, (_, _, c) in enumerate(rows)]), index.labels)
     return index
 
 
