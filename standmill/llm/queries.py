@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from standmill.llm import hamming_search, html_content, language_id, piece_sampling, quality_rules, token_counts, toxicity
+from standmill.llm import hamming_search, html_content, language_id, packing, piece_sampling, quality_rules, token_counts, toxicity
 from standmill.llm.common import table
 
 
@@ -36,13 +36,17 @@ def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), seed=17)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = hamming_search.binary_codes(table(spark, sf_dir, "embeddings"))
     return hamming_search.top_k(codes, codes.filter("id % 50 = 0"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_html_content, op4_quality_rules, op5_toxicity, op6_token_counts, op7_piece_sampling, op9_hamming_search)}
+    return {f.__name__: f for f in (op1_language_id, op3_html_content, op4_quality_rules, op5_toxicity, op6_token_counts, op7_piece_sampling, op8_packing, op9_hamming_search)}
 
 
 def oracle_sql() -> dict[str, str]:
