@@ -91,7 +91,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     left = codes.filter(F.size("code") == n).select(block("id").alias("block"), "id", "code")
     right = queries.filter(F.size("code") == n).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "id", "code")
 
-    def search(key, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or asked.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "neighbour_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="int32")})
         index = BlockIndex(rows["id"].to_numpy(np.int64), np.stack(rows["code"].to_list()).astype(np.int64))

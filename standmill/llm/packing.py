@@ -157,7 +157,7 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def pack(cut: DataFrame, shards: int, capacity: int = 4096) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...)."""
 
-    def place(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece"], kind="stable")
         sequence, offset = best_two_fit(rows["length"].to_numpy(np.int64), capacity)
         return rows.assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset).drop(columns="shard")
