@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from standmill.llm import hamming_search, html_content, language_id, packing, piece_sampling, quality_rules, token_counts, toxicity
+from standmill.llm import hamming_search, html_content, language_id, packing, personal_data, piece_sampling, quality_rules, token_counts, toxicity
 from standmill.llm.common import table
 
 
@@ -45,8 +45,12 @@ def op9_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_search.top_k(codes, codes.filter("id % 50 = 0"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_html_content, op4_quality_rules, op5_toxicity, op6_token_counts, op7_piece_sampling, op8_packing, op9_hamming_search)}
+    return {f.__name__: f for f in (op1_language_id, op3_html_content, op4_quality_rules, op5_toxicity, op6_token_counts, op7_piece_sampling, op8_packing, op9_hamming_search, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
