@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from standmill.llm import hamming_search, html_content, language_id, packing, personal_data, piece_sampling, quality_rules, token_counts, toxicity
+from standmill.llm import hamming_search, html_content, language_id, ngram_join, packing, personal_data, piece_sampling, quality_rules, token_counts, toxicity
 from standmill.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_content.extract(table(spark, sf_dir, "pages"))
 
@@ -50,7 +54,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_html_content, op4_quality_rules, op5_toxicity, op6_token_counts, op7_piece_sampling, op8_packing, op9_hamming_search, op10_personal_data)}
+    return {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_html_content, op4_quality_rules, op5_toxicity, op6_token_counts, op7_piece_sampling, op8_packing, op9_hamming_search, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
