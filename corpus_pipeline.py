@@ -1,10 +1,73 @@
-"""Corpus pipeline: language ID, toxicity, near duplicates, personal data, packing."""
+"""Corpus pipeline: language ID, toxicity, near duplicates, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents;
+the last returns the packed pieces. Between stages the rows are written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from standmill.llm import language_id, ngram_join, packing, personal_data, toxicity
+from standmill.llm.common import table, written
+
+#: A language that is less likely than this is rejected, like an undetermined one.
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters or without a likely language."""
+    scored = language_id.predict(docs, language_id.fit(docs), keep=tuple(c for c in docs.columns if c != "doc_id"))
+    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return scored.filter(known).select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that are predicted to be toxic."""
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, index, keep=tuple(c for c in docs.columns if c != "doc_id")).filter("predicted = 0").select(*docs.columns)
+
+
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near duplicates the document with the smallest id."""
+    found = written(ngram_join.near_duplicates(docs))
+    dropped = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts by its kind."""
+    return personal_data.mask(docs, personal_data.trusted_patterns(personal_data.graph(docs)))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 4096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language ID", keep_known_language),
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", keep_one_of_group),
+    ("personal data", mask_personal_data),
+    ("packing", pack),
+]
+
+#: No SQL: models are learned, and texts are tokenised. tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
+    return docs
