@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from standmill.operators import metrics
+from standmill.plans import frame_queries, registry
+from standmill.sources.fixtures import points
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """How tall are the trees: predictions per tile, merged, measured, tallest first."""
+    merged = frame_queries.merged(spark, sf_dir)
+    measured = merged.join(points(spark, sf_dir).select("scene_id", "pid", "x", "y", "z"), ["scene_id", "pid"])
+    return metrics.tree_metrics(measured).orderBy(F.desc("height_m"), "scene_id", "tree_id")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
