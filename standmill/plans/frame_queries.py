@@ -25,17 +25,17 @@ def _annotated(spark, sf):
 
 
 @query("p1_normalize_coords", P + """, o AS (SELECT scene_id, avg(x) AS mx, avg(y) AS my, min(z) AS mz FROM points GROUP BY 1)
-SELECT p.scene_id, pid, round(x - mx, 6) AS x, round(y - my, 6) AS y, round(z - mz, 6) AS z FROM points p JOIN o USING (scene_id)""")
+SELECT p.scene_id, pid, round(x - mx, 9) AS x, round(y - my, 9) AS y, round(z - mz, 9) AS z FROM points p JOIN o USING (scene_id)""")
 def _(spark, sf):
-    return frames.normalize_coords(points(spark, sf)).select("scene_id", "pid", _r("x"), _r("y"), _r("z"))
+    return frames.normalize_coords(points(spark, sf)).select("scene_id", "pid", _r("x", 9), _r("y", 9), _r("z", 9))
 
 
 @query("p1_normalize_coords_global", P + """, o AS (SELECT scene_id, avg(x) AS mx, avg(y) AS my FROM points GROUP BY 1), g AS (SELECT min(z) AS mz FROM points)
-SELECT p.scene_id, pid, round(CASE WHEN p.scene_id = 3 THEN x ELSE x - mx END, 6) AS x, round(CASE WHEN p.scene_id = 3 THEN y ELSE y - my END, 6) AS y,
-  round(CASE WHEN p.scene_id = 3 THEN z ELSE z - mz END, 6) AS z FROM points p JOIN o USING (scene_id), g""")
+SELECT p.scene_id, pid, round(CASE WHEN p.scene_id = 3 THEN x ELSE x - mx END, 9) AS x, round(CASE WHEN p.scene_id = 3 THEN y ELSE y - my END, 9) AS y,
+  round(CASE WHEN p.scene_id = 3 THEN z ELSE z - mz END, 9) AS z FROM points p JOIN o USING (scene_id), g""")
 def _(spark, sf):
     moved = frames.normalize_coords(points(spark, sf), z_ref="global", unmoved=F.col("scene_id") == 3)
-    return moved.select("scene_id", "pid", _r("x"), _r("y"), _r("z"))
+    return moved.select("scene_id", "pid", _r("x", 9), _r("y", 9), _r("z", 9))
 
 
 @query("p2_restore_coords", P + " SELECT pid, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM points")
@@ -192,10 +192,10 @@ def _(spark, sf):
     return _tiled(spark, sf).select("scene_id", "pid", "tile_id")
 
 
-@query("j1_tile_meta", TILES + f""" SELECT n.scene_id, tile_id, n_points, round(off_x, 4) AS off_x, round(off_y, 4) AS off_y, z0 AS off_z, round(x0 + ix * CAST({SIZE} AS DOUBLE) - CAST({GROW} AS DOUBLE), 6) AS low_x,
+@query("j1_tile_meta", TILES + f""" SELECT n.scene_id, tile_id, n_points, round(off_x, 9) AS off_x, round(off_y, 9) AS off_y, z0 AS off_z, round(x0 + ix * CAST({SIZE} AS DOUBLE) - CAST({GROW} AS DOUBLE), 6) AS low_x,
  round(least(x0 + (ix + 1) * CAST({SIZE} AS DOUBLE), x1), 6) AS core_high_x FROM numbered n JOIN ext e USING (scene_id)""")
 def _(spark, sf):
-    return tiles.tile_meta(points(spark, sf), SIZE, GROW, 20).select("scene_id", "tile_id", "n_points", _r("off_x", 4), _r("off_y", 4), "off_z", _r("low_x"), _r("core_high_x"))
+    return tiles.tile_meta(points(spark, sf), SIZE, GROW, 20).select("scene_id", "tile_id", "n_points", _r("off_x", 9), _r("off_y", 9), "off_z", _r("low_x"), _r("core_high_x"))
 
 
 PREDS = TILES + """, preds AS (SELECT scene_id, pid, tile_id, sem_pred AS semantic_pred, inst_pred AS instance_pred, CAST((pid * 31 + tile_id * 17) % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS score FROM tiled),
