@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standmill.operators import metrics
-from standmill.plans import frame_queries, mask_queries, registry, voxel_queries  # noqa: F401
+from standmill.plans import frame_queries, job_queries, mask_queries, registry, voxel_queries  # noqa: F401
 from standmill.sources.fixtures import points
 
 

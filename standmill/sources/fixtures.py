@@ -109,7 +109,7 @@ def status_of(events: DataFrame) -> DataFrame:
     """Job reports from event rows, batch or stream."""
     kind = F.col("event_type")
     step = F.when(kind == "signup", "queued").when(kind == "view", "reading").when(kind == "click", "inferring").when(kind == "purchase", "completed").otherwise("failed")
-    return events.select(F.col("user_id").alias("task_id"), "event_id", "ts", step.alias("step"), F.get_json_object("props", "$.k").cast("int").alias("progress"), "value")
+    return events.select(F.col("user_id").alias("task_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), step.alias("step"), F.get_json_object("props", "$.k").cast("int").alias("progress"), "value")
 
 
 STATUS_SQL = """WITH status AS (
