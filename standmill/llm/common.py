@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a batch that are turned into Python objects at a time, and about how many bytes of text.
-SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,7 +12,8 @@
    that come together for a query are indexed by the query's shingles; the short inverted lists are merged by a heap,
    the long ones (as many as DivideSkip allows) only probed by binary search for the documents that can still reach it.
 5. Every list first asks with a few of its documents only, which joins nearly all of its linked members into groups.
-   Then all pairs of a list that are still in different groups are searched, so that no link between groups is lost.
+   Then the documents of lists that still hold different groups are searched against each other in bounded blocks, so
+   that no link between groups is lost and no pairs are formed.
 
 No list, bucket or group is collected in one place without bound: lists are joined by shuffles, and the members of a
 query are dealt over many tasks.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +42,14 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4
 #: Sets with fewer shingles use the whole hash range.
 SMALL = 96
 #: Hashes in a bucket, about; and members that are searched together for a query, at most about.
-BUCKET_HASHES, MEMBERS = 4 << 20, 2048
-#: Documents that each list asks with at first; further such rounds while exact pairs would be more than this per list entry.
-FIRST_QUERIES, PAIRS_PER_ENTRY, MORE_ROUNDS = 2, 4, 4
+BUCKET_HASHES, MEMBERS = 1 << 20, 2048
+#: Documents that each list asks with in a first round, and such rounds; hashes in a block of a family, about.
+QUERIES, ROUNDS, BLOCK_HASHES = 3, 1, 1 << 19
+#: Sets in a key group, and edges in a file between the rounds of components(), about.
+GROUP_SETS, FILE_EDGES = 16_384, 1 << 20
 #: Text bytes that are hashed at a time.
 CHUNK_BYTES = 1 << 20
-ENTRY = ("hash", "id", "n", "whole", "most", "most_low")
+ENTRY = ("hash", "id", "n", "whole", "most", "most_low", "own")
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -186,8 +190,9 @@ def _buckets(docs: DataFrame, bits: int) -> DataFrame:
     return docs.select("text").mapInArrow(work, "bucket long, keys binary, counts binary, hashes binary")
 
 
-def _shared(buckets: DataFrame) -> DataFrame:
-    """Per set and bucket the hashes that other sets hold too, and of each the logarithm of how many do."""
+def _shared(buckets: DataFrame, groups: int) -> DataFrame:
+    """Rows (grp, bucket, keys, counts, hashes, levels): of the sets of a key group and a bucket, the hashes that other sets
+    hold too, and of each the logarithm of how many do."""
 
     def work(table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(x, dtype="<i8").reshape(-1, 2) for x in table.column("keys").to_pylist()])
@@ -205,50 +210,66 @@ def _shared(buckets: DataFrame) -> DataFrame:
         size[order] = sizes[run]
         held = size > 1
         owner, hashes, level = owner[held], hashes[held], np.ceil(np.log2(size[held])).astype(np.uint8)
-        own, first = np.unique(owner, return_index=True)
-        ends = np.append(first[1:], len(owner)).tolist()
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table(
-            {
-                "k1": pa.array(keys[own, 0]), "k2": pa.array(keys[own, 1]), "bucket": pa.array([bucket] * len(own), pa.int64()),
-                "hashes": pa.array([hashes[a:b].astype("<u4").tobytes() for a, b in zip(first.tolist(), ends)], pa.binary()),
-                "levels": pa.array([level[a:b].tobytes() for a, b in zip(first.tolist(), ends)], pa.binary()),
-            }
-        )
+        group = np.mod(keys[:, 0], groups)[owner]
+        order = np.lexsort((owner, group))
+        owner, hashes, level, group = owner[order], hashes[order], level[order], group[order]
+        edges = np.searchsorted(group, np.arange(groups + 1)).tolist()
+        bucket, rows = table.column("bucket")[0].as_py(), []
+        for g, (first, last) in enumerate(zip(edges, edges[1:])):
+            if last > first:
+                own, count = np.unique(owner[first:last], return_counts=True)
+                rows.append((g, bucket, keys[own].astype("<i8").tobytes(), count.astype("<u4").tobytes(), hashes[first:last].astype("<u4").tobytes(), level[first:last].tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["grp", "bucket", "keys", "counts", "hashes", "levels"])
 
-    return buckets.groupBy("bucket").applyInArrow(work, "k1 long, k2 long, bucket long, hashes binary, levels binary")
+    return buckets.groupBy("bucket").applyInArrow(work, "grp long, bucket long, keys binary, counts binary, hashes binary, levels binary")
 
 
 def postings(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """List entries (hash, id, n, whole, most, most_low): the first hashes of every set that can have a partner.
+    """List entries (hash, id, n, whole, most, most_low, own): the first hashes of every set that can have a partner.
 
-    most: the largest overlap that a whole-range set can have with another one; most_low: that any set can have with any."""
+    most: the largest overlap that a whole-range set can have with another one; most_low: that any set can have with any;
+    own: thousandths of the set that no other set holds."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(size // 12 // BUCKET_HASHES).bit_length())
+    groups = max(1, -(-found.count() // GROUP_SETS))
     sets = found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("n_low").alias("n_low"), F.first("whole").alias("whole"))
-    shared = _shared(_buckets(docs, bits)).groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "hashes", "levels")).alias("parts"))
+    sets = sets.withColumn("grp", F.pmod("k1", F.lit(groups).cast("long")))
     half = 1 << (bits - 1) if bits else 0
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple[int, ...]] = []
-            for r in batch.to_pylist():
-                code = np.concatenate([(np.int64(p["bucket"]) << np.int64(32)) | np.frombuffer(p["hashes"], dtype="<u4").astype(np.int64) for p in r["parts"]])
-                level = np.concatenate([np.frombuffer(p["levels"], dtype=np.uint8) for p in r["parts"]])
-                order = np.lexsort((code, level))
-                code = code[order]
-                low = code < (np.int64(half) << np.int64(32)) if bits else code < (1 << 31)
-                lacking = r["n"] - needed(r["n"])
-                first = code[low][: max(0, min(lacking + 1, r["n_low"]) - (r["n_low"] - int(low.sum())))]
-                if r["whole"]:
-                    first = np.union1d(first, code[: max(0, lacking + 1 - (r["n"] - len(code)))])
-                most_low = r["n"] - r["n_low"] + int(low.sum())
-                most = len(code) if r["whole"] else most_low  # upper hashes of a whole-range set meet those of such sets only
-                rows += [(c, r["id"], r["n"], int(r["whole"]), most, most_low) for c in first.tolist()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], list(ENTRY))
-
-    return sets.join(shared, ["k1", "k2"]).select("id", "n", "n_low", "whole", "parts").mapInArrow(work, ", ".join(f"{c} long" for c in ENTRY))
+    def first_hashes(n: int, n_low: int, whole: bool, code: np.ndarray, level: np.ndarray) -> tuple[list[int], int, int]:
+        code = code[np.lexsort((code, level))]
+        low = code < (np.int64(half) << np.int64(32)) if bits else code < (1 << 31)
+        lacking = n - needed(n)
+        first = code[low][: max(0, min(lacking + 1, n_low) - (n_low - int(low.sum())))]
+        if whole:
+            first = np.union1d(first, code[: max(0, lacking + 1 - (n - len(code)))])
+        most_low = n - n_low + int(low.sum())
+        return first.tolist(), len(code) if whole else most_low, most_low  # upper hashes of a whole-range set meet those of such sets only
+
+    def work(own: pa.Table, parts: pa.Table) -> pa.Table:
+        codes, levels, keys = [], [], []
+        for p in parts.to_pylist():
+            k, c = np.frombuffer(p["keys"], dtype="<i8").reshape(-1, 2), np.frombuffer(p["counts"], dtype="<u4").astype(np.int64)
+            keys.append(np.repeat(k, c, axis=0))
+            codes.append((np.int64(p["bucket"]) << np.int64(32)) | np.frombuffer(p["hashes"], dtype="<u4").astype(np.int64))
+            levels.append(np.frombuffer(p["levels"], dtype=np.uint8))
+        rows: list[tuple[int, ...]] = []
+        if keys:
+            key, code, level = np.concatenate(keys), np.concatenate(codes), np.concatenate(levels)
+            order = np.lexsort((key[:, 1], key[:, 0]))
+            key, code, level = key[order], code[order], level[order]
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            place = {tuple(key[a].tolist()): (a, z) for a, z in zip(edges, edges[1:])}
+            for k1, k2, i, n, n_low, whole in zip(*(own.column(c).to_pylist() for c in ("k1", "k2", "id", "n", "n_low", "whole"))):
+                a, z = place.get((k1, k2), (0, 0))
+                if z > a:
+                    first, most, most_low = first_hashes(n, n_low, whole, code[a:z], level[a:z])
+                    rows += [(c, i, n, int(whole), most, most_low, 1000 * (n - most) // n) for c in first]
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(ENTRY))], names=list(ENTRY))
+
+    shared = _shared(_buckets(docs, bits), groups)
+    return sets.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(work, ", ".join(f"{c} long" for c in ENTRY))
 
 
 def _may_link(a: str, b: str) -> "F.Column":
@@ -260,90 +281,120 @@ def _may_link(a: str, b: str) -> "F.Column":
     return (DENOMINATOR * F.least(c(a, "n"), c(b, "n")) >= NUMERATOR * F.greatest(c(a, "n"), c(b, "n"))) & (most >= overlap)
 
 
-def overlaps(query: np.ndarray, members: list[np.ndarray]) -> list[tuple[int, int]]:
-    """T-occurrence search by DivideSkip: numbers of the members that link with the query, and their overlaps."""
-    if not members or not len(query):
-        return []
-    sizes = np.fromiter(map(len, members), dtype=np.int64, count=len(members))
-    required = -(-NUMERATOR * (len(query) + sizes) // (NUMERATOR + DENOMINATOR))
-    flat, owner = np.concatenate(members), np.repeat(np.arange(len(members)), sizes)
-    at = np.minimum(np.searchsorted(query, flat), len(query) - 1)
-    hit = query[at] == flat
-    order = np.argsort(at[hit], kind="stable")
-    term, entry = at[hit][order], owner[hit][order]
-    edges = np.searchsorted(term, np.arange(len(query) + 1))
-    length = np.diff(edges)
-    least = int(required.min())
-    long = min(least - 1, int(least / (0.01 * np.log2(max(2, int(length.max(initial=1)))) + 1)))  # lists that are only probed
-    by_length = np.argsort(length, kind="stable")
-    short, probed = by_length[: len(query) - long], np.sort(query[by_length[len(query) - long :]])
-    lists = [entry[edges[t] : edges[t + 1]].tolist() for t in short.tolist() if length[t]]
-    out, current, count = [], -1, 0
-    for m in [*heapq.merge(*lists), -2]:
-        if m == current:
-            count += 1
-            continue
-        if current >= 0 and count + long >= required[current]:
-            own = members[current]
-            place = np.minimum(np.searchsorted(own, probed), len(own) - 1)
-            total = count + int((own[place] == probed).sum())
-            if DENOMINATOR * total >= NUMERATOR * (len(query) + len(own) - total):
-                out.append((current, total))
-        current, count = m, 1
-    return out
+class Index:
+    """Inverted lists of the hashes of some sets."""
+
+    def __init__(self, members: list[np.ndarray]):
+        self.members = members
+        self.sizes = np.fromiter(map(len, members), dtype=np.int64, count=len(members))
+        flat = np.concatenate(members) if members else np.empty(0, dtype=np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.entries = np.repeat(np.arange(len(members)), self.sizes)[order]
+        self.hashes, starts = np.unique(flat[order], return_index=True)
+        self.edges = np.append(starts, len(flat))
+
+    def overlaps(self, query: np.ndarray) -> list[tuple[int, int]]:
+        """T-occurrence search by DivideSkip: numbers of the members that link with the query, and their overlaps."""
+        if not len(self.hashes) or not len(query):
+            return []
+        at = np.minimum(np.searchsorted(self.hashes, query), len(self.hashes) - 1)
+        there = self.hashes[at] == query
+        length = np.where(there, self.edges[at + 1] - self.edges[at], 0)
+        least = needed(len(query))
+        long = min(least - 1, int(least / (0.01 * np.log2(max(2, int(length.max()))) + 1)))  # lists that are only probed
+        by_length = np.argsort(length, kind="stable")
+        short, probed = by_length[: len(query) - long], np.sort(query[by_length[len(query) - long :]])
+        lists = [self.entries[self.edges[k] : self.edges[k + 1]].tolist() for k in at[short[length[short] > 0]].tolist()]
+        required = -(-NUMERATOR * (len(query) + self.sizes) // (NUMERATOR + DENOMINATOR))
+        out, current, count = [], -1, 0
+        for m in chain(heapq.merge(*lists), (-2,)):
+            if m == current:
+                count += 1
+                continue
+            if current >= 0 and count + long >= required[current]:
+                own = self.members[current]
+                total = count + int((own[np.minimum(np.searchsorted(own, probed), len(own) - 1)] == probed).sum())
+                if DENOMINATOR * total >= NUMERATOR * (len(query) + len(own) - total):
+                    out.append((current, total))
+            current, count = m, 1
+        return out
 
 
 def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of distinct pairs (query, id) of documents those that link."""
-    load = pairs.groupBy("query").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / MEMBERS).cast("long")
-    sized = load.select("query", parts.alias("parts"))
-    asked = sized.select(F.col("query").alias("id"), "query", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"))
-    members = pairs.join(sized, "query").select("id", "query", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.lit(False).alias("asks"))
-    visits = members.unionByName(asked).groupBy("id").agg(F.collect_list(F.struct("query", "part", "asks")).alias("visits"))
+    """Of distinct pairs (query, id) of documents those that link. The members of a query are dealt over parts."""
+    sized = pairs.groupBy("query").agg(F.ceil(F.count("*") / MEMBERS).cast("long").alias("parts"))
+    nothing = F.lit(0).cast("long")
+    asked = sized.select(F.col("query").alias("id"), F.col("query").alias("block"), F.explode(F.sequence(nothing, F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"))
+    members = pairs.join(sized, "query").select("id", F.col("query").alias("block"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.lit(False).alias("asks"))
+    return search(docs, members.unionByName(asked).select("id", "block", nothing.alias("row"), "part", "asks", F.col("asks").cast("long").alias("component")))
+
+
+def family_links(docs: DataFrame, state: DataFrame) -> DataFrame:
+    """All links between documents of different components that share a list (entries hash, id, n, component).
+
+    Lists that share documents make a family, each document being in one. Of a family the documents outside its largest
+    component ask, in blocks, all its documents, in blocks: no pairs are formed, and blocks are bounded by their hashes."""
+    family = components(state.select(F.col("id").alias("a"), (-1 - F.col("hash")).alias("b"))).filter("id >= 0").withColumnRenamed("component", "block")
+    members = written(state.groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("component")).join(family, "id"))
+    count = members.groupBy("block", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    blocks = lambda c: F.ceil(c / BLOCK_HASHES).cast("long")
+    sized = count.groupBy("block").agg(F.max_by("component", F.struct("c", "component")).alias("main"), blocks(F.sum("n")).alias("parts"), F.greatest(blocks(F.sum("n") - F.max_by("n", F.struct("c", "component"))), F.lit(1)).alias("rows"))
+    placed = members.join(sized, "block")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    deal = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+    asked = placed.filter("component <> main").select("id", "block", deal("rows").alias("row"), every("parts").alias("part"), F.lit(True).alias("asks"), "component")
+    held = placed.select("id", "block", every("rows").alias("row"), deal("parts").alias("part"), F.lit(False).alias("asks"), "component")
+    return search(docs, asked.unionByName(held))
+
+
+def search(docs: DataFrame, visits: DataFrame) -> DataFrame:
+    """Pairs (query, id) that link, of those that meet in a place (block, row, part) and differ in component.
+
+    visits: id, block, row, part, asks (as a query or as a member) and component."""
+    visits = visits.groupBy("id").agg(F.collect_list(F.struct("block", "row", "part", "asks", "component")).alias("visits"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches):
             rows = []
             for doc_id, visit, s in zip(part.column("doc_id").to_pylist(), part.column("visits").to_pylist(), sets):
                 packed = _packed(s)
-                rows += [(v["query"], v["part"], v["asks"], doc_id, packed) for v in visit]
-                if len(rows) > 4096:
-                    yield _rows(rows)
-                    rows = []
+                for v in visit:
+                    rows.append((v["block"], v["row"], v["part"], v["asks"], doc_id, v["component"], packed))
+                    if len(rows) > 1024:
+                        yield _rows(rows)
+                        rows = []
             if rows:
                 yield _rows(rows)
 
     texts = docs.filter("doc_id IS NOT NULL").join(visits.withColumnRenamed("id", "doc_id").hint("shuffle_hash"), "doc_id")
-    routed = texts.select("doc_id", "visits", "text").mapInArrow(spread, "query long, part long, asks boolean, id long, hashes binary")
+    routed = texts.select("doc_id", "visits", "text").mapInArrow(spread, "block long, row long, part long, asks boolean, id long, component long, hashes binary")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, query, ids, sets = None, None, [], []
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, queries, members = None, {}, {}
 
         def finish() -> Iterator[pa.RecordBatch]:
-            found = overlaps(query, sets) if query is not None else []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([group[0]] * len(found), pa.int64()), pa.array([ids[m] for m, _ in found], pa.int64())], ["query", "id"])
+            ids = list(members)
+            index, pairs = Index([members[i][1] for i in ids]), []
+            for q, (component, hashes) in queries.items():
+                pairs += [(q, ids[m]) for m, _ in index.overlaps(hashes) if ids[m] != q and members[ids[m]][0] != component]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], ["query", "id"])
 
         for batch in batches:
-            for q, p, asks, doc_id, hashes in zip(*(batch.column(c).to_pylist() for c in ("query", "part", "asks", "id", "hashes"))):
-                if (q, p) != group:
+            for block, row, part, asks, doc_id, component, hashes in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+                if (block, row, part) != place:
                     yield from finish()
-                    group, query, ids, sets = (q, p), None, [], []
-                if asks:
-                    query = _unpacked(hashes)
-                else:
-                    ids.append(doc_id)
-                    sets.append(_unpacked(hashes))
+                    place, queries, members = (block, row, part), {}, {}
+                (queries if asks else members)[doc_id] = (component, _unpacked(hashes))
         yield from finish()
 
-    together = routed.repartition("query", "part").sortWithinPartitions("query", "part")
-    return together.mapInArrow(search, "query long, id long").distinct()
+    place = ["block", "row", "part"]
+    return routed.repartition(*place).sortWithinPartitions(*place).mapInArrow(meet, "query long, id long").distinct()
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["query", "part", "asks", "id", "hashes"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["block", "row", "part", "asks", "id", "component", "hashes"])
 
 
 def _packed(hashes: np.ndarray) -> bytes:
@@ -382,14 +433,14 @@ def components(edges: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([y for _, y in part], pa.int64())], ["a", "b"])
 
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(forest, "a long, b long").distinct())
-    before = None
+    files, before = max(1, -(-edges.count() // FILE_EDGES)), None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least, "a")
-        edges = written(hung.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        edges = written(hung.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct().coalesce(files))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
@@ -403,33 +454,24 @@ def groups(docs: DataFrame, found: DataFrame) -> DataFrame:
     lists = entries.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1")
     entries = written(entries.join(lists.select("hash"), "hash"))
     linked = spark.createDataFrame([], "query long, id long")
-    seen = linked
     group = spark.createDataFrame([], "id long, component long")
-    for turn in range(1 + MORE_ROUNDS + 1):
+    for turn in range(ROUNDS + 1):
         state = entries.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_lists = state.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).filter("x <> y").select("hash", "c")
-        state = written(state.join(open_lists, "hash"))
-        size = state.agg(F.count("*"), F.sum("c")).first()  # entries, and pairs of them twice
-        if not size[0]:
+        mixed = state.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("hash")
+        state = written(state.join(mixed, "hash"))
+        if state.isEmpty():
             break
-        exact = turn > 0 and (size[1] <= 2 * PAIRS_PER_ENTRY * entries.count() or turn > MORE_ROUNDS)
-        own = F.struct("id", *ENTRY[2:], "component")
-        if exact:
-            right = state
-            pairs = state.alias("q").join(right.alias("m"), (F.col("q.hash") == F.col("m.hash")) & (F.col("q.id") < F.col("m.id")) & (F.col("q.component") != F.col("m.component")))
-        else:
-            asks = [F.min_by(own, F.xxhash64("id", F.lit(FIRST_QUERIES * turn + k))) for k in range(FIRST_QUERIES)]
-            if turn == 0:
-                asks[0] = F.min(own)
+        if turn < ROUNDS:  # some documents of each list ask, first those with the least of their own: near the middle of their copies
+            own = F.struct(*ENTRY[1:], "component")
+            asks = [F.min_by(own, F.struct(F.lit(0) if turn or k else F.col("own"), F.xxhash64("id", F.lit(QUERIES * turn + k)))) for k in range(QUERIES)]
             chosen = state.groupBy("hash").agg(F.array_distinct(F.array(*asks)).alias("asks")).select("hash", F.explode("asks").alias("ask")).select("hash", "ask.*")
-            pairs = chosen.alias("q").join(state.alias("m"), (F.col("q.hash") == F.col("m.hash")) & (F.col("q.id") != F.col("m.id")) & (F.col("q.component") != F.col("m.component")))
-        pairs = pairs.filter(_may_link("q", "m")).select(F.col("q.id").alias("query"), F.col("m.id").alias("id")).distinct()
-        pairs = written(pairs.join(seen, ["query", "id"], "left_anti"))
-        seen = seen.union(pairs).union(pairs.select(F.col("id").alias("query"), F.col("query").alias("id")))
-        linked = linked.union(written(links(docs, pairs)))
+            meet = (F.col("q.hash") == F.col("m.hash")) & (F.col("q.id") != F.col("m.id")) & (F.col("q.component") != F.col("m.component")) & _may_link("q", "m")
+            pairs = written(chosen.alias("q").join(state.alias("m"), meet).select(F.col("q.id").alias("query"), F.col("m.id").alias("id")).distinct())
+            new = links(docs, pairs)
+        else:
+            new = family_links(docs, state)
+        linked = linked.union(written(new))
         group = written(components(linked.select(F.col("query").alias("a"), F.col("id").alias("b"))))
-        if exact:
-            break
     return group
 
 
