@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from standmill.functions.keys import half_even
@@ -15,6 +15,11 @@ from standmill.operators.frames import binary_class
 GROUND, WOOD, LEAF = 0, 1, 2
 
 
+def exact_mean(column: str) -> Column:
+    """The mean, by a decimal sum to nine places: it does not depend on the order of the rows."""
+    return F.sum(F.col(column).cast("decimal(20,9)")).cast("double") / F.count(column)
+
+
 def scene_stats(points: DataFrame, by: str = "scene_id") -> DataFrame:
     """Points, trees, assigned points, and points of each class."""
     tree = F.when(F.col("inst_pred") >= 0, F.col("inst_pred"))
@@ -31,7 +36,7 @@ def tree_metrics(points: DataFrame, by: str = "scene_id", min_points: int = 10)
         F.count("*").alias("n_points"), F.min("z").alias("z0"), F.max("z").alias("z1"),
         F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("width"),
         F.count_if(c("sem_pred") == WOOD).alias("wood_points"), F.count_if(c("sem_pred") == LEAF).alias("leaf_points"),
-        F.avg("score").alias("score"), F.avg("x").alias("cx"), F.avg("y").alias("cy"),
+        exact_mean("score").alias("score"), exact_mean("x").alias("cx"), exact_mean("y").alias("cy"),
     )
     height = c("z1") - c("z0")
     ratio = c("leaf_points") / F.when((c("wood_points") >= 20) & (c("leaf_points") > 0), c("wood_points"))

@@ -252,7 +252,7 @@ def _(spark, sf):
 
 def tree_sql(source: str, least: int = 10) -> str:
     return f"""trees0 AS (SELECT scene_id, inst_pred AS tree_id, count(*) AS n_points, min(z) AS z0, max(z) AS z1, greatest(max(x) - min(x), max(y) - min(y)) AS w, count(*) FILTER (sem_pred = 1) AS wood_points,
-  count(*) FILTER (sem_pred = 2) AS leaf_points, avg(score) AS s, avg(x) AS mx, avg(y) AS my FROM {source} WHERE inst_pred >= 0 GROUP BY 1, 2 HAVING count(*) >= {least}),
+  count(*) FILTER (sem_pred = 2) AS leaf_points, CAST(sum(CAST(score AS DECIMAL(20, 9))) AS DOUBLE) / count(score) AS s, CAST(sum(CAST(x AS DECIMAL(20, 9))) AS DOUBLE) / count(x) AS mx, CAST(sum(CAST(y AS DECIMAL(20, 9))) AS DOUBLE) / count(y) AS my FROM {source} WHERE inst_pred >= 0 GROUP BY 1, 2 HAVING count(*) >= {least}),
  trees AS (SELECT scene_id, tree_id, n_points, (round_even((z1 - z0) * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE)) AS height_m, (round_even((w) * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE)) AS crown_width_m, CASE WHEN z1 - z0 > 0.1 THEN (round_even((w / (z1 - z0)) * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE)) END AS crown_ratio, wood_points, leaf_points,
   CASE WHEN wood_points >= 20 AND leaf_points > 0 AND leaf_points / wood_points <= 300 THEN (round_even((leaf_points / wood_points) * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE)) END AS leaf_wood_ratio, (round_even((s) * CAST(1000 AS DOUBLE), 0) / CAST(1000 AS DOUBLE)) AS mean_score,
   (round_even((mx) * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE)) AS center_x, (round_even((my) * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE)) AS center_y, (round_even((z0) * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE)) AS base_z FROM trees0)"""
