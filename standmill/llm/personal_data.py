@@ -1,11 +1,12 @@
 """Personal data by bootstrapped contextual extraction.
 
-Four base expressions find emails, IP addresses, card numbers and phone numbers. These seed a bootstrap: what stands
-around an identifier-like token (its two words to the left with digits folded, and the shape of the token) is its
-pattern. Patterns and instances (distinct tokens) form a graph that Spark scores in a few rounds: a pattern is as
-reliable as the instances it meets, an instance as reliable as the best patterns it is met by, seeds being certain.
-Reliable patterns with enough distinct instances then mark their other, unseen identifiers in the texts. The base spans
-always stay, and no other span may overlap them.
+Four base expressions find emails, IP addresses, card numbers and phone numbers. These seed a bootstrap. A pattern is a
+context: the two words on one side of an identifier, with digits folded. Patterns and instances (the distinct texts of
+base spans, which are the seeds, and of identifier-like tokens outside them) form a graph that Spark scores in a few
+rounds: a pattern is as reliable as its instances are on average, a seed is certain, and any other instance is as
+reliable as the best pattern it is met by. All scores start from seeds, so what no chain of contexts links to a seed
+stays at 0. Reliable patterns with enough distinct instances then mark the other identifiers beside them in the texts.
+The base spans always stay, and no other span may overlap them.
 
 Defined results: a null text counts as empty and has no spans; every row gives a row, with repeated ids too (their
 added spans are found in each text itself); an empty table gives an empty result; columns other than doc_id and text
@@ -41,7 +42,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: An identifier-like token: a long run of letters, digits and joining marks that has a digit; quotes and the like stay outside.
 _TOKEN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._@/+-]*[A-Za-z0-9])?")
 _DIGIT = re.compile(r"[0-9]")
-_LEFT = re.compile(r"[^\x20\x09-\x0D]+")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONGEST = 256
 
 
@@ -80,17 +81,14 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return spans
 
 
-def shape(token: str) -> str:
-    """Runs of capitals, small letters and digits as A, a and 9; hexadecimal strings have a shape of their own."""
-    if len(token) >= 16 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", token) and not token.isdigit():
-        return f"hex{len(token)}"
-    if token.isdigit():
-        return f"9x{len(token)}"
-    return re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]+", "9", token)))
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """The patterns that meet text[start:end]: two words to the left, two words to the right; a side with fewer has none."""
+    sides = _WORD.findall(text[max(0, start - 80) : start])[-2:], _WORD.findall(text[end : end + 80])[:2]
+    return [p for side in sides if len(side) == 2 and len(p := " ".join(re.sub(r"[0-9]+", "9", w.lower()) for w in side)) <= PATTERN_CHARS]
 
 
-def mentions(text: str) -> Iterator[tuple[int, int, str]]:
-    """Start, end and pattern of every identifier-like token with a digit and six characters at least."""
+def mentions(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of every identifier-like token with a digit and six characters at least."""
     done = 0
     while (digit := _DIGIT.search(text, done)) is not None:
         start = at = digit.start()
@@ -99,10 +97,7 @@ def mentions(text: str) -> Iterator[tuple[int, int, str]]:
         m = _TOKEN.search(text, start)
         start, done = m.start(), max(m.end(), at + 1)
         if 6 <= m.end() - start <= LONGEST and m.end() > at:
-            left = [re.sub(r"[0-9]+", "9", w.lower()) for w in _LEFT.findall(text[max(0, start - 80) : start])[-2:]]
-            pattern = " ".join([*left, shape(m.group())])
-            if len(pattern) <= PATTERN_CHARS:
-                yield start, m.end(), pattern
+            yield start, m.end()
 
 
 def _free(start: int, end: int, taken: list[tuple[int, int]]) -> bool:
@@ -110,17 +105,18 @@ def _free(start: int, end: int, taken: list[tuple[int, int]]) -> bool:
 
 
 def graph(docs: DataFrame) -> DataFrame:
-    """Edges (pattern, instance, seed): the instance is a hash of the token; seed tells whether it lies in a base span."""
+    """Edges (pattern, instance, seed): the instance is a hash of its text; all base spans are seeds."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         found: dict[tuple[str, str], bool] = {}
         for text in part.column("text").to_pylist():
-            taken = None
-            for start, end, pattern in mentions(text or ""):
-                if taken is None:
-                    taken = [s for spans in base_spans(text).values() for s in spans]
-                key = (pattern, text[start:end])
-                found[key] = found.get(key, False) or not _free(start, end, taken)
+            taken = [s for spans in base_spans(text or "").values() for s in spans]
+            others = [m for m in mentions(text or "") if _free(*m, taken)]
+            for seed, own in ((True, taken), (False, others)):
+                for start, end in own:
+                    for pattern in contexts(text, start, end):
+                        key = (pattern, text[start:end])
+                        found[key] = found.get(key, False) or seed
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([t for _, t in found], pa.string()), pa.array(list(found.values()), pa.bool_())], ["pattern", "token", "seed"])
 
     edges = map_slices(docs.select(F.col("text").cast("string")), work, "pattern string, token string, seed boolean")
@@ -130,21 +126,16 @@ def graph(docs: DataFrame) -> DataFrame:
 def trusted_patterns(edges: DataFrame) -> list[str]:
     """The reliable patterns, by a few rounds over the graph.
 
-    A pattern that shares its left words with others of many shapes says nothing; one whose left words nearly always
-    bring this shape is a cue. So the first reliability of a pattern is the share of its cue (the left words) that has
-    its shape, raised to 1 where most of its instances are seeds; rounds then mix in its instances' own reliability."""
+    The first reliability of a pattern is the share of seeds among its distinct instances; each round gives it the mean
+    of its instances' reliability. A share f of seeds alone becomes 1 - (1 - f)^(ROUNDS + 1)."""
     edges = written(edges)
-    cue = F.substring_index("pattern", " ", 2)
-    patterns = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.avg(F.col("seed").cast("double")).alias("seeds")).withColumn("cue", cue)
-    cues = patterns.groupBy("cue").agg(F.sum("n").alias("of_cue"))
-    score = patterns.join(cues, "cue").select("pattern", "n", "cue", F.greatest(F.col("n") / F.col("of_cue") * F.least(F.lit(1.0), F.col("n") / SUPPORT), "seeds").alias("score"), "seeds")
+    seeds = edges.groupBy("instance").agg(F.max("seed").alias("sure"))
+    edges = written(edges.join(seeds, "instance").select("pattern", "instance", "sure"))  # a text that is a seed anywhere
+    score = written(edges.groupBy("pattern").agg(F.count("*").alias("n"), F.avg(F.col("sure").cast("double")).alias("score")))
     for _ in range(ROUNDS):
-        instance = edges.join(score.select("pattern", "score"), "pattern").groupBy("instance").agg(F.max("score").alias("best"), F.max("seed").alias("seed"))
-        trust = instance.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("best")).alias("trust"))
-        mean = edges.select("pattern", "instance").join(trust, "instance").groupBy("pattern").agg(F.avg("trust").alias("trust"))
-        score = written(score.join(mean, "pattern").select("pattern", "n", "cue", ((F.col("score") + F.col("trust")) / 2).alias("score"), "seeds"))
-    words = F.size(F.split("pattern", " ")) == 3
-    good = score.filter((F.col("score") >= RELIABLE) & (F.col("n") >= SUPPORT) & (F.col("seeds") < 0.5) & words)
+        best = edges.join(score, "pattern").groupBy("instance").agg(F.when(F.max("sure"), 1.0).otherwise(F.max("score")).alias("trust"))
+        score = written(edges.join(best, "instance").groupBy("pattern").agg(F.count("*").alias("n"), F.avg("trust").alias("score")))
+    good = score.filter((F.col("score") >= RELIABLE) & (F.col("n") >= SUPPORT))
     return [r.pattern for r in good.orderBy(F.desc("n"), "pattern").limit(PATTERNS).select("pattern").collect()]
 
 
@@ -154,8 +145,8 @@ def all_spans(text: str, trusted: frozenset[str]) -> dict[str, list[tuple[int, i
     if trusted:
         taken = None
         added = []
-        for start, end, pattern in mentions(text):
-            if pattern in trusted:
+        for start, end in mentions(text):
+            if not trusted.isdisjoint(contexts(text, start, end)):
                 taken = [s for own in spans.values() for s in own] if taken is None else taken
                 if _free(start, end, taken):
                     added.append((start, end))

@@ -399,3 +399,18 @@ def test_personal_data_of_odd_rows(odd, none):
     assert len(rows) == len(ODD)
     assert [(r.n_email, r.n_ip, r.n_card, r.n_phone) for r in rows if r.doc_id == 9] == [(1, 1, 1, 1)]
     assert personal_data.personal_data(none).isEmpty()
+
+
+def test_only_seeds_make_patterns_trusted(spark):
+    rows = [(k, f"note {k} here account ref AB{k:06d}X and so on") for k in range(40)]  # a cue of its own, but no seed
+    assert list(personal_data.trusted_patterns(personal_data.graph(spark.createDataFrame(rows, "doc_id long, text string")))) == []
+
+
+def test_seeds_without_digits_and_with_spaces_make_patterns_trusted(spark):
+    names = [a + b for a in "abcdefgh" for b in "uvwxyz"]
+    cards = [c for c in (f"{4000_0000_0000_0000 + k}" for k in range(400)) if luhn(c)]
+    rows = [(k, f"please write to {n}@x.org at once") for k, n in enumerate(names)]
+    rows += [(100 + k, f"paid with card {c[:4]} {c[4:8]} {c[8:12]} {c[12:]} last week") for k, c in enumerate(cards)]
+    rows += [(200, "please write to USER-7781-K instead of me"), (201, "paid with card XK-99812 some time ago"), (202, "no link for XK-77777 there is")]
+    found = {r.doc_id: r.spans for r in personal_data.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (found[200], found[201], found[202]) == ("id:16:27", "id:15:23", "")
