@@ -1,8 +1,10 @@
 """Subword sampling by merge-dropout over a sentencepiece BPE model, and lossless decoding.
 
 Encoding works through the agenda of merges of every pre-token: best score first, leftmost first. Each candidate merge
-is skipped where its keyed hash (seed, variant, pre-token, place) falls below the dropout rate, so a seed gives the same
-segmentation on every machine. A document takes one of a few variants, by a keyed hash of its id. Many pre-tokens go through the agenda together, as arrays; results are kept in a bounded cache.
+is skipped where its keyed hash (seed, document, pre-token's number in it, place) falls below the dropout rate, so every
+occurrence is sampled on its own, and a seed gives the same segmentation on every machine. What is cached is the same for
+all occurrences of a pre-token: a tree of the merges that come next, kept or skipped, with the ids at its leaves.
+Occurrences walk down these trees together, as arrays; paths that are not there yet are found by the agenda and added.
 
 Without dropout the ids are those of the library, but for a space mark U+2581 in a text, which is encoded as bytes here
 so that decoding gives it back.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -28,12 +30,16 @@ from pyspark.sql import functions as F
 from standmill.llm.common import slices
 from standmill.llm.token_counts import PRETOKEN, processor
 
-#: Entries of one of the two halves of a worker's cache of segmentations; a full half becomes the older one.
-CACHE = 120_000
+#: A worker's cache is emptied between slices beyond so many pre-tokens, or nodes and leaves of their trees.
+CACHE, NODES = 150_000, 3_000_000
 _SLOTS = 19  # bits of the table of merges
 _MIX, _NEVER = np.uint64(0x9E3779B97F4A7C15), 1 << 30
 #: Longer pre-tokens go through the agenda one by one.
 LONG = 128
+#: Numbers of words, the candidate merge that is best for each, and whether it is skipped.
+Note = Callable[[np.ndarray, np.ndarray, np.ndarray], None]
+#: Occurrences that walk down the trees together.
+TOGETHER = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,10 +97,15 @@ class Merges:
         one, two = self._slot(key, 0), self._slot(key, 1)
         return np.where(self.keys[one] == key, self.made[one], np.where(self.keys[two] == key, self.made[two], -1))
 
-    def dropped(self, key: np.ndarray, first: np.ndarray, second: np.ndarray, end: np.ndarray, dropout: float) -> np.ndarray:
-        """Which candidate merges of [first, second) and [second, end) are skipped."""
-        place = (first.astype(np.uint64) << np.uint64(42)) + (second.astype(np.uint64) << np.uint64(21)) + end.astype(np.uint64)
-        return mix(key + place * _MIX) < np.uint64(min(2**64 - 1, int(dropout * 2.0**64)))
+    @staticmethod
+    def place(first: np.ndarray, second: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A number of the candidate merge of [first, second) and [second, end)."""
+        return ((first.astype(np.uint64) << np.uint64(42)) + (second.astype(np.uint64) << np.uint64(21)) + end.astype(np.uint64)) * _MIX
+
+    @staticmethod
+    def dropped(key: np.ndarray, place: np.ndarray, dropout: float) -> np.ndarray:
+        """Which candidate merges are skipped."""
+        return mix(key + place) < np.uint64(min(2**64 - 1, int(dropout * 2.0**64)))
 
     def keys_of(self, words: list[str], variants: np.ndarray, seed: int) -> np.ndarray:
         crc = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words))
@@ -102,7 +113,10 @@ class Merges:
 
     def segment(self, words: list[str], variants: np.ndarray, seed: int, dropout: float) -> list[bytes]:
         """The ids of each word under its variant, as little-endian 32-bit integers."""
-        keys = self.keys_of(words, variants, seed)
+        return self.segment_keyed(words, self.keys_of(words, variants, seed), dropout)
+
+    def segment_keyed(self, words: list[str], keys: np.ndarray, dropout: float, note: Note | None = None) -> list[bytes]:
+        """The ids of each word under its key; note gets the merges of each as they are decided, but for those of long words."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         out = [b""] * len(words)
         order = np.argsort(lengths, kind="stable")
@@ -114,27 +128,36 @@ class Merges:
                     out[i] = self._bytes(words[i], *self._agenda(words[i], keys[i : i + 1], dropout))
                 continue
             for at in np.split(group, range(8192, len(group), 8192)):
-                self._together([words[i] for i in at.tolist()], at, keys[at], dropout, out)
+                self._together([words[i] for i in at.tolist()], at, keys[at], dropout, out, note)
         return out
 
-    def _together(self, words: list[str], at: np.ndarray, keys: np.ndarray, dropout: float, out: list[bytes]) -> None:
+    def _together(self, words: list[str], at: np.ndarray, keys: np.ndarray, dropout: float, out: list[bytes], note: Note | None) -> None:
         """The agendas of words of one length, a merge of each word at a time: rows stay equally long."""
         n, size = len(words), len(words[0])
         symbol = self.char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, size)]
         start = np.broadcast_to(np.arange(size + 1, dtype=np.int32), (n, size + 1)).copy()
 
-        def candidates(left, right, key, first, second, end):
+        def candidates(left, right):
             made = self.lookup(left, right)
-            if dropout > 0:
-                made[self.dropped(key, first, second, end, dropout)] = -1
             return made, np.where(made >= 0, self.rank[made], _NEVER).astype(np.int32)
 
-        made, rank = candidates(symbol[:, :-1], symbol[:, 1:], keys[:, None], start[:, :-2], start[:, 1:-1], start[:, 2:])
+        made, rank = candidates(symbol[:, :-1], symbol[:, 1:])
         row = np.arange(n)
         while n:
             width = symbol.shape[1]
             j = rank.argmin(axis=1) if width > 1 else np.zeros(n, dtype=np.int64)  # leftmost of the best
             live = rank[row, j] < _NEVER if width > 1 else np.zeros(n, dtype=bool)
+            look = np.flatnonzero(live) if dropout > 0 else row[:0]
+            while len(look):  # a skipped candidate gives way to the next one
+                place = self.place(start[look, j[look]], start[look, j[look] + 1], start[look, j[look] + 2])
+                drop = self.dropped(keys[look], place, dropout)
+                if note:
+                    note(at[look], place, drop)
+                look = look[drop]
+                rank[look, j[look]] = _NEVER
+                j[look] = rank[look].argmin(axis=1)
+                live[look] = rank[look, j[look]] < _NEVER
+                look = look[live[look]]
             if not live.all():
                 flat = symbol[~live].astype("<i4").tobytes()
                 for k, i in enumerate(at[~live].tolist()):
@@ -156,7 +179,7 @@ class Merges:
                 ok = np.flatnonzero((side >= 0) & (side < width - 2))
                 if len(ok):
                     k = side[ok]
-                    made[ok, k], rank[ok, k] = candidates(symbol[ok, k], symbol[ok, k + 1], keys[ok], start[ok, k], start[ok, k + 1], start[ok, k + 2])
+                    made[ok, k], rank[ok, k] = candidates(symbol[ok, k], symbol[ok, k + 1])
 
     def _agenda(self, word: str, key: np.ndarray, dropout: float) -> tuple[list[int], list[int]]:
         """Symbols and starts of one word, by a heap of candidate merges."""
@@ -169,7 +192,7 @@ class Merges:
             if k >= len(word):
                 return
             made = int(self.lookup(np.array([symbol[i]]), np.array([symbol[k]]))[0])
-            if made >= 0 and not (dropout > 0 and self.dropped(key, np.array([i]), np.array([k]), np.array([end[k]]), dropout)[0]):
+            if made >= 0 and not (dropout > 0 and self.dropped(key, self.place(np.array([i]), np.array([k]), np.array([end[k]])), dropout)[0]):
                 heapq.heappush(heap, (int(self.rank[made]), i, end[k], made))
 
         for i in range(len(word)):
@@ -201,36 +224,110 @@ def merges(model: str) -> Merges:
 
 
 class Encoder:
-    """Segments texts with a bounded cache."""
+    """Segments texts, with a bounded cache of the trees of pre-tokens.
 
-    def __init__(self, model: str, seed: int, dropout: float, variants: int):
-        self.table, self.seed, self.dropout = merges(model), seed, dropout
-        self.variants = variants if dropout > 0 else 1
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.old = self.cache
+    An edge has a number: 2 n and 2 n + 1 are what follows node n when its merge is kept or skipped; a pre-token has a
+    node without a merge, whose first edge leads to its tree. An edge leads to a node, to leaf k (-2 - k), or is unknown (-1)."""
+
+    def __init__(self, model: str, seed: int, dropout: float, entries: int = CACHE):
+        self.table, self.seed, self.dropout, self.entries = merges(model), seed, dropout, entries
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known: dict[str, int] = {}
+        self.nodes, self.leaves = 0, 0
+        self.place, self.next = np.empty(1 << 16, dtype=np.uint64), np.empty(1 << 17, dtype=np.int32)
+        self.pool, self.bounds = np.empty(1 << 16, dtype="<i4"), np.zeros(1 << 16, dtype=np.int64)  # ids of leaf k: pool[bounds[k] : bounds[k + 1]]
+
+    @staticmethod
+    def _room(x: np.ndarray, size: int) -> np.ndarray:
+        return x if size <= len(x) else np.concatenate([x, np.zeros(max(size - len(x), len(x)), dtype=x.dtype)])
+
+    def _new(self, count: int) -> np.ndarray:
+        first, self.nodes = self.nodes, self.nodes + count
+        self.place, self.next = self._room(self.place, self.nodes), self._room(self.next, 2 * self.nodes)
+        self.next[2 * first : 2 * self.nodes] = -1
+        return np.arange(first, self.nodes)
+
+    def _add(self, found: list[bytes]) -> np.ndarray:
+        """New leaves with these ids."""
+        ends = self.bounds[self.leaves] + np.cumsum([len(x) // 4 for x in found])
+        self.bounds = self._room(self.bounds, self.leaves + len(found) + 1)
+        self.bounds[self.leaves + 1 : self.leaves + len(found) + 1] = ends
+        self.pool = self._room(self.pool, int(ends[-1]))
+        self.pool[self.bounds[self.leaves] : ends[-1]] = np.frombuffer(b"".join(found), dtype="<i4")
+        first, self.leaves = self.leaves, self.leaves + len(found)
+        return np.arange(first, self.leaves)
+
+    def _learn(self, words: list[str], keys: np.ndarray) -> None:
+        """Adds the paths of occurrences that end at different unknown edges."""
+        edge = 2 * np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+
+        def note(at: np.ndarray, place: np.ndarray, drop: np.ndarray) -> None:
+            node = self.next[edge[at]].astype(np.int64)
+            new = np.flatnonzero(node == -1)
+            node[new] = self._new(len(new))
+            self.place[node[new]] = place[new]
+            self.next[edge[at[new]]] = node[new]
+            edge[at] = 2 * node + drop
+
+        self.next[edge] = -2 - self._add(self.table.segment_keyed(words, keys, self.dropout, note))
+
+    def _walk(self, edge: np.ndarray, keys: np.ndarray, leaf: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Leads the rows' edges on to leaves; gives the rows that end at unknown edges."""
+        unknown = []
+        for i in range(0, len(rows), TOGETHER):
+            at = rows[i : i + TOGETHER]
+            e, key = edge[at], keys[at]
+            while len(at):
+                node = self.next[e]
+                inner = node >= 0
+                if not inner.all():
+                    out = ~inner
+                    ended, last = at[out], node[out]
+                    leaf[ended] = -2 - last
+                    stop = last == -1
+                    unknown.append(ended[stop])
+                    edge[unknown[-1]] = e[out][stop]
+                    at, key, node = at[inner], key[inner], node[inner]
+                e = 2 * node.astype(np.int64) + self.table.dropped(key, self.place[node], self.dropout)
+        return np.concatenate(unknown) if unknown else rows[:0]
 
     def encode(self, doc_ids: list, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > self.entries or self.nodes + self.leaves > NODES or len(self.pool) > 8 * NODES:
+            self._empty()
         words = [PRETOKEN.findall(" " + t) if t else [] for t in texts]
-        if sum(map(len, self.cache)) > CACHE:  # what is still in use comes over from the older half
-            self.old, self.cache = self.cache, [{} for _ in range(self.variants)]
-        picks = (mix(np.array([((d or 0) * 31 + self.seed) & (2**64 - 1) for d in doc_ids], dtype=np.uint64)) % np.uint64(self.variants)).tolist()
-        missing: list[set[str]] = [set() for _ in range(self.variants)]
-        for ws, v in zip(words, picks):
-            missing[v].update(set(ws).difference(self.cache[v]))
-        for v, (own, cache, old) in enumerate(zip(missing, self.cache, self.old)):
-            cache.update((w, old[w]) for w in own.intersection(old))
-            new = list(own.difference(old))
-            for i in range(0, len(new), 100_000):
-                part = new[i : i + 100_000]
-                cache.update(zip(part, self.table.segment(part, np.full(len(part), v), self.seed, self.dropout)))
-        return [np.frombuffer(b"".join(map(self.cache[v].__getitem__, ws)), dtype="<i4") for ws, v in zip(words, picks)]
-
-
-def encode(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, variants: int = 2, keep_text: bool = False) -> DataFrame:
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        first = np.cumsum(sizes) - sizes
+        own = mix(np.array([(d or 0) & (2**64 - 1) for d in doc_ids], dtype=np.uint64) + np.uint64((self.seed * int(_MIX) + 1) & (2**64 - 1)))
+        number = (np.arange(sizes.sum()) - np.repeat(first, sizes)).astype(np.uint64)
+        keys = mix(np.repeat(own, sizes) + number * _MIX)  # of every occurrence
+        flat = list(chain.from_iterable(words))
+        fresh = [w for w in set(flat).difference(self.known)]
+        self.known.update(zip(fresh, self._new(len(fresh)).tolist()))
+        edge = 2 * np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        leaf = np.empty(len(flat), dtype=np.int64)
+        long = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat)) > LONG
+        if long.any():
+            at = np.flatnonzero(long)
+            leaf[at] = self._add(self.table.segment_keyed([flat[i] for i in at.tolist()], keys[at], self.dropout))
+        rest = np.flatnonzero(~long)
+        while len(rest := self._walk(edge, keys, leaf, rest)):
+            one = rest[np.unique(edge[rest], return_index=True)[1]]
+            for i in range(0, len(one), 100_000):
+                part = one[i : i + 100_000]
+                self._learn([flat[k] for k in part.tolist()], keys[part])
+        start, many = self.bounds[leaf], self.bounds[leaf + 1] - self.bounds[leaf]
+        ids = self.pool[np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        return [ids[a:b] for a, b in zip(ends[first].tolist(), ends[first + sizes].tolist())]
+
+
+def encode(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, keep_text: bool = False) -> DataFrame:
     """doc_id and ids (array of int) for every row of docs; keep_text adds the text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model, seed, dropout, variants)
+        encoder = Encoder(model, seed, dropout)
         for part in slices(batches):
             ids = encoder.encode(part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()])
             bounds = np.cumsum([0, *map(len, ids)]).astype(np.int32)

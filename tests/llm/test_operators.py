@@ -276,6 +276,27 @@ def test_dropout_varies_and_decodes(spark, docs, strange):
     assert collections.Counter(map(tuple, one)) == collections.Counter(map(tuple, again)) != collections.Counter(map(tuple, two))
 
 
+def test_every_occurrence_is_sampled_on_its_own(docs):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    table, encoder = piece_sampling.merges(PIECES), piece_sampling.Encoder(PIECES, 3, 0.1)
+    ids = encoder.encode(list(range(50)), [" ".join(["unbelievable"] * 40)] * 50)
+    cuts, whole = [], sp.encode("unbelievable")
+    for own in ids:
+        pieces = "".join(sp.id_to_piece(i) + "|" for i in own.tolist())
+        cuts.append(["▁" + w for w in pieces.split("▁")[1:]])
+    assert all(len(set(own)) > 2 for own in cuts) and len(set(map(tuple, cuts))) == 50
+    usual = "".join(sp.id_to_piece(i) + "|" for i in whole)
+    merged = len("▁unbelievable") - len(whole)
+    assert 0.9**merged - 0.05 <= np.mean([w == usual for own in cuts for w in own]) < 0.95  # other merges may give the same pieces
+    rows = texts_of(docs)[:40]  # the trees give what the agenda gives for each occurrence
+    got = encoder.encode([i for i, _ in rows], [t for _, t in rows])
+    own = piece_sampling.mix(np.array([i for i, _ in rows], dtype=np.uint64) + np.uint64((3 * 0x9E3779B97F4A7C15 + 1) & (2**64 - 1)))
+    for (_, t), key, found in zip(rows, own, got):
+        words = token_counts.PRETOKEN.findall(" " + t)
+        keys = piece_sampling.mix(key + np.arange(len(words)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        assert found.tobytes() == b"".join(table._bytes(w, *table._agenda(w, keys[k : k + 1], 0.1)) for k, w in enumerate(words))
+
+
 def test_agendas_agree():
     table = piece_sampling.merges(PIECES)
     words = sorted({" " + w for w in LONG.split()} | {" unbelievable", "\n", " ▁x", "  two", " naïveté", " \U0001F600a", " " + "ab" * 40})
