@@ -6,7 +6,9 @@ base spans, which are the seeds, and of identifier-like tokens outside them) for
 rounds: a pattern is as reliable as its instances are on average, a seed is certain, and any other instance is as
 reliable as the best pattern it is met by. All scores start from seeds, so what no chain of contexts links to a seed
 stays at 0. Reliable patterns with enough distinct instances then mark the other identifiers beside them in the texts.
-The base spans always stay, and no other span may overlap them.
+The base spans always stay, and no other span may overlap them. Frequent trusted patterns are broadcast; mentions of
+others are joined with the table of all trusted patterns. Patterns are 64-bit hashes of whole words, but that of a word
+longer than LONGEST the LONGEST characters beside the identifier count.
 
 Defined results: a null text counts as empty and has no spans; every row gives a row, with repeated ids too (their
 added spans are found in each text itself); an empty table gives an empty result; columns other than doc_id and text
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,8 +33,8 @@ KINDS = ("email", "ip", "card", "phone")
 ADDED = "id"
 #: A pattern is trusted from this reliability on, with so many distinct instances; rounds of scoring.
 RELIABLE, SUPPORT, ROUNDS = 0.9, 5, 3
-#: At most so many trusted patterns (those with most instances) are used; each is of bounded length.
-PATTERNS, PATTERN_CHARS = 10_000, 96
+#: So many trusted patterns (those with most instances) are broadcast.
+PATTERNS = 10_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -43,7 +46,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._@/+-]*[A-Za-z0-9])?")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LONGEST = 256
+LONGEST = 1024
 
 
 def _luhn(digits: str) -> bool:
@@ -81,10 +84,22 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return spans
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The patterns that meet text[start:end]: two words to the left, two words to the right; a side with fewer has none."""
-    sides = _WORD.findall(text[max(0, start - 80) : start])[-2:], _WORD.findall(text[end : end + 80])[:2]
-    return [p for side in sides if len(side) == 2 and len(p := " ".join(re.sub(r"[0-9]+", "9", w.lower()) for w in side)) <= PATTERN_CHARS]
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+class Contexts:
+    """The patterns that meet parts of a text: two words to the left, two words to the right; a side with fewer has none."""
+
+    def __init__(self, text: str):
+        self.text, spans = text, [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def of(self, start: int, end: int) -> list[int]:
+        i, j = bisect_left(self.starts, start), bisect_right(self.ends, end)
+        left = [(max(a, b - LONGEST), b) for a, b in ((self.starts[k], min(self.ends[k], start)) for k in range(max(0, i - 2), i))]
+        right = [(a, min(b, a + LONGEST)) for a, b in ((max(self.starts[k], end), self.ends[k]) for k in range(j, min(j + 2, len(self.ends))))]
+        return [_hash(" ".join(re.sub(r"[0-9]+", "9", self.text[a:b].lower()) for a, b in side)) for side in (left, right) if len(side) == 2]
 
 
 def mentions(text: str) -> Iterator[tuple[int, int]]:
@@ -92,11 +107,11 @@ def mentions(text: str) -> Iterator[tuple[int, int]]:
     done = 0
     while (digit := _DIGIT.search(text, done)) is not None:
         start = at = digit.start()
-        while start > done and at - start <= LONGEST and text[start - 1] in _TOKEN_CHARS:
+        while start > done and text[start - 1] in _TOKEN_CHARS:
             start -= 1
         m = _TOKEN.search(text, start)
         start, done = m.start(), max(m.end(), at + 1)
-        if 6 <= m.end() - start <= LONGEST and m.end() > at:
+        if m.end() - start >= 6 and m.end() > at:
             yield start, m.end()
 
 
@@ -108,22 +123,30 @@ def graph(docs: DataFrame) -> DataFrame:
     """Edges (pattern, instance, seed): the instance is a hash of its text; all base spans are seeds."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        found: dict[tuple[str, str], bool] = {}
+        found: dict[tuple[int, int], bool] = {}
         for text in part.column("text").to_pylist():
             taken = [s for spans in base_spans(text or "").values() for s in spans]
             others = [m for m in mentions(text or "") if _free(*m, taken)]
+            contexts = Contexts(text) if taken or others else None
             for seed, own in ((True, taken), (False, others)):
                 for start, end in own:
-                    for pattern in contexts(text, start, end):
-                        key = (pattern, text[start:end])
+                    instance = _hash(text[start:end])
+                    for pattern in contexts.of(start, end):
+                        key = (pattern, instance)
                         found[key] = found.get(key, False) or seed
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([t for _, t in found], pa.string()), pa.array(list(found.values()), pa.bool_())], ["pattern", "token", "seed"])
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64()), pa.array(list(found.values()), pa.bool_())], ["pattern", "instance", "seed"])
+
+    edges = map_slices(docs.select(F.col("text").cast("string")), work, "pattern long, instance long, seed boolean")
+    return edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+
 
-    edges = map_slices(docs.select(F.col("text").cast("string")), work, "pattern string, token string, seed boolean")
-    return edges.groupBy("pattern", F.xxhash64("token").alias("instance")).agg(F.max("seed").alias("seed"))
+class Trusted(list):
+    """The trusted patterns with most instances, and where there are more of them the table of all."""
 
+    every: DataFrame | None = None
 
-def trusted_patterns(edges: DataFrame) -> list[str]:
+
+def trusted_patterns(edges: DataFrame) -> Trusted:
     """The reliable patterns, by a few rounds over the graph.
 
     The first reliability of a pattern is the share of seeds among its distinct instances; each round gives it the mean
@@ -136,17 +159,46 @@ def trusted_patterns(edges: DataFrame) -> list[str]:
         best = edges.join(score, "pattern").groupBy("instance").agg(F.when(F.max("sure"), 1.0).otherwise(F.max("score")).alias("trust"))
         score = written(edges.join(best, "instance").groupBy("pattern").agg(F.count("*").alias("n"), F.avg("trust").alias("score")))
     good = score.filter((F.col("score") >= RELIABLE) & (F.col("n") >= SUPPORT))
-    return [r.pattern for r in good.orderBy(F.desc("n"), "pattern").limit(PATTERNS).select("pattern").collect()]
+    most = [r.pattern for r in good.orderBy(F.desc("n"), "pattern").limit(PATTERNS + 1).select("pattern").collect()]
+    trusted = Trusted(most[:PATTERNS])
+    if len(most) > PATTERNS:
+        trusted.every = good.select("pattern")
+    return trusted
+
 
+def with_rare(docs: DataFrame, trusted: list[int], text: "F.Column", columns: list) -> DataFrame:
+    """The columns of docs, and ``_rare``: the trusted patterns of each text that are not broadcast, by a join with the table of all."""
+    if getattr(trusted, "every", None) is None:
+        return docs.select(*columns, F.lit(None).cast("array<bigint>").alias("_rare"))
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(trusted))
 
-def all_spans(text: str, trusted: frozenset[str]) -> dict[str, list[tuple[int, int]]]:
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        found: dict[tuple[str, int], None] = {}
+        for own in part.column("text").to_pylist():
+            met = list(mentions(own or ""))
+            if met:
+                key, contexts = hashlib.md5(own.encode(), usedforsecurity=False).hexdigest(), Contexts(own)
+                for start, end in met:
+                    patterns = contexts.of(start, end)
+                    if shared.value.isdisjoint(patterns):
+                        found.update(((key, p), None) for p in patterns)
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([p for _, p in found], pa.int64())], ["_key", "pattern"])
+
+    pairs = map_slices(docs.select(text.alias("text")), work, "_key string, pattern long").distinct()
+    rare = pairs.join(trusted.every, "pattern").groupBy("_key").agg(F.collect_set("pattern").alias("_rare"))
+    return docs.select(*columns, F.md5(text.cast("binary")).alias("_key")).join(rare, "_key", "left").drop("_key")
+
+
+def all_spans(text: str, trusted: frozenset[int], rare: list[int] | None = None) -> dict[str, list[tuple[int, int]]]:
     """The base spans, and what trusted patterns add outside them."""
     spans = base_spans(text)
     if trusted:
-        taken = None
-        added = []
+        taken = contexts = None
+        added, more = [], frozenset(rare or ())
         for start, end in mentions(text):
-            if not trusted.isdisjoint(contexts(text, start, end)):
+            contexts = contexts or Contexts(text)
+            patterns = contexts.of(start, end)
+            if not (trusted.isdisjoint(patterns) and more.isdisjoint(patterns)):
                 taken = [s for own in spans.values() for s in own] if taken is None else taken
                 if _free(start, end, taken):
                     added.append((start, end))
@@ -158,21 +210,22 @@ def _joined(spans: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) ->
     return ",".join(f"{k}:{a}:{b}" for k in kinds for a, b in sorted(spans.get(k, ())))
 
 
-def find(docs: DataFrame, trusted: list[str]) -> DataFrame:
+def find(docs: DataFrame, trusted: list[int]) -> DataFrame:
     """The contract's row for every row of docs: counts of base spans, their hash, and all spans."""
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(trusted))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text in part.column("text").to_pylist():
-            spans = all_spans(text or "", shared.value)
+        for text, rare in zip(part.column("text").to_pylist(), part.column("_rare").to_pylist()):
+            spans = all_spans(text or "", shared.value, rare)
             base = _joined(spans, KINDS)
             rows.append((*(len(spans[k]) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), _joined(spans, (*KINDS, ADDED))))
         kinds = [pa.int64()] * 4 + [pa.string()] * 2
         names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
         return pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
 
-    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    picked = with_rare(docs, trusted, text, [F.col("doc_id").cast("long"), text.alias("text")])
     return map_slices(picked, work, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
@@ -180,16 +233,16 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return find(docs, trusted_patterns(graph(docs)))
 
 
-def mask(docs: DataFrame, trusted: list[str]) -> DataFrame:
+def mask(docs: DataFrame, trusted: list[int]) -> DataFrame:
     """docs with every span of the text replaced by its kind in angle brackets; overlapping spans become one."""
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(trusted))
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
-    def masked(text: str | None) -> str | None:
+    def masked(text: str | None, rare: list[int] | None) -> str | None:
         if not text:
             return text
-        spans = sorted((a, -b, k) for k, own in all_spans(text, shared.value).items() for a, b in own)
+        spans = sorted((a, -b, k) for k, own in all_spans(text, shared.value, rare).items() for a, b in own)
         out, done = [], 0
         for a, b, kind in spans:
             if a >= done:
@@ -199,7 +252,7 @@ def mask(docs: DataFrame, trusted: list[str]) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            texts = pa.array([masked(t) for t in part.column("text").to_pylist()], pa.string())
+            texts = pa.array(list(map(masked, part.column("text").to_pylist(), part.column("_rare").to_pylist())), pa.string())
             yield pa.RecordBatch.from_arrays([texts if c == "text" else part.column(c) for c in names], names)
 
-    return docs.mapInArrow(work, schema)
+    return with_rare(docs, trusted, F.col("text"), [F.col(f"`{c}`") for c in names]).mapInArrow(work, schema)

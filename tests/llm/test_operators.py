@@ -435,3 +435,15 @@ def test_seeds_without_digits_and_with_spaces_make_patterns_trusted(spark):
     rows += [(200, "please write to USER-7781-K instead of me"), (201, "paid with card XK-99812 some time ago"), (202, "no link for XK-77777 there is")]
     found = {r.doc_id: r.spans for r in personal_data.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (found[200], found[201], found[202]) == ("id:16:27", "id:15:23", "")
+
+
+def test_patterns_beyond_the_broadcast_and_long_ones_are_used(spark, monkeypatch):
+    cues = [f"{c * 3} cue{c}" for c in "abcdef"] + ["w" * 150 + " " + "v" * 120]
+    rows = [(k, f"x {cue} u{k}.{n}@x.org") for k, cue in enumerate(cues) for n in range(8)]
+    rows += [(100 + k, f"x {cue} KEY-{k}{k}{k}-Z") for k, cue in enumerate(cues)] + [(200, f"x {cues[0]} " + "K7" * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(personal_data, "PATTERNS", 1)
+    trusted = personal_data.trusted_patterns(personal_data.graph(docs))
+    found = {r.doc_id: r.spans for r in personal_data.find(docs, trusted).collect()}
+    assert len(trusted) == 1 and all(found[i] == f"id:{t.index('K')}:{len(t)}" for i, t in rows if i >= 100)
+    assert all(r.text.endswith("<ID>") for r in personal_data.mask(docs, trusted).filter("doc_id >= 100").collect())
