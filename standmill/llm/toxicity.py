@@ -1,16 +1,22 @@
 """Toxicity by nearest labelled examples.
 
-A bounded sample of labelled rows is learned from. Terms are lower-case words and their first letters;
-of the terms of toxic examples those are kept that are far more frequent there than in other examples. A text becomes
-its TF-IDF vector over these terms (document frequencies are counted over all documents), of length 1. The examples'
-vectors form a block-max inverted index: postings in blocks of examples, with the largest weight of each term in each
-block, so that blocks whose bound is below the k-th best cosine are not opened; the k nearest are exact. Their labels
-vote with weights that fall with distance, against a prior. Votes are calibrated by a rising step function, fitted to
-the examples' own votes with each left out in turn; the neighbours are returned as evidence.
-
-Defined results: a null or empty text, or one without known terms, has the rate of toxic examples among such texts as
-its score; with no usable labels the score is 0; several labels of one id count as the highest; null labels and ids are
-ignored; every row gives a row, with repeated ids too; columns other than doc_id and text are ignored.
+A bounded sample of labelled rows is learned from. A text's terms are its lower-case words, each cut to its first STEM
+characters; every word of the whole text counts. A text becomes its TF-IDF vector, of length 1, over all terms of the
+examples, with document frequencies counted over all documents; no term is picked or left out for its label. The
+examples' vectors form a block-max inverted index: postings in blocks of examples, with the largest weight of each term
+in each block, so that blocks whose bound is below the k-th best cosine are not opened; the k nearest are exact. Their
+labels vote with weights that fall with distance, against a prior. Votes are calibrated by a rising step function,
+fitted to the examples' own votes with each left out in turn; the neighbours are returned as evidence.
+
+Scale: EXAMPLES rows at most come to the driver, and the index is broadcast; its size follows the sample. Counting and
+scoring are one narrow pass each over all documents.
+
+Defined results: a null or empty text, or one without any term of the examples, has the rate of toxic examples among such
+texts as its score; with no usable labels, or no document that has one, the score is 0; several labels of one id count as
+the highest; of several texts of a labelled id the least in order is learned from; null labels and ids are not learned
+from; very long texts count whole; equally near examples, and copies of them, come in the order of the index, which does
+not depend on partitions; every row gives a row, with repeated ids too; an empty table gives an empty result; columns
+other than doc_id and text are ignored, whatever their names, unless they are asked to be kept.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,36 +32,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from standmill.llm.common import held_out, map_slices, slices
+from standmill.llm.common import add_by_slices, carried, held_out, map_slices, slices
 
-#: Bounds of what is learned: labelled rows, terms that are looked at, and terms that are kept.
-EXAMPLES, CANDIDATES, TERMS = 20_000, 20_000, 2_048
-#: A kept term is in so many toxic examples at least, in this share of them, and so many times as frequent in them as in the others.
-SUPPORT, SHARE, LIFT = 4, 0.01, 8.0
+#: Labelled rows that are learned from, at most.
+EXAMPLES = 4_096
+#: Characters of a word that make its term.
+STEM = 4
 #: Examples in a block, neighbours, and weight of the prior.
-BLOCK, NEIGHBOURS, PRIOR_WEIGHT = 64, 15, 0.5
+BLOCK, NEIGHBOURS, PRIOR_WEIGHT = 64, 15, 0.1
 #: Blocks that are opened together, and examples (evenly chosen) that votes are calibrated with.
-OPENED, CALIBRATION = 8, 3_000
+OPENED, CALIBRATION = 8, 2_000
+#: Share of the uncalibrated vote in a score: it keeps the order within a step.
+RAW_SHARE = 0.02
 THRESHOLD = 0.3
 
-_WORD = re.compile(r"\w+")
+_TERM = re.compile(r"\b\w{1,%d}" % STEM)
 
 
-def term_frequencies(text: str | None, heads: frozenset[str] | None = None) -> dict[str, int]:
-    """How often a text holds each term: its words, their first 4, 5 and 6 letters (marked ``*``), and once more those
-    beginnings that come twice or more (marked ``**``). With heads, only words whose first four letters are among them."""
-    found: dict[str, int] = {}
-    for w, n in Counter(_WORD.findall((text or "").lower())).items():
-        if heads is None or w[:4] in heads:
-            found[w] = n
-            for size in range(4, min(6, len(w) - 1) + 1):
-                t = w[:size] + "*"
-                found[t] = found.get(t, 0) + n
-    return found | {t + "*": n for t, n in found.items() if n > 1 and t[-1] == "*"}
-
-
-def heads_of(terms: Iterable[str]) -> frozenset[str]:
-    return frozenset(t.rstrip("*")[:4] for t in terms)
+def term_counts(text: str | None) -> Counter[str]:
+    return Counter(_TERM.findall((text or "").lower()))
 
 
 @dataclass
@@ -63,68 +58,68 @@ class Index:
     """Block-max inverted index of the examples' vectors."""
 
     known: dict[str, int] = field(default_factory=dict)
-    heads: frozenset[str] = frozenset()
     idf: np.ndarray = field(default_factory=lambda: np.empty(0))
     ids: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
     labels: np.ndarray = field(default_factory=lambda: np.empty(0))
-    starts: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))  # terms x (blocks + 1): postings of a term in a block
+    starts: np.ndarray = field(default_factory=lambda: np.empty((0, 1), dtype=np.int64))  # terms x (blocks + 1): postings of a term in a block
     examples: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
-    most: np.ndarray = field(default_factory=lambda: np.empty(0))  # terms x blocks
+    most: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))  # terms x blocks
     steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))  # votes, and how often they were right
     prior: float = 0.0  # of examples with terms
     empty: float = 0.0  # of examples without
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        return {self.known[t]: n for t, n in term_frequencies(text, self.heads).items() if t in self.known}
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the known terms that weigh something, and their weights; both empty where there is none."""
+        get = self.known.get
+        found = sorted((i, n) for t, n in counts.items() if (i := get(t)) is not None)
+        at = np.array([i for i, _ in found], dtype=np.int64)
+        weight = np.array([n for _, n in found], dtype=np.float64) * self.idf[at]
+        length = math.sqrt(float(weight @ weight))
+        return (at, weight / length) if length else (at[:0], weight[:0])
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(sorted(counts), dtype=np.int64, count=len(counts))
-        weight = np.array([1 + math.log(counts[i]) for i in at.tolist()]) * self.idf[at]
-        return at, weight / math.sqrt(float(weight @ weight))
-
-    def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a cosine above 0; ties go to the lower number."""
-        at, weight = self.vector(counts)
         bound = weight @ self.most[at]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best, score = np.empty(0, dtype=np.int64), np.empty(0)
         for i in range(0, len(order), OPENED):
-            if len(best) == k and bound[order[i]] < score[-1] - 1e-12:
+            if len(best) == k and bound[order[i]] < score[-1] - 1e-9:
                 break
             blocks = np.sort(order[i : i + OPENED])
             first, last = self.starts[at[:, None], blocks], self.starts[at[:, None], blocks + 1]  # terms x blocks
-            count = (last - first).ravel()
-            place = np.repeat(first.ravel() - np.cumsum(count) + count, count) + np.arange(count.sum())
-            row = np.repeat(np.tile(np.arange(len(blocks)), len(at)), count)
-            slot = row * BLOCK + self.examples[place] % BLOCK
-            found = np.bincount(slot, self.weights[place] * np.repeat(np.repeat(weight, len(blocks)), count), len(blocks) * BLOCK)
+            count = last - first
+            each = count.ravel()
+            place = np.repeat(first.ravel() - np.cumsum(each) + each, each) + np.arange(each.sum())
+            slot = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(at)), each) + self.examples[place] % BLOCK
+            found = np.bincount(slot, self.weights[place] * np.repeat(weight, count.sum(axis=1)), len(blocks) * BLOCK)
             hit = np.flatnonzero(found)
             best, score = np.append(best, blocks[hit // BLOCK] * BLOCK + hit % BLOCK), np.append(score, np.round(found[hit], 12))
             kept = np.lexsort((best, -score))[:k]
             best, score = best[kept], score[kept]
         return best, score
 
-    def vote(self, counts: dict[int, int], without: int = -1) -> tuple[float, list[int]]:
+    def vote(self, at: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[float, list[int]]:
         """The neighbours' vote, weighted by closeness, and their numbers; one example may be left out."""
-        best, cosine = self.nearest(counts, NEIGHBOURS + (without >= 0))
+        best, cosine = self.nearest(at, weight, NEIGHBOURS + (without >= 0))
         kept = best != without
-        best, weight = best[kept][:NEIGHBOURS], cosine[kept][:NEIGHBOURS] ** 2
-        return (float(weight @ self.labels[best]) + PRIOR_WEIGHT * self.prior) / (float(weight.sum()) + PRIOR_WEIGHT), best.tolist()
+        best, close = best[kept][:NEIGHBOURS], cosine[kept][:NEIGHBOURS] ** 2
+        return (float(close @ self.labels[best]) + PRIOR_WEIGHT * self.prior) / (float(close.sum()) + PRIOR_WEIGHT), best.tolist()
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
+    def score(self, text: str | None) -> tuple[float, list[int]]:
         """The calibrated vote, and the neighbours' ids."""
-        if not counts or not len(self.ids):
+        at, weight = self.vector(term_counts(text))
+        if not len(at):
             return self.empty, []
-        vote, best = self.vote(counts)
+        vote, best = self.vote(at, weight)
         rate = float(np.interp(vote, *self.steps))
-        return min(1.0, max(0.0, 0.98 * rate + 0.02 * vote)), self.ids[best].tolist()  # the rest keeps the order within a step
+        return min(1.0, max(0.0, (1 - RAW_SHARE) * rate + RAW_SHARE * vote)), self.ids[best].tolist()
 
 
 def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rising step function of votes that is nearest to the labels, as points to interpolate between."""
-    order = np.argsort(votes, kind="stable")
+    order = np.lexsort((labels, votes))
     parts: list[list[float]] = []  # sum of labels, rows, sum of votes
     for x, y in zip(votes[order].tolist(), labels[order].tolist()):
         parts.append([y, 1, x])
@@ -134,28 +129,33 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.array([p[2] / p[1] for p in parts]), np.array([p[0] / p[1] for p in parts])
 
 
-def build_index(known: dict[str, int], idf: np.ndarray, rows: list[tuple[int, int, dict[int, int]]]) -> Index:
+def build_index(known: dict[str, int], idf: np.ndarray, rows: list[tuple[int, int, dict[str, int]]]) -> Index:
     """rows: id, label and term counts of each example."""
-    index = Index(known=known, heads=heads_of(known), idf=idf)
-    bare = [y for _, y, c in rows if not c]
-    # examples with the same leading term stand together, so that the bounds of blocks are tight
-    rows = sorted(((i, y, c) for i, y, c in rows if c), key=lambda r: (max(r[2], key=lambda t: (r[2][t] * idf[t], -t)), r[0]))
+    index = Index(known=known, idf=idf)
+    vectors = [(i, y, *index.vector(c)) for i, y, c in rows]
+    bare = [y for _, y, at, _ in vectors if not len(at)]
     index.empty = sum(bare) / (len(bare) + 1)
-    if not rows:
+    vectors = [v for v in vectors if len(v[2])]
+    if not vectors:
         return index
-    index.ids, index.labels = np.array([r[0] for r in rows]), np.array([float(r[1]) for r in rows])
-    index.prior = float((index.labels.sum() + 1) / (len(rows) + 2))
-    postings = sorted((t, n, w) for n, (_, _, c) in enumerate(rows) for t, w in zip(*(x.tolist() for x in index.vector(c))))
-    term = np.array([p[0] for p in postings])
-    index.examples, index.weights = np.array([p[1] for p in postings]), np.array([p[2] for p in postings])
-    blocks = -(-len(rows) // BLOCK)
-    place = term * blocks + index.examples // BLOCK
-    edges = np.searchsorted(place, np.arange(len(known) * blocks + 1))
+    # examples that share their heaviest frequent term, and then their heaviest one, stand together: the bounds of blocks are tight
+    held = np.bincount(np.concatenate([at for _, _, at, _ in vectors]), minlength=len(known))
+    frequent = held >= np.sort(held)[::-1][: max(1, len(known) // 50)][-1]
+    lead = lambda at, w: (int(at[np.argmax(np.where(frequent[at], w, -1))]), int(at[np.argmax(w)]))
+    vectors.sort(key=lambda v: (*lead(v[2], v[3]), v[0]))
+    index.ids, index.labels = np.array([v[0] for v in vectors]), np.array([float(v[1]) for v in vectors])
+    index.prior = float((index.labels.sum() + 1) / (len(vectors) + 2))
+    term = np.concatenate([v[2] for v in vectors])
+    example = np.repeat(np.arange(len(vectors)), [len(v[2]) for v in vectors])
+    order = np.argsort(term, kind="stable")
+    term, index.examples, index.weights = term[order], example[order], np.concatenate([v[3] for v in vectors])[order]
+    blocks = -(-len(vectors) // BLOCK)
+    edges = np.searchsorted(term * blocks + index.examples // BLOCK, np.arange(len(known) * blocks + 1))
     index.starts = np.stack([edges[np.arange(blocks + 1) + t * blocks] for t in range(len(known))])
     index.most = np.zeros((len(known), blocks))
     np.maximum.at(index.most, (term, index.examples // BLOCK), index.weights)
-    tried = range(0, len(rows), max(1, -(-len(rows) // CALIBRATION)))
-    index.steps = isotonic(np.array([index.vote(rows[n][2], n)[0] for n in tried]), index.labels[list(tried)])
+    tried = range(0, len(vectors), max(1, -(-len(vectors) // CALIBRATION)))
+    index.steps = isotonic(np.array([index.vote(*vectors[n][2:], n)[0] for n in tried]), index.labels[list(tried)])
     return index
 
 
@@ -166,78 +166,60 @@ def sample(labels: DataFrame) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Index:
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    spark = docs.sparkSession
-    picked = {r.doc_id: r.toxic for r in sample(labels).collect()}  # EXAMPLES rows at most
-    sizes = Counter(picked.values())
-    chosen = F.broadcast(spark.createDataFrame(list(picked.items()), "doc_id long, toxic int"))
-    examples = docs.join(chosen, "doc_id")
-
-    def listed(part: pa.RecordBatch) -> pa.RecordBatch:
-        found: Counter[str] = Counter()
-        for text in part.column("text").to_pylist():
-            found.update(term_frequencies(text).keys())
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
-
-    toxic = map_slices(examples.filter("toxic = 1").select("text"), listed, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    seen = {r.term: r.n for r in toxic.filter(F.col("n") >= max(SUPPORT, math.ceil(SHARE * sizes[1]))).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
-    candidates = spark.sparkContext.broadcast((frozenset(seen), heads_of(seen)))
-    marked = docs.join(chosen, "doc_id", "left").select("text", (F.col("toxic") == 0).alias("clean"))
+def example_counts(docs: DataFrame, labels: DataFrame) -> list[tuple[int, int, dict[str, int]]]:
+    """Id, label and term counts of the sampled examples (EXAMPLES rows at most)."""
+    picked = [(r.doc_id, r.toxic) for r in sample(labels).collect()]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int"))
+    examples = docs.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def counted(part: pa.RecordBatch) -> pa.RecordBatch:
-        (known, heads), every, clean = candidates.value, Counter(), Counter()
-        for text, is_clean in zip(part.column("text").to_pylist(), part.column("clean").to_pylist()):
-            hits = known.intersection(term_frequencies(text, heads))
-            every.update(hits)
-            if is_clean:
-                clean.update(hits)
-        return pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([clean[t] for t in every], pa.int64())], ["term", "n", "n_clean"])
-
-    counts = map_slices(marked, counted, "term string, n long, n_clean long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_clean").alias("n_clean"))
-    total = docs.count()
-    rows = []
-    for r in counts.collect():  # CANDIDATES rows at most
-        lift = (seen[r.term] / max(1, sizes[1])) / ((r.n_clean + 0.5) / (sizes[0] + 1))
-        if lift >= LIFT:
-            rows.append((lift * math.sqrt(seen[r.term]), r.term, r.n))
-    rows = sorted(rows, key=lambda x: (-x[0], x[1]))[:TERMS]
-    known = {t: i for i, (_, t, _) in enumerate(rows)}
-    idf = np.array([math.log((total + 1) / (n + 1)) + 1 for _, _, n in rows])
-
-    bare = Index(known=known, heads=heads_of(known))
-
-    def vectors(part: pa.RecordBatch) -> pa.RecordBatch:
-        found = [bare.counts(t) for t in part.column("text").to_pylist()]
-        arrays = [pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+        found = [term_counts(t) for t in part.column("text").to_pylist()]
+        arrays = [pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *arrays], ["doc_id", "toxic", "terms", "counts"])
 
-    learned = map_slices(examples.select("doc_id", "toxic", "text"), vectors, "doc_id long, toxic int, terms array<int>, counts array<int>")
-    found = learned.dropDuplicates(["doc_id"]).collect()  # EXAMPLES rows at most
-    return build_index(known, idf, [(r.doc_id, r.toxic, dict(zip(r.terms, r.counts))) for r in found])
+    rows = map_slices(examples, counted, "doc_id long, toxic int, terms array<string>, counts array<long>").collect()
+    return sorted(((r.doc_id, r.toxic, dict(zip(r.terms, r.counts))) for r in rows), key=lambda r: r[0])
 
 
-def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted and neighbours (the evidence) for every row of docs, and the columns named by keep."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out().alias("held_out"), *[c for c in keep if c not in ("doc_id", "text")])
+def document_frequencies(docs: DataFrame, known: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many of all documents each known term is, and the number of documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, cache = shared.value, {}
+        known, rows = shared.value, 0
+        sums = np.zeros(len(known), dtype=np.int64)
         for part in slices(batches):
-            scores, near = [], []
-            for text in part.column("text").to_pylist():
-                counts = index.counts(text)
-                key = tuple(sorted(counts.items()))
-                if key not in cache:
-                    if len(cache) > 50_000:
-                        cache.clear()
-                    cache[key] = index.score(counts)
-                scores.append(cache[key][0])
-                near.append(cache[key][1])
-            rest = [part.column(c) for c in part.schema.names]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64()))], [*part.schema.names, "score", "neighbours"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema) + ", score double, neighbours array<bigint>"
-    out = picked.mapInArrow(work, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
-    return out.select("doc_id", "held_out", "score", "predicted", "neighbours", *keep)
+            rows += part.num_rows
+            found = [known[t] for text in part.column("text").to_pylist() for t in known.keys() & set(_TERM.findall((text or "").lower()))]
+            sums += np.bincount(np.array(found, dtype=np.int64), minlength=len(known))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(sums[at], rows))], ["term", "n"])
+
+    out = np.zeros(len(known) + 1, dtype=np.int64)
+    for r in docs.select("text").mapInArrow(work, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row a known term
+        out[r.term] = r.n
+    return out[:-1], int(out[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Index:
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = example_counts(docs, labels)
+    known = {t: i for i, t in enumerate(sorted({t for _, _, c in rows for t in c}))}
+    if not known:
+        return build_index(known, np.empty(0), rows)
+    n, total = document_frequencies(docs, known)
+    return build_index(known, np.maximum(0.0, np.log((total + 1) / (n + 0.5))), rows)
+
+
+def score(docs: DataFrame, index: Index, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted and neighbours (the evidence) for every row of docs; with carry, also text and
+    ``kept``, a struct of all other columns of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def work(part: pa.RecordBatch) -> list[pa.Array]:
+        found = list(map(shared.value.score, part.column("text").to_pylist()))
+        return [pa.array([s for s, _ in found], pa.float64()), pa.array([n for _, n in found], pa.list_(pa.int64()))]
+
+    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out().alias("held_out"), *[carried(docs)] * carry)
+    out = add_by_slices(picked, work, "score double, neighbours array<bigint>").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return out.select("doc_id", "held_out", "score", "predicted", "neighbours", *["text", "kept"] * carry)
