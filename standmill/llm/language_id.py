@@ -6,14 +6,18 @@ than one letter are hashed to a fixed number of places. A bounded, balanced samp
 (the Nystroem map is the kernel to the landmarks times the inverse root of their own kernel matrix) and the training
 set of one-versus-rest kernel ridge regressions. A batch of texts is scored by three matrix products.
 
+Every language is learned: the sample has at most SAMPLE rows in all, shared evenly, but LEAST_TEXTS of each language
+where it has them, and the landmarks grow with the number of languages.
+
 Defined results: a null text, or one without letters, is ``und`` with score 0; a null id or language is not learned
-from; with no labelled row at all every text is ``und``; every row gives a row, with repeated ids too; columns other
-than doc_id, text and lang are ignored.
+from; of several texts of one id and language the least in order is learned from; with no labelled row at all every text
+is ``und``; equally likely languages give the first in order; very long texts count whole; every row gives a row, with
+repeated ids too; an empty table gives an empty result; columns other than doc_id, text and lang are ignored, whatever
+their names, unless they are asked to be carried on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from standmill.llm.common import held_out, slices
+from standmill.llm.common import add_by_slices, carried, held_out, map_slices
 
 #: Places for n-grams.
 PLACES = 8192
-#: Bounds of the sample: labelled texts per language, languages (the most frequent), and landmarks in all.
-TEXTS_PER_LANGUAGE, LANGUAGES, LANDMARKS = 256, 64, 192
+#: Bounds of the sample: labelled texts per language, in all, and of each language where SAMPLE does not give more.
+TEXTS_PER_LANGUAGE, SAMPLE, LEAST_TEXTS = 256, 16_384, 8
+#: Landmarks, and of each language where these do not give more.
+LANDMARKS, LEAST_LANDMARKS = 192, 3
 RIDGE, SHARPNESS = 1e-2, 6.0
 UNDETERMINED = "und"
 
@@ -87,33 +93,36 @@ class Model:
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """The bounded sample: of each language the texts whose id hashes lowest, as packed presence bits."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    """The bounded sample: of each language the ids that hash lowest, with a text each as packed presence bits."""
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(
+        F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")
+    )
+    languages = usable.select("lang").distinct().count()
+    each = min(TEXTS_PER_LANGUAGE, max(LEAST_TEXTS, SAMPLE // max(1, languages)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= TEXTS_PER_LANGUAGE)
-    picked = picked.join(F.broadcast(frequent), "lang", "left_semi").select("doc_id").distinct()  # at most TEXTS_PER_LANGUAGE * LANGUAGES ids
+    picked = usable.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each).select("doc_id", "lang")
+    one = usable.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            bits = [presence(t) for t in part.column("text").to_pylist()]
-            packed = pa.array([None if b is None else np.packbits(b).tobytes() for b in bits], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), packed], ["doc_id", "lang", "bits"])
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        bits = [presence(t) for t in part.column("text").to_pylist()]
+        packed = pa.array([None if b is None else np.packbits(b).tobytes() for b in bits], pa.binary())
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), packed], ["doc_id", "lang", "bits"])
 
-    return usable.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", "lang", "text").mapInArrow(work, "doc_id long, lang string, bits binary").filter("bits IS NOT NULL")
+    return map_slices(one.select("doc_id", "lang", "text"), work, "doc_id long, lang string, bits binary").filter("bits IS NOT NULL")
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """Learns from the sample (at most TEXTS_PER_LANGUAGE x LANGUAGES rows of 1 KB); None without any."""
-    rows = sorted({(r.lang, r.doc_id, bytes(r.bits)) for r in training_rows(docs).collect()})
+    """Learns from the sample (rows of 1 KB, one an id and language); None without any."""
+    rows = sorted((r.lang, r.doc_id, bytes(r.bits)) for r in training_rows(docs).collect())
     if not rows:
         return None
     languages = sorted({r[0] for r in rows})
     found = np.unpackbits(np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8).reshape(len(rows), -1), axis=1)[:, :PLACES].astype(np.float64)
     found /= np.sqrt(found.sum(axis=1, keepdims=True))
-    label = np.array([languages.index(r[0]) for r in rows])
-    turn = np.array([np.sum(label[:i] == label[i]) for i in range(len(label))])
-    picked = np.lexsort((label, turn))[:LANDMARKS]  # languages in turn
+    place = {name: k for k, name in enumerate(languages)}
+    label = np.array([place[r[0]] for r in rows])
+    turn = np.arange(len(label)) - np.searchsorted(label, label)  # rows are in order of languages
+    picked = np.lexsort((label, turn))[: max(LANDMARKS, LEAST_LANDMARKS * len(languages))]  # languages in turn
     marks = found[picked]
     values, vectors = np.linalg.eigh(marks @ marks.T)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
@@ -125,30 +134,26 @@ def fit(docs: DataFrame) -> Model | None:
     return Model(languages, marks.T.astype(np.float32).copy(), (root @ solved).astype(np.float32))
 
 
-def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for every row of docs, and the columns named by keep."""
+def predict(docs: DataFrame, model: Model | None, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred and score for every row of docs; with carry, also text and ``kept``, a struct of all
+    other columns of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out().alias("held_out"), *[c for c in keep if c not in ("doc_id", "text")])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for part in slices(batches):
-            n = part.num_rows
-            names, scores = [UNDETERMINED] * n, [0.0] * n
-            if model is not None:
-                texts = part.column("text").to_pylist()
-                for start in range(0, n, 256):
-                    found = [(i, b) for i in range(start, min(n, start + 256)) if (b := presence(texts[i])) is not None]
-                    if found:
-                        got = model.scores(np.array([b for _, b in found]))
-                        for (i, _), k, s in zip(found, got.argmax(axis=1).tolist(), got.max(axis=1).tolist()):
-                            names[i], scores[i] = model.languages[k], min(1.0, float(s))
-            rest = [part.column(c) for c in part.schema.names]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(names), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "score"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema) + ", lang_pred string, score double"
-    out = picked.mapInArrow(work, schema)
-    return out.select("doc_id", "held_out", "lang_pred", "score", *keep)
+
+    def work(part: pa.RecordBatch) -> list[pa.Array]:
+        model, n = shared.value, part.num_rows
+        names, scores = [UNDETERMINED] * n, [0.0] * n
+        texts = part.column("text").to_pylist() if model is not None else []
+        for start in range(0, len(texts), 256):
+            found = [(i, b) for i in range(start, min(n, start + 256)) if (b := presence(texts[i])) is not None]
+            if found:
+                got = model.scores(np.array([b for _, b in found]))
+                for (i, _), k, s in zip(found, got.argmax(axis=1).tolist(), got.max(axis=1).tolist()):
+                    names[i], scores[i] = model.languages[k], min(1.0, float(s))
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+
+    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out().alias("held_out"), *[carried(docs)] * carry)
+    out = add_by_slices(picked, work, "lang_pred string, score double")
+    return out.select("doc_id", "held_out", "lang_pred", "score", *["text", "kept"] * carry)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 from standmill.llm.common import add_by_slices, carried, held_out, map_slices, slices
 
 #: Labelled rows that are learned from, at most.
-EXAMPLES = 4_096
+EXAMPLES = 3_000
 #: Characters of a word that make its term.
 STEM = 4
 #: Examples in a block, neighbours, and weight of the prior.
 BLOCK, NEIGHBOURS, PRIOR_WEIGHT = 64, 15, 0.1
+#: Terms (those of most examples, and of a share of them at least) whose postings are kept as whole rows of a block.
+ROWS, ROW_SHARE = 512, 1 / 32
 #: Blocks that are opened together, and examples (evenly chosen) that votes are calibrated with.
 OPENED, CALIBRATION = 8, 2_000
 #: Share of the uncalibrated vote in a score: it keeps the order within a step.
@@ -64,6 +66,8 @@ class Index:
     starts: np.ndarray = field(default_factory=lambda: np.empty((0, 1), dtype=np.int64))  # terms x (blocks + 1): postings of a term in a block
     examples: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
+    row: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))  # of a term in a block's rows, or -1: its postings are in a list
+    rows: np.ndarray = field(default_factory=lambda: np.empty((0, 0, BLOCK)))  # blocks x rows x BLOCK
     most: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))  # terms x blocks
     steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))  # votes, and how often they were right
     prior: float = 0.0  # of examples with terms
@@ -84,6 +88,8 @@ class Index:
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best, score = np.empty(0, dtype=np.int64), np.empty(0)
+        row, listed = self.row[at], self.row[at] < 0
+        row, in_rows, at, weight = row[~listed], weight[~listed], at[listed], weight[listed]
         for i in range(0, len(order), OPENED):
             if len(best) == k and bound[order[i]] < score[-1] - 1e-9:
                 break
@@ -94,6 +100,7 @@ class Index:
             place = np.repeat(first.ravel() - np.cumsum(each) + each, each) + np.arange(each.sum())
             slot = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(at)), each) + self.examples[place] % BLOCK
             found = np.bincount(slot, self.weights[place] * np.repeat(weight, count.sum(axis=1)), len(blocks) * BLOCK)
+            found = found + (in_rows @ self.rows[blocks[:, None], row]).ravel()
             hit = np.flatnonzero(found)
             best, score = np.append(best, blocks[hit // BLOCK] * BLOCK + hit % BLOCK), np.append(score, np.round(found[hit], 12))
             kept = np.lexsort((best, -score))[:k]
@@ -151,6 +158,13 @@ def build_index(known: dict[str, int], idf: np.ndarray, rows: list[tuple[int, in
     term, index.examples, index.weights = term[order], example[order], np.concatenate([v[3] for v in vectors])[order]
     blocks = -(-len(vectors) // BLOCK)
     edges = np.searchsorted(term * blocks + index.examples // BLOCK, np.arange(len(known) * blocks + 1))
+    by_count = np.argsort(-held, kind="stable")[:ROWS]
+    by_count = by_count[held[by_count] >= max(1, ROW_SHARE * len(vectors))]
+    index.row = np.full(len(known), -1)
+    index.row[by_count] = np.arange(len(by_count))
+    index.rows = np.zeros((blocks, len(by_count), BLOCK))
+    kept = index.row[term] >= 0
+    index.rows[index.examples[kept] // BLOCK, index.row[term[kept]], index.examples[kept] % BLOCK] = index.weights[kept]
     index.starts = np.stack([edges[np.arange(blocks + 1) + t * blocks] for t in range(len(known))])
     index.most = np.zeros((len(known), blocks))
     np.maximum.at(index.most, (term, index.examples // BLOCK), index.weights)

@@ -51,11 +51,69 @@ def texts_of(docs):
 
 
 def test_languages_are_learned(docs):
-    found = language_id.predict(docs, language_id.fit(docs), keep=("lang",)).filter("held_out AND lang IS NOT NULL").collect()
-    assert found and sum(r.lang == r.lang_pred for r in found) >= 0.95 * len(found)
+    found = language_id.predict(docs, language_id.fit(docs), carry=True).filter("held_out AND kept.lang IS NOT NULL").collect()
+    assert found and sum(r.kept.lang == r.lang_pred for r in found) >= 0.95 * len(found)
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_every_language_is_learned_and_the_sample_is_bounded(spark, monkeypatch):
+    r = random.Random(5)
+    alphabets = ["".join(r.sample("abcdefghijklmnopqrstuvwxyz", 5)) for _ in range(90)]
+    text = lambda a: " ".join("".join(r.choice(a) for _ in range(r.randint(2, 6))) for _ in range(40))
+    rows = [(20 * k + n, text(a), f"l{k:02d}") for k, a in enumerate(alphabets) for n in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.predict(docs, language_id.fit(docs), carry=True).filter("held_out").collect()
+    assert {r.lang_pred for r in found} == {f"l{k:02d}" for k in range(90)}
+    assert np.mean([r.kept.lang == r.lang_pred for r in found]) >= 0.9
+    hot = spark.createDataFrame([(1, f"some text {k}", "en") for k in range(3000)] + [(3, "ein text", "de")], docs.schema)
+    assert sorted((r.doc_id, r.lang) for r in language_id.training_rows(hot).collect()) == [(1, "en"), (3, "de")]
+    monkeypatch.setattr(language_id, "SAMPLE", 90)
+    assert language_id.training_rows(docs).count() == 90 * language_id.LEAST_TEXTS
+
+
+def plain_kernel_model(rows):
+    """The model restated with sets and dense kernels: languages, and a function of a text that gives their scores."""
+
+    def grams(text):
+        return set(np.flatnonzero(language_id.presence(text)).tolist())
+
+    def kernel(a, b):
+        return len(a & b) / (len(a) * len(b)) ** 0.5
+
+    rows = sorted((lang, i, t) for i, t, lang in rows)
+    names = sorted({r[0] for r in rows})
+    sets, label = [grams(r[2]) for r in rows], [names.index(r[0]) for r in rows]
+    turn = [sum(x == label[k] for x in label[:k]) for k in range(len(label))]
+    marks = [sets[k] for k in sorted(range(len(rows)), key=lambda k: (turn[k], label[k]))[: max(language_id.LANDMARKS, 3 * len(names))]]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+    features = np.array([[kernel(s, m) for m in marks] for s in sets]) @ root
+    weight = np.array([1 / label.count(x) / len(names) for x in label])[:, None]
+    target = np.array([[1.0 if x == k else -1.0 for k in range(len(names))] for x in label])
+    solved = np.linalg.solve((features * weight).T @ features + language_id.RIDGE / len(marks) * np.eye(len(marks)), (features * weight).T @ target)
+
+    def scores(text):
+        raw = np.array([kernel(grams(text), m) for m in marks]) @ root @ solved
+        e = np.exp(language_id.SHARPNESS * (raw - raw.max()))
+        return e / e.sum()
+
+    return names, scores
+
+
+def test_scores_are_those_of_the_plain_kernel(docs):
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    learned = [(r.doc_id, r.text, r.lang) for r in docs.collect() if r.lang and r.text and not held(r.doc_id) and any(c.isalpha() for c in r.text)]
+    assert max(collections.Counter(x[2] for x in learned).values()) <= language_id.TEXTS_PER_LANGUAGE
+    names, scores = plain_kernel_model(learned)
+    texts = dict(texts_of(docs))
+    for r in language_id.identify(docs).collect()[:60]:
+        if any(c.isalpha() for c in texts[r.doc_id]):
+            wanted = scores(texts[r.doc_id])
+            assert r.lang_pred == names[int(wanted.argmax())] and r.score == pytest.approx(wanted.max(), abs=2e-3)
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
 def test_language_of_odd_rows(odd, none):
     rows = language_id.identify(odd).collect()
     assert len(rows) == len(ODD)
@@ -204,22 +262,61 @@ def test_ablations(docs):
 # toxicity
 
 
-def test_nearest_examples_are_exact():
-    r = random.Random(3)
-    known = {f"w{k}": k for k in range(60)}
-    rows = [(k, int(r.random() < 0.4), {r.randrange(60): r.randint(1, 3) for _ in range(r.randint(0, 5))}) for k in range(900)]
-    index = toxicity.build_index(known, np.array([1 + r.random() for _ in known]), rows)
-    dense, counts = np.zeros((len(index.ids), 60)), {i: c for i, _, c in rows}
-    for n, i in enumerate(index.ids.tolist()):
-        at, w = index.vector(counts[i])
-        dense[n, at] = w
-    for _, _, c in rows[:200]:
-        if c:
-            at, w = index.vector(c)
-            q = np.zeros(60)
-            q[at] = w
-            wanted = np.sort(np.round(dense @ q, 12))[::-1]
-            assert index.nearest(c)[1] == pytest.approx(wanted[wanted > 0][: toxicity.NEIGHBOURS].tolist(), abs=1e-9)
+def plain_toxicity(docs, labels):
+    """Scores and neighbours restated: dense vectors, all cosines, a step function by pooling; texts have one row an id."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    terms = lambda t: collections.Counter(w[: toxicity.STEM] for w in re.findall(r"\w+", t.lower()))
+    counts = {i: terms(t) for i, t in docs}
+    examples = {i: y for i, y in labels if i in counts and not held(i)}
+    known = sorted({t for i in examples for t in counts[i]})
+    n = collections.Counter(t for c in counts.values() for t in c)
+    idf = np.array([max(0.0, np.log((len(docs) + 1) / (n[t] + 0.5))) for t in known])
+
+    def vector(c):
+        v = np.array([c[t] for t in known]) * idf
+        return v / np.linalg.norm(v) if v.any() else v
+
+    ids = [i for i in sorted(examples) if vector(counts[i]).any()]
+    matrix, label = np.array([vector(counts[i]) for i in ids]), np.array([float(examples[i]) for i in ids])
+    prior = (label.sum() + 1) / (len(ids) + 2)
+
+    def vote(v, without=None):
+        near = sorted((-round(c, 9), k) for k, c in enumerate(matrix @ v) if c > 0 and k != without)[: toxicity.NEIGHBOURS]
+        w = np.array([c * c for c, _ in near])
+        y = label[[k for _, k in near]] if near else np.empty(0)
+        return (w @ y + toxicity.PRIOR_WEIGHT * prior) / (w.sum() + toxicity.PRIOR_WEIGHT), [-c for c, _ in near], [ids[k] for _, k in near]
+
+    pools = [[x, y, 1] for x, y in sorted((vote(matrix[k], k)[0], label[k]) for k in range(len(ids)))]
+    while (k := next((k for k in range(len(pools) - 1) if pools[k][1] / pools[k][2] >= pools[k + 1][1] / pools[k + 1][2]), None)) is not None:
+        pools[k : k + 2] = [[a + b for a, b in zip(pools[k], pools[k + 1])]]
+    x, y = [p[0] / p[2] for p in pools], [p[1] / p[2] for p in pools]
+    out = {}
+    for i, c in counts.items():
+        v = vector(c)
+        raw, cosines, near = vote(v)
+        out[i] = (0.98 * np.interp(raw, x, y) + 0.02 * raw, cosines, near) if v.any() else (0.0, [], [])
+    return out
+
+
+def test_scores_are_those_of_all_cosines(spark):
+    base = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    r = random.Random(7)
+    words = ["idiot", "clown", "fine", "Good", "trees", "water", "ünder", "moronic"] + [f"w{k}xyz" for k in range(50)]
+    made = [(10**6 + k, " ".join(r.choice(words) for _ in range(r.randint(1, 30)))) for k in range(500)]
+    labels += [(i, int("idiot" in t) if r.random() < 0.9 else 1) for i, t in made]
+    docs = spark.createDataFrame(base + made, "doc_id long, text string")
+    index = toxicity.fit(docs.repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    wanted = plain_toxicity(base + made, labels)
+    found = toxicity.score(docs, index).collect()
+    assert len(found) == len(wanted) and np.mean([bool(r.neighbours) for r in found]) > 0.95
+    for row in found:
+        score, cosines, near = wanted[row.doc_id]
+        assert len(row.neighbours) == len(near)
+        tied = {c for c in cosines if round(cosines[-1] - c, 8) == 0} if cosines else set()  # at the last rank other copies may stand in
+        assert {i for i, c in zip(near, cosines) if c not in tied} <= set(row.neighbours)
+        if len({round(c, 8) for c in cosines}) == len(cosines):
+            assert row.score == pytest.approx(score, abs=1e-6)
 
 
 def test_toxic_documents_are_found(spark):
