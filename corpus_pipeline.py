@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standmill.llm import language_id, ngram_join, packing, personal_data, toxicity
-from standmill.llm.common import table, written
+from standmill.llm.common import restored, table, written
 
 #: A language that is less likely than this is rejected, like an undetermined one.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -19,15 +19,15 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters or without a likely language."""
-    scored = language_id.predict(docs, language_id.fit(docs), keep=tuple(c for c in docs.columns if c != "doc_id"))
+    scored = language_id.predict(docs, language_id.fit(docs), carry=True)
     known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return scored.filter(known).select(*docs.columns)
+    return restored(scored.filter(known), docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are predicted to be toxic."""
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, index, keep=tuple(c for c in docs.columns if c != "doc_id")).filter("predicted = 0").select(*docs.columns)
+    return restored(toxicity.score(docs, index, carry=True).filter("predicted = 0"), docs)
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
