@@ -97,10 +97,13 @@ def training_rows(docs: DataFrame) -> DataFrame:
     usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(
         F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")
     )
-    languages = usable.select("lang").distinct().count()
-    each = min(TEXTS_PER_LANGUAGE, max(LEAST_TEXTS, SAMPLE // max(1, languages)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = usable.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each).select("doc_id", "lang")
+    ids = usable.select("doc_id", "lang").distinct().withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("size"))
+    each = min(TEXTS_PER_LANGUAGE, max(LEAST_TEXTS, SAMPLE // max(1, sizes.count())))
+    # the lowest are almost surely below this share of the range, so that few rows of a language meet in one task
+    low = ids.join(F.broadcast(sizes), "lang").filter(F.col("place") <= F.lit(2.0**63) * 4 * each / F.col("size"))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    picked = low.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each).select("doc_id", "lang")
     one = usable.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:

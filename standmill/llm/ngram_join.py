@@ -1,10 +1,11 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap by a stated share, and the groups they form.
 
 1. Every text becomes a set of hashed shingles. Equal sets are joined first, by a hash of the whole set; from here on
-   one document stands for each set.
+   sets, which are numbered, stand for their documents.
 2. Half of the hash range is enough to find partners: of n shingles a linked set lacks at most n - ceil(0.75 n), so it
    shares some in that half (small sets, and those of which the half holds too little, use the whole range). Hashes are
    dealt into buckets, whose number grows with the corpus, and each bucket tells which hashes occur in one set only.
+   Hashes that very many sets hold are dealt by set into several parts of a bucket.
 3. Hashes are ordered: those of one set only, then by how many sets hold them (in powers of two), then by value. Linked
    sets share one of their first n - ceil(0.75 n) + 1 hashes. Most sets hold enough hashes of their own and have no
    partner; the others enter inverted lists with their first hashes.
@@ -15,19 +16,20 @@
    Then the documents of lists that still hold different groups are searched against each other in bounded blocks, so
    that no link between groups is lost and no pairs are formed.
 
-No list, bucket or group is collected in one place without bound: lists are joined by shuffles, and the members of a
-query are dealt over many tasks.
+No list, bucket or group is collected in one place without bound: lists are joined by shuffles, the members of a query
+are dealt over many tasks, and the edges of a hub are joined by a broadcast of the few hubs.
 
 Defined results: words are maximal runs of other than ASCII white space, with A-Z lowered; a text of fewer words than a
 shingle has one shingle, all of them; a null text or one without words has none and is linked with nothing; repeated
-ids give a row each and count as one document; a null id is never a group's id and stays alone; an empty table gives an
-empty result; columns other than doc_id and text are ignored.
+ids give a row each and count as one document, so that links of all its texts join one group; a null id is never a
+group's id and stays alone; very long texts count whole; an overlap of exactly the share links; an empty table gives an
+empty result; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from standmill.llm.common import slices, written
+from standmill.llm.common import scratch, slices, written
 
 #: Words of a shingle; the overlap that links is NUMERATOR / DENOMINATOR of the union at least.
 WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4
@@ -45,8 +47,12 @@ SMALL = 96
 BUCKET_HASHES, MEMBERS = 1 << 20, 2048
 #: Documents that each list asks with in a first round, and such rounds; hashes in a block of a family, about.
 QUERIES, ROUNDS, BLOCK_HASHES = 3, 1, 1 << 19
-#: Sets in a key group, and edges in a file between the rounds of components(), about.
-GROUP_SETS, FILE_EDGES = 16_384, 1 << 20
+#: Sets, and hashes, in a key group, and edges in a file between the rounds of components(), about.
+GROUP_SETS, GROUP_HASHES, FILE_EDGES = 16_384, 1 << 22, 1 << 20
+#: A hash is looked at as a frequent one if so many sets of a slice hold it, and this share of them; it is if HOT do.
+FREQUENT, FREQUENT_SHARE, HOT = 4, 1 / 256, 1 << 20
+#: A vertex is a hub from so many edges on, and from this share of all edges on (so there are few of them).
+HUB_EDGES, HUB_SHARE = 1024, 1 / 4096
 #: Text bytes that are hashed at a time.
 CHUNK_BYTES = 1 << 20
 ENTRY = ("hash", "id", "n", "whole", "most", "most_low", "own")
@@ -143,7 +149,15 @@ def whole_range(hashes: np.ndarray) -> bool:
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), n_low (of it in the lower half of the hash range), whole, and k1, k2, the set's key."""
+    """doc_id, t (a hash of the text), n (size of the set), n_low (of it in the lower half of the hash range), whole, k1
+    and k2, the set's key, and on one row of a slice ``common``: the hashes that many sets of the slice hold."""
+    names = ["doc_id", "t", "n", "n_low", "whole", "k1", "k2", "common"]
+
+    def common(keys: list[tuple[int, int]], sets: list[np.ndarray]) -> list[dict]:
+        each = list(dict(zip(keys, sets)).values())
+        hashes, count = np.unique(np.concatenate(each), return_counts=True)
+        held = np.flatnonzero(count >= max(FREQUENT, FREQUENT_SHARE * len(each)))
+        return [{"hash": h, "c": c} for h, c in zip(hashes[held].astype(np.int64).tolist(), count[held].tolist())]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches):
@@ -151,13 +165,39 @@ def documents(docs: DataFrame) -> DataFrame:
             low = [int(np.searchsorted(s, np.uint64(1 << 63))) for s in sets]
             arrays = [pa.array([len(s) for s in sets], pa.int64()), pa.array(low, pa.int64()), pa.array([whole_range(s) for s in sets])]
             arrays += [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], ["doc_id", "n", "n_low", "whole", "k1", "k2"])
+            arrays.append(pa.array([common(keys, sets), *[None] * (len(sets) - 1)], pa.list_(pa.struct([("hash", pa.int64()), ("c", pa.int64())]))))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), *arrays], names)
+
+    schema = "doc_id long, t long, n long, n_low long, whole boolean, k1 long, k2 long, common array<struct<hash: long, c: long>>"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(work, schema)
+
+
+def distinct_sets(found: DataFrame) -> DataFrame:
+    """The sets (k1, k2, n, n_low, whole) with a number, id, that is unique once this is written, and the least (doc_id, t)
+    of the documents that have them."""
+    own = [F.first(c).alias(c) for c in ("n", "n_low", "whole")]
+    sets = found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t")).alias("least"), *own)
+    return sets.select("k1", "k2", "n", "n_low", "whole", "least.*").withColumn("id", F.monotonically_increasing_id())
 
-    return docs.mapInArrow(work, "doc_id long, n long, n_low long, whole boolean, k1 long, k2 long")
 
+def hot_hashes(found: DataFrame) -> dict[int, int]:
+    """Hashes that HOT sets hold, and how many do (of those that are seen). As each is in a share of the sets of slices,
+    their number is a bounded multiple of the mean size of a set."""
+    counts = found.filter("common IS NOT NULL").select(F.explode("common").alias("x")).groupBy(F.col("x.hash").alias("hash")).agg(F.sum("x.c").alias("c"))
+    return {r.hash & (2**64 - 1): r.c for r in counts.filter(F.col("c") >= HOT).collect()}
 
-def _buckets(docs: DataFrame, bits: int) -> DataFrame:
-    """Rows (bucket, keys, counts, hashes) of the sets that a task sees, each once: 32 bits of every hash that counts."""
+
+def _buckets(docs: DataFrame, bits: int, hot: dict[int, int]) -> DataFrame:
+    """Rows (bucket, part, keys, counts, hashes) of the sets that a task sees, each once: 32 bits of every hash that counts.
+    Part 0 holds all but hot hashes; these are dealt by their sets into further parts, about HOT in one."""
+    frequent = np.array(sorted(hot), dtype=np.uint64)
+    deals = np.array([-(-hot[h] // HOT) for h in sorted(hot)], dtype=np.int64)
+
+    def parts(flat: np.ndarray, key: np.ndarray) -> np.ndarray:
+        if not len(frequent):
+            return np.zeros(len(flat), dtype=np.int64)
+        at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
+        return np.where(frequent[at] == flat, 1 + np.mod(key, deals[at]), 0)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -171,28 +211,33 @@ def _buckets(docs: DataFrame, bits: int) -> DataFrame:
                     used.append(s if whole_range(s) else s[: int(np.searchsorted(s, np.uint64(1 << 63)))])
             if not keys:
                 continue
+            pairs = np.array(keys, dtype="<i8")
             flat = np.concatenate(used)
             owner = np.repeat(np.arange(len(used)), list(map(len, used)))
-            order = np.argsort(flat >> np.uint64(64 - bits), kind="stable") if bits else np.arange(len(flat))
-            flat, owner = flat[order], owner[order]
+            part = parts(flat, pairs[owner, 0])
             bucket = (flat >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(flat), dtype=np.int64)
+            order = np.lexsort((part, bucket)) if len(frequent) else np.argsort(bucket, kind="stable")
+            flat, owner, part, bucket = flat[order], owner[order], part[order], bucket[order]
             short = ((flat << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
-            pairs = np.array(keys, dtype="<i8")
             rows = []
-            edges = np.flatnonzero(np.diff(bucket)) + 1
+            edges = np.flatnonzero(np.diff(bucket) | np.diff(part)) + 1
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(flat)]):
                 if b > a:
                     own, counts = np.unique(owner[a:b], return_counts=True)
-                    rows.append((int(bucket[a]), pairs[own].tobytes(), counts.astype("<u4").tobytes(), short[a:b].tobytes()))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "keys", "counts", "hashes"])
+                    rows.append((int(bucket[a]), int(part[a]), pairs[own].tobytes(), counts.astype("<u4").tobytes(), short[a:b].tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "part", "keys", "counts", "hashes"])
 
-    return docs.select("text").mapInArrow(work, "bucket long, keys binary, counts binary, hashes binary")
+    return docs.select("text").mapInArrow(work, "bucket long, part long, keys binary, counts binary, hashes binary")
 
 
-def _shared(buckets: DataFrame, groups: int) -> DataFrame:
+def _shared(buckets: DataFrame, groups: int, bits: int, hot: dict[int, int]) -> DataFrame:
     """Rows (grp, bucket, keys, counts, hashes, levels): of the sets of a key group and a bucket, the hashes that other sets
     hold too, and of each the logarithm of how many do."""
+    code = lambda h: (h >> (64 - bits) if bits else 0, ((h << bits) & (2**64 - 1)) >> 32)  # noqa: E731  bucket and 32 bits
+    counts_of: dict[int, dict[int, int]] = {}
+    for h, c in hot.items():
+        counts_of.setdefault(code(h)[0], {})[code(h)[1]] = c
 
     def work(table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(x, dtype="<i8").reshape(-1, 2) for x in table.column("keys").to_pylist()])
@@ -208,6 +253,9 @@ def _shared(buckets: DataFrame, groups: int) -> DataFrame:
         _, run, sizes = np.unique(hashes[order], return_inverse=True, return_counts=True)
         size = np.empty(len(hashes), dtype=np.int64)
         size[order] = sizes[run]
+        if table.column("part")[0].as_py():  # hot hashes: a part of their sets
+            known = counts_of[table.column("bucket")[0].as_py()]
+            size = np.array([known[h] for h in hashes.tolist()], dtype=np.int64)
         held = size > 1
         owner, hashes, level = owner[held], hashes[held], np.ceil(np.log2(size[held])).astype(np.uint8)
         group = np.mod(keys[:, 0], groups)[owner]
@@ -222,19 +270,20 @@ def _shared(buckets: DataFrame, groups: int) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["grp", "bucket", "keys", "counts", "hashes", "levels"])
 
-    return buckets.groupBy("bucket").applyInArrow(work, "grp long, bucket long, keys binary, counts binary, hashes binary, levels binary")
+    return buckets.groupBy("bucket", "part").applyInArrow(work, "grp long, bucket long, keys binary, counts binary, hashes binary, levels binary")
 
 
-def postings(docs: DataFrame, found: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """List entries (hash, id, n, whole, most, most_low, own): the first hashes of every set that can have a partner.
 
     most: the largest overlap that a whole-range set can have with another one; most_low: that any set can have with any;
     own: thousandths of the set that no other set holds."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(size // 12 // BUCKET_HASHES).bit_length())
-    groups = max(1, -(-found.count() // GROUP_SETS))
-    sets = found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("n_low").alias("n_low"), F.first("whole").alias("whole"))
-    sets = sets.withColumn("grp", F.pmod("k1", F.lit(groups).cast("long")))
+    hot = hot_hashes(found)
+    total = sets.agg(F.count("*").alias("sets"), F.sum("n").alias("hashes")).first()
+    groups = max(1, -(-total.sets // GROUP_SETS), -(-(total.hashes or 0) // GROUP_HASHES))
+    sets = sets.select("k1", "k2", "id", "n", "n_low", "whole").withColumn("grp", F.pmod("k1", F.lit(groups).cast("long")))
     half = 1 << (bits - 1) if bits else 0
 
     def first_hashes(n: int, n_low: int, whole: bool, code: np.ndarray, level: np.ndarray) -> tuple[list[int], int, int]:
@@ -268,7 +317,7 @@ def postings(docs: DataFrame, found: DataFrame) -> DataFrame:
                     rows += [(c, i, n, int(whole), most, most_low, 1000 * (n - most) // n) for c in first]
         return pa.table([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(ENTRY))], names=list(ENTRY))
 
-    shared = _shared(_buckets(docs, bits), groups)
+    shared = _shared(_buckets(docs, bits, hot), groups, bits, hot)
     return sets.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(work, ", ".join(f"{c} long" for c in ENTRY))
 
 
@@ -320,22 +369,23 @@ class Index:
         return out
 
 
-def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of distinct pairs (query, id) of documents those that link. The members of a query are dealt over parts."""
+def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of distinct pairs (query, id) of sets those that link. The members of a query are dealt over parts."""
     sized = pairs.groupBy("query").agg(F.ceil(F.count("*") / MEMBERS).cast("long").alias("parts"))
     nothing = F.lit(0).cast("long")
     asked = sized.select(F.col("query").alias("id"), F.col("query").alias("block"), F.explode(F.sequence(nothing, F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"))
     members = pairs.join(sized, "query").select("id", F.col("query").alias("block"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.lit(False).alias("asks"))
-    return search(docs, members.unionByName(asked).select("id", "block", nothing.alias("row"), "part", "asks", F.col("asks").cast("long").alias("component")))
+    return search(docs, sets, members.unionByName(asked).select("id", "block", nothing.alias("row"), "part", "asks", F.col("asks").cast("long").alias("component")))
 
 
-def family_links(docs: DataFrame, state: DataFrame) -> DataFrame:
-    """All links between documents of different components that share a list (entries hash, id, n, component).
+def family_links(docs: DataFrame, sets: DataFrame, state: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All links between sets of different components that share a list (entries hash, id, n, component).
 
     Lists that share documents make a family, each document being in one. Of a family the documents outside its largest
     component ask, in blocks, all its documents, in blocks: no pairs are formed, and blocks are bounded by their hashes."""
-    family = components(state.select(F.col("id").alias("a"), (-1 - F.col("hash")).alias("b"))).filter("id >= 0").withColumnRenamed("component", "block")
-    members = written(state.groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("component")).join(family, "id"))
+    # sets are numbered from 0, hashes of lists are 0 or more: a hash stands in the graph as a negative number
+    family = components(state.select(F.col("id").alias("a"), (-1 - F.col("hash")).alias("b")), write).filter("id >= 0").withColumnRenamed("component", "block")
+    members = write(state.groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("component")).join(family, "id"))
     count = members.groupBy("block", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     blocks = lambda c: F.ceil(c / BLOCK_HASHES).cast("long")
     sized = count.groupBy("block").agg(F.max_by("component", F.struct("c", "component")).alias("main"), blocks(F.sum("n")).alias("parts"), F.greatest(blocks(F.sum("n") - F.max_by("n", F.struct("c", "component"))), F.lit(1)).alias("rows"))
@@ -344,30 +394,35 @@ def family_links(docs: DataFrame, state: DataFrame) -> DataFrame:
     deal = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
     asked = placed.filter("component <> main").select("id", "block", deal("rows").alias("row"), every("parts").alias("part"), F.lit(True).alias("asks"), "component")
     held = placed.select("id", "block", every("rows").alias("row"), deal("parts").alias("part"), F.lit(False).alias("asks"), "component")
-    return search(docs, asked.unionByName(held))
+    return search(docs, sets, asked.unionByName(held))
 
 
-def search(docs: DataFrame, visits: DataFrame) -> DataFrame:
+def search(docs: DataFrame, sets: DataFrame, visits: DataFrame) -> DataFrame:
     """Pairs (query, id) that link, of those that meet in a place (block, row, part) and differ in component.
 
     visits: id, block, row, part, asks (as a query or as a member) and component."""
     visits = visits.groupBy("id").agg(F.collect_list(F.struct("block", "row", "part", "asks", "component")).alias("visits"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _sets(batches):
+        done: set[int] = set()  # a repeated row is sent once
+        for part, found in _sets(batches):
             rows = []
-            for doc_id, visit, s in zip(part.column("doc_id").to_pylist(), part.column("visits").to_pylist(), sets):
+            for number, k1, k2, visit, s in zip(*(part.column(c).to_pylist() for c in ("id", "k1", "k2", "visits")), found):
+                if number in done or set_key(s) != (k1, k2):
+                    continue
+                done.add(number)
                 packed = _packed(s)
                 for v in visit:
-                    rows.append((v["block"], v["row"], v["part"], v["asks"], doc_id, v["component"], packed))
+                    rows.append((v["block"], v["row"], v["part"], v["asks"], number, v["component"], packed))
                     if len(rows) > 1024:
                         yield _rows(rows)
                         rows = []
             if rows:
                 yield _rows(rows)
 
-    texts = docs.filter("doc_id IS NOT NULL").join(visits.withColumnRenamed("id", "doc_id").hint("shuffle_hash"), "doc_id")
-    routed = texts.select("doc_id", "visits", "text").mapInArrow(spread, "block long, row long, part long, asks boolean, id long, component long, hashes binary")
+    wanted = sets.select("id", "k1", "k2", "doc_id", "t").join(visits, "id")
+    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("t"), "text").join(wanted.hint("shuffle_hash"), ["doc_id", "t"])
+    routed = texts.select("id", "k1", "k2", "visits", "text").mapInArrow(spread, "block long, row long, part long, asks boolean, id long, component long, hashes binary")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, queries, members = None, {}, {}
@@ -407,8 +462,16 @@ def _unpacked(data: bytes) -> np.ndarray:
     return (np.frombuffer(data, dtype="<u4", count=n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(data, dtype="<u2", offset=4 * n).astype(np.uint64)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id and component (the smallest id) of every document with an edge (a, b).
+def _with_least(edges: DataFrame, least: DataFrame, limit: int) -> DataFrame:
+    """Edges (a, b) with the m of a. Edges of hubs (more than limit edges, so few vertices) meet a broadcast, not one task."""
+    hubs = least.filter(F.col("c") > limit).select("a", F.col("m").alias("hub"))
+    marked = edges.join(F.broadcast(hubs), "a", "left")
+    others = marked.filter("hub IS NULL").select("a", "b").join(least.filter(F.col("c") <= limit).select("a", "m"), "a")
+    return marked.filter("hub IS NOT NULL").select("a", "b", F.col("hub").alias("m")).unionByName(others)
+
+
+def components(edges: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """id and component (the smallest id) of every vertex with an edge (a, b).
 
     Edges are first reduced to a forest within each partition; then neighbours are hung alternately to the smallest
     larger-side and smaller-side neighbour (large star, small star) until nothing changes."""
@@ -432,33 +495,35 @@ def components(edges: DataFrame) -> DataFrame:
             part = pairs[i : i + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([y for _, y in part], pa.int64())], ["a", "b"])
 
-    edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(forest, "a long, b long").distinct())
-    files, before = max(1, -(-edges.count() // FILE_EDGES)), None
+    edges = write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(forest, "a long, b long").distinct())
+    count, before = edges.count(), None
     while True:
+        limit, files = max(HUB_EDGES, int(HUB_SHARE * 2 * count)), max(1, -(-count // FILE_EDGES))
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(least, "a")
-        edges = written(hung.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct().coalesce(files))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("c"))
+        large = _with_least(both, least, limit).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        hung = _with_least(large, least, limit)
+        edges = write(hung.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct().coalesce(files))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
-        before = tuple(state)
+        count, before = state[0], tuple(state)
 
 
-def groups(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """id and component of the documents (one of each set) that link with another set."""
+def set_links(docs: DataFrame, found: DataFrame, sets: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (query, id) between different sets, enough of them to join every group: links within a group that others
+    join already are not looked for."""
     spark = docs.sparkSession
-    entries = written(postings(docs, found))
+    entries = write(postings(docs, found, sets))
     lists = entries.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1")
-    entries = written(entries.join(lists.select("hash"), "hash"))
+    entries = write(entries.join(lists.select("hash"), "hash"))
     linked = spark.createDataFrame([], "query long, id long")
     group = spark.createDataFrame([], "id long, component long")
     for turn in range(ROUNDS + 1):
         state = entries.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = state.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("hash")
-        state = written(state.join(mixed, "hash"))
+        state = write(state.join(mixed, "hash"))
         if state.isEmpty():
             break
         if turn < ROUNDS:  # some documents of each list ask, first those with the least of their own: near the middle of their copies
@@ -466,22 +531,34 @@ def groups(docs: DataFrame, found: DataFrame) -> DataFrame:
             asks = [F.min_by(own, F.struct(F.lit(0) if turn or k else F.col("own"), F.xxhash64("id", F.lit(QUERIES * turn + k)))) for k in range(QUERIES)]
             chosen = state.groupBy("hash").agg(F.array_distinct(F.array(*asks)).alias("asks")).select("hash", F.explode("asks").alias("ask")).select("hash", "ask.*")
             meet = (F.col("q.hash") == F.col("m.hash")) & (F.col("q.id") != F.col("m.id")) & (F.col("q.component") != F.col("m.component")) & _may_link("q", "m")
-            pairs = written(chosen.alias("q").join(state.alias("m"), meet).select(F.col("q.id").alias("query"), F.col("m.id").alias("id")).distinct())
-            new = links(docs, pairs)
+            pairs = write(chosen.alias("q").join(state.alias("m"), meet).select(F.col("q.id").alias("query"), F.col("m.id").alias("id")).distinct())
+            new = links(docs, sets, pairs)
         else:
-            new = family_links(docs, state)
-        linked = linked.union(written(new))
-        group = written(components(linked.select(F.col("query").alias("a"), F.col("id").alias("b"))))
-    return group
+            new = family_links(docs, sets, state, write)
+        linked = linked.union(write(new))
+        if turn < ROUNDS:
+            group = write(components(linked.select(F.col("query").alias("a"), F.col("id").alias("b")), write))
+    return linked
+
+
+def repeated_ids(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between the sets of one id: a document with several texts joins them."""
+    own = found.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "k1", "k2").distinct().join(sets.select("k1", "k2", "id"), ["k1", "k2"]).select("doc_id", "id")
+    least = own.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("most")).filter("b <> most").select("doc_id", "b")
+    return own.join(least, "doc_id").select(F.col("id").alias("a"), "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = written(documents(docs))
-    group = groups(docs, found)
-    sets = found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
-    of_set = sets.join(group, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
-    linked = found.filter("n > 0 AND doc_id IS NOT NULL").join(of_set, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    sets = written(distinct_sets(found))
+    with scratch(docs.sparkSession) as write:
+        edges = set_links(docs, found, sets, write).select(F.col("query").alias("a"), F.col("id").alias("b")).union(repeated_ids(found, sets))
+        group = written(components(edges, write))
+    placed = sets.join(group, "id", "left").select("k1", "k2", "doc_id", F.coalesce("component", "id").alias("component"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_set = placed.join(least, "component").select("k1", "k2", "component_id")
+    linked = found.filter("n > 0 AND doc_id IS NOT NULL").join(of_set, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = found.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

@@ -189,6 +189,28 @@ def test_whole_range_and_half_range_sets_meet(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_groups(rows)
 
 
+def test_no_link_is_lost_where_ids_repeat(spark):
+    rows = [(7, 0), (7, 1), (8, 2), (9, 3), (20, 4), (21, 4), (21, 5), (22, 5), (-3, 6), (30, 6)]
+    base = [[f"{'abab'[k % 4]}{k // 2 if k < 4 else k}x{n}" for n in range(60)] for k in range(7)]
+    base[2], base[3] = base[0][:-2], base[1][:-2]
+    docs = spark.createDataFrame([(i, " ".join(base[k])) for i, k in rows] + [(7, " ".join(base[0]))] * 50, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs.repartition(4)).collect()}
+    assert found == {7: 7, 8: 7, 9: 7, 20: 20, 21: 20, 22: 20, -3: -3, 30: -3}
+
+
+def test_hot_hashes_and_hubs_give_the_same_groups(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 8)
+    monkeypatch.setattr(ngram_join, "HUB_EDGES", 3)
+    monkeypatch.setattr(ngram_join, "HUB_SHARE", 0)
+    monkeypatch.setattr(ngram_join, "GROUP_HASHES", 500)
+    monkeypatch.setattr(ngram_join, "BUCKET_HASHES", 256)
+    rows = copies(3, n_bases=6, n_copies=25)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert len(ngram_join.hot_hashes(ngram_join.documents(docs))) > 20
+    found = ngram_join.near_duplicates(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_groups(rows)
+
+
 def test_occurrence_search():
     r = np.random.default_rng(3)
     members = [np.unique(r.integers(0, 60, r.integers(1, 50)).astype(np.uint64)) for _ in range(200)]
