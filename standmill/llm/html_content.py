@@ -1,17 +1,23 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into text blocks with their root-to-leaf tag paths. Elements that are never main text (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out by tag, role and
-class. Of what remains, text length and punctuation are summed per tag path and divided by the path's number of blocks;
-the two ratios are smoothed over neighbouring blocks, fused, and compared with a threshold from their spread. The
-element that holds nearly all text of the selected blocks is the content element; all its remaining blocks are the
-text, so that headings and short paragraphs stay.
+A page is read once into text blocks with their root-to-leaf tag paths. Elements whose kind is never main text (menus,
+footers, sidebars, forms, scripts, styles, page headers) are left out by tag and role; a class or id that is made of
+words for such things only marks the path's label and lowers its score.
 
-Pages are independent of each other: the work needs no shuffle.
+Per tag path, text length (without links) and punctuation are summed and divided by the path's number of blocks; the two
+ratios are fused, smoothed with those of the parent path, and weighed down by the share of links and by marks. This is
+done twice. First over the page: the paths that reach a threshold, from the mean and the spread of all blocks, are the
+core, and the innermost element that holds nearly all text of the core (or the article or main element around it) is the
+content element. Then within the content element, where a path inherits most of the score of the paths around it, so
+that headings, short paragraphs, lists and tables stay: the paths that reach a share of the mean are the content nodes,
+and their blocks are the text.
+
+Pages are independent of each other: the work needs no shuffle. It is linear in the page's length at any depth.
 
 Defined results: a null or empty page, or one without main text, has an empty text; unclosed and misplaced tags are
-closed as browsers do it roughly; a line break ends a block; every row gives a row, with repeated ids too; columns
-other than page_id, url and html are ignored.
+closed as browsers do it roughly; a line break ends a block; elements are read at any depth; very long pages count
+whole; of equally fit content elements the innermost is taken; every row gives a row, with repeated ids too; an empty
+table gives an empty result; columns other than page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 from standmill.llm.common import map_slices
 
 #: Elements whose content is not text, that are never main text, that break text into blocks, or that are never closed.
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "canvas", "audio", "video", "noframes", "xmp"}
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "noframes"}
 NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "label", "input", "fieldset", "datalist"}
 BLOCK = {
     "html", "body", "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer",
@@ -41,57 +47,85 @@ WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice",
     "notices", "alert", "sidebar", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "comment", "comments", "commentlist", "disqus", "respond", "reply",
     "replies", "share", "sharing", "social", "related", "recommended", "recommendations", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search",
-    "widget", "widgets", "pagination", "pager", "toolbar", "topbar", "masthead", "copyright", "legal", "disclaimer", "hidden", "skip", "tags", "teaser", "teasers",
+    "widget", "widgets", "pagination", "pager", "toolbar", "topbar", "masthead", "copyright", "legal", "disclaimer", "skip", "tags", "teaser", "teasers",
+}
+#: Words that may stand beside those in a class or id that marks a path.
+NEUTRAL = {
+    "area", "article", "bar", "block", "bottom", "box", "col", "column", "container", "content", "global", "inner", "item", "items", "left", "link", "links", "list", "main", "module", "outer",
+    "page", "panel", "post", "primary", "right", "row", "secondary", "section", "site", "slot", "text", "top", "unit", "wrap", "wrapper",
 }
 #: Elements that a new element of the kind closes, unless one of the holders stands between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = {"ul", "ol", "dl", "table", "select", "article", "section", "div", "main", "body"}
 
 _MARK = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=|[\"'])*+)>|<[!?][^>]*+>")
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'])(class|id|role)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 _PUNCTUATION = re.compile(r"[.,;:!?…、。¿¡]")
 _SPACE = re.compile(r"\s+")
-#: The content element holds this share of the selected text; a block counts as links from this share of its text on.
-SHARE, LINKS = 0.9, 0.8
-SMOOTHING = (0.25, 0.5, 0.25)
-#: Elements that are open at a time; the text of deeper ones counts as their ancestor's.
-DEPTH = 256
+_LETTERS = re.compile(r"[a-z]+")
+#: The content element holds this share of the core's text.
+SHARE = 0.9
+#: What a path takes of its parent's score: over the page, and within the content element.
+PAGE_SMOOTHING, CONTENT_SMOOTHING = 0.3, 0.8
+#: A content node's score in means of the content element's blocks, at least; and what a mark leaves of a score.
+LEAST, MARKED = 0.1, 0.02
 
 
 @dataclass
 class Block:
     text: str
-    path: str
-    holders: tuple[int, ...]  # numbers of the open elements, outermost first
+    element: int
     links: int
 
 
 @dataclass
 class Page:
+    """Elements and paths are numbered as they open, after their parents; number 0 of both is the page itself."""
+
     blocks: list[Block] = field(default_factory=list)
-    tags: list[str] = field(default_factory=list)  # by element number
+    tags: list[str] = field(default_factory=lambda: [""])
+    parents: list[int] = field(default_factory=lambda: [0])
+    paths: list[int] = field(default_factory=lambda: [0])  # of each element
+    above: list[int] = field(default_factory=lambda: [0])  # parent of each path
+    marked: list[bool] = field(default_factory=lambda: [False])  # of each path: whether its last label is marked
+    known: dict[tuple[int, str, bool], int] = field(default_factory=dict)
+
+    def open(self, tag: str, parent: int, mark: bool) -> int:
+        key = (self.paths[parent], tag, mark)
+        if key not in self.known:
+            self.known[key] = len(self.above)
+            self.above.append(key[0])
+            self.marked.append(mark)
+        self.tags.append(tag)
+        self.parents.append(parent)
+        self.paths.append(self.known[key])
+        return len(self.tags) - 1
 
 
-def _left_out(tag: str, attributes: str, within_main: bool) -> bool:
+def _kind(tag: str, attributes: str, within_main: bool) -> tuple[bool, bool]:
+    """Whether an element is never main text, and whether its class or id marks it."""
     if tag in NEVER or tag == "header" and not within_main:
-        return True
-    if not attributes or tag in ("html", "body", "main", "article"):
-        return False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "role" and value in ROLES or name == "hidden" and not value or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id") and (not WORDS.isdisjoint(words := re.split(r"[^a-z]+", value)) or "header" in words and not within_main):
-            return True
-    return False
+        return True, False
+    mark = False
+    if attributes and tag not in ("html", "body", "main", "article"):
+        for name, value in _ATTRIBUTE.findall(attributes):
+            value = value.strip("\"'").lower()
+            if name.lower() == "role":
+                if value in ROLES:
+                    return True, False
+                continue
+            for token in value.split():
+                words = set(_LETTERS.findall(token))
+                odd = words - NEUTRAL
+                mark = mark or bool(odd) and odd <= (WORDS if within_main else WORDS | {"header"})
+    return False, mark
 
 
 def read_page(source: str) -> Page:
     """The page's text blocks outside elements that are never main text."""
     page = Page()
-    stack: list[tuple[str, int, bool]] = []  # tag, number, left out
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, innermost block element, left out, within main
+    count: dict[str, int] = defaultdict(int)  # open elements by tag
     text: list[str] = []
     links = 0
 
@@ -99,13 +133,15 @@ def read_page(source: str) -> Page:
         nonlocal links
         joined = _SPACE.sub(" ", "".join(text)).strip()
         if joined:
-            page.blocks.append(Block(joined, "/".join(t for t, _, _ in stack if t in BLOCK), tuple(n for _, n, _ in stack), links))
+            page.blocks.append(Block(joined, stack[-1][1] if stack else 0, links))
         text.clear()
         links = 0
 
     def close_to(place: int) -> None:
-        if any(t in BLOCK for t, _, _ in stack[place:]):
+        if any(t in BLOCK for t, *_ in stack[place:]):
             end_block()
+        for t, *_ in stack[place:]:
+            count[t] -= 1
         del stack[place:]
 
     def add(piece: str) -> None:
@@ -113,7 +149,7 @@ def read_page(source: str) -> Page:
         if piece and not (stack and stack[-1][2]):
             piece = html.unescape(piece)
             text.append(piece)
-            if any(t == "a" for t, _, _ in stack):
+            if count["a"]:
                 links += len(piece.strip())
 
     at = 0
@@ -128,15 +164,15 @@ def read_page(source: str) -> Page:
             continue
         tag = mark.group(2).lower()
         if mark.group(1):
-            for place in range(len(stack) - 1, -1, -1):
-                if stack[place][0] == tag:
-                    close_to(place)
-                    break
-                if tag not in BLOCK and stack[place][0] in BLOCK:  # an inline end tag does not close a block
-                    break
-            else:
-                if tag == "p" or tag == "br":
-                    end_block()
+            if count[tag]:
+                for place in range(len(stack) - 1, -1, -1):
+                    if stack[place][0] == tag:
+                        close_to(place)
+                        break
+                    if tag not in BLOCK and stack[place][0] in BLOCK:  # an inline end tag does not close a block
+                        break
+            elif tag == "p" or tag == "br":
+                end_block()
             continue
         if tag in RAW:
             if not mark.group(3).rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
@@ -144,32 +180,62 @@ def read_page(source: str) -> Page:
                 at = len(source) if end is None else end.end()
             continue
         if tag in BLOCK:
-            if tag != "br":  # an open paragraph ends where a block begins
+            if tag != "br" and count["p"]:  # an open paragraph ends where a block begins
                 for place in range(len(stack) - 1, -1, -1):
                     if stack[place][0] == "p":
                         close_to(place)
                         break
                     if stack[place][0] in BLOCK:
                         break
-            for place in range(len(stack) - 1, -1, -1):
-                if stack[place][0] in CLOSES.get(tag, ()):
-                    close_to(place)
-                    break
-                if stack[place][0] in HOLDERS:
-                    break
+            closes = CLOSES.get(tag, ())
+            if any(count[t] for t in closes):
+                for place in range(len(stack) - 1, -1, -1):
+                    if stack[place][0] in closes:
+                        close_to(place)
+                        break
+                    if stack[place][0] in HOLDERS:
+                        break
             end_block()
-        if tag not in VOID and len(stack) < DEPTH:
-            out = bool(stack and stack[-1][2]) or _left_out(tag, mark.group(3), any(t in ("article", "main") for t, _, _ in stack))
-            page.tags.append(tag)
-            stack.append((tag, len(page.tags) - 1, out))
+        if tag not in VOID:
+            _, holder, out, within = stack[-1] if stack else ("", 0, False, False)
+            if not out:
+                out, marked = _kind(tag, mark.group(3), within)
+                if not out and (tag in BLOCK or marked):
+                    holder = page.open(tag, holder, marked)
+            stack.append((tag, holder, out, within or tag in ("article", "main")))
+            count[tag] += 1
     add(source[at:])
     end_block()
     return page
 
 
-def _smoothed(values: list[float]) -> list[float]:
-    padded = [values[0], *values, values[-1]]
-    return [sum(w * padded[i + k] for k, w in enumerate(SMOOTHING)) for i in range(len(values))]
+def path_scores(page: Page, blocks: list[Block], top: int, smoothing: float) -> dict[int, float]:
+    """The smoothed, fused score of every path from top down that some of the blocks are in or below."""
+    sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])  # of a path and all below: text, punctuation, blocks, links
+    own: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])  # of the path itself: text and links
+    for b in blocks:
+        path, linked = page.paths[b.element], min(b.links, len(b.text))
+        for k, x in enumerate((len(b.text) - linked, len(_PUNCTUATION.findall(b.text)), 1, linked)):
+            sums[path][k] += x
+        own[path][0] += len(b.text)
+        own[path][1] += linked
+    for path in range(len(page.above) - 1, top, -1):
+        if path in sums:
+            for k, x in enumerate(sums[path]):
+                sums[page.above[path]][k] += x
+    smooth: dict[int, float] = {}
+    weight: dict[int, float] = {}
+    out: dict[int, float] = {}
+    for path in sorted(p for p in sums if p >= top):
+        length, marks, n, _ = sums[path]
+        ratio = length / n * (1 + marks / n)
+        parent = page.above[path]
+        first = path == top
+        smooth[path] = ratio if first else smoothing * smooth[parent] + (1 - smoothing) * ratio
+        weight[path] = 1.0 if first else weight[parent] * (MARKED if page.marked[path] else 1.0)
+        text, linked = own[path]
+        out[path] = smooth[path] * weight[path] * (1 - linked / text if text else 1.0)
+    return out
 
 
 def select(page: Page) -> list[Block]:
@@ -177,38 +243,33 @@ def select(page: Page) -> list[Block]:
     blocks = page.blocks
     if not blocks:
         return []
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for b in blocks:
-        total = sums[b.path]
-        total[0] += len(b.text) - min(b.links, len(b.text))
-        total[1] += len(_PUNCTUATION.findall(b.text))
-        total[2] += 1
-    length = _smoothed([sums[b.path][0] / sums[b.path][2] for b in blocks])
-    marks = _smoothed([sums[b.path][1] / sums[b.path][2] for b in blocks])
-    fused = [x * (1 + y) for x, y in zip(length, marks)]
-    mean = sum(fused) / len(fused)
-    spread = (sum((x - mean) ** 2 for x in fused) / len(fused)) ** 0.5
-    chosen = [x >= min(spread, mean) for x in fused]
-    weight: dict[int, int] = defaultdict(int)
-    for b, yes in zip(blocks, chosen):
-        for n in b.holders if yes else ():
-            weight[n] += len(b.text)
-    total = sum(len(b.text) for b, yes in zip(blocks, chosen) if yes)
-    held = [n for n, w in weight.items() if w >= SHARE * total]
-    if not held:
-        return [b for b, yes in zip(blocks, chosen) if yes]
-    content = max(held)  # elements are numbered as they open: of nested ones the innermost is last
-    chain = next(b.holders for b in blocks if content in b.holders)
-    chain = chain[: chain.index(content) + 1]
+    scores = path_scores(page, blocks, 0, PAGE_SMOOTHING)
+    each = [scores[page.paths[b.element]] for b in blocks]
+    mean = sum(each) / len(each)
+    spread = (sum((x - mean) ** 2 for x in each) / len(each)) ** 0.5
+    core = [x >= min(spread, mean) for x in each]
+    held = [0] * len(page.tags)  # text of the core in each element
+    for b, yes in zip(blocks, core):
+        held[b.element] += len(b.text) * yes
+    for n in range(len(held) - 1, 0, -1):
+        held[page.parents[n]] += held[n]
+    content = max(n for n in range(len(held)) if held[n] >= SHARE * held[0])  # of nested elements the innermost has the highest number
+    chain = [content]
+    while chain[-1]:
+        chain.append(page.parents[chain[-1]])
     outer = [n for n in chain if page.tags[n] in ("article", "main")]
     if outer:
-        content = outer[0]
+        content = outer[-1]
     elif page.tags[content] in BLOCK - HOLDERS and len(chain) > 1:  # one paragraph holds it all: its parent is the content element
-        content = chain[-2]
-    inside = [(b, yes) for b, yes in zip(blocks, chosen) if content in b.holders]
-    if outer:
-        return [b for b, _ in inside]
-    return [b for b, yes in inside if yes or b.links < LINKS * len(b.text)]
+        content = chain[1]
+    within = [False] * len(page.tags)
+    for n in range(len(within)):
+        within[n] = n == content or n > 0 and within[page.parents[n]]
+    inside = [b for b in blocks if within[b.element]]
+    scores = path_scores(page, inside, page.paths[content], CONTENT_SMOOTHING)
+    each = [scores[page.paths[b.element]] for b in inside]
+    least = LEAST * sum(each) / max(1, len(each))
+    return [b for b, x in zip(inside, each) if x >= least]
 
 
 def main_text(source: str | None) -> str:

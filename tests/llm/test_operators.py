@@ -245,6 +245,45 @@ def test_page_without_an_article_element():
     assert html_content.main_text(page) == "A <title>\nFirst paragraph, long enough; it has marks, and so on.\nShort.\nThird paragraph is here, bold words included. It ends."
 
 
+def test_class_names_alone_do_not_drop_article_text():
+    body = "".join(f"<p>Paragraph number {k}, of some length, with marks; and so on, as text is.</p>" for k in range(6))
+    kept = (
+        '<p class="search-results-note">A note.</p><div id="legal-history">Law, and its past.</div><section class="related-work"><p>Others did this.</p></section>'
+        "<p>Then <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><div hidden>Kept too.</div><table><tr><td>cell</td><td>2</td></tr></table><ul><li>one</li><li>two</li></ul>"
+    )
+    out = '<div class="ad">Buy this now, it is good, really.</div><div class="comments-list"><p>I disagree, strongly, with all of this, and more, and more.</p></div><aside>Side.</aside><div><div><a href="/x">More</a></div></div>'
+    page = f"<html><body><div>Site of things</div><article><header><h1>Head</h1></header>{body}{kept}{out}</article><footer>End.</footer></body></html>"
+    text = html_content.main_text(page)
+    assert text.startswith("Head\nParagraph number 0") and text.endswith("A note.\nLaw, and its past.\nOthers did this.\nThen x=2 holds.\nKept too.\ncell\n2\none\ntwo")
+
+
+def test_depth_does_not_matter():
+    page = "<div>" * 300 + "<nav>MENU HERE</nav><footer>foot text</footer><p>body</p>"
+    assert html_content.main_text(page) == "body"
+    assert html_content.main_text("<div>" * 20_000 + "<p>deep" + "</div>" * 20_000) == "deep"
+
+
+def test_scores_choose_the_content(spark, monkeypatch):
+    """Turned round, the path scores give other text; so they decide, on the given pages and within an article."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    pages += [p.replace("</article>", '<div class="sponsored">Bought, paid, and placed here.</div></article>') for p in pages]
+    usual = [html_content.main_text(p) for p in pages]
+    assert usual[: len(usual) // 2] == usual[len(usual) // 2 :]
+    plain = html_content.path_scores
+    monkeypatch.setattr(html_content, "path_scores", lambda *a: {k: 1.0 for k in plain(*a)})
+    assert sum(html_content.main_text(p) != u for p, u in zip(pages, usual)) >= len(pages) // 2
+
+
+def test_path_scores_by_hand():
+    page = html_content.read_page("<body><div><p>abcd.<p>ab</div><div class=ad>abc</div><ul><li><a>xyz</a></ul></body>")
+    scores = html_content.path_scores(page, page.blocks, 0, 0.5)
+    found = {b.text: scores[page.paths[b.element]] for b in page.blocks}
+    top = body = 10 / 4 * (1 + 1 / 4)  # text without links and punctuation of four blocks
+    div = 0.5 * body + 0.5 * (7 / 2 * 1.5)
+    assert found["abcd."] == found["ab"] == pytest.approx(0.5 * div + 0.5 * (7 / 2 * 1.5)) and top == body
+    assert found["abc"] == pytest.approx(html_content.MARKED * (0.5 * body + 0.5 * 3)) and found["xyz"] == 0
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (1, "u", ""), (None, None, "<p>a"), (3, "u", "<div>" * 5000 + "deep" + "</div>" * 10), (4, "u", "<script>x</p>" * 3), (5, "u", "a < b &amp; c")]
     found = html_content.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("own"))).collect()
