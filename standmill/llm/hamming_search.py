@@ -5,11 +5,16 @@ for each segment, the codes in order of that segment's value. A query looks up i
 values at one bit's distance, and so on. After radius r every code within m * (r + 1) - 1 bits has been seen, m being
 the number of segments: the search ends when the k-th best verified distance is within that. Ties go to the lower id.
 
-Rows are dealt evenly into blocks of bounded size by a hash of the id; every query visits every block once and brings
-back its k best there, and these are merged: no task holds more than one block, whatever its values are.
-
-Defined results: a null vector or id is neither a query nor found; codes of other lengths than the most frequent one
-are not compared (they are left out); fewer than k other rows give fewer; repeated ids are separate rows.
+Rows are dealt evenly into blocks of bounded size by a hash of the row; every query visits every block of codes of its
+length once and brings back its k best there, and these are merged: no task holds more than one block, whatever its
+values are. Pairs of a block and a part of the queries are spread over a stated number of tasks, as they are small but
+slow.
+
+Defined results: a null vector or id is neither a query nor found, and an empty vector likewise; codes are compared with
+those of the same length, each length on its own; a row is not its own neighbour, nor are other rows of its id; fewer
+than k other rows give fewer, and none gives no row; repeated ids are separate rows, and a repeated query id is asked
+once for each different code of it; ties go to the lower id; an empty table gives an empty result; columns other than id
+and vector are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of an index block, and queries that visit a block together, at most about so many.
-BLOCK_ROWS, QUERY_ROWS = 1 << 14, 1 << 12
+BLOCK_ROWS, QUERY_ROWS = 1 << 14, 1 << 10
 SEGMENT_BITS = 16
 
 
@@ -83,34 +88,40 @@ class BlockIndex:
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), neighbour_id and distance for the rows of queries (id, code) against those of codes."""
-    length = codes.groupBy(F.size("code").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    n_rows = int(length[0]["count"]) if length else 0
-    blocks = max(1, -(-n_rows // BLOCK_ROWS))
-    n = int(length[0]["n"]) if length else 0
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    left = codes.filter(F.size("code") == n).select(block("id").alias("block"), "id", "code")
-    right = queries.filter(F.size("code") == n).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "id", "code")
-
-    def search(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or asked.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "neighbour_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="int32")})
-        index = BlockIndex(rows["id"].to_numpy(np.int64), np.stack(rows["code"].to_list()).astype(np.int64))
-        found = [(q, *index.search(q, np.asarray(c, dtype=np.int64), k)[:2]) for q, c in zip(asked["id"].tolist(), asked["code"])]
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype("int64"),
-                "neighbour_id": np.concatenate([f[1] for f in found]).astype("int64"),
-                "distance": np.concatenate([f[2] for f in found]).astype("int32"),
-            }
-        )
-
+    spark = codes.sparkSession
+    queries = queries.select(F.col("id").alias("query_id"), F.col("code").alias("asked")).distinct()
     # a block's queries come in parts, each with the block's rows, so that several tasks share the work of a block
-    parts = max(1, -(-queries.count() // QUERY_ROWS))
-    spread = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    asked = right.withColumn("part", F.pmod(F.xxhash64("id", "block"), F.lit(parts)))
-    pairs = spread.groupBy("block", "part").cogroup(asked.groupBy("block", "part"))
-    found = pairs.applyInPandas(search, "query_id long, neighbour_id long, distance int")
-    order = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
+    sized = codes.groupBy(F.size("code").alias("n")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("blocks"))
+    asking = queries.groupBy(F.size("asked").alias("n")).agg(F.ceil(F.count("*") / QUERY_ROWS).cast("long").alias("parts"))
+    plan = sized.join(asking, "n").collect()  # a row for each length of codes
+    sizes = F.broadcast(spark.createDataFrame([tuple(r) for r in plan], "n int, blocks long, parts long"))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    place = ["n", "block", "part"]
+    row = F.xxhash64(F.monotonically_increasing_id())  # repeated rows go to different blocks
+    held = codes.select(F.size("code").alias("n"), "id", "code", row.alias("row")).join(sizes, "n")
+    held = held.select("n", "id", "code", F.pmod("row", "blocks").alias("block"), every("parts").alias("part"))
+    asked = queries.withColumn("n", F.size("asked")).join(sizes, "n").withColumn("part", F.pmod(F.xxhash64("query_id", "asked"), "parts"))
+    asked = asked.select("n", "query_id", "asked", every("blocks").alias("block"), "part")
+
+    def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        ids: list[int] = []
+        own: list[np.ndarray] = []
+        near, gaps = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        if not (rows.empty or asked.empty):
+            index = BlockIndex(rows["id"].to_numpy(np.int64), np.stack(rows["code"].to_list()).astype(np.int64))
+            for q, c in zip(asked["query_id"].tolist(), asked["asked"]):
+                at, distance, _ = index.search(q, np.asarray(c, dtype=np.int64), k)
+                ids += [q] * len(at)
+                own += [c] * len(at)
+                near.append(at)
+                gaps.append(distance)
+        columns = {"query_id": pd.Series(ids, dtype="int64"), "asked": pd.Series(own, dtype=object)}
+        return pd.DataFrame(columns | {"neighbour_id": np.concatenate(near), "distance": np.concatenate(gaps).astype("int32")})
+
+    tasks = max(spark.sparkContext.defaultParallelism, min(4096, sum(r.blocks * r.parts for r in plan)))
+    pairs = held.repartition(tasks, *place).groupBy(*place).cogroup(asked.repartition(tasks, *place).groupBy(*place))
+    found = pairs.applyInPandas(search, "query_id long, asked array<int>, neighbour_id long, distance int")
+    order = Window.partitionBy("query_id", "asked").orderBy("distance", "neighbour_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "distance")
 
 

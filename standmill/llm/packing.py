@@ -1,13 +1,15 @@
 """Best-fit packing of documents into token sequences of bounded length.
 
 Documents become ids (through a bounded cache of pre-tokens, exactly as the tokenizer gives them) and an end id; only
-longer ones are cut. Pieces are dealt by hash into shards of about equal size, whose number grows with the corpus, and
-each shard is packed by best-two-fit: a sequence is filled greedily with the longest piece that fits; if a gap is left,
+longer ones are cut. Pieces are dealt in turn, by their number in the task that makes them and not by their values, into
+shards of about equal size, whose number grows with the corpus, and each shard is packed by best-two-fit: a sequence is filled greedily with the longest piece that fits; if a gap is left,
 its smallest piece is exchanged for the two unpacked pieces that fill the widened gap best, if they fill it better. A
 shard leaves at most a sequence or so unfilled.
 
-Defined results: a null or empty text is a document of the end id alone; repeated ids are packed as separate documents;
-an empty table gives an empty result; columns other than doc_id and text are ignored.
+Defined results: a null or empty text is a document of the end id alone; a very long one is cut into pieces, of which
+all but the last are full; repeated ids and rows are packed as separate documents, over all shards; pieces of one length
+are interchangeable, so which of them stands where is arbitrary; an empty table gives an empty result; columns other than
+doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,26 +90,30 @@ class Encoder:
         ]
 
 
-def pieces(docs: DataFrame, path: str, length: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of every document's pieces; with_ids adds the ids as an array."""
+def pieces(docs: DataFrame, path: str, length: int = 4096, end_id: int = 1, with_ids: bool = False, shards: int = 1) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 of every document's pieces, and the shard that each is dealt to; with_ids
+    adds the ids as an array."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
+        context = TaskContext.get()
+        turn = 0x9E3779B1 * (context.partitionId() if context else 0)  # tasks begin with different shards
         for part in slices(batches):
             out, ids = [], []
             for doc_id, flat in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
                 flat += end
                 for k, at in enumerate(range(0, len(flat), 4 * length)):
                     own = flat[at : at + 4 * length]
-                    out.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own)))
+                    out.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own), turn % shards))
+                    turn += 1
                     if with_ids:
                         ids.append(np.frombuffer(own, dtype="<u4").astype(np.int32))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             arrays = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "shard"] + ["ids"] * with_ids)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, shard long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
 
 
@@ -154,18 +161,19 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
-def pack(cut: DataFrame, shards: int, capacity: int = 4096) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, length, ...)."""
+def pack(cut: DataFrame, capacity: int = 4096) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, piece, length, shard, ...), and drops the shard."""
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece"], kind="stable")
         sequence, offset = best_two_fit(rows["length"].to_numpy(np.int64), capacity)
         return rows.assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset).drop(columns="shard")
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards))).groupBy("shard").applyInPandas(place, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != "shard") + ", sequence_id long, offset long"
+    return cut.groupBy("shard").applyInPandas(place, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return pack(pieces(docs, path, capacity), max(1, -(-size // SHARD_BYTES)), capacity)
+    shards = max(1, -(-size // SHARD_BYTES))
+    return pack(pieces(docs, path, capacity, shards=shards), capacity)

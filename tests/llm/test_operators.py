@@ -506,6 +506,14 @@ def test_packing_of_odd_rows(odd, none):
     assert packing.pack_documents(none, WORDS).isEmpty()
 
 
+def test_repeated_rows_go_to_many_shards(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the same text")] * 4000, "doc_id long, text string").repartition(4)
+    shards = packing.pieces(docs, WORDS, shards=64).groupBy("shard").count().collect()
+    assert len(shards) == 64 and max(r["count"] for r in shards) <= 64 + 4
+    monkeypatch.setattr(packing, "SHARD_BYTES", 5000)
+    check_packed(packing.pack_documents(docs, WORDS).collect(), [(1, "the same text")] * 4000)
+
+
 def test_two_pieces_replace_one():
     sequence, offset = packing.best_two_fit(np.array([60, 30, 20, 19]), 100)
     filled = np.bincount(sequence, weights=[60, 30, 20, 19])
@@ -530,6 +538,23 @@ def test_nearest_codes_with_ties(spark):
     assert hamming_search.top_k(codes.limit(0), codes.limit(0)).isEmpty()
 
 
+def test_codes_of_every_length_are_searched(spark, monkeypatch):
+    monkeypatch.setattr(hamming_search, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(hamming_search, "QUERY_ROWS", 3)
+    r = np.random.default_rng(2)
+    vectors = [(k, r.normal(size=64 if k < 300 else 32).tolist()) for k in range(500)] + [(7, r.normal(size=32).tolist()), (50, r.normal(size=64).tolist()), (1000, [1.0] * 8)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("code", F.lit("own")).withColumn("id", F.lit("own"))
+    codes = hamming_search.binary_codes(frame)
+    found = hamming_search.top_k(codes, codes.filter("id % 50 = 0"), 5).collect()
+    got = collections.Counter((x.query_id, x.distance, x.neighbour_id) for x in found)
+    wanted = collections.Counter()
+    for q, v in vectors:
+        if q % 50 == 0:
+            near = sorted((int(((np.array(v) > 0) != (np.array(w) > 0)).sum()), i) for i, w in vectors if len(w) == len(v) and i != q)
+            wanted.update((q, d, i) for d, i in near[:5])
+    assert got == wanted and {q for q, _, _ in got} == set(range(0, 500, 50))
+
+
 # personal data
 
 
