@@ -44,7 +44,7 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4
 #: Sets with fewer shingles use the whole hash range.
 SMALL = 96
 #: Hashes in a bucket, about; and members that are searched together for a query, at most about.
-BUCKET_HASHES, MEMBERS = 1 << 20, 2048
+BUCKET_HASHES, MEMBERS = 1 << 20, 1024
 #: Documents that each list asks with in a first round, and such rounds; hashes in a block of a family, about.
 QUERIES, ROUNDS, BLOCK_HASHES = 3, 1, 1 << 19
 #: Sets, and hashes, in a key group, and edges in a file between the rounds of components(), about.
@@ -473,8 +473,9 @@ def _with_least(edges: DataFrame, least: DataFrame, limit: int) -> DataFrame:
 def components(edges: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """id and component (the smallest id) of every vertex with an edge (a, b).
 
-    Edges are first reduced to a forest within each partition; then neighbours are hung alternately to the smallest
-    larger-side and smaller-side neighbour (large star, small star) until nothing changes."""
+    Edges are reduced to a forest within each partition; then neighbours are hung to the smallest larger-side and to the
+    smallest smaller-side neighbour (large star, small star), and so on until nothing changes. Between rounds edges stand in
+    partitions of about FILE_EDGES."""
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
@@ -495,16 +496,17 @@ def components(edges: DataFrame, write: Callable[[DataFrame], DataFrame]) -> Dat
             part = pairs[i : i + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([y for _, y in part], pa.int64())], ["a", "b"])
 
-    edges = write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(forest, "a long, b long").distinct())
+    trees = lambda e: e.mapInArrow(forest, "a long, b long")
+    edges = write(trees(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct())
     count, before = edges.count(), None
     while True:
         limit, files = max(HUB_EDGES, int(HUB_SHARE * 2 * count)), max(1, -(-count // FILE_EDGES))
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("c"))
-        large = _with_least(both, least, limit).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = write(_with_least(both, least, limit).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
-        hung = _with_least(large, least, limit)
-        edges = write(hung.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct().coalesce(files))
+        hung = _with_least(large, least, limit).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = write(trees(hung.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct().coalesce(files)))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
