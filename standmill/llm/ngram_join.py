@@ -46,7 +46,7 @@ SMALL = 96
 #: Hashes in a bucket, about; and members that are searched together for a query, at most about.
 BUCKET_HASHES, MEMBERS = 1 << 20, 1024
 #: Documents that each list asks with in a first round, and such rounds; hashes in a block of a family, about.
-QUERIES, ROUNDS, BLOCK_HASHES = 3, 1, 1 << 19
+QUERIES, ROUNDS, BLOCK_HASHES = 3, 1, 1 << 18
 #: Sets, and hashes, in a key group, and edges in a file between the rounds of components(), about.
 GROUP_SETS, GROUP_HASHES, FILE_EDGES = 16_384, 1 << 22, 1 << 20
 #: A hash is looked at as a frequent one if so many sets of a slice hold it, and this share of them; it is if HOT do.

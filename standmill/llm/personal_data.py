@@ -10,9 +10,11 @@ The base spans always stay, and no other span may overlap them. Frequent trusted
 others are joined with the table of all trusted patterns. Patterns are 64-bit hashes of whole words, but that of a word
 longer than LONGEST the LONGEST characters beside the identifier count.
 
-Defined results: a null text counts as empty and has no spans; every row gives a row, with repeated ids too (their
-added spans are found in each text itself); an empty table gives an empty result; columns other than doc_id and text
-are ignored unless they are asked to be kept.
+Defined results: a null text counts as empty and has no spans; very long texts and tokens count whole; of a pattern's
+instances repeated ones count once, so copies of a text add nothing; of equally frequent trusted patterns those with the
+lower hash are broadcast, which changes no result; every row gives a row, with repeated ids too (their added spans are
+found in each text itself); an empty table, or one without base spans, adds no spans; columns other than doc_id and text
+are ignored, whatever their names, and mask() carries them on.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from standmill.llm.common import map_slices, slices, written
+from standmill.llm.common import add_by_slices, carried, map_slices, restored, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kind of the spans that the method adds.
@@ -236,8 +238,6 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def mask(docs: DataFrame, trusted: list[int]) -> DataFrame:
     """docs with every span of the text replaced by its kind in angle brackets; overlapping spans become one."""
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(trusted))
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def masked(text: str | None, rare: list[int] | None) -> str | None:
         if not text:
@@ -250,9 +250,8 @@ def mask(docs: DataFrame, trusted: list[int]) -> DataFrame:
             done = max(done, -b)
         return "".join([*out, text[done:]])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            texts = pa.array(list(map(masked, part.column("text").to_pylist(), part.column("_rare").to_pylist())), pa.string())
-            yield pa.RecordBatch.from_arrays([texts if c == "text" else part.column(c) for c in names], names)
+    def work(part: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array(list(map(masked, part.column("text").to_pylist(), part.column("_rare").to_pylist())), pa.string())]
 
-    return with_rare(docs, trusted, F.col("text"), [F.col(f"`{c}`") for c in names]).mapInArrow(work, schema)
+    picked = with_rare(docs, trusted, F.col("text"), [F.col("text"), carried(docs)])
+    return restored(add_by_slices(picked, work, "masked string").select(F.col("masked").alias("text"), "kept"), docs)

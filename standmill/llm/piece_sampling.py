@@ -9,8 +9,9 @@ Occurrences walk down these trees together, as arrays; paths that are not there
 Without dropout the ids are those of the library, but for a space mark U+2581 in a text, which is encoded as bytes here
 so that decoding gives it back.
 
-Defined results: a null text counts as empty; an empty text has no ids and decodes to an empty text; every row gives a
-row, with repeated ids too; an empty table gives an empty result; a column named ``ids`` of the input is not carried on.
+Defined results: a null text counts as empty; an empty text has no ids and decodes to an empty text; very long texts count
+whole; of merges of equal score the leftmost is first; every row gives a row, with repeated ids too (rows of one id and
+text are cut alike); an empty table gives an empty result; a column named ``ids`` of the input is not carried on.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from standmill.llm.common import slices
 from standmill.llm.token_counts import PRETOKEN, processor
 
 #: A worker's cache is emptied between slices beyond so many pre-tokens, or nodes and leaves of their trees.
-CACHE, NODES = 150_000, 3_000_000
+CACHE, NODES = 150_000, 2_000_000
 _SLOTS = 19  # bits of the table of merges
 _MIX, _NEVER = np.uint64(0x9E3779B97F4A7C15), 1 << 30
 #: Longer pre-tokens go through the agenda one by one.
@@ -349,7 +350,9 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
                 ids = part.column("ids")
-                joined = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, parts.take(ids.values)), b"")
+                first, last = ids.offsets[0].as_py(), ids.offsets[-1].as_py()
+                own = parts.take(ids.values.slice(first, last - first))  # of these rows only
+                joined = pc.binary_join(pa.ListArray.from_arrays(pc.subtract(ids.offsets, first), own), b"")
                 texts = pc.utf8_slice_codeunits(joined.cast(pa.string()), 1)  # without the space in front
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 

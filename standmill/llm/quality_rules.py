@@ -4,8 +4,8 @@ Every rule is evaluated once for every document. The ledger keeps the measuremen
 policies are versioned masks over these bits, applied later without touching the texts, and ablations (what a policy
 would keep without one of its rules) come from one aggregation over the distinct masks.
 
-Defined results: a null text counts as empty; empty texts have no words and fail ``few_words``; repeated rows and
-repeated ids give a row each; an empty table gives an empty ledger; columns other than doc_id and text are ignored.
+Defined results: a null text counts as empty; empty texts have no words and fail ``few_words``; very long texts
+count whole; repeated rows and repeated ids give a row each; an empty table gives an empty ledger; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ counted once and joined to the per-document frequencies. The most frequent pre-t
 length) are joined by a broadcast dictionary; all others meet their counts in one shuffle on the pre-token, in which no
 key is frequent, and go back to their documents as sums.
 
-Defined results: a null text counts as empty and has no tokens; every row gives a row, with repeated ids too; an empty
+Defined results: a null text counts as empty and has no tokens; very long texts count whole; every row gives a row, with repeated ids too; an empty
 table gives an empty result; columns other than doc_id and text are ignored.
 """
 
