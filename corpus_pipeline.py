@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents;
 the last returns the packed pieces. Between stages the rows are written as Parquet and read again.
+
+Defined results: a document with a null or empty text, or one without letters, has no language and goes in the first
+stage; very long texts count whole in every stage; of documents whose overlaps link them, of exact copies and of rows of
+one id one row stays, that of the smallest id (of several rows of that id any); rows without an id are never duplicates;
+an empty table goes through every stage as an empty one; further columns, whatever their names, are carried on unchanged.
+Each operator's docstring has the ties.
 """
 
 from __future__ import annotations

@@ -60,11 +60,12 @@ def ravel(vx: Column, vy: Column, vz: Column, ny: Column, nz: Column) -> Column:
 
 
 def fnv(vx: Column, vy: Column, vz: Column) -> Column:
-    """FNV-1a of three indices, as far as its low 32 bits go: products are taken in 16-bit halves, so nothing overflows."""
+    """FNV-1a of three indices with the 32-bit prime in 64-bit arithmetic that wraps around: in 32-bit halves, so nothing overflows."""
     prime, mask = 16777619, 0xFFFFFFFF
-    h = F.lit(2166136261)
+    low, high = F.lit(2166136261), F.lit(0).cast("long")
     for v in (vx, vy, vz):
-        h = h.bitwiseXOR(v.cast("long").bitwiseAND(F.lit(mask)))
-        low, high = h.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(h, 16)
-        h = (low * prime + F.shiftleft((high * prime).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(mask))
-    return h
+        v = v.cast("long")
+        low, high = low.bitwiseXOR(v.bitwiseAND(F.lit(mask))), high.bitwiseXOR(F.shiftrightunsigned(v, 32))
+        product = low * prime
+        low, high = product.bitwiseAND(F.lit(mask)), (high * prime + F.shiftrightunsigned(product, 32)).bitwiseAND(F.lit(mask))
+    return F.shiftleft(high, 32).bitwiseOR(low)

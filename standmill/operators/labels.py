@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from standmill.functions.keys import floor_long
 from standmill.operators.voxels import dense_ids
+from standmill.sources.storage import written
 
 
 def instance_labels(points: DataFrame, instance: str = "inst_gt", semantic: str = "sem_gt", ignore: int = -1, by: str = "scene_id") -> DataFrame:
@@ -111,29 +112,30 @@ def _cells(df: DataFrame, cell: float, reach: int, axes: str = "xyz") -> DataFra
     return out
 
 
-def nearest_label(queries: DataFrame, refs: DataFrame, value: str, cell: float, max_rounds: int = 16, by: str = "scene_id") -> DataFrame:
+def nearest_label(queries: DataFrame, refs: DataFrame, value: str, cell: float, by: str = "scene_id") -> DataFrame:
     """Each query (by, pid, x, y, z) takes the value of the nearest reference of its scene (ties: lowest pid).
 
     References are looked for in the 27 cells around a query; what is found within one cell's width is certain. Queries
-    without such a hit go on with cells twice as wide. No pair of far points is ever formed, and no query is given up:
-    after the last round the rest meets all references of its scene through one cell per scene."""
-    todo = queries.select(by, "pid", "x", "y", "z")
-    refs = refs.select(by, F.col("pid").alias("ref"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"), F.col(value).alias("value"))
-    done = None
+    without such a hit, which are written between rounds, go on with cells twice as wide, until a cell is wider than any
+    scene. A scene without references gives no rows."""
+    refs = refs.select(by, F.col("pid").alias("ref"), "x", "y", "z", F.col(value).alias("value"))
+    places = queries.select(by, "x", "y", "z").unionByName(refs.select(by, "x", "y", "z"))
+    spans = places.groupBy(by).agg(*[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).agg(F.max(F.greatest("x", "y", "z"))).first()[0] or 0.0
+    todo = queries.select(by, "pid", "x", "y", "z").join(refs.select(by).distinct(), by, "left_semi")
     square = sum(((F.col(a) - F.col(f"r{a}")) * (F.col(a) - F.col(f"r{a}")) for a in "xyz"), F.lit(0.0))
     best = F.min_by(F.struct("ref", "value", F.col("square")), F.struct("square", "ref")).alias("b")
-    placed = refs.withColumnsRenamed({"rx": "x", "ry": "y", "rz": "z"})
-    for k in range(max_rounds):
-        width = cell * 2**k
-        around = _cells(placed, width, 1).withColumnsRenamed({"x": "rx", "y": "ry", "z": "rz"})
+    done, width = None, cell
+    while True:
+        around = _cells(refs, width, 1).withColumnsRenamed({"x": "rx", "y": "ry", "z": "rz"})
         found = _cells(todo, width, 0).join(around, [by, "cx", "cy", "cz"]).withColumn("square", square).groupBy(by, "pid").agg(best)
-        sure = found.filter(F.col("b.square") <= F.lit(width * width)).select(by, "pid", F.col("b.ref").alias("ref"), F.col("b.value").alias(value))
-        done = sure if done is None else done.unionByName(sure)
-        todo = todo.join(sure, [by, "pid"], "left_anti")
-        if todo.isEmpty():
+        sure = F.lit(width > spans) | (F.col("b.square") <= F.lit(width * width))
+        marked = written(todo.join(found.withColumn("sure", sure), [by, "pid"], "left"))
+        now = marked.filter("sure").select(by, "pid", F.col("b.ref").alias("ref"), F.col("b.value").alias(value))
+        done = now if done is None else done.unionByName(now)
+        todo = marked.filter("sure IS NULL OR NOT sure").select(by, "pid", "x", "y", "z")
+        if width > spans or todo.isEmpty():
             return done
-    rest = todo.join(refs, by).withColumn("square", square).groupBy(by, "pid").agg(best)
-    return done.unionByName(rest.select(by, "pid", F.col("b.ref").alias("ref"), F.col("b.value").alias(value)))
+        width *= 2
 
 
 def inverse_labels(points: DataFrame, reduced: DataFrame, value: str, keys: list[str]) -> DataFrame:

@@ -205,24 +205,28 @@ def _matched(label: int, threshold: float, group: pd.DataFrame, min_region: int)
     import json
 
     truths = {(s, int(g)): int(n) for s, g, n in group.loc[group.gt_id.notna(), ["scene", "gt_id", "n_gt"]].itertuples(index=False) if n >= min_region}
-    preds = group[group.mask_id.notna()].sort_values(["scene", "mask_id"])
+    preds = list(group[group.mask_id.notna()].sort_values(["scene", "mask_id"]).itertuples(index=False))
+    over = [json.loads(r.over) if isinstance(r.over, str) else [] for r in preds]
     points: list[tuple[float, bool]] = []  # score, hit
-    best: dict[tuple, float] = {}
-    used: set[int] = set()
-    for i, r in enumerate(preds.itertuples(index=False)):
-        over = json.loads(r.over) if isinstance(r.over, str) else []
-        for o in over:
+    reach: dict[tuple, list[int]] = {}  # predictions that overlap a truth by more than the threshold, in order
+    for i, r in enumerate(preds):
+        for o in over[i]:
             key = (r.scene, int(o["gt_id"]))
             if o["gt_label"] == label and key in truths and o["inter"] / (o["n_gt"] + r.n - o["inter"]) > threshold:
-                used.add(i)
-                if key in best:  # the lower score of two is a false positive
-                    points.append((min(best[key], r.score), False))
-                best[key] = max(best.get(key, -np.inf), r.score)
-        if i not in used:
-            small = sum(o["inter"] for o in over if o["gt_label"] == label and (r.scene, int(o["gt_id"])) not in truths)
+                reach.setdefault(key, []).append(i)
+    taken: set[int] = set()  # the first prediction that a truth meets is used up; later ones of it stay free for other truths
+    for key in sorted(reach):
+        free = [i for i in reach[key] if i not in taken]
+        if free:
+            taken.add(free[0])
+            scores = sorted(preds[i].score for i in free)
+            points += [(s, False) for s in scores[:-1]] + [(scores[-1], True)]
+    reaching = {i for own in reach.values() for i in own}
+    for i, r in enumerate(preds):
+        if i not in reaching:
+            small = sum(o["inter"] for o in over[i] if o["gt_label"] == label and (r.scene, int(o["gt_id"])) not in truths)
             if (r.void + small) / r.n <= threshold:
                 points.append((r.score, False))
-    points += [(s, True) for s in best.values()]
     if not truths:
         return label, threshold, None, None, None
     if not points:

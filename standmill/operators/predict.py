@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from standmill.sources.storage import written
+
 WHOLE_SCENE = 4_000_000
 RESULT = "pid long, semantic_pred int, instance_pred int, score double, error string"
 
@@ -34,7 +36,8 @@ def segment(points: DataFrame, predict: Callable[[np.ndarray], tuple[np.ndarray,
             out[c] = v
         return out[[*by, "pid", "semantic_pred", "instance_pred", "score", "error"]]
 
-    found = points.select(*by, "pid", "x", "y", "z").groupBy(*by).applyInPandas(run, f"{keys}, {RESULT}")
+    # written, so that the predictor runs once for both results
+    found = written(points.select(*by, "pid", "x", "y", "z").groupBy(*by).applyInPandas(run, f"{keys}, {RESULT}"))
     return found.filter("error IS NULL").drop("error"), found.filter("error IS NOT NULL").select(*by, "error")
 
 

@@ -153,9 +153,10 @@ def _(spark, sf):
     return frames.split_leftover(p, previous)[0].select("pid", "sem_pred", "semantic_seg", "tree_id")
 
 
-@query("p19_filter_scenes", P + " SELECT scene_id, count(*) AS n FROM points WHERE pid % 97 < 2 AND scene_id IN (SELECT scene_id FROM points WHERE pid % 97 < 2 GROUP BY 1 HAVING count(DISTINCT inst_gt) >= 5) GROUP BY 1")
+@query("p19_filter_scenes", P + ", q AS (SELECT scene_id, CASE WHEN inst_gt % 8 >= scene_id THEN inst_gt ELSE -1 END AS inst_gt FROM points) SELECT scene_id, count(*) AS n FROM q WHERE scene_id IN (SELECT scene_id FROM q GROUP BY 1 HAVING count(DISTINCT inst_gt) >= 12) GROUP BY 1")
 def _(spark, sf):
-    return frames.filter_scenes(points(spark, sf).filter("pid % 97 < 2"), 5).groupBy("scene_id").agg(F.count("*").alias("n"))
+    """Scenes keep the fewer instances the higher their number is."""
+    return frames.filter_scenes(points(spark, sf).withColumn("inst_gt", F.when(F.col("inst_gt") % 8 >= F.col("scene_id"), F.col("inst_gt")).otherwise(-1)), 12).groupBy("scene_id").agg(F.count("*").alias("n"))
 
 
 BOXES = """boxes AS (SELECT scene_id, inst_gt AS box_id, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, (min(z) + max(z)) / 2 AS cz,

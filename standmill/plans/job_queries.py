@@ -34,10 +34,10 @@ def _(spark, sf):
     return files.read_ply(spark, path, ("x", "z", "semantic_pred", "instance_pred", "score")).drop("file", "row")
 
 
-@query("s1_read_ply_ascii", P + " SELECT pid % 4 AS part, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z, sem_pred AS semantic FROM points WHERE scene_id = 1")
+@query("s1_read_ply_ascii", P + " SELECT pid % 4 AS part, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z, sem_pred AS semantic FROM points")
 def _(spark, sf):
     """Lines in a text file behind a header; the text sink writes them, so this also reads what Spark's text writer makes."""
-    p = points(spark, sf).filter("scene_id = 1")
+    p = points(spark, sf)
     root = new_path(spark)
     parts = []
     for k in range(4):
@@ -63,9 +63,13 @@ def _renamed(folder: str) -> str:
     return f"{folder}/points.ply"
 
 
-@query("s2_write_ply", P + " SELECT CAST(sum(pid) AS BIGINT) * 0 + count(*) AS n_points FROM points")
+@query("s2_write_ply", P + " SELECT count(*) AS n_points, sum(CAST(inst_pred AS BIGINT)) AS sum_instance, sum(CAST(sem_pred AS BIGINT)) AS sum_semantic, round(sum(CAST(CAST(z AS FLOAT) AS DOUBLE)), 3) AS sum_z FROM points")
 def _(spark, sf):
-    return files.write_ply(_predictions(spark, sf), new_path(spark), 4).agg(F.sum("n_points").alias("n_points"))
+    """Sums of what stands in the written files."""
+    path = new_path(spark)
+    files.write_ply(_predictions(spark, sf), path, 4).collect()
+    sums = [F.sum(F.col(c).cast("long")).alias(n) for c, n in (("instance_pred", "sum_instance"), ("semantic_pred", "sum_semantic"))]
+    return files.read_ply(spark, path).agg(F.count("*").alias("n_points"), *sums, F.round(F.sum(F.col("z").cast("double")), 3).alias("sum_z"))
 
 
 @query("s3_read_scene_bins", P + " SELECT 'scene_' || scene_id AS name, row_number() OVER (PARTITION BY scene_id ORDER BY pid) - 1 AS \"row\", CAST(x AS FLOAT) AS x, CAST(inst_gt AS BIGINT) AS instance, CAST(sem_gt AS BIGINT) AS semantic FROM points")
@@ -152,9 +156,9 @@ def _(spark, sf):
     return _plain(st.step_durations(status_events(spark, sf)), "started")
 
 
-@query("t3_pending_requests", S + " SELECT c_custkey AS task_id FROM customer WHERE c_custkey <= 400 AND c_custkey NOT IN (SELECT task_id FROM status WHERE step IN ('completed', 'failed'))")
+@query("t3_pending_requests", S + " SELECT c_custkey AS task_id FROM customer WHERE c_custkey NOT IN (SELECT task_id FROM status WHERE step IN ('completed', 'failed'))")
 def _(spark, sf):
-    return st.pending_requests(table(spark, sf, "customer").filter("c_custkey <= 400").select(F.col("c_custkey").alias("task_id")), status_events(spark, sf))
+    return st.pending_requests(table(spark, sf, "customer").select(F.col("c_custkey").alias("task_id")), status_events(spark, sf))
 
 
 @query("t4_run_timeouts", S + """, r AS (SELECT task_id, min(ts) FILTER (step IN ('reading', 'inferring')) AS started, min(ts) FILTER (step IN ('completed', 'failed')) AS ended FROM status GROUP BY 1), n AS (SELECT max(ts) AS now FROM status),
@@ -217,7 +221,8 @@ def _(spark, sf):
     return _plain(_sunk(spark, st.step_timer(status_of(_stream(spark, sf, "events"))), "append"), "started")
 
 
-@query("t4_run_timeouts_stream")
+@query("t4_run_timeouts_stream", S + """, r AS (SELECT task_id, min(ts) FILTER (step IN ('reading', 'inferring')) AS started, min(ts) FILTER (step IN ('completed', 'failed')) AS ended FROM status GROUP BY 1), n AS (SELECT epoch_ms(max(ts)) - 3600000 AS w FROM status)
+SELECT task_id, started FROM r, n WHERE started IS NOT NULL AND NOT coalesce(ended >= started AND epoch_us(ended) - epoch_us(started) <= 72000000000, false) AND w > epoch_ms(started) + 72000000""")
 def _(spark, sf):
     stream = status_of(_stream(spark, sf, "events")).withWatermark("ts", "1 hour")
     return _plain(_sunk(spark, st.run_timeouts_stream(stream), "append"), "started")
@@ -287,13 +292,13 @@ def _(spark, sf):
 
 
 @query("j9_result_index", S + """, l AS (SELECT task_id, arg_max(step, event_id) AS step FROM status GROUP BY 1), s AS (SELECT task_id, CASE WHEN step IN ('completed', 'failed') THEN step ELSE 'processing' END AS status FROM l),
- r AS (SELECT c_custkey AS task_id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name, c_custkey % 3 = 0 AS has_result, c_custkey % 5 = 0 AS has_viewer FROM customer WHERE c_custkey <= 200),
+ r AS (SELECT c_custkey AS task_id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name, c_custkey % 3 = 0 AS has_result, c_custkey % 5 = 0 AS has_viewer FROM customer),
  j AS (SELECT coalesce(r.task_id, s.task_id) AS task_id, name, coalesce(has_result, false) AS has_result, coalesce(has_viewer, false) AS has_viewer, status FROM r FULL JOIN s ON r.task_id = s.task_id)
 SELECT task_id, coalesce(name, 'dataset_' || d.p_partkey) AS name, has_result, has_viewer, coalesce(status, 'completed') AS status FROM j LEFT JOIN part d ON d.p_partkey = task_id
 WHERE (has_result OR has_viewer OR status IN ('completed', 'failed')) AND coalesce(status, 'completed') <> 'processing'""")
 def _(spark, sf):
     c = F.col("c_custkey")
-    results = table(spark, sf, "customer").filter(c <= 200).select(c.alias("task_id"), F.when(c % 2 == 0, F.col("c_name")).alias("name"), (c % 3 == 0).alias("has_result"), (c % 5 == 0).alias("has_viewer"))
+    results = table(spark, sf, "customer").select(c.alias("task_id"), F.when(c % 2 == 0, F.col("c_name")).alias("name"), (c % 3 == 0).alias("has_result"), (c % 5 == 0).alias("has_viewer"))
     datasets = table(spark, sf, "part").select(F.col("p_partkey").alias("task_id"), F.concat(F.lit("dataset_"), "p_partkey").alias("name"))
     return files.result_index(datasets, results, st.latest_status(status_events(spark, sf)))
 

@@ -277,11 +277,12 @@ def _(spark, sf):
 # joins on place
 
 
-@query("j4_nearest_label", P + """, q AS (SELECT scene_id, pid, x, y, z FROM points WHERE pid % 40 = 1), r AS (SELECT scene_id, pid AS ref, x AS rx, y AS ry, z AS rz, sem_pred FROM points WHERE pid % 5 = 0),
+@query("j4_nearest_label", P + """, q AS (SELECT scene_id, pid, x, y, z FROM points), r AS (SELECT scene_id, pid AS ref, x AS rx, y AS ry, z AS rz, sem_pred FROM points WHERE pid IN (SELECT min(pid) FROM points GROUP BY scene_id, floor(x / 8), floor(y / 8), floor(z / 8))),
  d AS (SELECT scene_id, pid, ref, sem_pred, row_number() OVER (PARTITION BY scene_id, pid ORDER BY (x - rx) * (x - rx) + (y - ry) * (y - ry) + (z - rz) * (z - rz), ref) AS k FROM q JOIN r USING (scene_id)) SELECT scene_id, pid, ref, sem_pred FROM d WHERE k = 1""")
 def _(spark, sf):
+    """All points against the first point of each coarse voxel."""
     p = points(spark, sf)
-    return labels.nearest_label(p.filter("pid % 40 = 1"), p.filter("pid % 5 = 0"), "sem_pred", 2.0)
+    return labels.nearest_label(p, voxels.voxel_first(p, 8.0), "sem_pred", 8.0)
 
 
 @query("j4_inverse_labels", V + ", m AS (SELECT scene_id, vx, vy, vz, min(pid) AS rep FROM pv GROUP BY 1, 2, 3, 4) SELECT pid, rep FROM pv JOIN m USING (scene_id, vx, vy, vz)")
@@ -314,10 +315,10 @@ def _(spark, sf):
 
 
 @query("j10_match_one_to_many", V + """, c AS (SELECT scene_id, vx, vy, vz, inst_gt, count(*) AS n, sum(count(*)) OVER (PARTITION BY scene_id, vx, vy, vz) AS t FROM pv GROUP BY 1, 2, 3, 4, 5), k AS (SELECT * FROM c WHERE n / t > 0.5 AND inst_gt <> -1)
-SELECT pid, coalesce(k.inst_gt, -1) AS gt_id FROM pv LEFT JOIN k USING (scene_id, vx, vy, vz) WHERE pid % 7 = 0""")
+SELECT pid, coalesce(k.inst_gt, -1) AS gt_id FROM pv LEFT JOIN k USING (scene_id, vx, vy, vz)""")
 def _(spark, sf):
     p = points(spark, sf)
-    queries = voxels.with_voxel(p.filter("pid % 7 = 0"), 2.0)
+    queries = voxels.with_voxel(p, 2.0)
     return labels.match_one_to_many(queries.drop("inst_gt"), voxels.voxel_instance_masks(p, 2.0), ["scene_id", *K]).select("pid", "gt_id")
 
 
@@ -344,10 +345,10 @@ def _(spark, sf):
 def _fnv_sql() -> str:
     h = "CAST(2166136261 AS HUGEINT)"
     for v in K:
-        h = f"(xor({h}, CAST(({v}) & 4294967295 AS HUGEINT)) * 16777619 % 4294967296)"
+        h = f"(xor({h}, (CAST({v} AS HUGEINT) + 18446744073709551616) % 18446744073709551616) * 16777619 % 18446744073709551616)"
     return h
 
 
-@query("f6_voxel_hash_fnv", V + f" SELECT pid, CAST({_fnv_sql()} AS BIGINT) AS code FROM pv")
+@query("f6_voxel_hash_fnv", V + f" SELECT pid, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS code FROM (SELECT pid, {_fnv_sql()} AS h FROM pv)")
 def _(spark, sf):
     return voxels.with_voxel(points(spark, sf), 2.0).select("pid", keys.fnv(*[F.col(k) for k in K]).alias("code"))

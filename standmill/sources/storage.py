@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir. Only in local mode, where driver and executors are one process, a folder of our own stands in
+    for it; on a cluster an unset one is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='standmill-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found

@@ -70,30 +70,32 @@ def run_timeouts(status: DataFrame, limit_s: float, now: Column) -> DataFrame:
 
 
 def run_timeouts_stream(stream: DataFrame, limit: str = "20 hours") -> DataFrame:
-    """The same on a stream with a watermark on ts: a row for each task whose run outlasts the limit in event time."""
-    limit_ms = int(pd.Timedelta(limit).total_seconds() * 1000)
+    """The same on a stream with a watermark on ts, which stands for now: one row (task_id, started) for each task whose
+    first run report is older than the limit, unless its first finish came at or after it and within the limit."""
+    limit_us = int(pd.Timedelta(limit).total_seconds() * 1_000_000)
 
     def work(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        started, ended, told = state.get if state.exists else (None, None, False)
         if state.hasTimedOut:
-            started = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"task_id": [key[0]], "started": [pd.Timestamp(started, unit="ms")]})
+            state.update((started, ended, True))
+            yield pd.DataFrame({"task_id": [key[0]], "started": [pd.Timestamp(started, unit="us")]})
             return
-        started = state.get[0] if state.exists else None
         for rows in parts:
-            for step, ts in sorted(zip(rows["step"], rows["ts"]), key=lambda r: r[1]):
-                if step in FINISHED:
-                    started = None
-                elif step != "queued" and started is None:
-                    started = ts.value // 1_000_000
-        if started is None:
-            if state.exists:
-                state.remove()
-            return
-        state.update((started,))
-        state.setTimeoutTimestamp(max(started + limit_ms, state.getCurrentWatermarkMs() + 1))
+            us = rows["ts"].astype("datetime64[us]").astype("int64")
+            finished = rows["step"].isin(FINISHED)
+            running = ~finished & (rows["step"] != "queued")
+            if finished.any():
+                ended = int(us[finished].min()) if ended is None else min(ended, int(us[finished].min()))
+            if running.any():
+                started = int(us[running].min()) if started is None else min(started, int(us[running].min()))
+        state.update((started, ended, told))
+        in_time = started is not None and ended is not None and 0 <= ended - started <= limit_us
+        if started is not None and not told and not in_time:
+            state.setTimeoutTimestamp(max((started + limit_us) // 1000, state.getCurrentWatermarkMs() + 1))
 
-    return stream.groupBy("task_id").applyInPandasWithState(work, "task_id long, started timestamp", "started long", "append", GroupStateTimeout.EventTimeTimeout)
+    return stream.groupBy("task_id").applyInPandasWithState(
+        work, "task_id long, started timestamp", "started long, ended long, told boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def telemetry_windows(samples: DataFrame, kind: str = "tumbling", size: str = "1 hour", slide: str | None = None, late: str | None = None, key: str = "step") -> DataFrame:
@@ -120,5 +122,5 @@ def merge_tiles_streaming(preds: DataFrame, by: str = "scene_id") -> DataFrame:
 
 def progress_pct(tiles: DataFrame, total: DataFrame, by: str = "scene_id") -> DataFrame:
     """20 to 85 percent by the share of a scene's tiles that are done."""
-    done = tiles.groupBy(by).agg(F.approx_count_distinct("tile_id", 0.01).alias("done")) if tiles.isStreaming else tiles.groupBy(by).agg(F.countDistinct("tile_id").alias("done"))
+    done = tiles.groupBy(by).agg(F.size(F.collect_set("tile_id")).alias("done"))  # exact on a stream too; a scene has few tiles
     return done.join(total, by).select(by, (20 + F.floor(65 * F.col("done") / F.col("n_tiles"))).cast("int").alias("progress"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from standmill.functions import keys
 from standmill.operators import frames, labels, lod, masks, metrics, predict, tiles, voxels
 
 
@@ -97,8 +98,8 @@ def test_nearest_label_meets_far_points(spark):
     asked = spark.createDataFrame([(0, 1, 0.1, 0.0, 0.0), (0, 2, 240.0, 3.0, 0.0), (0, 3, 499.0, 90.0, 0.0), (0, 4, 250.0, 0.0, 0.0)], "scene_id int, pid long, x double, y double, z double")
     got = {r.pid: r.v for r in labels.nearest_label(asked, refs, "v", 1.0).collect()}
     assert got == {1: 7, 2: 7, 3: 8, 4: 7}
-    few = {r.pid: r.v for r in labels.nearest_label(asked, refs, "v", 1.0, max_rounds=1).collect()}
-    assert few == got
+    narrow = {r.pid: r.v for r in labels.nearest_label(asked, refs, "v", 0.01).collect()}
+    assert narrow == got
 
 
 def test_farthest_points(spark):
@@ -153,6 +154,75 @@ def test_average_precision_on_plain_cases(spark):
     assert none.ap == 0.0
 
 
+def test_a_prediction_is_used_once(spark):
+    truth = spark.createDataFrame([(0, p, 0, 1 + p // 150) for p in range(300)], "scene_id int, pid long, label int, gt_id int")
+    one = spark.createDataFrame([(0, 1, 0, 0.9)], "scene_id int, mask_id int, label int, score double")
+    over = spark.createDataFrame([(0, 1, p) for p in range(300)], "scene_id int, mask_id int, pid long")
+    found = {r.threshold: r for r in metrics.average_precision(one, over, truth).collect()}
+    assert (found[0.25].recall, found[0.25].precision) == (0.5, 1.0) and found[0.55].recall == 0.0
+
+
+def test_matching_by_hand(spark):
+    """Random masks over a few truths, against a restatement with sets."""
+    r = random.Random(8)
+    for _ in range(3):
+        truth = [(0, p, 0, r.choice([0, *[1 + p // 60] * 6])) for p in range(300)]
+        masks_of = {m: {p for p in range(300) if p // 60 in (m % 5, (m + r.randrange(2)) % 5) and r.random() < 0.8} for m in range(1, 9)}
+        scores = {m: r.randrange(10) / 10 for m in masks_of}
+        gts = {g: {p for _, p, _, k in truth if k == g} for g in range(1, 6)}
+        for threshold in (0.25, 0.5):
+            used, hits, wrong, met = set(), [], [], set()
+            for g, own in gts.items():
+                near = [m for m, pts in masks_of.items() if len(pts & own) / len(pts | own) > threshold]
+                met.update(near)
+                best = None
+                for m in near:
+                    if m in used:
+                        continue
+                    if best is None:
+                        best = scores[m]
+                        used.add(m)
+                    else:
+                        wrong.append(min(best, scores[m]))
+                        best = max(best, scores[m])
+                hits += [best] if best is not None else []
+            void = {p for _, p, _, k in truth if k == 0}
+            wrong += [scores[m] for m, pts in masks_of.items() if m not in met and len(pts & void) / len(pts) <= threshold]
+            cuts = sorted(set(hits + wrong))
+            precision = [sum(h >= c for h in hits) / sum(x >= c for x in hits + wrong) for c in cuts] + [1.0]
+            recall = [sum(h >= c for h in hits) / len(gts) for c in cuts] + [0.0]
+            steps = [recall[0], *recall, 0.0]
+            wanted = sum(p * (steps[k] - steps[k + 2]) / 2 for k, p in enumerate(precision))
+            table = spark.createDataFrame([(0, m, 0, s) for m, s in scores.items()], "scene_id int, mask_id int, label int, score double")
+            over = spark.createDataFrame([(0, m, p) for m, pts in masks_of.items() for p in pts], "scene_id int, mask_id int, pid long")
+            got = metrics.average_precision(table, over, spark.createDataFrame(truth, "scene_id int, pid long, label int, gt_id int"), min_region=10)
+            assert got.filter(F.col("threshold") == threshold).first().ap == pytest.approx(wanted)
+
+
+def test_voxel_hashes_have_64_bits(spark):
+    rows = [(k - 300, 7 * k - 900, k * k) for k in range(600)]
+    found = spark.createDataFrame(rows, "x long, y long, z long").select("x", "y", "z", keys.fnv(F.col("x"), F.col("y"), F.col("z")).alias("h")).collect()
+    for r in found:
+        h = 2166136261
+        for v in (r.x, r.y, r.z):
+            h = (h ^ (v & (2**64 - 1))) * 16777619 & (2**64 - 1)
+        assert r.h & (2**64 - 1) == h
+    assert len({r.h for r in found}) == 600 and len({r.h >> 32 for r in found}) > 500
+
+
+def test_the_predictor_runs_once_a_tile(spark, tmp_path):
+    points, _ = cloud(spark, 200)
+
+    def noted(xyz):
+        import uuid
+
+        (tmp_path / uuid.uuid4().hex).touch()
+        return np.zeros(len(xyz)), np.zeros(len(xyz)), np.zeros(len(xyz))
+
+    good, bad = predict.segment(points.withColumn("tile_id", F.col("pid") % 3), noted)
+    assert good.count() == 200 and bad.count() == 0 and len(list(tmp_path.iterdir())) == points.select("scene_id", F.col("pid") % 3).distinct().count()
+
+
 def test_mahalanobis_diagonal_and_full(spark):
     r = np.random.default_rng(0)
     rows = [(0, i, i % 2, [float(v) for v in r.normal(size=3)]) for i in range(40)] + [(0, 99, 5, [1.0, 2.0, 3.0])]
