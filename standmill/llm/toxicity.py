@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from standmill.llm.common import add_by_slices, carried, held_out, map_slices, slices
 
 #: Labelled rows that are learned from, at most.
-EXAMPLES = 3_000
+EXAMPLES = 2_000
 #: Characters of a word that make its term.
 STEM = 4
 #: Examples in a block, neighbours, and weight of the prior.
@@ -43,7 +43,7 @@ BLOCK, NEIGHBOURS, PRIOR_WEIGHT = 64, 15, 0.1
 #: Terms (those of most examples, and of a share of them at least) whose postings are kept as whole rows of a block.
 ROWS, ROW_SHARE = 512, 1 / 32
 #: Blocks that are opened together, and examples (evenly chosen) that votes are calibrated with.
-OPENED, CALIBRATION = 8, 2_000
+OPENED, CALIBRATION = 16, 2_000
 #: Share of the uncalibrated vote in a score: it keeps the order within a step.
 RAW_SHARE = 0.02
 THRESHOLD = 0.3
@@ -75,10 +75,12 @@ class Index:
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the known terms that weigh something, and their weights; both empty where there is none."""
-        get = self.known.get
-        found = sorted((i, n) for t, n in counts.items() if (i := get(t)) is not None)
-        at = np.array([i for i, _ in found], dtype=np.int64)
-        weight = np.array([n for _, n in found], dtype=np.float64) * self.idf[at]
+        found = self.known.keys() & counts.keys()
+        at = np.fromiter(map(self.known.__getitem__, found), dtype=np.int64, count=len(found))
+        number = np.fromiter(map(counts.__getitem__, found), dtype=np.float64, count=len(found))
+        order = np.argsort(at)
+        at = at[order]
+        weight = number[order] * self.idf[at]
         length = math.sqrt(float(weight @ weight))
         return (at, weight / length) if length else (at[:0], weight[:0])
 
