@@ -19,6 +19,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -78,9 +79,7 @@ class Encoder:
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
         words = [None if _WHOLE.search(t or "") else _PRETOKEN.findall((t or "").lower()) for t in texts]
-        missing: set[str] = set()
-        for ws in words:
-            missing.update(set(ws or ()).difference(self.young))
+        missing = set(chain.from_iterable(ws for ws in words if ws)).difference(self.young)
         self.young.update((w, self.old[w]) for w in missing.intersection(self.old))
         self._learn(list(missing.difference(self.old)))
         get = self.young.__getitem__
