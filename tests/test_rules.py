@@ -120,6 +120,39 @@ def test_query_points_keep_the_budget(spark, mode):
     assert len(got) == 2 and all(10 < r["count"] <= 40 for r in got)
 
 
+def adaptive_by_hand(rows, n):
+    """Which pids stay of one scene's (pid, u, v, height): the highest of each cell, thinned along a Z-order curve."""
+    u, v = (np.array([r[k] for r in rows]) for k in (1, 2))
+    cell = max(np.sqrt(np.ptp(u) * np.ptp(v) / min(3 * n, len(rows))), 0.4)
+    best = {}
+    for pid, a, b, height in rows:
+        key = int((a - u.min()) / cell), int((b - v.min()) / cell)
+        best[key] = max(best.get(key, (-np.inf, 0)), (height, -pid))
+    curve = lambda k: sum(((k[0] >> i & 1) << 2 * i) | ((k[1] >> i & 1) << 2 * i + 1) for i in range(16))
+    order = [-best[k][1] for k in sorted(best, key=curve)]
+    wanted, m = min(n, len(rows)), len(order)
+    return {p for i, p in enumerate(order) if m <= wanted or i == 0 or i * wanted // m != (i - 1) * wanted // m}
+
+
+def test_adaptive_queries_by_hand(spark):
+    points, rows = cloud(spark, 300, 2)
+    wanted = {(s, p) for s in (0, 1) for p in adaptive_by_hand([(r[0], *r[2:5]) for r in rows if r[1] == s], 40)}
+    assert {(r.scene_id, r.pid) for r in voxels.select_queries(points, "adaptive", 40).collect()} == wanted
+
+
+def test_adaptive_queries_on_embeddings_by_hand(spark):
+    random = np.random.default_rng(4)
+    vectors = random.normal(size=(200, 5)) * (9, 5, 1, 0.5, 0.2)
+    rows = [(i % 2, i, [float(x) for x in v], float(i % 17)) for i, v in enumerate(vectors)]
+    points = spark.createDataFrame(rows, "scene_id int, pid long, embedding array<double>, z double")
+    middle = vectors - vectors.mean(axis=0)
+    axes = np.linalg.svd(middle)[2][:2]
+    axes = axes * np.sign(axes[[0, 1], np.abs(axes).argmax(axis=1)])[:, None]
+    at = middle @ axes.T
+    wanted = {(s, p) for s in (0, 1) for p in adaptive_by_hand([(r[1], *at[r[1]], r[3]) for r in rows if r[0] == s], 20)}
+    assert {(r.scene_id, r.pid) for r in voxels.select_queries(points, "adaptive_emb", 20).collect()} == wanted
+
+
 def test_samplers(spark):
     points, rows = cloud(spark, 300, 2)
     assert voxels.sample_points(points, 50, 3).groupBy("scene_id").count().filter("count <> 50").isEmpty()
