@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from standmill.functions.keys import hash_order
+from standmill.operators.places import lowest_hashes
+from standmill.sources.storage import written
 
 
 def octree_bounds(points: DataFrame, budget: int = 50_000, max_depth: int = 8, by: str = "scene_id") -> DataFrame:
@@ -42,28 +43,35 @@ def key_name(key: Column, depth: int) -> Column:
     return F.concat(F.lit("r"), *digits)
 
 
-def build_lod(points: DataFrame, bounds: DataFrame, depth: int, budget: int, seed: int = 0, by: str = "scene_id") -> tuple[DataFrame, DataFrame]:
+def build_lod(points: DataFrame, bounds: DataFrame, depth: int | None, budget: int, seed: int = 0, by: str = "scene_id") -> tuple[DataFrame, DataFrame]:
     """Sampled points of every node (by, node, pid) and the nodes (by, node, count, total, children).
 
-    A leaf keeps the points that hash lowest, at most the budget; its parent those of its children's samples, and so on:
-    since the order is one hash, each level follows from the level below. total counts all points below a node."""
-    level = octree_keys(points, bounds, depth, by).select(by, "pid", "oct_key")
-    totals = level.groupBy(by, "oct_key").agg(F.count("*").alias("total"))
-    samples, nodes, children = None, None, None
-    for d in range(depth, -1, -1):
-        order = Window.partitionBy(by, "oct_key").orderBy(hash_order(F.col("pid"), seed), "pid")
-        level = level.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= budget).drop("at")
-        named = level.select(by, key_name(F.col("oct_key"), d).alias("node"), "pid")
-        own = level.groupBy(by, "oct_key").agg(F.count("*").alias("count")).join(totals, [by, "oct_key"])
-        own = own.withColumn("children", F.array().cast("array<bigint>")) if children is None else own.join(children, [by, "oct_key"])
-        own = own.select(by, key_name(F.col("oct_key"), d).alias("node"), "count", "total", "children")
-        samples = named if samples is None else samples.unionByName(named)
-        nodes = own if nodes is None else nodes.unionByName(own)
-        if d:
-            parent = F.shiftright("oct_key", 3)
-            children = totals.groupBy(by, parent.alias("up")).agg(F.sort_array(F.collect_set(F.col("oct_key").bitwiseAND(F.lit(7).cast("long")))).alias("children")).withColumnRenamed("up", "oct_key")
-            totals = totals.groupBy(by, parent.alias("up")).agg(F.sum("total").alias("total")).withColumnRenamed("up", "oct_key")
+    Leaves lie at the given depth, or without one at each scene's own depth in bounds. A leaf keeps the points that hash
+    lowest, at most the budget; its parent those of its children's samples, and so on: since the order is one hash, each
+    level follows from the level below. total counts all points below a node. Keys and levels are written, so the points
+    are read once, however deep the tree is."""
+    own = bounds.select(by, F.lit(depth).cast("int").alias("depth") if depth is not None else F.col("depth").cast("int").alias("depth"))
+    depths = [depth] if depth is not None else [r.depth for r in own.select("depth").distinct().collect()]  # at most max_depth numbers
+    deepest = max(depths, default=0)
+    keyed = octree_keys(points, bounds, deepest, by).select(by, "pid", "oct_key").join(own, by)
+    keyed = written(keyed.withColumn("oct_key", F.expr(f"shiftright(oct_key, 3 * ({deepest} - depth))")))
+    samples, nodes, level, sums = None, None, None, None
+    parent = F.shiftright("oct_key", 3)
+    for d in range(deepest, -1, -1):
+        if level is not None:
             level = level.withColumn("oct_key", parent)
+            digit = F.col("oct_key").bitwiseAND(F.lit(7).cast("long"))
+            sums = sums.groupBy(by, parent.alias("up")).agg(F.sum("total").alias("total"), F.sort_array(F.collect_set(digit)).alias("children")).withColumnRenamed("up", "oct_key")
+        if d in depths:
+            leaves = keyed.filter(F.col("depth") == d).select(by, "pid", "oct_key")
+            counts = leaves.groupBy(by, "oct_key").agg(F.count("*").alias("total")).withColumn("children", F.array().cast("array<bigint>"))
+            level, sums = (leaves, counts) if level is None else (level.unionByName(leaves), sums.unionByName(counts))
+        level, sums = written(lowest_hashes(level, [by, "oct_key"], budget, seed)), written(sums)
+        name = key_name(F.col("oct_key"), d).alias("node")
+        named = level.select(by, name, "pid")
+        found = level.groupBy(by, "oct_key").agg(F.count("*").alias("count")).join(sums, [by, "oct_key"]).select(by, name, "count", "total", "children")
+        samples = named if samples is None else samples.unionByName(named)
+        nodes = found if nodes is None else nodes.unionByName(found)
     return samples, nodes
 
 

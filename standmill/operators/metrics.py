@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -178,70 +177,74 @@ def average_precision(pred_masks: DataFrame, pred_points: DataFrame, truth: Data
     """Average precision per class and threshold, with the best-F1 precision and recall.
 
     pred_masks: by, mask_id, label, score; pred_points: by, mask_id, pid; truth: by, pid, label, gt_id (0: void).
-    Sizes and intersections are joined and counted by Spark; what is matched is the small table of overlapping pairs."""
+    Sizes and intersections are joined and counted by Spark. Predictions and truths meet within a scene only, so the small
+    table of overlapping pairs is matched scene by scene; the curve comes from counts per score."""
     sizes = pred_points.groupBy(by, "mask_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_region)
     preds = pred_masks.join(sizes, [by, "mask_id"])
     hits = pred_points.join(truth, [by, "pid"])
     void = hits.filter("gt_id = 0").groupBy(by, "mask_id").agg(F.count("*").alias("void"))
     inter = hits.filter("gt_id > 0").groupBy(by, "mask_id", "gt_id", F.col("label").alias("gt_label")).agg(F.count("*").alias("inter"))
     gts = truth.filter("gt_id > 0").groupBy(by, "gt_id", "label").agg(F.count("*").alias("n_gt"))
-    small = inter.join(gts.select(by, "gt_id", "n_gt"), [by, "gt_id"])
-    per = small.groupBy(by, "mask_id").agg(F.collect_list(F.struct("gt_id", "gt_label", "inter", "n_gt")).alias("over"))
-    rows = preds.join(void, [by, "mask_id"], "left").join(per, [by, "mask_id"], "left").select(
-        "label", F.col(by).cast("string").alias("scene"), F.col("mask_id").cast("long"), F.col("score").cast("double"), "n", F.coalesce("void", F.lit(0)).cast("long").alias("void"),
-        F.to_json("over").alias("over"), F.lit(None).cast("long").alias("gt_id"), F.lit(None).cast("long").alias("n_gt"),
+    pairs = preds.join(void, [by, "mask_id"], "left").join(inter, [by, "mask_id"], "left").join(gts.withColumnRenamed("label", "gt_label"), [by, "gt_id", "gt_label"], "left")
+    pairs = pairs.select(
+        by, F.col("label").cast("int"), F.col("mask_id").cast("long"), F.col("score").cast("double"), F.col("n").cast("long"), F.coalesce("void", F.lit(0)).cast("long").alias("void"),
+        F.coalesce("gt_id", F.lit(0)).cast("long").alias("gt_id"), F.coalesce("gt_label", F.lit(-1)).cast("int").alias("gt_label"),
+        F.coalesce("inter", F.lit(0)).cast("long").alias("inter"), F.coalesce("n_gt", F.lit(0)).cast("long").alias("n_gt"),
     )
-    goals = gts.select("label", F.col(by).cast("string").alias("scene"), F.lit(None).cast("long").alias("mask_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("void"), F.lit(None).cast("string").alias("over"), F.col("gt_id").cast("long"), "n_gt")
-    each = rows.unionByName(goals).withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])))
 
     def matched(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([_matched(int(key[0]), float(key[1]), group, min_region)], columns=["label", "threshold", "ap", "precision", "recall"])
-
-    return each.groupBy("label", "threshold").applyInPandas(matched, "label int, threshold double, ap double, precision double, recall double")
-
+        found = [(int(key[1]), t, score, hit) for t in THRESHOLDS for score, hit in _matched(int(key[1]), t, group, min_region)]
+        return pd.DataFrame(found, columns=["label", "threshold", "score", "hit"])
+
+    calls = pairs.groupBy(by, "label").applyInPandas(matched, "label int, threshold double, score double, hit boolean")
+    labels = preds.select(F.col("label").cast("int")).union(gts.select(F.col("label").cast("int"))).distinct().withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])))
+    truths = gts.groupBy(F.col("label").cast("int").alias("label")).agg(F.count_if(F.col("n_gt") >= min_region).alias("n_truths"))
+    return labels.join(_curves(calls, truths), ["label", "threshold"], "left").join(truths, "label", "left").select(
+        "label", "threshold", *[F.when(F.coalesce("n_truths", F.lit(0)) > 0, F.coalesce(c, F.lit(0.0))).alias(c) for c in ("ap", "precision", "recall")]
+    )
 
-def _matched(label: int, threshold: float, group: pd.DataFrame, min_region: int) -> tuple:
-    """Greedy matching per truth, and the precision-recall curve at the distinct scores."""
-    import json
 
-    truths = {(s, int(g)): int(n) for s, g, n in group.loc[group.gt_id.notna(), ["scene", "gt_id", "n_gt"]].itertuples(index=False) if n >= min_region}
-    preds = list(group[group.mask_id.notna()].sort_values(["scene", "mask_id"]).itertuples(index=False))
-    over = [json.loads(r.over) if isinstance(r.over, str) else [] for r in preds]
-    points: list[tuple[float, bool]] = []  # score, hit
-    reach: dict[tuple, list[int]] = {}  # predictions that overlap a truth by more than the threshold, in order
-    for i, r in enumerate(preds):
-        for o in over[i]:
-            key = (r.scene, int(o["gt_id"]))
-            if o["gt_label"] == label and key in truths and o["inter"] / (o["n_gt"] + r.n - o["inter"]) > threshold:
-                reach.setdefault(key, []).append(i)
+def _curves(calls: DataFrame, truths: DataFrame) -> DataFrame:
+    """Area under the precision-recall curve, and its point of best F1 (ties: the lowest score), per label and threshold.
+
+    The curve has a point for each distinct score (all calls with at least it) and ends at precision 1 and recall 0. Each
+    precision counts for half the recall between its two neighbours; the first point is its own neighbour."""
+    key = ["label", "threshold"]
+    steps = calls.groupBy(*key, "score").agg(F.count_if("hit").alias("tp"), F.count("*").alias("n"))
+    up = Window.partitionBy(*key).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(*key).orderBy(F.desc("score"))
+    curve = steps.withColumns({"tp": F.sum("tp").over(up), "n": F.sum("n").over(up)}).join(truths.filter("n_truths > 0"), "label")
+    curve = curve.withColumns({"precision": F.col("tp") / F.col("n"), "recall": F.col("tp") / F.col("n_truths")})
+    after = F.coalesce(F.lag("recall").over(along), F.lit(0.0))  # the next higher score, or the end of the curve
+    before = F.coalesce(F.lead("recall").over(along), F.col("recall"))
+    f1 = 2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1e-12))
+    curve = curve.withColumns({"area": F.col("precision") * (before - after) / 2, "f1": f1})
+    # the last point has precision 1 and half the recall of the highest score's point
+    best = F.max_by(F.struct("precision", "recall"), F.struct(F.col("f1"), -F.col("score")))
+    found = curve.groupBy(*key).agg(F.sum("area").alias("area"), F.max_by("recall", "score").alias("top"), best.alias("best"))
+    return found.select(*key, (F.col("area") + F.col("top") / 2).alias("ap"), "best.precision", "best.recall")
+
+
+def _matched(label: int, threshold: float, pairs: pd.DataFrame, min_region: int) -> list[tuple[float, bool]]:
+    """What each prediction of a scene and class counts for: score and hit. pairs: a row for each prediction and truth that
+    it overlaps (one with gt_id 0 if none). Greedy per truth; predictions that lie on ignored points count for nothing."""
+    pairs = pairs.sort_values(["mask_id", "gt_id"])
+    iou = pairs["inter"] / (pairs["n_gt"] + pairs["n"] - pairs["inter"])
+    wide = (pairs["gt_id"] > 0) & (pairs["n_gt"] >= min_region) & (pairs["gt_label"] == label)
+    points: list[tuple[float, bool]] = []
     taken: set[int] = set()  # the first prediction that a truth meets is used up; later ones of it stay free for other truths
-    for key in sorted(reach):
-        free = [i for i in reach[key] if i not in taken]
-        if free:
-            taken.add(free[0])
-            scores = sorted(preds[i].score for i in free)
+    for _, own in pairs[wide & (iou > threshold)].groupby("gt_id", sort=True):
+        free = own[~own["mask_id"].isin(taken)]
+        if len(free):
+            taken.add(int(free["mask_id"].iloc[0]))
+            scores = sorted(free["score"])
             points += [(s, False) for s in scores[:-1]] + [(scores[-1], True)]
-    reaching = {i for own in reach.values() for i in own}
-    for i, r in enumerate(preds):
-        if i not in reaching:
-            small = sum(o["inter"] for o in over[i] if o["gt_label"] == label and (r.scene, int(o["gt_id"])) not in truths)
-            if (r.void + small) / r.n <= threshold:
-                points.append((r.score, False))
-    if not truths:
-        return label, threshold, None, None, None
-    if not points:
-        return label, threshold, 0.0, 0.0, 0.0
-    score = np.array([p[0] for p in points])
-    hit = np.array([p[1] for p in points])
-    cuts = np.unique(score)
-    tp = np.array([(hit & (score >= c)).sum() for c in cuts])
-    n = np.array([(score >= c).sum() for c in cuts])
-    precision, recall = np.append(tp / n, 1.0), np.append(tp / len(truths), 0.0)
-    padded = np.concatenate([[recall[0]], recall, [0.0]])
-    ap = float(precision @ ((padded[:-2] - padded[2:]) / 2))
-    f1 = 2 * precision * recall / np.maximum(precision + recall, 1e-12)
-    k = int(f1.argmax())
-    return label, threshold, ap, float(precision[k]), float(recall[k])
+    reaching = set(pairs.loc[wide & (iou > threshold), "mask_id"])
+    small = pairs["inter"].where((pairs["gt_id"] > 0) & (pairs["n_gt"] < min_region) & (pairs["gt_label"] == label), 0)
+    for mask_id, own in pairs.assign(small=small).groupby("mask_id", sort=True):
+        if mask_id not in reaching and (own["void"].iloc[0] + own["small"].sum()) / own["n"].iloc[0] <= threshold:
+            points.append((float(own["score"].iloc[0]), False))
+    return points
 
 
 def summarize_ap(per_threshold: DataFrame) -> DataFrame:

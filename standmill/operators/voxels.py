@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from standmill.functions.keys import floor_long, hash_order, morton2d, voxel
 from standmill.operators.frames import voxel_features
+from standmill.operators.places import BUCKET_BITS, lowest_hashes, placed
 
 KEY = ("vx", "vy", "vz")
 
@@ -134,25 +135,23 @@ def superpoint_labels(points: DataFrame, key: str, num_classes: int, stuff: tupl
 def sample_points(points: DataFrame, n: int, seed: int = 0, far_range: float | None = None, by: str = "scene_id") -> DataFrame:
     """At most n points of each scene, those that hash lowest; with far_range points farther out come first.
 
-    Each partition first keeps its own n best (Spark ranks before the shuffle), so no scene is sorted whole."""
-    far = F.lit(0) if far_range is None else F.when(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")) > far_range, 0).otherwise(1)
-    order = Window.partitionBy(by).orderBy(far, hash_order(F.col("pid"), seed), "pid")
-    return points.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("rank")
+    No scene is sorted whole: see lowest_hashes."""
+    far = None if far_range is None else F.when(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")) > far_range, 0).otherwise(1)
+    return lowest_hashes(points, [by], n, seed, far)
 
 
 def sample_with_replacement(points: DataFrame, n: int, seed: int = 0, by: str = "scene_id") -> DataFrame:
     """n draws (column draw) of each scene's points, the same point any number of times."""
-    order = Window.partitionBy(by).orderBy("pid")
-    numbered = points.withColumn("at", F.row_number().over(order) - 1)
+    numbered = placed(points, [by], F.shiftright(F.col("pid").cast("long"), 16), [F.col("pid")], name="at")
     drawn = points.groupBy(by).agg(F.count("*").alias("m")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    drawn = drawn.withColumn("at", F.pmod(hash_order(F.col("draw") + F.col(by) * 1000003, seed), F.col("m")).cast("int"))
+    drawn = drawn.withColumn("at", F.pmod(hash_order(F.col("draw") + F.col(by) * 1000003, seed), F.col("m")))
     return drawn.select(by, "draw", "at").join(numbered, [by, "at"]).drop("at")
 
 
 def shuffle_points(points: DataFrame, seed: int = 0, by: str = "scene_id") -> DataFrame:
     """A place (from 0) for every point in a random order of its scene."""
-    order = Window.partitionBy(by).orderBy(hash_order(F.col("pid"), seed), "pid")
-    return points.withColumn("place", F.row_number().over(order) - 1)
+    order = hash_order(F.col("pid"), seed)
+    return placed(points, [by], F.shiftright(order, BUCKET_BITS), [order, F.col("pid")]).withColumn("place", F.col("place").cast("int"))
 
 
 def sample_patches(points: DataFrame, block: float, n: int, seed: int = 0, tries: int = 10, least_points: int = 10, annotated: float = 0.7, by: str = "scene_id") -> DataFrame:

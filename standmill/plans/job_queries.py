@@ -109,6 +109,20 @@ def _(spark, sf):
     return files.inventory(listing.unionByName(listing), ("src3",)).select("path", "name", "size", "type")
 
 
+@query("s6_dataset_inventory_files", P + " SELECT CAST(pid % 4 AS INTEGER) AS part, 'part-00000.ply' AS name, 'ply' AS type, count(*) AS n_points FROM points GROUP BY 1")
+def _(spark, sf):
+    """Real files, those in a folder of results left out, with the points that are in them."""
+    p, root = _predictions(spark, sf), new_path(spark)
+    for part in range(4):
+        own = p.filter(F.col("pid") % 4 == part)
+        for folder in (f"{root}/{part}", f"{root}/output/{part}"):
+            files.write_ply(own, folder, 1).collect()
+    part = lambda c: F.regexp_extract(c, r"/(\d)/[^/]*$", 1).cast("int")
+    found = files.dataset_inventory(spark, [root]).select(part("path").alias("part"), "name", "type")
+    read = files.read_ply(spark, root, ("x",)).filter(~F.col("file").contains("/output/"))
+    return found.join(read.groupBy(part("file").alias("part")).agg(F.count("*").alias("n_points")), "part")
+
+
 @query("s7_tree_point_store", P + """ SELECT scene_id, inst_pred AS tree_id, count(*) AS n_points, CAST(coalesce(sum(count(*)) OVER (PARTITION BY scene_id ORDER BY inst_pred ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM points WHERE inst_pred >= 0 GROUP BY 1, 2""")
 def _(spark, sf):
     return files.tree_point_store(points(spark, sf))[1]

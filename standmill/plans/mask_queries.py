@@ -177,6 +177,17 @@ def _(spark, sf):
     return lod.build_lod(p, lod.octree_bounds(p), 3, 40)[1].withColumn("children", F.concat_ws("", F.transform("children", lambda c: c.cast("string"))))
 
 
+OWN = keys_sql(4) + f""", own AS (SELECT scene_id, CASE WHEN n / 8 < 200 THEN 1 WHEN n / 64 < 200 THEN 2 WHEN n / 512 < 200 THEN 3 ELSE 4 END AS depth FROM bounds),
+ named AS (SELECT scene_id, pid, substr('r' || (oct_key >> 9 & 7) || (oct_key >> 6 & 7) || (oct_key >> 3 & 7) || (oct_key & 7), 1, k) AS node FROM keyed JOIN own USING (scene_id), (VALUES (1), (2), (3), (4), (5)) AS t(k) WHERE k <= depth + 1)
+ SELECT scene_id, node, pid FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, node ORDER BY {hash_order_sql('pid')}, pid) AS place FROM named) WHERE place <= 40"""
+
+
+@query("o3_build_lod_own_depth", OWN)
+def _(spark, sf):
+    p = points(spark, sf)
+    return lod.build_lod(p, lod.octree_bounds(p, 200, 4), None, 40)[0]
+
+
 @query("o4_write_lod", LOD + " SELECT CAST(scene_id AS INTEGER) AS scene_id, node, count(*) AS n FROM samples GROUP BY 1, 2")
 def _(spark, sf):
     from standmill.sources.storage import new_path

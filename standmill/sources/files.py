@@ -12,6 +12,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from standmill.operators.places import placed
+from standmill.sources.storage import written
+
 #: Type names of PLY headers, as numpy and Spark types.
 TYPES = {
     "char": ("i1", "byte"), "int8": ("i1", "byte"), "uchar": ("u1", "short"), "uint8": ("u1", "short"), "short": ("i2", "short"), "int16": ("i2", "short"),
@@ -95,10 +98,10 @@ def read_ply(spark: SparkSession, path: str, columns: tuple[str, ...] | None = N
 
 
 def _read_ascii(spark: SparkSession, heads: list[dict], kept: list[tuple[str, str]]) -> DataFrame:
-    """Points are the lines whose byte place lies behind the header; their order in the file is that of their places."""
+    """Points are the lines behind the header; a line's number is its place in its block and the lines of the blocks before it."""
     names = [n for n, _ in heads[0]["properties"]]
     lines = spark.read.text([h["path"] for h in heads]).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
-    numbered = lines.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("block", "at")))
+    numbered = placed(lines, ["file"], F.col("block"), [F.col("at")], name="line")
     ends = numbered.filter("value = 'end_header'").groupBy("file").agg(F.min("line").alias("end"))
     counts = spark.createDataFrame([(h["path"].split("://")[-1], h["n"]) for h in heads], "tail string, n long")
     rows = numbered.join(ends, "file").withColumn("tail", F.concat(F.lit("/"), F.regexp_replace("file", "^[a-z0-9]+:/+", ""))).join(F.broadcast(counts), "tail")
@@ -146,20 +149,54 @@ def write_ply(df: DataFrame, path: str, parts: int = 8) -> DataFrame:
     return df.repartitionByRange(parts, "pid").sortWithinPartitions("pid").select(*names).mapInPandas(write, "file string, n_points long")
 
 
+#: The three arrays of a scene, with their columns and types.
+ARRAYS = {"points": (["x", "y", "z"], "<f4"), "instance_mask": (["instance"], "<i8"), "semantic_mask": (["semantic"], "<i8")}
+
+
 def write_scene_bins(points: DataFrame, root: str) -> DataFrame:
-    """Writes each scene (name, pid, x, y, z, instance, semantic) as three raw arrays; one task holds one scene at a time."""
+    """Writes each scene (name, pid, x, y, z, instance, semantic) as three raw arrays; returns the scenes and their counts.
+
+    Blocks of BLOCK_RECORDS points are written as pieces by tasks of their own. A last task for each scene joins its pieces
+    through a small buffer, so no task holds a scene; files are written under an attempt's name and then moved."""
+    blocks = placed(points, ["name"], F.shiftright(F.col("pid").cast("long"), 16), [F.col("pid")], name="at")
+    blocks = blocks.withColumn("block", F.floor(F.col("at") / BLOCK_RECORDS).cast("long")).drop("at")
+
+    def attempt() -> str:
+        task = TaskContext.get()
+        return f"{task.stageId()}-{task.partitionId()}-{task.attemptNumber()}"
 
-    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def pieces(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         system, place = _open(root)
-        system.create_dir(place, recursive=True)
+        system.create_dir(f"{place}/.pieces", recursive=True)
         rows = rows.sort_values("pid", kind="stable")
-        arrays = {"points": rows[["x", "y", "z"]].to_numpy("<f4"), "instance_mask": rows["instance"].to_numpy("<i8"), "semantic_mask": rows["semantic"].to_numpy("<i8")}
-        for name, data in arrays.items():
-            with system.open_output_stream(f"{place}/{key[0]}_{name}.bin") as f:
-                f.write(data.tobytes())
-        return pd.DataFrame({"name": [key[0]], "n_points": [len(rows)]})
-
-    return points.groupBy("name").applyInPandas(write, "name string, n_points long")
+        for kind, (columns, dtype) in ARRAYS.items():
+            final = f"{place}/.pieces/{key[0]}_{kind}-{key[1]}"
+            with system.open_output_stream(f"{final}.{attempt()}") as f:
+                f.write(np.ascontiguousarray(rows[columns].to_numpy(dtype)).tobytes())
+            system.move(f"{final}.{attempt()}", final)
+        return pd.DataFrame({"name": [key[0]], "block": [key[1]], "n": [len(rows)]})
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, n_blocks, n_points in batch.itertuples(index=False):
+                system, place = _open(root)
+                for kind in ARRAYS:
+                    final = f"{place}/{name}_{kind}.bin"
+                    with system.open_output_stream(f"{final}.{attempt()}") as out:
+                        for block in range(n_blocks):
+                            with system.open_input_stream(f"{place}/.pieces/{name}_{kind}-{block}") as body:
+                                while chunk := body.read(1 << 22):
+                                    out.write(chunk)
+                    system.move(f"{final}.{attempt()}", final)
+                yield pd.DataFrame({"name": [name], "n_points": [n_points]})
+
+    done = written(blocks.groupBy("name", "block").applyInPandas(pieces, "name string, block long, n long"))
+    scenes = done.groupBy("name").agg(F.count("*").alias("n_blocks"), F.sum("n").alias("n_points"))
+    made = written(scenes.mapInPandas(joined, "name string, n_points long"))
+    system, place = _open(root)
+    if system.get_file_info(f"{place}/.pieces").type == fs.FileType.Directory:
+        system.delete_dir(f"{place}/.pieces")
+    return made
 
 
 def read_scene_bins(spark: SparkSession, root: str, scenes: DataFrame) -> DataFrame:

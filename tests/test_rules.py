@@ -5,10 +5,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from standmill.functions import keys
+from standmill.functions import keys, text
+from standmill.functions.keys import hash_order
 from standmill.operators import frames, labels, lod, masks, metrics, predict, tiles, voxels
+from standmill.sources import files
 
 
 def cloud(spark, n=400, scenes=2, seed=1, grid=100):
@@ -174,6 +177,66 @@ def test_lod(spark):
     assert held == {(r.scene_id, r.node): r["count"] for r in table}
 
 
+def test_lod_of_scenes_with_depths_of_their_own(spark):
+    points, rows = cloud(spark, 3000, 2)
+    points = points.filter("scene_id = 0 OR pid % 20 = 1")
+    bounds = lod.octree_bounds(points, 100, 4)
+    depth = {r.scene_id: r.depth for r in bounds.collect()}
+    assert len(set(depth.values())) == 2
+    samples, nodes = lod.build_lod(points, bounds, None, 30)
+    keyed = lod.octree_keys(points, bounds, 4).select("scene_id", "pid", lod.key_name(F.col("oct_key"), 4).alias("leaf"), hash_order(F.col("pid")).alias("order")).collect()
+    under = {}
+    for r in keyed:
+        for d in range(depth[r.scene_id] + 1):
+            under.setdefault((r.scene_id, r.leaf[: d + 1]), []).append((r.order, r.pid))
+    wanted = {(s, node, pid) for (s, node), own in under.items() for _, pid in sorted(own)[:30]}
+    assert {(r.scene_id, r.node, r.pid) for r in samples.collect()} == wanted
+    assert {(r.scene_id, r.node): r.total for r in nodes.collect()} == {k: len(v) for k, v in under.items()}
+
+
+def test_places_in_buckets(spark):
+    points, _ = cloud(spark, 6000, 2)
+    order = [F.col("hash"), F.col("pid")]
+    plain = points.withColumn("hash", hash_order(F.col("pid"), 3)).withColumn("place", F.row_number().over(Window.partitionBy("scene_id").orderBy(*order)) - 1)
+    wanted = {(r.scene_id, r.pid): r.place for r in plain.collect()}
+    assert {(r.scene_id, r.pid): r.place for r in voxels.shuffle_points(points, 3).collect()} == wanted
+    for n in (10, 1500, 9000):  # within Spark's own rank limit, beyond it, and all
+        assert {(r.scene_id, r.pid) for r in voxels.sample_points(points, n, 3).collect()} == {k for k, at in wanted.items() if at < n}
+    assert voxels.sample_points(points, 1500, 3, 8.0).groupBy("scene_id").count().filter("count <> 1500").isEmpty()
+
+
+def test_scene_arrays_in_several_blocks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(files, "BLOCK_RECORDS", 100)
+    points, rows = cloud(spark, 1000, 2)
+    named = points.select(F.concat(F.lit("s"), "scene_id").alias("name"), "pid", "x", "y", "z", F.col("pid").alias("instance"), F.col("pid").alias("semantic"))
+    scenes = files.write_scene_bins(named, f"file://{tmp_path}")
+    back = files.read_scene_bins(spark, f"file://{tmp_path}", scenes).orderBy("name", "row").collect()
+    wanted = named.orderBy("name", "pid").collect()
+    assert [(r.name, r.instance, r.semantic) for r in back] == [(r.name, r.pid, r.pid) for r in wanted]
+    assert [r.x for r in back] == pytest.approx([r.x for r in wanted], rel=1e-6)
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == sorted(f"s{s}_{k}.bin" for s in (0, 1) for k in files.ARRAYS)
+
+
+def test_ascii_points_of_a_file_in_several_blocks(spark, tmp_path):
+    rows = [(k, k * 7 % 1000) for k in range(2000)]
+    text = f"ply\nformat ascii 1.0\nelement vertex {len(rows)}\nproperty float x\nproperty float y\nproperty float z\nproperty int c\nend_header\n" + "".join(f"{a} 0 0 {b}\n" for a, b in rows)
+    (tmp_path / "a.ply").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        back = files.read_ply(spark, f"file://{tmp_path}/a.ply").orderBy("row").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.row, r.x, r.c) for r in back] == [(k, float(a), b) for k, (a, b) in enumerate(rows)]
+
+
+def test_requests_hold_fields_notes_and_tasks(spark):
+    tree = spark.createDataFrame([(0, 1, *[2.0] * 11)], "scene_id int, tree_id int, " + ", ".join(f"{f} double" for f in text.TREE_FIELDS if f != "tree_id"))
+    made = text.tree_prompts(tree).first()
+    assert all(f'"{f}"' in made.user for f in text.TREE_FIELDS) and all(f"- {k}: {v}" in made.user for k, v in text.FIELD_NOTES.items())
+    assert all(f"{k}. {t}" in made.user for k, t in enumerate(text.TREE_TASKS, 1)) and text.LANGUAGE["en"] in made.system
+
+
 def test_average_precision_on_plain_cases(spark):
     truth = spark.createDataFrame([(0, p, 0, 1 if p < 200 else 2) for p in range(400)], "scene_id int, pid long, label int, gt_id int")
     table = spark.createDataFrame([(0, 1, 0, 0.9), (0, 2, 0, 0.8)], "scene_id int, mask_id int, label int, score double")
