@@ -630,3 +630,70 @@ def test_patterns_beyond_the_broadcast_and_long_ones_are_used(spark, monkeypatch
     found = {r.doc_id: r.spans for r in personal_data.find(docs, trusted).collect()}
     assert len(trusted) == 1 and all(found[i] == f"id:{t.index('K')}:{len(t)}" for i, t in rows if i >= 100)
     assert all(r.text.endswith("<ID>") for r in personal_data.mask(docs, trusted).filter("doc_id >= 100").collect())
+
+
+def plain_personal_data(texts):
+    """The spans of each text by the whole method, with sets and dicts: what op10 must give."""
+
+    def others(text, base):
+        found = [m.span() for m in re.finditer(r"[A-Za-z0-9](?:[A-Za-z0-9._@/+-]*[A-Za-z0-9])?", text) if len(m.group()) >= 6 and re.search("[0-9]", m.group())]
+        return [(a, b) for a, b in found if not any(c < b and a < d for c, d in base)]
+
+    def contexts(text, a, b):
+        sides = (re.findall(r"[^\x20\x09-\x0D]+", text[:a])[-2:], re.findall(r"[^\x20\x09-\x0D]+", text[b:])[:2])
+        return {" ".join(re.sub("[0-9]+", "9", w.lower()) for w in words) for words in sides if len(words) == 2}
+
+    instances, seeds, parts = {}, set(), []
+    for text in texts:
+        kinds = plain_spans(text or "")
+        base = [s for own in kinds.values() for s in own]
+        free = others(text or "", base)
+        parts.append((kinds, free))
+        for a, b in base + free:
+            for pattern in contexts(text, a, b):
+                instances.setdefault(pattern, set()).add(text[a:b])
+        seeds |= {text[a:b] for a, b in base if contexts(text, a, b)}
+    score = {p: sum(i in seeds for i in own) / len(own) for p, own in instances.items()}
+    for _ in range(3):
+        trust = {}
+        for p, own in instances.items():
+            for i in own:
+                trust[i] = 1.0 if i in seeds else max(trust.get(i, 0.0), score[p])
+        score = {p: sum(trust[i] for i in own) / len(own) for p, own in instances.items()}
+    trusted = {p for p, own in instances.items() if len(own) >= 5 and score[p] >= 0.9}
+    out = []
+    for text, (kinds, free) in zip(texts, parts):
+        spans = [f"{k}:{a}:{b}" for k, own in kinds.items() for a, b in own]
+        out.append(",".join([*spans, *(f"id:{a}:{b}" for a, b in free if contexts(text, a, b) & trusted)]))
+    return out, trusted
+
+
+def chained_corpus(r):
+    """Contexts that are met by emails only, by identifiers only, and by both in all shares; some identifiers in several contexts."""
+    words = ["send it", "paid by", "user is", "ref no", "see also", "key was", "line 7", '("id" :', "my own", "é ü"]
+    names = [f"K{r.randrange(10**7):07d}/{c}" for c in "ABCDEFGH" for _ in range(8)]
+    rows = []
+    for k in range(600):
+        cue = r.randrange(len(words))
+        what = f"n{r.randrange(90)}@x.org" if r.random() < (1.0, 0.97, 0.9, 0.8, 0.6, 0.4, 0.2, 0.0, 0.95, 0.7)[cue] else r.choice(names[cue * 4 : cue * 4 + 12])
+        rows.append(r.choice(["{0} {1} {2}", "{0} {1}", "a {0} {1}, then {2}\n{0} {1}"]).format(words[cue], what, r.choice(words)))
+    return [*rows, None, "", "K1234567/A", "user is " + "7" * 5000, *rows[:20]]
+
+
+@pytest.mark.parametrize(("seed", "patterns"), [(1, 10_000), (2, 3), (3, 10_000)])
+def test_added_spans_against_a_plain_program(spark, monkeypatch, seed, patterns):
+    texts = chained_corpus(random.Random(seed))
+    wanted, trusted = plain_personal_data(texts)
+    monkeypatch.setattr(personal_data, "PATTERNS", patterns)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    found = {r.doc_id: r.spans for r in personal_data.personal_data(docs).collect()}
+    assert trusted and any("id:" in s for s in wanted) and any("id:" not in s for s in wanted if s)
+    assert found == dict(enumerate(wanted))
+
+
+def test_personal_data_of_the_documents_against_a_plain_program(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    wanted, _ = plain_personal_data([r.text for r in rows])
+    found = {r.doc_id: r.spans for r in personal_data.personal_data(docs).collect()}
+    assert found == {r.doc_id: s for r, s in zip(rows, wanted)}
