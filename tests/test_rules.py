@@ -230,6 +230,19 @@ def test_ascii_points_of_a_file_in_several_blocks(spark, tmp_path):
     assert [(r.row, r.x, r.c) for r in back] == [(k, float(a), b) for k, (a, b) in enumerate(rows)]
 
 
+@pytest.mark.parametrize(("budget", "grid"), [(300, 100), (1, 100)])
+def test_voxel_budget_by_exact_bisection(spark, budget, grid):
+    points, rows = cloud(spark, 1500, 2, grid=grid)
+    cells = lambda size: {(r[1], *(int(v // size) for v in r[2:5])) for r in rows}
+    low, high, best = 0.05, 5.0, None
+    for _ in range(15):
+        middle = (low + high) / 2
+        low, high, best = (low, middle, middle) if len(cells(middle)) <= budget else (middle, high, best)
+    found = voxels.voxel_to_budget(points, budget, 0.05)
+    wanted = len(rows) if budget >= len(rows) else budget if best is None else len(cells(best))
+    assert found.count() == wanted
+
+
 def test_requests_hold_fields_notes_and_tasks(spark):
     tree = spark.createDataFrame([(0, 1, *[2.0] * 11)], "scene_id int, tree_id int, " + ", ".join(f"{f} double" for f in text.TREE_FIELDS if f != "tree_id"))
     made = text.tree_prompts(tree).first()
