@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from standmill.llm import hamming_search, html_content, language_id, ngram_join, packing, personal_data, piece_sampling, quality_rules, token_counts, toxicity
+from standmill.llm import collocations, hamming_search, html_content, language_id, ngram_join, packing, personal_data, piece_sampling, quality_rules, token_counts, toxicity
 from standmill.llm.common import table
 
 
@@ -53,9 +53,13 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_html_content, op4_quality_rules, op5_toxicity, op6_token_counts, op7_piece_sampling, op8_packing, op9_hamming_search, op10_personal_data)}
+    return {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_html_content, op4_quality_rules, op5_toxicity, op6_token_counts, op7_piece_sampling, op8_packing, op9_hamming_search, op10_personal_data, op11_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.SQL, "op9_hamming_search": hamming_search.SQL}
+    return {"op4_quality_rules": quality_rules.SQL, "op9_hamming_search": hamming_search.SQL, "op11_collocations": collocations.SQL}
