@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from standmill.llm import collocations, hamming_search, html_content, language_id, ngram_join, packing, personal_data, piece_sampling, quality_rules, token_counts, toxicity
+from standmill.llm import ann_search, collocations, conversation_repair, hamming_search, html_content, language_id, ngram_join, packing, personal_data, piece_sampling, quality_rules, token_counts, toxicity
 from standmill.llm.common import table
 
 
@@ -57,8 +58,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann_search.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_html_content, op4_quality_rules, op5_toxicity, op6_token_counts, op7_piece_sampling, op8_packing, op9_hamming_search, op10_personal_data, op11_collocations)}
+    return {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_html_content, op4_quality_rules, op5_toxicity, op6_token_counts, op7_piece_sampling, op8_packing, op9_hamming_search, op10_personal_data, op11_collocations, op12_ann_search, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
