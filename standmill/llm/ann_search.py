@@ -3,7 +3,8 @@
 Centres are the means of balanced leaves: a bounded sample of the vectors is halved at the median of a two-means direction
 until there is a leaf for about LIST_ROWS vectors. Every vector is indexed: it goes to the list of its nearest centre and,
 if it lies near a boundary, also to those up to ROWS_RATIO times as far (REPLICAS at most). A query goes to all
-lists whose centres are at most QUERY_RATIO times as far as its nearest one; there is no cap on their number. Both find their
+lists whose centres are at most QUERY_RATIO times as far as its nearest one, and on to farther ones until AT_LEAST * (k + 1)
+vectors are at home there, so that k are always found; there is no cap on their number. Both find their
 centres by a search of a graph of the centres, which tasks hold in memory (MAX_LISTS centres at most), and which goes on
 until the farthest centre of its beam is outside the ratio. Within the lists all inner products are taken, in double precision.
 
@@ -35,6 +36,8 @@ from standmill.llm.common import scratch, written
 LIST_ROWS, MAX_LISTS, SAMPLE = 512, 4096, 32_768
 #: How much farther (in squared distance) than its nearest centre those of a vector and of a query may be; copies of a vector at most.
 ROWS_RATIO, QUERY_RATIO, REPLICAS = 1.05, 1.3, 8
+#: Vectors at home in a query's lists, at least so many times what is looked for.
+AT_LEAST = 4
 #: Neighbours of a centre in the graph, and random ones besides; centres that a beam expands at once.
 NEAR_LINKS, FAR_LINKS, STEP = 24, 8, 4
 #: Rows and queries of a list that meet in one task; rows that look for centres together.
@@ -80,13 +83,16 @@ class CentreGraph:
         self.links = np.concatenate([np.concatenate(near), ring[:, None], r.integers(0, n, (n, FAR_LINKS - 1))], axis=1)
         self.entries = r.choice(n, min(n, STEP), replace=False)
 
-    def search(self, points: np.ndarray, ratio: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(row, centre) for the centres within the ratio of the nearest, ``most`` nearest of them at most."""
+    def search(self, points: np.ndarray, ratio: float, most: int | None = None, homes: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(row, centre), nearest first, for the centres within the ratio of the nearest, ``most`` of them at most, and for those
+        before which fewer than ``least`` vectors are at home."""
         points = points.astype(np.float32)
         width, n = 16, len(self.centres)
         while True:
             beam, gap = self._beam(points, min(width, n))
             inside = gap <= np.maximum(gap[:, :1], 0) * ratio + 1e-6
+            if homes is not None:
+                inside |= np.cumsum(homes[beam], axis=1) - homes[beam] < least
             if width >= n or (most and width >= 2 * most) or not inside[:, -1].any():
                 break
             width *= 4
@@ -169,19 +175,20 @@ def fit(vectors: DataFrame) -> Index | None:
     return index
 
 
-def _listed(rows: DataFrame, index, queries: bool) -> DataFrame:
-    """Rows with each of their lists."""
+def _listed(rows: DataFrame, index, homes: np.ndarray | None = None, least: int = 0) -> DataFrame:
+    """Rows with each of their lists and whether it is the nearest; given how many vectors are at home in each list, those of queries."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 part, held = batch.slice(at, TOGETHER), index.value
                 v = np.array(part.column("v").to_pylist(), dtype=np.float64)
-                found = held.graph.search(held.asked(v), QUERY_RATIO) if queries else held.graph.search(held.placed(v), ROWS_RATIO, REPLICAS)
+                found = held.graph.search(held.placed(v), ROWS_RATIO, REPLICAS) if homes is None else held.graph.search(held.asked(v), QUERY_RATIO, None, homes, least)
                 copies = part.take(pa.array(found[0]))
-                yield pa.RecordBatch.from_arrays([*copies.columns, pa.array(found[1].astype(np.int32))], [*copies.schema.names, "list"])
+                home = np.append(True, found[0][1:] != found[0][:-1])[: len(found[0])]
+                yield pa.RecordBatch.from_arrays([*copies.columns, pa.array(found[1].astype(np.int32)), pa.array(home)], [*copies.schema.names, "list", "home"])
 
-    return rows.mapInArrow(work, rows.withColumn("list", F.lit(0)).schema)
+    return rows.mapInArrow(work, rows.withColumns({"list": F.lit(0), "home": F.lit(True)}).schema)
 
 
 def _met(postings: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -244,7 +251,11 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_i
             own = distinct.filter(F.col("n") == n).select("uid", "v", "ids")
             index = spark.sparkContext.broadcast(fit(own))
             queries = own.select("uid", "v").join(asking.select("uid").distinct().hint("shuffle_hash"), "uid", "left_semi")
-            one = keep(_merged(_met(keep(_listed(own, index, queries=False)), keep(_listed(queries, index, queries=True)), k), k))
+            postings = keep(_listed(own, index))
+            homes = np.zeros(len(index.value.graph.centres), dtype=np.int64)
+            for r in postings.filter("home").groupBy("list").count().collect():  # MAX_LISTS rows at most
+                homes[r["list"]] = r["count"]
+            one = keep(_merged(_met(postings, keep(_listed(queries, index, homes, AT_LEAST * (k + 1))), k), k))
             index.unpersist()
             found = one if found is None else found.unionByName(one)
         if found is None:

@@ -4,9 +4,9 @@ Candidates are Apriori-safe: a phrase can only occur LEAST times if its words an
 tasks tally 64-bit hashes of the phrases whose parts have passed (of words, the words themselves), and the hashes with
 LEAST or more go on. A hash is shared by phrases only by chance, and then its tally is too high: no phrase is lost, and
 texts of phrases are only shuffled for hashes that passed. These candidates are dealt by their hash into tries of about
-SHARD_KEYS phrases, which tasks build as double arrays. A bounded batch of tries at a time is broadcast and counts all
-texts: NumPy moves the states of all places of a slice along the trie together, one level at a time; the states that are
-reached at a phrase's end are counted with bincount, and the counts of all tasks are summed.
+SHARD_KEYS phrases, which tasks build as double arrays over the bytes of word numbers. A bounded batch of tries at a time is
+broadcast and counts all texts: NumPy moves the states of all places of a slice along the trie together, one level at a time; the
+states that are reached at a phrase's end are counted with bincount, and the counts of all tasks are summed.
 
 The filters between levels are bitmaps of bounded size (2^FILTER_BITS bits at most): if hashes that passed outgrow them,
 they let more through, and the tallies still decide. Hot phrases are one row a task in every shuffle.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +37,14 @@ from standmill.llm.common import scratch, slices, written
 LEAST, WORDS, TOP = 10, 3, 2000
 #: A shorter phrase goes if a longer candidate around it has at least so many hundredths of its count.
 COVERED = 50
-#: Longer words (in bytes) are digests in the tries, so that a trie is at most about 3 * 41 levels deep.
+#: Longer words (in bytes) are hashed by a digest.
 LONG_WORD = 40
 #: Bits of a filter at most (as a power of two); phrases of a trie; phrases in tries that are broadcast together.
-FILTER_BITS, SHARD_KEYS, BATCH_KEYS = 27, 1 << 17, 1 << 20
-#: Different hashes that a task gathers before it hands them on.
-GATHERED = 1 << 21
+FILTER_BITS, SHARD_KEYS, BATCH_KEYS = 27, 1 << 18, 1 << 21
+#: Different hashes that a task gathers before it hands them on; phrases that it remembers to have handed on.
+GATHERED, REMEMBERED = 1 << 21, 1 << 21
+#: Bytes of a word's number in a trie: a trie has at most 4 * SHARD_KEYS different words, languages included.
+DIGITS = 3
 
 _SPACE, _BREAK = 1, 2
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -59,24 +62,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _token(word: bytes) -> bytes:
-    """The word itself, or a digest for a long one (and for one that begins as digests do)."""
-    return b"\1" + hashlib.blake2b(word, digest_size=16).hexdigest().encode() if len(word) > LONG_WORD or word[:1] == b"\1" else word
-
-
-def _prefix(lang: str) -> bytes:
-    """What stands before the phrases of a language in a trie."""
-    raw = lang.encode("utf-8", "surrogatepass")
-    return (_token(raw) if min(raw, default=33) > 0x20 else _token(b"\1" + raw)) + b"\n"
-
-
-def trie_key(lang: str, phrase: str) -> bytes:
-    words = phrase.encode("utf-8", "surrogatepass").split(b" ")
-    return _prefix(lang) + b"".join(_token(w) + b" " for w in words)
-
-
 class Places:
-    """The words of a slice of texts as one byte stream, every word followed by a space, with hashes of words and phrases."""
+    """The words of a slice of texts: numbers of the slice's different words in order, and hashes of words and phrases."""
 
     def __init__(self, part: pa.RecordBatch):
         texts = pc.fill_null(part.column("text"), "")
@@ -86,64 +73,63 @@ class Places:
         offsets = offsets - offsets[0]
         kind = _KIND[raw]
         inside = kind == 0
+        # a word's start and end, next to a byte of no word or to the end of a text
         edge = np.zeros(len(raw) + 1, dtype=bool)
         edge[offsets] = True
-        before, after = np.append(False, inside[:-1])[: len(raw)], np.append(inside[1:], False)[: len(raw)]
-        starts = np.flatnonzero(inside & (~before | edge[:-1]))
-        self.size = np.flatnonzero(inside & (~after | edge[1:])) + 1 - starts
-        self.row = np.searchsorted(offsets[1:], starts, side="right")
-        piece = np.cumsum(kind == _BREAK)[starts]
+        starts, ends = inside.copy(), inside.copy()
+        starts[1:] &= ~inside[:-1] | edge[1:-1]
+        ends[:-1] &= ~inside[1:] | edge[1:-1]
+        starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        size = ends - starts
+        row = np.searchsorted(offsets[1:], starts, side="right")
+        breaks = np.flatnonzero(kind == _BREAK)
+        piece = np.searchsorted(breaks, starts)
         #: whether a word and its next one are in the same piece
-        self.joined = (self.row[1:] == self.row[:-1]) & (piece[1:] == piece[:-1])
-        self.words = _LOWER[raw[inside]]
+        self.joined = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
+        coded = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size))), pa.py_buffer(_LOWER[raw[inside]])]).dictionary_encode()
+        self.known, self.word = coded.dictionary, np.asarray(coded.indices, dtype=np.int64)
         langs = pc.fill_null(part.column("lang"), "und").dictionary_encode()
         self.langs: list[str] = langs.dictionary.to_pylist()
-        self.lang = np.asarray(langs.indices, dtype=np.int64)[self.row]
-        self.short, self.short_size = self.words, self.size
-        first = np.cumsum(self.size) - self.size
-        long = (self.size > LONG_WORD) | (self.words[first] == 1)
-        if long.any():
-            data, ends = self.words.tobytes(), (first + self.size).tolist()
-            tokens = [_token(data[a:b]) for a, b in zip(first.tolist(), ends)]
-            self.short = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-            self.short_size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-        self.has_long = bool(long.any())
-
-    @staticmethod
-    def _spaced(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The words with a space after each, and where each begins."""
-        stream = np.full(len(data) + len(size), 0x20, dtype=np.uint8)
-        stream[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data
-        return stream, np.cumsum(size + 1) - size - 1
-
-    def stream(self) -> tuple[np.ndarray, np.ndarray]:
-        return self._spaced(self.short, self.short_size)
+        self.lang = np.asarray(langs.indices, dtype=np.int64)[row]
+
+    def _known_hashes(self) -> np.ndarray:
+        ends = np.frombuffer(self.known.buffers()[1], dtype=np.int64)[: len(self.known) + 1]
+        data, size = np.frombuffer(self.known.buffers()[2], dtype=np.uint8), np.diff(ends)
+        short = np.where(size > LONG_WORD, 0, size)
+        first = np.cumsum(short) - short
+        place = np.arange(short.sum()) - np.repeat(first, short)
+        values = (data[np.repeat(ends[:-1], short) + place].astype(np.uint64) + np.uint64(1)) * _POWERS[place]
+        sums = np.append(np.uint64(0), np.cumsum(values))  # sums are modulo 2^64
+        found = sums[first + short] - sums[first]
+        for k in np.flatnonzero(size > LONG_WORD).tolist():
+            found[k] = _number(data[ends[k] : ends[k + 1]].tobytes())
+        return _mixed(found)
 
     def hashes(self, words: int = WORDS) -> list[np.ndarray]:
-        """Hashes of the phrases of 1 to so many words that begin at each word; a phrase that crosses a break has none of use."""
-        if not len(self.size):
+        """Hashes of the phrases of 1 to so many words that begin at each word; a phrase that crosses a break has one of no use."""
+        if not len(self.word):
             return [np.empty(0, dtype=np.uint64)] * words
-        first = np.cumsum(self.short_size) - self.short_size
-        place = np.arange(len(self.short)) - np.repeat(first, self.short_size)
-        seeds = np.array([int.from_bytes(hashlib.blake2b(_prefix(x), digest_size=8).digest(), "little") for x in self.langs], dtype=np.uint64)
-        found = [_mixed(np.add.reduceat((self.short.astype(np.uint64) + np.uint64(1)) * _POWERS[place], first) + seeds[self.lang])]
+        seeds = np.array([_number(x.encode("utf-8", "surrogatepass")) for x in self.langs], dtype=np.uint64)
+        found = [_mixed(self._known_hashes()[self.word] + seeds[self.lang])]
         for k in range(1, words):
             found.append(_mixed(found[-1][:-1] * _ODD[0] + found[0][k:]))
         return found
 
     def whole(self, words: int) -> np.ndarray:
         """Whether a phrase of so many words begins at each word (but the last ones) and lies in one piece."""
-        n = max(len(self.size) - words + 1, 0)
+        n = max(len(self.word) - words + 1, 0)
         ok = np.ones(n, dtype=bool)
         for k in range(words - 1):
             ok &= self.joined[k : k + n]
         return ok
 
-    def phrases(self, at: np.ndarray, words: int) -> list[bytes]:
+    def phrases(self, at: np.ndarray, words: int) -> pa.Array:
         """The texts of phrases that begin at these words."""
-        stream, begins = self._spaced(self.words, self.size)
-        data, lasts = stream.tobytes(), begins + self.size
-        return [data[a:b] for a, b in zip(begins[at].tolist(), lasts[at + words - 1].tolist())]
+        return pc.binary_join_element_wise(*[self.known.take(pa.array(self.word[at + k])) for k in range(words)], pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+
+def _number(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
 class Filter:
@@ -172,22 +158,21 @@ def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
-def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """base and check of the trie of different keys in byte order, and the state at the end of each. State ROOT is the start;
-    state t follows s on byte c if t = base[s] + c and check[t] = s."""
-    length = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
-    table = np.array(keys, dtype=f"S{length.max()}").view(np.uint8).reshape(len(keys), -1)
+def double_array(table: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base and check of the trie of different keys in byte order (rows of bytes, filled up with zeros, and their lengths), and the
+    state at the end of each. State ROOT is the start; state t follows s on byte c if t = base[s] + c and check[t] = s."""
     differ = table[1:] != table[:-1]
     shared = np.append(0, np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), table.shape[1]), np.minimum(length[1:], length[:-1])))
+    number = len(table)
     # nodes, level by level: a key has a node of its own where it leaves the key before
-    at, end, parents, symbols, made = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64), [], [], 1
+    at, end, parents, symbols, made = np.zeros(number, dtype=np.int64), np.zeros(number, dtype=np.int64), [], [], 1
     for depth in range(table.shape[1]):
         new = np.flatnonzero((shared <= depth) & (length > depth))
         parents.append(at[new])
         symbols.append(table[new, depth])
-        own = np.zeros(len(keys), dtype=np.int64)
+        own = np.zeros(number, dtype=np.int64)
         own[new] = made + np.arange(len(new))
-        lead = np.zeros(len(keys), dtype=np.int64)
+        lead = np.zeros(number, dtype=np.int64)
         lead[new] = new
         at = own[np.maximum.accumulate(lead)]
         end[length == depth + 1] = at[length == depth + 1]
@@ -197,7 +182,7 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     parent, symbol, child = parent[order], symbol[order], order + 1
     owner, first, count = np.unique(parent, return_index=True, return_counts=True)
     # families of children find places with no one in them: the large ones first, then single children fill the gaps
-    room = np.random.default_rng(len(keys))
+    room = np.random.default_rng(number)
     size, start = int(1.25 * made) + 512, np.zeros(len(owner), dtype=np.int64)
     taken = np.zeros(size, dtype=bool)
     open_ = np.argsort(-count, kind="stable")[: int((count > 1).sum())]
@@ -234,20 +219,41 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 ROOT = 0
 
 
-def walk(base: np.ndarray, check: np.ndarray, stream: np.ndarray, at: np.ndarray, length: np.ndarray, state: np.ndarray) -> list[np.ndarray]:
-    """States that are reached after so many bytes of the stream from each place; all places move together, a level at a time."""
-    ends = []
-    last = at + length
-    while len(at):
-        following = base.take(state) + stream.take(at)
-        alive = np.flatnonzero(check.take(following) == state)
-        at, last, state = at.take(alive) + 1, last.take(alive), following.take(alive)
-        over = at == last
-        if over.any():
-            ends.append(state[over])
-            more = np.flatnonzero(~over)
-            at, last, state = at.take(more), last.take(more), state.take(more)
-    return ends
+def digits(numbers: np.ndarray) -> np.ndarray:
+    """The bytes of each number, highest first."""
+    return np.stack([numbers >> 8 * k & 255 for k in range(DIGITS - 1, -1, -1)], axis=-1)
+
+
+class Trie:
+    """A double array of phrases, as strings of its own numbers of words; a language is the word before its phrases."""
+
+    def __init__(self, base: bytes, check: bytes, ends: bytes, words: list[str]):
+        self.base, self.check, self.ends = (np.frombuffer(x, dtype=np.int32) for x in (base, check, ends))
+        self.numbers = {w: k for k, w in enumerate(words, 1)}
+
+    def advance(self, state: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """The states after one more word each, -1 where there is none; all move together, a level at a time."""
+        found = np.full(len(state), -1, dtype=np.int64)
+        at = np.flatnonzero((state >= 0) & (numbers > 0))
+        state, numbers = state[at], numbers[at]
+        for shift in range(8 * DIGITS - 8, -1, -8):
+            following = self.base.take(state) + (numbers >> shift & 255)
+            alive = np.flatnonzero(self.check.take(following) == state)
+            at, state, numbers = at.take(alive), following.take(alive), numbers.take(alive)
+        found[at] = state
+        return found
+
+    def count(self, s: Places, number: np.ndarray, places: list[tuple[int, np.ndarray]], counts: np.ndarray) -> None:
+        """Adds to the counts of states those that phrases of so many words at these places of s end in."""
+        langs = np.array([self.numbers.get("\n" + x, 0) for x in s.langs], dtype=np.int64)
+        roots = self.advance(np.zeros(len(langs), dtype=np.int64), langs)
+        for words, at in places:
+            state = roots[s.lang[at]]
+            for k in range(words):
+                state = self.advance(state, number[s.word[at + k]])
+                alive = np.flatnonzero(state >= 0)
+                at, state = at.take(alive), state.take(alive)
+            counts += np.bincount(state, minlength=len(counts))
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -256,11 +262,8 @@ def _words(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             s = Places(part)
-            ends = np.append(0, np.cumsum(s.size))
-            coded = pa.Array.from_buffers(pa.large_string(), len(s.size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(s.words.tobytes())]).dictionary_encode()
-            both = s.lang * max(len(coded.dictionary), 1) + np.asarray(coded.indices, dtype=np.int64)
-            _, first, n = np.unique(both, return_index=True, return_counts=True)
-            word = coded.dictionary.take(coded.indices.take(pa.array(first))).cast(pa.string())
+            _, first, n = np.unique(s.lang * max(len(s.known), 1) + s.word, return_index=True, return_counts=True)
+            word = s.known.take(pa.array(s.word[first])).cast(pa.string())
             lang = pa.array(s.langs, pa.string()).take(pa.array(s.lang[first]))
             hashes = s.hashes(1)[0][first].view(np.int64)
             yield pa.RecordBatch.from_arrays([lang, word, pa.array(hashes), pa.array(n.astype(np.int64))], ["lang", "word", "h", "n"])
@@ -315,72 +318,71 @@ def _candidates(docs: DataFrame, filters) -> DataFrame:
     """h, lang and phrase of all phrases of 2 or more words that pass the filters; the same one may come from several tasks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.empty(0, dtype=np.uint64)
+        seen = np.zeros(REMEMBERED, dtype=np.uint64)  # at each place the last hash that went out from there
         for part in slices(batches):
             s = Places(part)
             hashes = s.hashes()
             for words in range(2, WORDS + 1):
                 at = _passing(hashes, filters.value, s, words)
-                h, first = np.unique(hashes[words - 1][at], return_index=True)
-                new = ~np.isin(h, seen, assume_unique=True)
-                h, at = h[new], at[first[new]]
-                seen = np.union1d(seen, h) if len(seen) < GATHERED else h
-                texts = s.phrases(at, words) if len(at) else []
-                columns = [pa.array(h.view(np.int64)), pa.array(s.langs, pa.string()).take(pa.array(s.lang[at])), pa.array(texts, pa.binary()).cast(pa.string(), safe=False)]
+                h = hashes[words - 1][at]
+                place = (h & np.uint64(REMEMBERED - 1)).astype(np.int64)
+                new = np.flatnonzero(seen[place] != h)
+                h, first = np.unique(h[new], return_index=True)
+                at = at[new[first]]
+                seen[place[new[first]]] = h
+                columns = [pa.array(h.view(np.int64)), pa.array(s.langs, pa.string()).take(pa.array(s.lang[at])), s.phrases(at, words)]
                 yield pa.RecordBatch.from_arrays(columns, ["h", "lang", "phrase"])
 
     return docs.mapInArrow(work, "h long, lang string, phrase string")
 
 
 def _trie(rows: pd.DataFrame) -> pd.DataFrame:
-    """The trie of one shard: a row with its arrays and its phrases in the order of their keys."""
-    keyed = sorted((trie_key(a, b), a, b) for a, b in zip(rows["lang"], rows["phrase"]))
-    base, check, ends = double_array([k for k, _, _ in keyed])
-    phrases = [{"lang": a, "phrase": b} for _, a, b in keyed]
-    return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "base": [base.tobytes()], "check": [check.tobytes()], "ends": [ends.tobytes()], "phrases": [phrases]})
+    """The trie of one shard: a row with its arrays, its words by number, and its phrases in the order of their keys."""
+    split = [["\n" + lang, *phrase.split(" ")] for lang, phrase in zip(rows["lang"], rows["phrase"])]
+    often = Counter(w for words in split for w in words)
+    words = sorted(often, key=lambda w: (-often[w], w))  # words of many phrases next to each other: families are denser
+    number = {w: k for k, w in enumerate(words, 1)}
+    numbers = np.zeros((len(split), WORDS + 1), dtype=np.int64)
+    length = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+    numbers[np.arange(WORDS + 1) < length[:, None]] = [number[w] for words in split for w in words]
+    order = np.lexsort(numbers.T[::-1])
+    base, check, ends = double_array(digits(numbers[order]).reshape(len(split), -1).astype(np.uint8), DIGITS * length[order])
+    arrays = {"base": [base.tobytes()], "check": [check.tobytes()], "ends": [ends.tobytes()], "words": [words]}
+    phrases = {"langs": [rows["lang"].to_numpy()[order].tolist()], "phrases": [rows["phrase"].to_numpy()[order].tolist()]}
+    return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])]} | arrays | phrases)
 
 
 def _counts(docs: DataFrame, shards: int, filters, tries) -> DataFrame:
-    """shard, place (of a phrase in it) and n, for each task: how often these tries' phrases occur in its texts."""
+    """shard, place (of a phrase in it) and a: how often these tries' phrases occur in the texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {k: [np.frombuffer(x, dtype=np.int32) for x in arrays] for k, arrays in tries.value.items()}
-        counts = {k: np.zeros(len(base), dtype=np.int64) for k, (base, _, _) in held.items()}
+        held = {k: Trie(*arrays) for k, arrays in tries.value.items()}
+        counts = {k: np.zeros(len(trie.base), dtype=np.int64) for k, trie in held.items()}
         for part in slices(batches):
             s = Places(part)
             hashes = s.hashes()
-            stream, begins = s.stream()
-            lasts = begins + s.short_size + 1
+            places = []
             for words in range(2, WORDS + 1):
                 at = _passing(hashes, filters.value, s, words)
-                # as Spark's pmod of the signed hash
-                shard = np.mod(hashes[words - 1][at].view(np.int64), shards)
-                for k, (base, check, _) in held.items():
-                    own = at[shard == k]
-                    roots = np.array([_state(base, check, _prefix(x)) for x in s.langs], dtype=np.int64)
-                    state = roots[s.lang[own]]
-                    own, state = own[state >= 0], state[state >= 0]
-                    for ends in walk(base, check, stream, begins[own], lasts[own + words - 1] - begins[own], state):
-                        counts[k] += np.bincount(ends, minlength=len(base))
-        for k, (_, _, ends) in held.items():
-            n = counts[k][ends]
+                places.append((words, at, np.mod(hashes[words - 1][at].view(np.int64), shards)))  # as Spark's pmod of the signed hash
+            useful = np.zeros(len(s.known), dtype=bool)
+            for words, at, _ in places:
+                for k in range(words):
+                    useful[s.word[at + k]] = True
+            useful = np.flatnonzero(useful)
+            words = s.known.take(pa.array(useful)).to_pylist()
+            for shard, trie in held.items():
+                number = np.zeros(len(s.known), dtype=np.int64)
+                number[useful] = [trie.numbers.get(w, 0) for w in words]
+                trie.count(s, number, [(n, at[own == shard]) for n, at, own in places], counts[shard])
+        for shard, trie in held.items():
+            n = counts[shard][trie.ends]
             some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, dtype=np.int32)), pa.array(some.astype(np.int32)), pa.array(n[some])], ["shard", "place", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard, dtype=np.int32)), pa.array(some.astype(np.int32)), pa.array(n[some])], ["shard", "place", "n"])
 
     return docs.mapInArrow(work, "shard int, place int, n long").groupBy("shard", "place").agg(F.sum("n").alias("a"))
 
 
-def _state(base: np.ndarray, check: np.ndarray, key: bytes) -> int:
-    """The state after these bytes, or -1."""
-    state = ROOT
-    for c in key:
-        following = int(base[state]) + c
-        if check[following] != state:
-            return -1
-        state = following
-    return state
-
-
 def _scored(words: DataFrame, phrases: DataFrame) -> DataFrame:
     """l, r and score of the lowest-scoring cut of every phrase; phrases that a longer one covers are left out."""
     facts = words.filter("word IS NOT NULL").select("lang", F.col("word").alias("part"), F.col("n").alias("f")).unionByName(
@@ -433,18 +435,20 @@ def phrase_counts(docs: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
     if not shards:
         return words, empty
     tries = found.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).select("shard", "lang", "phrase")
-    tries = keep(tries.groupBy("shard").applyInPandas(_trie, "shard int, base binary, check binary, ends binary, phrases array<struct<lang:string,phrase:string>>"))
+    schema = "shard int, base binary, check binary, ends binary, words array<string>, langs array<string>, phrases array<string>"
+    tries = keep(tries.groupBy("shard").applyInPandas(_trie, schema))
     together = max(BATCH_KEYS // SHARD_KEYS, 1)
     counted = None
     for low in range(0, shards, together):  # all texts again for each batch of tries
-        batch = {r.shard: (bytes(r.base), bytes(r.check), bytes(r.ends)) for r in tries.filter(f"shard >= {low} AND shard < {low + together}").select("shard", "base", "check", "ends").collect()}
-        sent = sc.broadcast(batch)
+        batch = tries.filter(f"shard >= {low} AND shard < {low + together}").select("shard", "base", "check", "ends", "words").collect()
+        sent = sc.broadcast({r.shard: (bytes(r.base), bytes(r.check), bytes(r.ends), r.words) for r in batch})
+        del batch
         one = keep(_counts(docs, shards, shared, sent))
         sent.unpersist()
         counted = one if counted is None else counted.unionByName(one)
     shared.unpersist()
-    phrases = tries.select("shard", F.posexplode("phrases").alias("place", "p")).join(counted, ["shard", "place"]).select("p.lang", "p.phrase", "a")
-    return words, keep(phrases.filter(F.col("a") >= LEAST))
+    phrases = tries.select("shard", F.posexplode(F.arrays_zip("langs", "phrases")).alias("place", "p")).join(counted, ["shard", "place"])
+    return words, keep(phrases.filter(F.col("a") >= LEAST).select(F.col("p.langs").alias("lang"), F.col("p.phrases").alias("phrase"), "a"))
 
 
 def collocations(docs: DataFrame) -> DataFrame:
