@@ -43,6 +43,8 @@ LONG_WORD = 40
 FILTER_BITS, SHARD_KEYS, BATCH_KEYS = 27, 1 << 18, 1 << 21
 #: Different hashes that a task gathers before it hands them on; phrases that it remembers to have handed on.
 GATHERED, REMEMBERED = 1 << 21, 1 << 21
+#: Counts that a task hands on together.
+BLOCK = 1 << 12
 #: Bytes of a word's number in a trie: a trie has at most 4 * SHARD_KEYS different words, languages included.
 DIGITS = 3
 
@@ -246,14 +248,15 @@ class Trie:
     def count(self, s: Places, number: np.ndarray, places: list[tuple[int, np.ndarray]], counts: np.ndarray) -> None:
         """Adds to the counts of states those that phrases of so many words at these places of s end in."""
         langs = np.array([self.numbers.get("\n" + x, 0) for x in s.langs], dtype=np.int64)
-        roots = self.advance(np.zeros(len(langs), dtype=np.int64), langs)
+        roots, ends = self.advance(np.zeros(len(langs), dtype=np.int64), langs), []
         for words, at in places:
             state = roots[s.lang[at]]
             for k in range(words):
                 state = self.advance(state, number[s.word[at + k]])
                 alive = np.flatnonzero(state >= 0)
                 at, state = at.take(alive), state.take(alive)
-            counts += np.bincount(state, minlength=len(counts))
+            ends.append(state)
+        counts += np.bincount(np.concatenate(ends), minlength=len(counts))
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -353,7 +356,9 @@ def _trie(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _counts(docs: DataFrame, shards: int, filters, tries) -> DataFrame:
-    """shard, place (of a phrase in it) and a: how often these tries' phrases occur in the texts."""
+    """shard, place (of a phrase in it) and a: how often these tries' phrases occur in the texts, if LEAST times or more.
+
+    Tasks hand on blocks of counts; those of a block meet in order and are added up one by one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {k: Trie(*arrays) for k, arrays in tries.value.items()}
@@ -377,10 +382,30 @@ def _counts(docs: DataFrame, shards: int, filters, tries) -> DataFrame:
                 trie.count(s, number, [(n, at[own == shard]) for n, at, own in places], counts[shard])
         for shard, trie in held.items():
             n = counts[shard][trie.ends]
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard, dtype=np.int32)), pa.array(some.astype(np.int32)), pa.array(n[some])], ["shard", "place", "n"])
-
-    return docs.mapInArrow(work, "shard int, place int, n long").groupBy("shard", "place").agg(F.sum("n").alias("a"))
+            for block in range(0, len(n), BLOCK):
+                own = n[block : block + BLOCK]
+                if own.any():  # four bytes a count, if they hold them
+                    data = own.astype(np.int32 if own.max() < 1 << 31 else np.int64).tobytes()
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "size": pa.array([len(own)], pa.int32()), "counts": pa.array([data], pa.binary())})
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, total = None, np.empty(0, dtype=np.int64)
+        for batch in batches:
+            for shard, block, size, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if place != (shard, block):
+                    if place:
+                        yield told(place, total)
+                    place, total = (shard, block), np.zeros(size, dtype=np.int64)
+                total += np.frombuffer(data, dtype=np.int32 if len(data) == 4 * size else np.int64)
+        if place:
+            yield told(place, total)
+
+    def told(place: tuple[int, int], total: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(total >= LEAST)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), place[0], dtype=np.int32)), pa.array((place[1] + some).astype(np.int32)), pa.array(total[some])], ["shard", "place", "a"])
+
+    parts = docs.mapInArrow(work, "shard int, block int, size int, counts binary")
+    return parts.repartition("shard", "block").sortWithinPartitions("shard", "block").mapInArrow(summed, "shard int, place int, a long")
 
 
 def _scored(words: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -448,7 +473,7 @@ def phrase_counts(docs: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
         counted = one if counted is None else counted.unionByName(one)
     shared.unpersist()
     phrases = tries.select("shard", F.posexplode(F.arrays_zip("langs", "phrases")).alias("place", "p")).join(counted, ["shard", "place"])
-    return words, keep(phrases.filter(F.col("a") >= LEAST).select(F.col("p.langs").alias("lang"), F.col("p.phrases").alias("phrase"), "a"))
+    return words, keep(phrases.select(F.col("p.langs").alias("lang"), F.col("p.phrases").alias("phrase"), "a"))
 
 
 def collocations(docs: DataFrame) -> DataFrame:
