@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples.
 
-A bounded sample of labelled rows is learned from. A text's terms are its lower-case words, each cut to its first STEM
-characters; every word of the whole text counts. A text becomes its TF-IDF vector, of length 1, over all terms of the
+A bounded sample of labelled rows is learned from. A text's terms are its whole lower-case words and, with STEM_WEIGHT times the
+weight, their beginnings of STEM characters (inflected forms share them); in scripts that are written without spaces, all
+pairs of neighbouring characters. Every character of the whole text counts. A text becomes its TF-IDF vector, of length 1, over all terms of the
 examples, with document frequencies counted over all documents; no term is picked or left out for its label. The
 examples' vectors form a block-max inverted index: postings in blocks of examples, with the largest weight of each term
 in each block, so that blocks whose bound is below the k-th best cosine are not opened; the k nearest are exact. Their
@@ -36,8 +37,8 @@ from standmill.llm.common import add_by_slices, carried, held_out, map_slices, s
 
 #: Labelled rows that are learned from, at most.
 EXAMPLES = 2_000
-#: Characters of a word that make its term.
-STEM = 4
+#: Characters of a word's beginning, and its weight beside the whole word.
+STEM, STEM_WEIGHT = 4, 4
 #: Examples in a block, neighbours, and weight of the prior.
 BLOCK, NEIGHBOURS, PRIOR_WEIGHT = 64, 15, 0.1
 #: Terms (those of most examples, and of a share of them at least) whose postings are kept as whole rows of a block.
@@ -48,11 +49,26 @@ OPENED, CALIBRATION = 16, 2_000
 RAW_SHARE = 0.02
 THRESHOLD = 0.3
 
-_TERM = re.compile(r"\b\w{1,%d}" % STEM)
+_WORD = re.compile(r"\w+")
+#: Thai to Lao, Myanmar, Khmer, kana, and Han characters.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 
 
-def term_counts(text: str | None) -> Counter[str]:
-    return Counter(_TERM.findall((text or "").lower()))
+def term_counts(text: str | None) -> dict[str, int]:
+    """Weighted numbers of the text's terms. A whole word is a term of its own if it is longer than its beginning."""
+    text = (text or "").lower()
+    found: dict[str, int] = {}
+    runs = _UNSPACED.findall(text)
+    if runs:
+        text = _UNSPACED.sub(" ", text)
+        pairs = (run[k : k + 2] for run in runs for k in range(max(1, len(run) - 1)))
+        found = {t: STEM_WEIGHT * n for t, n in Counter(pairs).items()}
+    for word, n in Counter(_WORD.findall(text)).items():
+        if len(word) > STEM:
+            found[word] = n
+            word = word[:STEM]
+        found[word] = found.get(word, 0) + STEM_WEIGHT * n
+    return found
 
 
 @dataclass
@@ -167,7 +183,7 @@ def build_index(known: dict[str, int], idf: np.ndarray, rows: list[tuple[int, in
     index.rows = np.zeros((blocks, len(by_count), BLOCK))
     kept = index.row[term] >= 0
     index.rows[index.examples[kept] // BLOCK, index.row[term[kept]], index.examples[kept] % BLOCK] = index.weights[kept]
-    index.starts = np.stack([edges[np.arange(blocks + 1) + t * blocks] for t in range(len(known))])
+    index.starts = edges[np.arange(len(known))[:, None] * blocks + np.arange(blocks + 1)].astype(np.int32)
     index.most = np.zeros((len(known), blocks))
     np.maximum.at(index.most, (term, index.examples // BLOCK), index.weights)
     tried = range(0, len(vectors), max(1, -(-len(vectors) // CALIBRATION)))
@@ -206,7 +222,7 @@ def document_frequencies(docs: DataFrame, known: dict[str, int]) -> tuple[np.nda
         sums = np.zeros(len(known), dtype=np.int64)
         for part in slices(batches):
             rows += part.num_rows
-            found = [known[t] for text in part.column("text").to_pylist() for t in known.keys() & set(_TERM.findall((text or "").lower()))]
+            found = [known[t] for text in part.column("text").to_pylist() for t in known.keys() & term_counts(text).keys()]
             sums += np.bincount(np.array(found, dtype=np.int64), minlength=len(known))
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(sums[at], rows))], ["term", "n"])
