@@ -2,9 +2,11 @@
 
 No piece of such a model holds a space mark after another character, nor a line feed, so merges never cross the place
 before a run of spaces or around a line feed: a text's count is the sum over its pre-tokens. Every distinct pre-token is
-counted once and joined to the per-document frequencies. The most frequent pre-tokens (a bounded number of bounded
-length) are joined by a broadcast dictionary; all others meet their counts in one shuffle on the pre-token, in which no
-key is frequent, and go back to their documents as sums.
+counted once and joined to the per-document frequencies. The most frequent pre-tokens (a bounded number; long ones go by a
+digest of 128 bits) are joined by a broadcast dictionary; all others meet their counts in one shuffle on the pre-token, in which
+no key is frequent, and go back to their documents as sums. Each task finds its frequent ones by a summary of bounded size
+that misses none which makes up more than one in SUMMARY of the task's pre-tokens, whatever the texts' and pre-tokens' lengths are:
+so, but for more than FREQUENT of such, no key of the shuffle makes up more than that of all.
 
 Defined results: a null text counts as empty and has no tokens; very long texts count whole; every row gives a row, with repeated ids too; an empty
 table gives an empty result; columns other than doc_id and text are ignored.
@@ -12,6 +14,7 @@ table gives an empty result; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from standmill.llm.common import map_slices, slices
+from standmill.llm.common import slices
 
 #: A pre-token: spaces and what follows them up to the next space or line feed; or a line feed.
 PRETOKEN = re.compile(r" *[^ \n]+| +|\n")
-#: The dictionary that is broadcast has at most so many pre-tokens, none longer than so many characters.
+#: The dictionary that is broadcast has at most so many pre-tokens; those of more characters stand in it as digests.
 FREQUENT, FREQUENT_CHARS = 400_000, 64
-#: A pre-token enters the choice of frequent ones where a slice of at most 1,024 documents holds it so often.
-FREQUENT_IN_SLICE = 8
+#: Pre-tokens in a task's summary of frequent ones.
+SUMMARY = 1 << 17
 
 
 def pretokens(text: str) -> list[str]:
@@ -52,19 +55,49 @@ def piece_counts(model: str, tokens: list[str]) -> list[int]:
     return [len(x) - 2 if b else len(x) if len(t) > 1 else 1 for x, t, b in zip(ids, tokens, bare)]
 
 
+def key_of(token: str) -> str:
+    """What a pre-token goes by in the dictionary: itself, or a digest, which begins as no longer pre-token does."""
+    return token if len(token) <= FREQUENT_CHARS else "\n" + hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def summarised(counts: dict[str, int], most: int) -> dict[str, int]:
+    """At most so many of the counts, all lessened by the largest one that is left out (a Misra-Gries summary)."""
+    if len(counts) <= most:
+        return counts
+    values = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+    least = int(np.partition(values, len(values) - most - 1)[len(values) - most - 1])
+    return {t: n - least for t, n in counts.items() if n > least}
+
+
 def frequent_pretokens(docs: DataFrame, model: str) -> dict[str, int]:
-    """Piece counts of the pre-tokens that are frequent in the corpus."""
+    """Piece counts of the pre-tokens that are frequent in the corpus, by their keys."""
 
-    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
-        for text in part.column("text").to_pylist():
-            found.update(pretokens(text or ""))
-        kept = [(t, n) for t, n in found.items() if n >= FREQUENT_IN_SLICE and len(t) <= FREQUENT_CHARS]
-        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["pretoken", "n"])
-
-    counted = map_slices(docs.select("text"), work, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
-    tokens = [r.pretoken for r in counted.orderBy(F.desc("n"), "pretoken").limit(FREQUENT).select("pretoken").collect()]
-    return dict(zip(tokens, piece_counts(model, tokens)))
+        pieces: dict[str, int] = {}
+        for part in slices(batches):
+            own: Counter[str] = Counter()
+            for text in part.column("text").to_pylist():
+                own.update(pretokens(text or ""))
+            long = [t for t in own if len(t) > FREQUENT_CHARS]
+            if long:  # their texts don't leave the task, their pieces do
+                keys = [key_of(t) for t in long]
+                fresh = [(k, t) for k, t in zip(keys, long) if k not in pieces]
+                pieces.update(zip([k for k, _ in fresh], piece_counts(model, [t for _, t in fresh])))
+                for k, t in zip(keys, long):
+                    own[k] = own.pop(t)
+            found.update(own)
+            if len(found) > 2 * SUMMARY:
+                found = Counter(summarised(found, SUMMARY))
+                pieces = {k: n for k, n in pieces.items() if k in found}
+        kept = summarised(found, SUMMARY)
+        arrays = [pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64()), pa.array([pieces.get(t) for t in kept], pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, ["pretoken", "n", "pieces"])
+
+    counted = docs.select("text").mapInArrow(work, "pretoken string, n long, pieces long").groupBy("pretoken").agg(F.sum("n").alias("n"), F.max("pieces").alias("pieces"))
+    rows = counted.orderBy(F.desc("n"), "pretoken").limit(FREQUENT).select("pretoken", "pieces").collect()
+    short = [r.pretoken for r in rows if r.pieces is None]
+    return {r.pretoken: r.pieces for r in rows if r.pieces is not None} | dict(zip(short, piece_counts(model, short)))
 
 
 def pretoken_frequencies(docs: DataFrame, known: dict[str, int]) -> DataFrame:
@@ -81,7 +114,7 @@ def pretoken_frequencies(docs: DataFrame, known: dict[str, int]) -> DataFrame:
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                 text, row, n = text or "", row + 1, 0
                 for token, k in Counter(pretokens(text)).items():
-                    c = pieces.get(token)
+                    c = pieces.get(token if len(token) <= FREQUENT_CHARS else key_of(token))
                     if c is None:
                         out.append((row, None, None, token, k))
                     else:
