@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from standmill.llm.common import slices
 
 #: Text bytes for a shard, about: some thousands of sequences.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES, SHARD_ROWS = 64 << 20, 200_000
 #: Entries of one of the two halves of a worker's cache of pre-tokens.
 CACHE = 200_000
 
@@ -173,6 +173,6 @@ def pack(cut: DataFrame, capacity: int = 4096) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
+    shards = max(1, -(-(size.bytes or 0) // SHARD_BYTES), -(-size.rows // SHARD_ROWS))
     return pack(pieces(docs, path, capacity, shards=shards), capacity)
