@@ -152,8 +152,8 @@ def read_page(source: str) -> Page:
             if count["a"]:
                 links += len(piece.strip())
 
-    at = 0
-    while (mark := _MARK.search(source, at)) is not None:
+    at, last = 0, source.rfind(">") + 1  # no tag ends after it: what opens there is text
+    while (mark := _MARK.search(source, at, last)) is not None:
         add(source[at : mark.start()])
         at = mark.end()
         if mark.group() == "<!--":
@@ -176,7 +176,7 @@ def read_page(source: str) -> Page:
             continue
         if tag in RAW:
             if not mark.group(3).rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
-                end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.IGNORECASE).search(source, at)
+                end = re.compile(f"</{tag}(?=[\\s/>])[^>]*+>", re.IGNORECASE).search(source, at, last)
                 at = len(source) if end is None else end.end()
             continue
         if tag in BLOCK:
