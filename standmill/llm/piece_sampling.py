@@ -78,6 +78,7 @@ class Merges:
                 places = [int(self._slot(np.array([entry[0]]), k)[0]) for k in (0, 1)]
                 slot = places[1] if slot == places[0] else places[0]
             self.keys[slot], self.made[slot] = entry
+        self.pairs, self.ranks = {a * self.pieces + b: made for a, b, made in pairs}, self.rank.tolist()  # the same for one merge at a time
         self.char = np.full(0x110000, -1, dtype=np.int32)
         for c, i in symbol.items():
             if len(c) == 1:
@@ -183,34 +184,43 @@ class Merges:
                     made[ok, k], rank[ok, k] = candidates(symbol[ok, k], symbol[ok, k + 1])
 
     def _agenda(self, word: str, key: np.ndarray, dropout: float) -> tuple[list[int], list[int]]:
-        """Symbols and starts of one word, by a heap of candidate merges."""
+        """Symbols and starts of one long word, by a heap of candidate merges; plain integers, as candidates come one by one."""
+        size, pieces, made_of, rank, own = len(word), self.pieces, self.pairs, self.ranks, int(key[0])
         symbol = self.char[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].tolist()
-        end, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+        end, before = list(range(1, size + 1)), list(range(-1, size - 1))
         heap: list[tuple[int, int, int, int]] = []
+        least, whole, factor = min(2**64 - 1, int(dropout * 2.0**64)), 2**64 - 1, int(_MIX)
 
         def offer(i: int) -> None:
             k = end[i]
-            if k >= len(word):
+            if k >= size or symbol[i] < 0 or symbol[k] < 0:
                 return
-            made = int(self.lookup(np.array([symbol[i]]), np.array([symbol[k]]))[0])
-            if made >= 0 and not (dropout > 0 and self.dropped(key, self.place(np.array([i]), np.array([k]), np.array([end[k]])), dropout)[0]):
-                heapq.heappush(heap, (int(self.rank[made]), i, end[k], made))
-
-        for i in range(len(word)):
+            made = made_of.get(symbol[i] * pieces + symbol[k])
+            if made is None:
+                return
+            if least:  # as in dropped(key, place(i, k, end[k]))
+                x = (own + ((i << 42) + (k << 21) + end[k]) * factor) & whole
+                x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & whole
+                x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & whole
+                if x ^ (x >> 31) < least:
+                    return
+            heapq.heappush(heap, (rank[made], i, end[k], made))
+
+        for i in range(size):
             offer(i)
-        gone = [False] * len(word)
+        gone = [False] * size
         while heap:
             _, i, last, made = heapq.heappop(heap)
             k = end[i]
-            if gone[i] or k >= len(word) or end[k] != last or self.lookup(np.array([symbol[i]]), np.array([symbol[k]]))[0] != made:
+            if gone[i] or k >= size or end[k] != last or made_of.get(symbol[i] * pieces + symbol[k]) != made:
                 continue
             symbol[i], end[i], gone[k] = made, last, True
-            if last < len(word):
+            if last < size:
                 before[last] = i
             if before[i] >= 0:
                 offer(before[i])
             offer(i)
-        kept = [i for i in range(len(word)) if not gone[i]]
+        kept = [i for i in range(size) if not gone[i]]
         return [symbol[i] for i in kept], kept
 
     def _bytes(self, word: str, symbols: list[int], starts: list[int]) -> bytes:
