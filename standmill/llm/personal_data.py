@@ -25,7 +25,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from standmill.llm.common import add_by_slices, carried, map_slices, restored, written
@@ -34,7 +34,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Kind of the spans that the method adds.
 ADDED = "id"
 #: A pattern is trusted from this reliability on, with so many distinct instances; rounds of scoring.
-RELIABLE, SUPPORT, ROUNDS = 0.9, 5, 3
+RELIABLE, SUPPORT, ROUNDS = 0.9, 5, 8
 #: So many trusted patterns (those with most instances) are broadcast.
 PATTERNS = 10_000
 
@@ -152,14 +152,20 @@ def trusted_patterns(edges: DataFrame) -> Trusted:
     """The reliable patterns, by a few rounds over the graph.
 
     The first reliability of a pattern is the share of seeds among its distinct instances; each round gives it the mean
-    of its instances' reliability. A share f of seeds alone becomes 1 - (1 - f)^(ROUNDS + 1)."""
+    of its instances' reliability: 1 for seeds, and for others the best one of their other patterns, so that no pattern
+    raises itself."""
     edges = written(edges)
     seeds = edges.groupBy("instance").agg(F.max("seed").alias("sure"))
     edges = written(edges.join(seeds, "instance").select("pattern", "instance", "sure"))  # a text that is a seed anywhere
     score = written(edges.groupBy("pattern").agg(F.count("*").alias("n"), F.avg(F.col("sure").cast("double")).alias("score")))
     for _ in range(ROUNDS):
-        best = edges.join(score, "pattern").groupBy("instance").agg(F.when(F.max("sure"), 1.0).otherwise(F.max("score")).alias("trust"))
-        score = written(edges.join(best, "instance").groupBy("pattern").agg(F.count("*").alias("n"), F.avg("trust").alias("score")))
+        order = Window.partitionBy("instance").orderBy(F.desc("score"), "pattern")
+        two = edges.filter("NOT sure").join(score, "pattern").withColumn("place", F.row_number().over(order)).filter("place <= 2")
+        first = lambda c: F.max(F.when(F.col("place") == 1, F.col(c)))
+        best = two.groupBy("instance").agg(first("pattern").alias("top"), first("score").alias("best"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second"))
+        others = F.when(F.col("pattern") == F.col("top"), F.coalesce("second", F.lit(0.0))).otherwise(F.col("best"))
+        trust = F.when(F.col("sure"), 1.0).otherwise(others)
+        score = written(edges.join(best, "instance", "left").groupBy("pattern").agg(F.count("*").alias("n"), F.avg(trust).alias("score")))
     good = score.filter((F.col("score") >= RELIABLE) & (F.col("n") >= SUPPORT))
     most = [r.pattern for r in good.orderBy(F.desc("n"), "pattern").limit(PATTERNS + 1).select("pattern").collect()]
     trusted = Trusted(most[:PATTERNS])

@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -326,7 +327,13 @@ def test_ablations(docs):
 def plain_toxicity(docs, labels):
     """Scores and neighbours restated: dense vectors, all cosines, a step function by pooling; texts have one row an id."""
     held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
-    terms = lambda t: collections.Counter(w[: toxicity.STEM] for w in re.findall(r"\w+", t.lower()))
+    def terms(text):
+        found = collections.Counter()
+        for w in re.findall(r"\w+", text.lower()):
+            found[w[: toxicity.STEM]] += toxicity.STEM_WEIGHT
+            found[w] += len(w) > toxicity.STEM
+        return +found
+
     counts = {i: terms(t) for i, t in docs}
     examples = {i: y for i, y in labels if i in counts and not held(i)}
     known = sorted({t for i in examples for t in counts[i]})
@@ -622,7 +629,7 @@ def test_seeds_without_digits_and_with_spaces_make_patterns_trusted(spark):
 
 def test_patterns_beyond_the_broadcast_and_long_ones_are_used(spark, monkeypatch):
     cues = [f"{c * 3} cue{c}" for c in "abcdef"] + ["w" * 150 + " " + "v" * 120]
-    rows = [(k, f"x {cue} u{k}.{n}@x.org") for k, cue in enumerate(cues) for n in range(8)]
+    rows = [(k, f"x {cue} u{k}.{n}@x.org") for k, cue in enumerate(cues) for n in range(20)]
     rows += [(100 + k, f"x {cue} KEY-{k}{k}{k}-Z") for k, cue in enumerate(cues)] + [(200, f"x {cues[0]} " + "K7" * 200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(personal_data, "PATTERNS", 1)
@@ -654,12 +661,13 @@ def plain_personal_data(texts):
                 instances.setdefault(pattern, set()).add(text[a:b])
         seeds |= {text[a:b] for a, b in base if contexts(text, a, b)}
     score = {p: sum(i in seeds for i in own) / len(own) for p, own in instances.items()}
-    for _ in range(3):
-        trust = {}
+    for _ in range(personal_data.ROUNDS):
+        of = {}
         for p, own in instances.items():
             for i in own:
-                trust[i] = 1.0 if i in seeds else max(trust.get(i, 0.0), score[p])
-        score = {p: sum(trust[i] for i in own) / len(own) for p, own in instances.items()}
+                of.setdefault(i, set()).add(p)
+        trust = lambda i, p: 1.0 if i in seeds else max((score[q] for q in of[i] if q != p), default=0.0)  # noqa: B023, E731  no pattern raises itself
+        score = {p: sum(trust(i, p) for i in own) / len(own) for p, own in instances.items()}
     trusted = {p for p, own in instances.items() if len(own) >= 5 and score[p] >= 0.9}
     out = []
     for text, (kinds, free) in zip(texts, parts):
@@ -697,3 +705,93 @@ def test_personal_data_of_the_documents_against_a_plain_program(spark):
     wanted, _ = plain_personal_data([r.text for r in rows])
     found = {r.doc_id: r.spans for r in personal_data.personal_data(docs).collect()}
     assert found == {r.doc_id: s for r, s in zip(rows, wanted)}
+
+
+# growth
+
+
+def test_terms_are_whole_words_their_beginnings_and_pairs_of_unspaced_characters():
+    terms = toxicity.term_counts("Classic class, CLASS classification")
+    assert terms == {"clas": 16, "classic": 1, "class": 2, "classification": 1}
+    text = "今天天气很好我们去公园散步吧然后回家吃饭"
+    assert set(toxicity.term_counts(f"so {text}!")) == {"so"} | {text[k : k + 2] for k in range(len(text) - 1)}
+    assert toxicity.term_counts("好 中文abc") == {"好": 4, "中文": 4, "abc": 4} and toxicity.term_counts(None) == {}
+
+
+def seconds(work, *given):
+    began = time.process_time()
+    work(*given)
+    return time.process_time() - began
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a href=\"x", "<", "<!", "<!-- ", "</p", "<script></script ", "<a b='", "<p <div class=\"ad\" "])
+def test_hostile_pages_take_time_in_proportion(piece):
+    small, large = "<p>Text.</p>" + piece * 20_000, "<p>Text.</p>" + piece * 80_000
+    assert seconds(html_content.read_page, large) < 12 * max(seconds(html_content.read_page, small), 0.02)
+    assert html_content.read_page(large).blocks[0].text.startswith("Text.")
+
+
+def test_unclosed_tags_are_text():
+    page = html_content.read_page("<p>One</p><p>a > b <b>two</b> <i three")
+    assert [b.text for b in page.blocks] == ["One", "a > b two <i three"]
+
+
+def test_long_pretokens_are_cut_fast_and_as_by_the_plain_agenda():
+    table = piece_sampling.merges(PIECES)
+    r = random.Random(4)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(100_000)), "".join(r.choice("今天天气很好我们去公园") for _ in range(100_000))]
+    keys = np.array([5, 6], dtype=np.uint64)
+    assert seconds(table.segment_keyed, words, keys, 0.1) < 4  # two words
+    for dropout in (0.0, 0.3):
+        word = " " + words[0][:300]
+        ids = np.frombuffer(table.segment_keyed([word], keys[:1], dropout)[0], dtype="<i4").tolist()
+        assert ids == plain_merges(table, word, int(keys[0]), dropout)
+
+
+def plain_merges(table, word, key, dropout):
+    """The best candidate of all, again and again."""
+    parts = [(int(table.char[ord(c)]), k, k + 1) for k, c in enumerate(word)]
+    while True:
+        found = []
+        for n, ((a, i, k), (b, _, e)) in enumerate(zip(parts, parts[1:])):
+            made = int(table.lookup(np.array([a]), np.array([b]))[0])
+            place = table.place(np.array([i]), np.array([k]), np.array([e]))
+            if made >= 0 and not (dropout and table.dropped(np.array([key], dtype=np.uint64), place, dropout)[0]):
+                found.append((int(table.rank[made]), n, made))
+        if not found:
+            return [p[0] for p in parts]
+        _, n, made = min(found)
+        parts[n : n + 2] = [(made, parts[n][1], parts[n + 1][2])]
+
+
+def test_long_frequent_pretokens_are_broadcast(spark):
+    rule, odd = "-" * 70, "x" * 5000
+    docs = spark.createDataFrame([(k, f"{rule} word{k} {rule} {odd}") for k in range(300)], "doc_id long, text string").repartition(4)
+    known = token_counts.frequent_pretokens(docs, PIECES)
+    assert {token_counts.key_of(" " + rule), token_counts.key_of(" " + odd)} <= set(known)
+    left = token_counts.pretoken_frequencies(docs, known)
+    assert max(r["count"] for r in left.groupBy("pretoken").count().collect()) == 1
+    sp = token_counts.processor(PIECES)
+    assert all(r.n_tokens == len(sp.encode(f"{rule} word{r.doc_id} {rule} {odd}")) for r in token_counts.count_tokens(docs, PIECES).collect())
+
+
+def test_summaries_keep_what_is_frequent():
+    r = random.Random(2)
+    stream = [r.choice("abc") if r.random() < 0.5 else f"w{r.randrange(5000)}" for _ in range(20_000)]
+    found, wanted = collections.Counter(), collections.Counter(stream)
+    for k in range(0, len(stream), 500):
+        found = collections.Counter(token_counts.summarised(found + collections.Counter(stream[k : k + 500]), 50))
+    assert len(found) <= 50 and all(wanted[t] - len(stream) / 50 <= found[t] <= n for t, n in wanted.items() if n > len(stream) / 50)
+
+
+def test_many_empty_texts_are_packed_in_bounded_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 1000)
+    rows = packing.pack_documents(spark.range(9_500).selectExpr("id AS doc_id", "IF(id % 3 = 0, NULL, '') AS text"), WORDS)
+    found = rows.groupBy(F.shiftright("sequence_id", 32).alias("shard")).count().collect()
+    assert len(found) == 10 and max(r["count"] for r in found) < 1500 and sum(r["count"] for r in found) == 9_500
+
+
+def test_no_pattern_raises_itself(spark):
+    """44 of 100 instances are seeds: shares of seeds alone make no pattern trusted, however many rounds there are."""
+    rows = [(k, f"key was n{k}@x.org") for k in range(44)] + [(100 + k, f"key was K{k:06d}/x") for k in range(56)]
+    assert list(personal_data.trusted_patterns(personal_data.graph(spark.createDataFrame(rows, "doc_id long, text string")))) == []
