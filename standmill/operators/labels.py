@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from standmill.functions.keys import floor_long
@@ -112,30 +112,106 @@ def _cells(df: DataFrame, cell: float, reach: int, axes: str = "xyz") -> DataFra
     return out
 
 
+#: A pair of cells with more pairs of points goes on to smaller cells; queries of a cell that one task takes.
+HEAVY, CELL_ROWS = 1 << 20, 1 << 16
+#: A heavy pair is split at most so many times: by then its references are one place.
+SPLITS = 40
+_Q, _R = ["qx", "qy", "qz"], ["rx", "ry", "rz"]
+
+
+def _boxes(points: DataFrame, width: float, by: str) -> DataFrame:
+    """Occupied cells (cx, cy, cz) with the number and the bounds of their points."""
+    bounds = [f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("low", F.min), ("high", F.max))]
+    return _cells(points, width, 0).groupBy(by, "cx", "cy", "cz").agg(F.count("*").alias("n"), *bounds)
+
+
+def _coarser(boxes: DataFrame, by: str) -> DataFrame:
+    """Cells of twice the width."""
+    bounds = [f(f"{n}_{a}").alias(f"{n}_{a}") for a in "xyz" for n, f in (("low", F.min), ("high", F.max))]
+    return boxes.groupBy(by, *[F.shiftright(f"c{a}", 1).alias(f"c{a}") for a in "xyz"]).agg(F.sum("n").alias("n"), *bounds)
+
+
+def _side(boxes: DataFrame, side: str, by: str) -> DataFrame:
+    """Cells under the names of one side of a pair, with the cell around each."""
+    out = boxes.select(by, *[F.col(f"c{a}").alias(f"{side}{a}") for a in "xyz"], *[F.struct("n", *[f"{n}_{a}" for a in "xyz" for n in ("low", "high")]).alias(f"{side}_box")])
+    return out.withColumns({f"up_{side}{a}": F.shiftright(f"{side}{a}", 1) for a in "xyz"})
+
+
+def _pruned(pairs: DataFrame, by: str) -> DataFrame:
+    """Pairs of cells but for those whose points are farther apart than some reference is from all the queries; u is that bound."""
+    q, r = (lambda c: F.col(f"q_box.{c}")), (lambda c: F.col(f"r_box.{c}"))
+    total = lambda parts: sum(parts, F.lit(0.0))
+    gaps = [F.greatest(q(f"low_{a}") - r(f"high_{a}"), r(f"low_{a}") - q(f"high_{a}"), F.lit(0.0)) for a in "xyz"]
+    spans = [F.greatest(F.abs(q(f"high_{a}") - r(f"low_{a}")), F.abs(r(f"high_{a}") - q(f"low_{a}"))) for a in "xyz"]
+    pairs = pairs.withColumns({"near": total(g * g for g in gaps), "far": total(g * g for g in spans)})
+    least = F.min(F.least("u", "far")).over(Window.partitionBy(by, *_Q))  # the candidates of one cell, which are few
+    return pairs.withColumn("u", least).filter("near <= u").drop("near", "far")
+
+
+def _descended(pairs: DataFrame, q: DataFrame, r: DataFrame, by: str) -> DataFrame:
+    """The pairs of the cells within each pair's cells, pruned."""
+    up = pairs.select(by, "u", *[F.col(c).alias(f"up_{c}") for c in _Q + _R])
+    found = up.join(_side(q, "q", by), [by, *[f"up_{c}" for c in _Q]]).join(_side(r, "r", by), [by, *[f"up_{c}" for c in _R]])
+    return _pruned(found.select(by, *_Q, *_R, "q_box", "r_box", "u"), by)
+
+
 def nearest_label(queries: DataFrame, refs: DataFrame, value: str, cell: float, by: str = "scene_id") -> DataFrame:
     """Each query (by, pid, x, y, z) takes the value of the nearest reference of its scene (ties: lowest pid).
 
-    References are looked for in the 27 cells around a query; what is found within one cell's width is certain. Queries
-    without such a hit, which are written between rounds, go on with cells twice as wide, until a cell is wider than any
-    scene. A scene without references gives no rows."""
-    refs = refs.select(by, F.col("pid").alias("ref"), "x", "y", "z", F.col(value).alias("value"))
-    places = queries.select(by, "x", "y", "z").unionByName(refs.select(by, "x", "y", "z"))
-    spans = places.groupBy(by).agg(*[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).agg(F.max(F.greatest("x", "y", "z"))).first()[0] or 0.0
-    todo = queries.select(by, "pid", "x", "y", "z").join(refs.select(by).distinct(), by, "left_semi")
-    square = sum(((F.col(a) - F.col(f"r{a}")) * (F.col(a) - F.col(f"r{a}")) for a in "xyz"), F.lit(0.0))
-    best = F.min_by(F.struct("ref", "value", F.col("square")), F.struct("square", "ref")).alias("b")
-    done, width = None, cell
-    while True:
-        around = _cells(refs, width, 1).withColumnsRenamed({"x": "rx", "y": "ry", "z": "rz"})
-        found = _cells(todo, width, 0).join(around, [by, "cx", "cy", "cz"]).withColumn("square", square).groupBy(by, "pid").agg(best)
-        sure = F.lit(width > spans) | (F.col("b.square") <= F.lit(width * width))
-        marked = written(todo.join(found.withColumn("sure", sure), [by, "pid"], "left"))
-        now = marked.filter("sure").select(by, "pid", F.col("b.ref").alias("ref"), F.col("b.value").alias(value))
-        done = now if done is None else done.unionByName(now)
-        todo = marked.filter("sure IS NULL OR NOT sure").select(by, "pid", "x", "y", "z")
-        if width > spans or todo.isEmpty():
-            return done
-        width *= 2
+    Both sides are summed up in a pyramid of cells, from the given width up to a few cells a scene. From the top down, pairs of a
+    query cell and a reference cell are kept only if the reference cell can hold a nearest one, by the bounds of the points in both;
+    cells with too many points for a pair are split further. Points only meet in the pairs that are left: no round matches far
+    queries with all references, and queries of a full cell are dealt to several tasks. Of references in one place only the lowest
+    pid can win. A scene without references gives no rows."""
+    first = F.min_by(F.struct(F.col("pid").alias("ref"), F.col(value).alias("value")), "pid").alias("v")
+    refs = written(refs.groupBy(by, "x", "y", "z").agg(first).select(by, "v.ref", "x", "y", "z", "v.value"))
+    queries = queries.select(by, "pid", "x", "y", "z")
+    q0, r0 = written(_boxes(queries, cell, by)), written(_boxes(refs, cell, by))
+    edges = q0.unionByName(r0).groupBy(by).agg(*[(F.max(f"c{a}") - F.min(f"c{a}")).alias(a) for a in "xyz"])
+    widest = edges.agg(F.max(F.greatest("x", "y", "z"))).first()[0] or 0
+    levels = [(q0, r0)]
+    for _ in range(int(widest).bit_length() - 1):
+        levels.append(tuple(_coarser(x, by) for x in levels[-1]))
+    q, r = levels.pop()
+    pairs = _side(q, "q", by).join(_side(r, "r", by), by).withColumn("u", F.lit(float("inf")))  # two cells along each axis, or three
+    pairs = _pruned(pairs.select(by, *_Q, *_R, "q_box", "r_box", "u"), by)
+    for k in range(len(levels) - 1, -1, -1):
+        pairs = _descended(pairs, *levels[k], by)
+        if k % 3 == 0:
+            pairs = written(pairs)
+    if not levels:
+        pairs = written(pairs)
+    found, width = None, float(cell)
+    heavy = (F.col("q_box.n") * F.col("r_box.n") > HEAVY) & (F.col("r_box.n") > 1)
+    for k in range(SPLITS + 1):
+        more = pairs.filter(heavy if k < SPLITS else F.lit(False))
+        last = more.isEmpty()
+        one = _met(queries, refs, pairs if last else pairs.filter(~heavy), width, by)
+        found = one if found is None else found.unionByName(one)
+        if last:
+            break
+        width /= 2
+        inside = lambda points, names: _cells(points, 2 * width, 0).join(more.select(by, *[F.col(c).alias(f"c{c[1]}") for c in names]).distinct(), [by, "cx", "cy", "cz"], "left_semi").drop("cx", "cy", "cz")  # noqa: B023, E731
+        pairs = written(_descended(more, _boxes(inside(queries, _Q), width, by), _boxes(inside(refs, _R), width, by), by))
+    best = found.groupBy(by, "pid").agg(F.min_by("b", F.struct("b.square", "b.ref")).alias("b"))
+    return best.select(by, "pid", "b.ref", F.col("b.value").alias(value))
+
+
+def _met(queries: DataFrame, refs: DataFrame, pairs: DataFrame, width: float, by: str) -> DataFrame:
+    """by, pid and b (ref, value, square): the best reference of each query among those of the cells paired with its own."""
+    place = [by, "cx", "cy", "cz"]
+    held = _cells(refs, width, 0).select(by, *[F.col(f"c{a}").alias(f"r{a}") for a in "xyz"], F.struct("ref", "value", "x", "y", "z").alias("r"))
+    deal = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("q_box.n") / CELL_ROWS)))
+    near = pairs.select(by, *_Q, *_R, deal.alias("part")).join(held, [by, *_R]).select(by, *[F.col(f"q{a}").alias(f"c{a}") for a in "xyz"], "part", "r")
+    asked = _cells(queries, width, 0)
+    full = pairs.filter(F.col("q_box.n") >= CELL_ROWS).select(by, *[F.col(f"q{a}").alias(f"c{a}") for a in "xyz"], F.floor(F.col("q_box.n") / CELL_ROWS).alias("parts")).distinct()
+    if full.isEmpty():
+        asked = asked.withColumn("part", F.lit(0).cast("long"))
+    else:
+        asked = asked.join(full, place, "left").withColumn("part", F.pmod(F.xxhash64("pid"), F.coalesce("parts", F.lit(0)) + 1)).drop("parts")
+    square = sum(((F.col(a) - F.col(f"r.{a}")) * (F.col(a) - F.col(f"r.{a}")) for a in "xyz"), F.lit(0.0))
+    met = asked.join(near, [*place, "part"]).select(by, "pid", F.struct("r.ref", "r.value", square.alias("square")).alias("b"))
+    return met.groupBy(by, "pid").agg(F.min_by("b", F.struct("b.square", "b.ref")).alias("b"))
 
 
 def inverse_labels(points: DataFrame, reduced: DataFrame, value: str, keys: list[str]) -> DataFrame:

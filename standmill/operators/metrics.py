@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from standmill.functions.keys import half_even
+from standmill.sources.storage import written
 from standmill.operators.frames import binary_class
 
 GROUND, WOOD, LEAF = 0, 1, 2
@@ -47,11 +48,54 @@ def tree_metrics(points: DataFrame, by: str = "scene_id", min_points: int = 10)
     )
 
 
+#: Buckets of a selection round, and rows of a bucket that are ranked.
+BUCKETS, RANKED = 1024, 10_000
+
+
+def exact_quantile(rows: DataFrame, value: Column, q: float, by: str = "scene_id") -> DataFrame:
+    """by and quantile: the exact quantile of a group's values (nulls ignored), interpolated between two neighbours.
+
+    Selection: each round counts the values of a narrowing range in buckets and goes on with the bucket of the wanted rank,
+    until that is one value, lies between two buckets, or has few rows to rank. No task holds a group's values."""
+    values = rows.select(by, value.cast("double").alias("v")).filter("v IS NOT NULL")
+    at = F.col("n") - 1
+    state = values.groupBy(by).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    state = state.withColumns({"place": at * F.lit(float(q)), "before": F.lit(0).cast("long"), "inside": F.col("n")}).drop("n")
+    state = written(state.withColumns({"k0": F.floor("place"), "k1": F.ceil("place")}))
+    done = None
+    while True:
+        one = state.filter("low = high").select(by, "place", "k0", F.col("low").alias("v0"), F.col("low").alias("v1"))
+        few = state.filter(f"low < high AND inside <= {RANKED}")
+        order = Window.partitionBy(by).orderBy("v")
+        ranked = values.join(few, by).filter("v >= low AND v <= high").withColumn("k", F.row_number().over(order) - 1 + F.col("before"))
+        value_at = lambda k: F.max(F.when(F.col("k") == F.col(k), F.col("v")))
+        ranked = ranked.groupBy(by).agg(F.first("place").alias("place"), F.first("k0").alias("k0"), value_at("k0").alias("v0"), value_at("k1").alias("v1"))
+        now = one.unionByName(ranked)
+        many = state.filter(f"low < high AND inside > {RANKED}")
+        if many.isEmpty():
+            done = now if done is None else done.unionByName(now)
+            break
+        bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * BUCKETS)).alias("bucket")
+        facts = [F.first(c).alias(c) for c in ("place", "k0", "k1", "before")]
+        counted = values.join(many, by).filter("v >= low AND v <= high").groupBy(by, bucket).agg(F.count("*").alias("some"), F.min("v").alias("low"), F.max("v").alias("high"), *facts)
+        along = Window.partitionBy(by).orderBy("bucket")  # BUCKETS rows a group
+        counted = counted.withColumn("end", F.sum("some").over(along) + F.col("before")).withColumn("following", F.lead("low").over(along))
+        hit = counted.filter("k0 < end AND k0 >= end - some")
+        hit = written(hit.withColumn("between", F.col("k1") >= F.col("end")))  # the ranks are the last of a bucket and the first of the next one
+        now = now.unionByName(hit.filter("between").select(by, "place", "k0", F.col("high").alias("v0"), F.col("following").alias("v1")))
+        done = now if done is None else done.unionByName(now)
+        state = hit.filter("NOT between").select(by, "low", "high", "place", (F.col("end") - F.col("some")).alias("before"), F.col("some").alias("inside"), "k0", "k1")
+    share = F.col("place") - F.col("k0")
+    return done.select(by, F.when(F.col("v0") == F.col("v1"), F.col("v0")).otherwise((1 - share) * F.col("v0") + share * F.col("v1")).alias("quantile"))
+
+
 def ground_height(points: DataFrame, by: str = "scene_id", approximate: bool = False) -> DataFrame:
     """The median height of ground points, or the lowest height of a scene without any."""
     ground = F.when(F.col("sem_pred") == GROUND, F.col("z"))
-    median = F.percentile_approx(ground, F.lit(0.5), F.lit(10000)) if approximate else F.percentile(ground, F.lit(0.5))
-    return points.groupBy(by).agg(F.coalesce(median, F.min("z")).alias("ground_z"))
+    if approximate:
+        return points.groupBy(by).agg(F.coalesce(F.percentile_approx(ground, F.lit(0.5), F.lit(10000)), F.min("z")).alias("ground_z"))
+    lowest = points.groupBy(by).agg(F.min("z").alias("lowest"))
+    return lowest.join(exact_quantile(points, ground, 0.5, by), by, "left").select(by, F.coalesce("quantile", "lowest").alias("ground_z"))
 
 
 def top_trees(trees: DataFrame, n: int, by: str = "scene_id") -> DataFrame:
@@ -204,21 +248,30 @@ def average_precision(pred_masks: DataFrame, pred_points: DataFrame, truth: Data
     )
 
 
-def _curves(calls: DataFrame, truths: DataFrame) -> DataFrame:
+def _curves(calls: DataFrame, truths: DataFrame, ranges: int | None = None) -> DataFrame:
     """Area under the precision-recall curve, and its point of best F1 (ties: the lowest score), per label and threshold.
 
     The curve has a point for each distinct score (all calls with at least it) and ends at precision 1 and recall 0. Each
-    precision counts for half the recall between its two neighbours; the first point is its own neighbour."""
+    precision counts for half the recall between its two neighbours; the first point is its own neighbour. The scores are
+    dealt into ranges of about equal size: sums run within a range, and what the ranges before it hold is added."""
     key = ["label", "threshold"]
-    steps = calls.groupBy(*key, "score").agg(F.count_if("hit").alias("tp"), F.count("*").alias("n"))
-    up = Window.partitionBy(*key).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    along = Window.partitionBy(*key).orderBy(F.desc("score"))
-    curve = steps.withColumns({"tp": F.sum("tp").over(up), "n": F.sum("n").over(up)}).join(truths.filter("n_truths > 0"), "label")
+    steps = calls.groupBy(*key, "score").agg(F.count_if("hit").alias("tp"), F.count("*").alias("n")).join(truths.filter("n_truths > 0"), "label")
+    order = [F.col("label"), F.col("threshold"), F.desc("score")]
+    steps = written((steps.repartitionByRange(ranges, *order) if ranges else steps.repartitionByRange(*order)).withColumn("range", F.spark_partition_id()))
+    parts = steps.groupBy(*key, "range").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"), F.max_by("tp", "score").alias("first"))
+    before = Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    parts = parts.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("tp", "n")})
+    parts = parts.withColumn("tp_next", F.lead(F.col("tp_before") + F.col("first")).over(Window.partitionBy(*key).orderBy("range")))
+    up = Window.partitionBy(*key, "range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(*key, "range").orderBy(F.desc("score"))
+    curve = steps.withColumns({"tp": F.sum("tp").over(up), "n": F.sum("n").over(up)}).join(parts.drop("tp", "n", "first"), [*key, "range"])
+    curve = curve.withColumns({"tp": F.col("tp") + F.col("tp_before"), "n": F.col("n") + F.col("n_before")})
     curve = curve.withColumns({"precision": F.col("tp") / F.col("n"), "recall": F.col("tp") / F.col("n_truths")})
-    after = F.coalesce(F.lag("recall").over(along), F.lit(0.0))  # the next higher score, or the end of the curve
-    before = F.coalesce(F.lead("recall").over(along), F.col("recall"))
+    # the neighbours: the next higher score, or the end of the curve, and the next lower one
+    after = F.coalesce(F.lag("recall").over(along), F.col("tp_before") / F.col("n_truths"))
+    lower = F.coalesce(F.lead("recall").over(along), F.col("tp_next") / F.col("n_truths"), F.col("recall"))
     f1 = 2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1e-12))
-    curve = curve.withColumns({"area": F.col("precision") * (before - after) / 2, "f1": f1})
+    curve = curve.withColumns({"area": F.col("precision") * (lower - after) / 2, "f1": f1})
     # the last point has precision 1 and half the recall of the highest score's point
     best = F.max_by(F.struct("precision", "recall"), F.struct(F.col("f1"), -F.col("score")))
     found = curve.groupBy(*key).agg(F.sum("area").alias("area"), F.max_by("recall", "score").alias("top"), best.alias("best"))

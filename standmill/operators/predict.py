@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from standmill.functions.keys import hash_order
+from standmill.operators.places import BUCKET_BITS, placed
+from standmill.operators.tiles import scene_extent, tile_rows
 from standmill.sources.storage import written
 
 WHOLE_SCENE = 4_000_000
@@ -41,6 +44,56 @@ def segment(points: DataFrame, predict: Callable[[np.ndarray], tuple[np.ndarray,
     return found.filter("error IS NULL").drop("error"), found.filter("error IS NOT NULL").select(*by, "error")
 
 
+def adaptive_tiles(points: DataFrame, tile_size: float, overlap: float, cap: int, min_points: int = 100, levels: int = 8, by: str = "scene_id") -> DataFrame:
+    """points with ix, iy, path, part and tile_id, once for each tile that holds them, no tile having more than cap rows.
+
+    Tiles of the fixed grid with more rows are cut into quarters, those again, and so on (path has the quarters' digits),
+    each grown by the same overlap: a quarter's rows are among its tile's. What is still too full after so many levels (many
+    points in one place) is dealt, in hash order, into parts of equal extent. Numbers follow ix, iy, path and part, so they do
+    not depend on partitions. Every row of the fixed grid's tiles of min_points or more is in one of the new ones at least."""
+    place = [by, "ix", "iy", "path"]
+    rows = tile_rows(points, tile_size, overlap, by).withColumn("path", F.lit(""))
+    extent = scene_extent(points, by).select(by, "min_x", "min_y")
+    rows = written(rows.join(extent, by).withColumns({f"edge_{a}": F.col(f"min_{a}") + F.col(f"i{a}") * F.lit(float(tile_size)) for a in "xy"}).drop("min_x", "min_y"))
+    counts = rows.groupBy(*place).agg(F.count("*").alias("n_tile")).filter(F.col("n_tile") >= min_points)
+    done, half, grown = None, float(tile_size), F.lit(float(overlap))
+    for level in range(levels + 1):
+        counted = rows.join(counts, place)
+        now = counted.filter(F.col("n_tile") <= cap) if level < levels else counted
+        done = now if done is None else done.unionByName(now)
+        if level == levels or counts.filter(F.col("n_tile") > cap).isEmpty():
+            break
+        half /= 2
+        out = counted.filter(F.col("n_tile") > cap).drop("n_tile")
+        for a in "xy":
+            out = out.withColumn(f"side_{a}", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(f"edge_{a}", F.col(f"edge_{a}") + F.col(f"side_{a}") * F.lit(half))
+            out = out.filter((F.col(a) >= F.col(f"edge_{a}") - grown) & (F.col(a) <= F.col(f"edge_{a}") + F.lit(half) + grown))
+        rows = written(out.withColumn("path", F.concat("path", (2 * F.col("side_x") + F.col("side_y")).cast("string"))).drop("side_x", "side_y"))
+        counts = rows.groupBy(*place).agg(F.count("*").alias("n_tile"))
+    done = written(done.drop("edge_x", "edge_y"))
+    full = done.filter(F.col("n_tile") > cap)
+    few = done.filter(F.col("n_tile") <= cap).withColumn("part", F.lit(0))
+    if not full.isEmpty():
+        order = hash_order(F.col("pid"), 0)
+        parts = placed(full, place, F.shiftright(order, BUCKET_BITS), [order, F.col("pid")])
+        few = few.unionByName(parts.withColumn("part", F.floor(F.col("place") / cap).cast("int")).drop("place"))
+    few = few.drop("n_tile")
+    numbers = few.select(*place, "part").distinct().withColumn("tile_id", (F.row_number().over(Window.partitionBy(by).orderBy("ix", "iy", "path", "part")) - 1).cast("int"))
+    return few.join(numbers, [*place, "part"])
+
+
+def segment_scenes(
+    points: DataFrame, predict: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], tile_size: float, overlap: float, cap: int = WHOLE_SCENE,
+    min_points: int = 100, levels: int = 8, by: str = "scene_id",
+) -> tuple[DataFrame, DataFrame]:
+    """segment() with tiles as it needs them: scenes of at most cap points whole (as tile 0), others in adaptive tiles."""
+    tiled = written(needs_tiles(points, cap, by)).select(by, "tiled")
+    marked = points.join(tiled, by)
+    whole = marked.filter("NOT tiled").select(by, "pid", "x", "y", "z", F.lit(0).alias("tile_id"))
+    cut = adaptive_tiles(marked.filter("tiled").drop("tiled"), tile_size, overlap, cap, min_points, levels, by)
+    return segment(whole.unionByName(cut.select(by, "pid", "x", "y", "z", "tile_id")), predict, (by, "tile_id"))
+
+
 def needs_tiles(points: DataFrame, limit: int = WHOLE_SCENE, by: str = "scene_id") -> DataFrame:
     """Which scenes have more points than can be predicted whole."""
     return points.groupBy(by).agg(F.count("*").alias("n_points")).withColumn("tiled", F.col("n_points") > limit)

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from standmill.functions import text
 from standmill.operators import metrics, predict
-from standmill.plans.frame_queries import TILES, TOP, SIZE, GROW, _r, merged, tile_preds, tree_sql
+from standmill.plans.frame_queries import PREDS, TILES, TOP, SIZE, GROW, _r, merged, tile_preds, tree_sql
 from standmill.plans.registry import query
 from standmill.sources import files
 from standmill.sources.fixtures import POINTS_SQL, STATUS_SQL, points, status_events, status_of, table
 from standmill.sources.storage import new_path
-from standmill.streaming import status as st
+from standmill.streaming import status as st, tile_merge
 from standmill.operators import tiles
 
 P, S = POINTS_SQL, STATUS_SQL
@@ -252,16 +252,27 @@ BEST_TILE = TILES + """, preds AS (SELECT scene_id, pid, tile_id, sem_pred AS se
 SELECT scene_id, pid, tile_id, semantic_pred, instance_pred, score FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, pid ORDER BY score DESC, tile_id) AS k FROM preds) WHERE k = 1"""
 
 
-@query("t6_merge_tiles_streaming", BEST_TILE)
-def _(spark, sf):
+def _merged_stream(spark, sf, expected):
+    """A store of tile merges after a stream of tiles, two files a batch."""
     path = new_path(spark)
     preds = tile_preds(spark, sf)
-    preds.repartition(4, "tile_id").write.parquet(path)  # tiles come in as files
-    stream = spark.readStream.schema(preds.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    made = st.merge_tiles_streaming(stream)
-    out = _sunk(spark, made, "update")
-    best = F.max_by(F.struct("tile_id", "semantic_pred", "instance_pred", "score"), F.struct(F.col("score"), -F.col("tile_id")))
-    return out.groupBy("scene_id", "pid").agg(best.alias("w")).select("scene_id", "pid", "w.*")
+    preds.repartition(4, "tile_id").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(preds.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    n_rows = preds.groupBy("scene_id").agg(F.count("*").alias("n_rows")) if expected else None
+    store = tile_merge.TileMerge(spark, f"{path}/store", points(spark, sf), n_rows)
+    tile_merge.merge_tiles_streaming(stream, store, f"{path}/seen").awaitTermination()
+    return store
+
+
+@query("t6_merge_tiles_streaming", BEST_TILE)
+def _(spark, sf):
+    return _merged_stream(spark, sf, False).winners()
+
+
+@query("t6_merge_tiles_upsert", PREDS + " SELECT * FROM merged")
+def _(spark, sf):
+    """The rows of j3_merge_tile_predictions, scene by scene as its last tile comes in."""
+    return _merged_stream(spark, sf, True).result()
 
 
 # text
@@ -345,6 +356,48 @@ def _(spark, sf):
     return predict.needs_tiles(points(spark, sf), 5730)
 
 
+CAP = 150
+
+
+def _quarter_sql(levels: int) -> str:
+    """Tiles of more than CAP rows in quarters, level by level, with the overlap kept; ``done`` has the tiles that stay."""
+    g, out = f"CAST({GROW} AS DOUBLE)", TILES + """, base AS (SELECT h.scene_id, pid, x, y, ix, iy, '' AS path, e.x0 + ix * CAST({0} AS DOUBLE) AS lx, e.y0 + iy * CAST({0} AS DOUBLE) AS ly FROM held h JOIN numbered n USING (scene_id, ix, iy) JOIN ext e USING (scene_id)),
+ l0 AS (SELECT *, count(*) OVER (PARTITION BY scene_id, ix, iy) AS n FROM base)""".format(SIZE)
+    for k in range(1, levels + 1):
+        half = f"CAST({SIZE / 2**k} AS DOUBLE)"
+        sides = "(VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS v(a, b)"
+        inside = f"x >= lx + a * {half} - {g} AND x <= lx + (a + 1) * {half} + {g} AND y >= ly + b * {half} - {g} AND y <= ly + (b + 1) * {half} + {g}"
+        out += f""", q{k} AS (SELECT scene_id, pid, x, y, ix, iy, path || (2 * a + b) AS path, lx + a * {half} AS lx, ly + b * {half} AS ly FROM l{k - 1}, {sides} WHERE n > {CAP} AND {inside}),
+ l{k} AS (SELECT *, count(*) OVER (PARTITION BY scene_id, ix, iy, path) AS n FROM q{k})"""
+    every = " UNION ALL ".join(f"SELECT scene_id, pid, ix, iy, path, n FROM l{k}" + (f" WHERE n <= {CAP}" if k < levels else "") for k in range(levels + 1))
+    return out + f", done AS ({every})"
+
+
+LEVELS = 2
+
+
+@query("u1_adaptive_tiles", _quarter_sql(LEVELS) + f" SELECT scene_id, ix, iy, path, count(*) AS n_points, ceil(count(*) / {CAP}) AS n_parts FROM done GROUP BY 1, 2, 3, 4".replace("ceil(", "CAST(ceil(").replace(") AS n_parts", ") AS BIGINT) AS n_parts"))
+def _(spark, sf):
+    made = predict.adaptive_tiles(points(spark, sf), SIZE, GROW, CAP, 20, levels=LEVELS)
+    return made.groupBy("scene_id", "ix", "iy", "path").agg(F.count("*").alias("n_points"), F.countDistinct("part").alias("n_parts"))
+
+
+def low_and_high(xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A test predictor whose answer for a point doesn't depend on its tile."""
+    if len(xyz) > CAP:
+        raise ValueError("too many points")
+    ground = xyz[:, 2] < 0.5
+    return np.where(ground, 0, 1), np.where(ground, -1, np.floor(xyz[:, 2]).astype(int)), np.where(ground, 0.25, 0.75)
+
+
+@query("u1_segment_adaptive", _quarter_sql(LEVELS) + " SELECT scene_id, pid, min(CAST(CASE WHEN z < 0.5 THEN 0 ELSE 1 END AS INTEGER)) AS semantic_pred, min(CASE WHEN z < 0.5 THEN CAST(0.25 AS DOUBLE) ELSE CAST(0.75 AS DOUBLE) END) AS score, count(*) AS n_tiles FROM done JOIN points USING (scene_id, pid) GROUP BY 1, 2")
+def _(spark, sf):
+    """Every point that a tile of the fixed grid has is predicted in each tile that holds it, none of more than CAP points."""
+    found, failed = predict.segment_scenes(points(spark, sf), low_and_high, SIZE, GROW, CAP, 20, levels=LEVELS)
+    assert failed.isEmpty()
+    return found.groupBy("scene_id", "pid").agg(F.min("semantic_pred").alias("semantic_pred"), F.min("score").alias("score"), F.count("*").alias("n_tiles"))
+
+
 @query("flagship_tree_heights", TILES.replace("HAVING count(*) >= 20", "HAVING count(*) >= 20") + """, preds AS (SELECT scene_id, pid, tile_id, sem_pred AS semantic_pred, inst_pred AS instance_pred, CAST((pid * 31 + tile_id * 17) % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS score FROM tiled),
  tmax AS (SELECT scene_id, tile_id, max(instance_pred) AS m FROM preds GROUP BY 1, 2),
  toff AS (SELECT *, CAST(coalesce(sum(CASE WHEN m >= 0 THEN m + 1 ELSE 0 END) OVER (PARTITION BY scene_id ORDER BY tile_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS id_offset FROM tmax),

@@ -112,14 +112,6 @@ def telemetry_windows(samples: DataFrame, kind: str = "tumbling", size: str = "1
     return found.select(key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "mean_value", "max_value")
 
 
-def merge_tiles_streaming(preds: DataFrame, by: str = "scene_id") -> DataFrame:
-    """The winning prediction of each point as tiles come in: a maximum over score and tile, so their order does not matter.
-
-    Instance ids stay local: offsets need the tiles' order, and are added once all are there."""
-    best = F.max_by(F.struct("tile_id", "semantic_pred", "instance_pred", "score"), F.struct(F.col("score"), -F.col("tile_id")))
-    return preds.filter("score > -1").groupBy(by, "pid").agg(best.alias("w")).select(by, "pid", "w.*")
-
-
 def progress_pct(tiles: DataFrame, total: DataFrame, by: str = "scene_id") -> DataFrame:
     """20 to 85 percent by the share of a scene's tiles that are done."""
     done = tiles.groupBy(by).agg(F.size(F.collect_set("tile_id")).alias("done"))  # exact on a stream too; a scene has few tiles
