@@ -453,8 +453,8 @@ def phrase_counts(docs: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
         filters = [*filters, hash_filter(level)]
         passed = level if passed is None else passed.unionByName(level)
     shared = sc.broadcast(filters)
-    found = _candidates(docs, shared).join(passed.hint("shuffle_hash"), "h", "left_semi").dropDuplicates(["h", "lang", "phrase"])
-    found = keep(found)
+    once = _candidates(docs, shared).repartition("h").dropDuplicates(["h", "lang", "phrase"])  # before the join, by the same shuffle
+    found = keep(once.join(passed.hint("shuffle_hash"), "h", "left_semi"))
     shards = math.ceil(found.count() / SHARD_KEYS)
     empty = spark.createDataFrame([], "lang string, phrase string, a long")
     if not shards:
