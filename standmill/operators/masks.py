@@ -142,36 +142,28 @@ def merge_masks_pairwise(mask_points: DataFrame, masks: DataFrame, threshold: fl
     """Masks that stay when pairs are looked at in list order: of two of which one holds more than a share of the other the
     lower score goes (the later one on a tie), unless one of them has gone before.
 
-    Pairs are few; those of a scene are resolved in order by one small task each."""
-    import pandas as pd
-
+    A mask goes at its first pair with a better one that is still there then, so its fate follows from those of better masks
+    alone: each round decides, for all scenes at once, the masks whose better partners are all decided."""
     pairs = mask_overlap(mask_points, by=by).filter((F.col("in_a") > threshold) | (F.col("in_b") > threshold)).select(by, "mask_a", "mask_b")
     score = masks.select(by, "mask_id", "score")
     pairs = pairs.join(score.withColumnsRenamed({"mask_id": "mask_a", "score": "sa"}), [by, "mask_a"]).join(score.withColumnsRenamed({"mask_id": "mask_b", "score": "sb"}), [by, "mask_b"])
-
-    def resolve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        for a, b, sa, sb in rows.sort_values(["mask_a", "mask_b"])[["mask_a", "mask_b", "sa", "sb"]].itertuples(index=False):
-            if a not in gone and b not in gone:
-                gone.add(b if sa >= sb else a)
-        return pd.DataFrame({by: [key[0]] * len(gone), "mask_id": sorted(gone)})
-
-    gone = pairs.groupBy(by).applyInPandas(resolve, f"{by} {masks.schema[by].dataType.simpleString()}, mask_id {masks.schema['mask_id'].dataType.simpleString()}")
-    return masks.join(gone, [by, "mask_id"], "left_anti")
-
-
-def connected(edges: DataFrame, nodes: DataFrame, by: str = "scene_id") -> DataFrame:
-    """The smallest id that each node (by, id) is connected with, by passing on smallest ids until nothing changes."""
-    both = written(edges.select(by, "a", "b").union(edges.select(by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(nodes.select(by, F.col("id").alias("a"), F.col("id").alias("root")))
-    while True:
-        near = both.join(labels.select(by, F.col("a").alias("b"), "root"), [by, "b"]).groupBy(by, "a").agg(F.min("root").alias("near"))
-        step = labels.join(near, [by, "a"], "left").withColumn("new", F.least("root", "near"))
-        up = labels.select(by, F.col("a").alias("new"), F.col("root").alias("higher"))  # a label's own label halves the way
-        after = written(step.join(up, [by, "new"], "left").select(by, "a", F.least("new", "higher").alias("root"), F.col("root").alias("old")))
-        labels = after.select(by, "a", "root")
-        if after.filter("root <> old").isEmpty():
-            return labels.withColumnRenamed("a", "id")
+    first = F.col("sa") >= F.col("sb")
+    worse, better = F.when(first, F.col("mask_b")).otherwise(F.col("mask_a")), F.when(first, F.col("mask_a")).otherwise(F.col("mask_b"))
+    open_ = written(pairs.select(by, worse.alias("mask_id"), better.alias("better"), F.struct("mask_a", "mask_b").alias("turn")))
+    # masks without a better partner stay; ``went`` is the pair at which a mask goes
+    decided = open_.select(by, F.col("better").alias("mask_id")).distinct().join(open_.select(by, "mask_id").distinct(), [by, "mask_id"], "left_anti")
+    decided = written(decided.withColumn("went", F.lit(None).cast(open_.schema["turn"].dataType)))
+    gone = None
+    while not open_.isEmpty():
+        known = decided.select(by, F.col("mask_id").alias("better"), F.col("went").alias("better_went"), F.lit(True).alias("known"))
+        met = open_.join(known, [by, "better"], "left")
+        there = F.col("better_went").isNull() | (F.col("better_went") > F.col("turn"))
+        fates = met.groupBy(by, "mask_id").agg(F.count_if(F.col("known").isNull()).alias("waiting"), F.min(F.when(there, F.col("turn"))).alias("went"))
+        now = written(fates.filter("waiting = 0").select(by, "mask_id", "went"))
+        decided = written(decided.unionByName(now))
+        gone = now.filter("went IS NOT NULL") if gone is None else gone.unionByName(now.filter("went IS NOT NULL"))
+        open_ = written(open_.join(now, [by, "mask_id"], "left_anti"))
+    return masks if gone is None else masks.join(gone, [by, "mask_id"], "left_anti")
 
 
 def merge_masks_by_iou(mask_points: DataFrame, masks: DataFrame, threshold: float = 0.6, by: str = "scene_id") -> tuple[DataFrame, DataFrame]:

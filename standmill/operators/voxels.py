@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from standmill.functions.keys import floor_long, hash_order, morton2d, voxel
+from standmill.sources.storage import written
 from standmill.operators.frames import voxel_features
 from standmill.operators.places import BUCKET_BITS, lowest_hashes, placed
 
@@ -228,11 +229,22 @@ def principal_axes(embeddings: DataFrame, column: str = "embedding", size: int =
     return embeddings.withColumns({"u": along(0), "v": along(1)})
 
 
-def query_fps(points: DataFrame, n: int, features: tuple[str, ...] = ("x", "y", "z"), by: str = "scene_id") -> DataFrame:
-    """n points of each group by farthest point sampling from the first one; column rank gives the order.
+#: Rows of a group that one task may look at; cells along an axis of a larger one, and points of a cell that stand for it.
+FPS_ROWS, FPS_CELLS, FPS_FRONT = 20_000, 8, 4
+
 
-    The method looks at a whole group: large ones go through query_grid first, which bounds them."""
-    schema = points.schema
+def query_fps(points: DataFrame, n: int, features: tuple[str, ...] = ("x", "y", "z"), by: str = "scene_id") -> DataFrame:
+    """n points of each group by farthest point sampling from the first one (lowest pid; ties: lowest pid); column rank gives the order.
+
+    A group of at most FPS_ROWS points is sampled in one task. A larger one goes through rounds: Spark keeps every point's
+    distance to the nearest sample and hands on, for each cell of a grid, its farthest points, the next distance after
+    theirs, and the cell's bounds. From these a task goes on sampling as long as no other point can be farther: the
+    distances of the points handed on are exact, and those of the others are bounded by the cell. Then all distances are
+    brought up to date. The samples are those of the plain method."""
+    size = points.groupBy(by).agg(F.count("*").alias("_rows"))
+    large = written(size.filter(F.col("_rows") > FPS_ROWS).select(by))
+    small = points.join(large, by, "left_anti")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema) + ", rank int"
 
     def pick(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pid", kind="stable").reset_index(drop=True)
@@ -243,8 +255,67 @@ def query_fps(points: DataFrame, n: int, features: tuple[str, ...] = ("x", "y",
             chosen.append(int(gap.argmax()))
         return group.iloc[chosen].assign(rank=range(len(chosen)))
 
-    described = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", rank int"
-    return points.groupBy(by).applyInPandas(pick, described)
+    found = small.select(*points.columns).groupBy(by).applyInPandas(pick, schema)
+    if large.isEmpty():
+        return found
+    chosen = _farthest(points.join(large, by, "left_semi"), n, features, by)
+    return found.unionByName(points.join(chosen, [by, "pid"]).select(*points.columns, "rank"))
+
+
+def _farthest(points: DataFrame, n: int, features: tuple[str, ...], by: str) -> DataFrame:
+    """by, pid and rank of the samples of large groups."""
+    kind = points.schema[by].dataType.simpleString()
+    place = F.array(*[F.col(c).cast("double") for c in features]).alias("place")
+    rows = points.select(by, F.col("pid").cast("long").alias("pid"), place)
+    goals = rows.groupBy(by).agg(F.least(F.count("*"), F.lit(n)).cast("int").alias("goal"))
+    axes = range(min(3, len(features)))
+    bounds = rows.groupBy(by).agg(*[f(F.element_at("place", k + 1)).alias(f"{m}{k}") for k in axes for m, f in (("low", F.min), ("high", F.max))])
+    step = lambda k: F.when(F.col(f"high{k}") > F.col(f"low{k}"), F.least(F.lit(FPS_CELLS - 1), F.floor((F.element_at("place", k + 1) - F.col(f"low{k}")) / (F.col(f"high{k}") - F.col(f"low{k}")) * FPS_CELLS))).otherwise(0)
+    cell = sum((step(k) * FPS_CELLS**k for k in axes), F.lit(0)).cast("int")
+    rows = rows.join(bounds, by).select(by, "pid", "place", cell.alias("cell"), F.lit(float("inf")).alias("gap"))
+    boxes = written(rows.groupBy(by, "cell").agg(*[F.array(*[f(F.element_at("place", k + 1)) for k in range(len(features))]).alias(m) for m, f in (("low", F.min), ("high", F.max))]))
+    first = rows.groupBy(by).agg(F.min_by(F.struct("pid", "place"), "pid").alias("s")).select(by, "s.pid", "s.place", F.lit(0).alias("rank"))
+    samples = written(first)
+    fresh, rows = samples, written(rows)
+    sampled = f"`{by}` {kind}, pid long, place array<double>, rank int"
+
+    def go_on(key: tuple, front: pd.DataFrame) -> pd.DataFrame:
+        at = front["place_no"].to_numpy()
+        held, last = front[at <= FPS_FRONT], front[at > FPS_FRONT]
+        place, gap, pid = np.stack(held["place"].to_list()), held["gap"].to_numpy().copy(), held["pid"].to_numpy()
+        low, high, bound = np.stack(front["low"].to_list())[at > FPS_FRONT] if len(last) else None, None, None
+        if len(last):
+            high, bound = np.stack(last["high"].to_list()), last["gap"].to_numpy().copy()
+        rank, goal, out = int(front["done"].iloc[0]), int(front["goal"].iloc[0]), []
+        while rank + len(out) < goal:
+            k = int(np.lexsort((pid, -gap))[0])
+            most = bound.max() if len(last) else -1.0
+            if most > gap[k] or most == gap[k] and out:  # right after bringing up to date, those handed on come first among equals
+                break
+            if gap[k] == 0:  # every place is taken: the plain method goes on with the first point
+                lead = front["lead"].iloc[0]
+                out += [(key[0], int(lead["pid"]), list(lead["place"]), r) for r in range(rank + len(out), goal)]
+                break
+            out.append((key[0], int(pid[k]), place[k].tolist(), rank + len(out)))
+            gap = np.minimum(gap, ((place - place[k]) ** 2).sum(axis=1))
+            if len(last):
+                far = np.maximum(np.abs(place[k] - low), np.abs(high - place[k]))
+                bound = np.minimum(bound, (far * far).sum(axis=1))
+        return pd.DataFrame(out, columns=[by, "pid", "place", "rank"])
+
+    while True:
+        new = fresh.groupBy(by).agg(F.collect_list("place").alias("new"))  # at most n
+        away = lambda x: F.aggregate(F.zip_with("place", x, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+        nearest = F.array_min(F.transform("new", away))
+        rows = written(rows.join(new, by, "left").withColumn("gap", F.least("gap", F.coalesce(nearest, F.col("gap")))).drop("new"))
+        count = samples.groupBy(by).agg(F.count("*").cast("int").alias("done"), F.min_by(F.struct("pid", "place"), "rank").alias("lead")).join(goals, by)
+        todo = rows.join(samples.select(by, "pid"), [by, "pid"], "left_anti").join(count.filter("done < goal"), by)
+        rank = Window.partitionBy(by, "cell").orderBy(F.desc("gap"), "pid")
+        front = todo.withColumn("place_no", F.row_number().over(rank)).filter(F.col("place_no") <= FPS_FRONT + 1).join(boxes, [by, "cell"])
+        fresh = written(front.groupBy(by).applyInPandas(go_on, sampled))
+        if fresh.isEmpty():
+            return samples.select(by, "pid", "rank")
+        samples = written(samples.unionByName(fresh))
 
 
 def select_queries(points: DataFrame, mode: str, n: int, by: str = "scene_id", **options) -> DataFrame:

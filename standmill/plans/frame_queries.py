@@ -145,11 +145,11 @@ def _(spark, sf):
     return frames.voxel_features(points(spark, sf), "cell").select("pid", _r("fx"), _r("fy"), _r("fz"))
 
 
-@query("p18_split_leftover", P + """, q AS (SELECT *, CASE WHEN pid % 3 = 0 THEN CAST(pid % 2 AS INTEGER) ELSE sem_pred END AS sem FROM points)
+@query("p18_split_leftover", P + """, q AS (SELECT *, CAST(pid // 3 % 3 AS INTEGER) AS sem FROM points)
 SELECT pid, sem AS sem_pred, sem_gt + 1 AS semantic_seg, inst_gt AS tree_id FROM q WHERE sem <> 0 AND inst_pred = -1""")
 def _(spark, sf):
     p = points(spark, sf)
-    previous = p.filter("pid % 3 = 0").select("pid", (F.col("pid") % 2).cast("int").alias("semantic_pred"))
+    previous = p.select("pid", (F.floor(F.col("pid") / 3) % 3).cast("int").alias("semantic_pred"))
     return frames.split_leftover(p, previous)[0].select("pid", "sem_pred", "semantic_seg", "tree_id")
 
 

@@ -286,10 +286,10 @@ def _(spark, sf):
     return made.select("scene_id", parsed.alias("p")).select("scene_id", "p.*")
 
 
-@query("f2_scene_prompts", TOP + " SELECT scene_id, count(*) AS n_trees FROM top WHERE scene_id < 6 GROUP BY 1 UNION ALL SELECT DISTINCT scene_id, CAST(0 AS BIGINT) FROM points WHERE scene_id >= 6")
+@query("f2_scene_prompts", TOP + " SELECT scene_id, count(*) AS n_trees FROM top GROUP BY 1")
 def _(spark, sf):
     p = points(spark, sf)
-    made = text.scene_prompts(p, metrics.stand_summary(metrics.tree_metrics(p.filter("scene_id < 6"))), "zh")
+    made = text.scene_prompts(p, metrics.stand_summary(metrics.tree_metrics(p)), "zh")
     n = F.regexp_extract("user", r'"n_trees" : (\d+)', 1)
     return made.select("scene_id", F.when(F.col("user") == text.NO_TREES, 0).otherwise(F.when(n != "", n.cast("long"))).cast("long").alias("n_trees"))
 

@@ -185,19 +185,19 @@ def _(spark, sf):
 
 
 @query("v19_polar_mix", P + """, m AS (SELECT *, atan2(y - 50, x - 50) AS w, x - 50 AS u, y - 50 AS v FROM points), h AS (SELECT *, w - 2 * CAST(3.141592653589793 AS DOUBLE) * floor(w / (2 * CAST(3.141592653589793 AS DOUBLE))) AS yaw FROM m)
-SELECT pid, round(u, 4) AS x, round(v, 4) AS y FROM h WHERE (scene_id = 0 AND yaw >= CAST(3.141592653589793 AS DOUBLE)) OR (scene_id = 1 AND yaw < CAST(3.141592653589793 AS DOUBLE))
-UNION ALL SELECT pid, round(u * cos(t) - v * sin(t), 4) AS x, round(u * sin(t) + v * cos(t), 4) AS y FROM h, (VALUES (CAST(0 AS DOUBLE)), (CAST(1 AS DOUBLE))) AS a(t) WHERE scene_id = 1 AND sem_gt IN (1)""")
+SELECT pid, round(u, 4) AS x, round(v, 4) AS y FROM h WHERE (scene_id % 2 = 0 AND yaw >= CAST(3.141592653589793 AS DOUBLE)) OR (scene_id % 2 = 1 AND yaw < CAST(3.141592653589793 AS DOUBLE))
+UNION ALL SELECT pid, round(u * cos(t) - v * sin(t), 4) AS x, round(u * sin(t) + v * cos(t), 4) AS y FROM h, (VALUES (CAST(0 AS DOUBLE)), (CAST(1 AS DOUBLE))) AS a(t) WHERE scene_id % 2 = 1 AND sem_gt IN (1)""")
 def _(spark, sf):
     p = points(spark, sf).withColumns({"x": F.col("x") - 50, "y": F.col("y") - 50})
-    mixed = voxels.polar_mix(p.filter("scene_id = 0"), p.filter("scene_id = 1"), 0.0, (1,), (0.0, 1.0))
+    mixed = voxels.polar_mix(p.filter("scene_id % 2 = 0"), p.filter("scene_id % 2 = 1"), 0.0, (1,), (0.0, 1.0))
     return mixed.select("pid", _r("x", 4), _r("y", 4))
 
 
 @query("v20_laser_mix", P + """, h AS (SELECT *, least(greatest(degrees(atan2(z, sqrt(x * x + y * y))), CAST(0 AS DOUBLE)), CAST(30 AS DOUBLE)) AS pitch FROM points), b AS (SELECT *, least(CAST(floor(pitch / CAST(7.5 AS DOUBLE)) AS BIGINT), 3) AS band FROM h)
-SELECT pid FROM b WHERE (scene_id = 0 AND band % 2 = 0) OR (scene_id = 1 AND band % 2 = 1)""")
+SELECT pid FROM b WHERE (scene_id % 2 = 0 AND band % 2 = 0) OR (scene_id % 2 = 1 AND band % 2 = 1)""")
 def _(spark, sf):
     p = points(spark, sf)
-    return voxels.laser_mix(p.filter("scene_id = 0"), p.filter("scene_id = 1"), 4, 0.0, 30.0).select("pid")
+    return voxels.laser_mix(p.filter("scene_id % 2 = 0"), p.filter("scene_id % 2 = 1"), 4, 0.0, 30.0).select("pid")
 
 
 # labels
@@ -301,17 +301,17 @@ def _inside(grow: float) -> str:
     return " AND ".join(f"{a} >= c{a} - (d{a} / 2 + {g}) AND {a} <= c{a} + (d{a} / 2 + {g})" for a in "xyz")
 
 
-@query("j7_background_near_boxes", P + f""", {BOXES}, n AS (SELECT p.scene_id, pid, bool_or({_inside(0)}) AS inside FROM points p JOIN boxes b USING (scene_id) WHERE box_id % 3 = 1 AND {_inside(1.5)} GROUP BY 1, 2)
+@query("j7_background_near_boxes", P + f""", {BOXES}, n AS (SELECT p.scene_id, pid, bool_or({_inside(0)}) AS inside FROM points p JOIN boxes b USING (scene_id) WHERE {_inside(1.5)} GROUP BY 1, 2)
 SELECT pid FROM points p WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.scene_id = p.scene_id AND n.pid = p.pid AND NOT inside)""")
 def _(spark, sf):
     p = points(spark, sf)
-    return labels.background_near_boxes(p, metrics.instance_boxes(p).filter("box_id % 3 = 1"), 1.5).select("pid")
+    return labels.background_near_boxes(p, metrics.instance_boxes(p), 1.5).select("pid")
 
 
-@query("j8_remove_points_in_boxes", P + f", {BOXES} SELECT pid FROM points p WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.scene_id = p.scene_id AND box_id % 4 = 0 AND {_inside(0)})")
+@query("j8_remove_points_in_boxes", P + f", {BOXES} SELECT pid FROM points p WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.scene_id = p.scene_id AND {_inside(0)})")
 def _(spark, sf):
     p = points(spark, sf)
-    return labels.remove_points_in_boxes(p, metrics.instance_boxes(p).filter("box_id % 4 = 0")).select("pid")
+    return labels.remove_points_in_boxes(p, metrics.instance_boxes(p)).select("pid")
 
 
 @query("j10_match_one_to_many", V + """, c AS (SELECT scene_id, vx, vy, vz, inst_gt, count(*) AS n, sum(count(*)) OVER (PARTITION BY scene_id, vx, vy, vz) AS t FROM pv GROUP BY 1, 2, 3, 4, 5), k AS (SELECT * FROM c WHERE n / t > 0.5 AND inst_gt <> -1)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from standmill.operators import labels, metrics, predict, tiles
+from standmill.operators import labels, masks, metrics, predict, tiles, voxels
 from standmill.streaming import tile_merge
 
 POINT = "scene_id int, pid long, x double, y double, z double"
@@ -188,3 +188,39 @@ def test_merge_without_batches(spark, tmp_path):
     assert [tuple(x) for x in store.result().collect()] == [(0, 1, -1, -1, -1.0)]
     store.upsert(spark.createDataFrame([(None, 1, 0, 1, 1, 0.5), (0, None, 0, 1, 1, 0.5)], PRED), 0)
     assert [tuple(x) for x in store.result().collect()] == [(0, 1, -1, -1, -1.0)]
+
+
+# masks in list order
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pairwise_merge_is_that_of_the_list(spark, seed):
+    r = random.Random(seed)
+    held = {(s, m): {r.randrange(60) for _ in range(r.randint(1, 14))} for s in range(3) for m in range(40)}
+    score = {k: r.choice([0.1, 0.4, 0.4, 0.7, 0.9]) for k in held}
+    points = spark.createDataFrame([(s, m, p) for (s, m), own in held.items() for p in own], "scene_id int, mask_id int, pid long")
+    listed = spark.createDataFrame([(s, m, 0, v) for (s, m), v in score.items()], "scene_id int, mask_id int, label int, score double")
+    gone = set()
+    for s in range(3):
+        for a in range(40):
+            for b in range(a + 1, 40):
+                both = len(held[s, a] & held[s, b])
+                if (both / len(held[s, a]) > 0.3 or both / len(held[s, b]) > 0.3) and not {(s, a), (s, b)} & gone:
+                    gone.add((s, b) if score[s, a] >= score[s, b] else (s, a))
+    assert {(x.scene_id, x.mask_id) for x in masks.merge_masks_pairwise(points, listed).collect()} == set(held) - gone
+    assert masks.merge_masks_pairwise(points.limit(0), listed).count() == len(held)
+
+
+# farthest points
+
+
+def test_farthest_points_in_rounds_are_those_of_one_task(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(0, k, r.uniform(0, 90), r.gauss(0, 20), r.uniform(0, 9)) for k in range(700)]
+    rows += [(1, k, float(r.randrange(7)), float(r.randrange(7)), 0.0) for k in range(400)]  # many ties, and fewer places than samples
+    rows += [(2, k, 1.0, 1.0, 1.0) for k in range(120)] + [(3, k, float(k), 0.0, 0.0) for k in range(30)]
+    points = spark.createDataFrame(rows, POINT).repartition(4)
+    key = lambda df: sorted((x.scene_id, x["rank"], x.pid) for x in df.collect())
+    plain = key(voxels.query_fps(points, 60))
+    monkeypatch.setattr(voxels, "FPS_ROWS", 100)
+    assert key(voxels.query_fps(points, 60)) == plain and len(plain) == 60 * 3 + 30
