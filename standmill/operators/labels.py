@@ -57,32 +57,45 @@ def embedding_mean_cov(emb: DataFrame, size: int, by: str = "scene_id", instance
     return emb.groupBy(by, instance).agg(F.count("*").alias("n"), F.array(*[F.avg(x) for x in p]).alias("mean"), F.array(*cov).alias("cov"))
 
 
+#: Centres push each other apart within this L1 distance; a centre looks for others along so many components first.
+PUSH, PUSH_AXES = 3.0, 3
+
+
 def embedding_cluster_stats(emb: DataFrame, size: int, by: str = "scene_id", instance: str = "instance", column: str = "embedding") -> DataFrame:
-    """Per scene: pull (variance), push (distance) and size terms of the embedding clusters."""
+    """Per scene: pull (variance), push (distance) and size terms of the embedding clusters.
+
+    The push term of two centres is 0 from PUSH on, so only centres in neighbouring cells of the first components meet; how
+    many pairs there are in all follows from the number of centres."""
     p = _parts(column, size)
-    means = emb.groupBy(by, instance).agg(F.array(*[F.avg(x) for x in p]).alias("mean"))
+    means = written(emb.groupBy(by, instance).agg(F.array(*[F.avg(x) for x in p]).alias("mean")))
     l1 = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: F.abs(u - v)), F.lit(0.0), lambda s, v: s + v)
     gap = F.greatest(l1(F.array(*p), F.col("mean")) - 0.5, F.lit(0.0))
     pull = emb.join(means, [by, instance]).groupBy(by, instance).agg(F.avg(gap * gap).alias("v")).groupBy(by).agg(F.avg("v").alias("variance"))
-    a, b = means.withColumnsRenamed({instance: "ia", "mean": "ma"}), means.withColumnsRenamed({instance: "ib", "mean": "mb"})
-    near = F.greatest(3 - l1(F.col("ma"), F.col("mb")), F.lit(0.0))
-    push = a.join(b, by).filter("ia <> ib").groupBy(by).agg(F.avg(near * near).alias("distance"))  # the instances of a scene with each other: a means table
+    cells = [f"c{k}" for k in range(min(size, PUSH_AXES))]
+    placed = means.withColumns({c: floor_long(F.element_at("mean", k + 1) / F.lit(PUSH)) for k, c in enumerate(cells)})
+    a, b = placed.withColumnsRenamed({instance: "ia", "mean": "ma"}), placed.withColumnsRenamed({instance: "ib", "mean": "mb"})
+    for c in cells:
+        a = a.withColumn("d", F.explode(F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)]))).withColumn(c, F.col(c) + F.col("d")).drop("d")
+    near = F.greatest(PUSH - l1(F.col("ma"), F.col("mb")), F.lit(0.0))
+    push = a.join(b, [by, *cells]).filter("ia <> ib").groupBy(by).agg(F.sum(near * near).alias("pushed"))
     zero = F.array(*[F.lit(0.0)] * size)
-    small = means.groupBy(by).agg((F.avg(l1(F.col("mean"), zero)) * 0.001).alias("regular"))
-    return pull.join(push, by, "left").join(small, by).withColumn("distance", F.coalesce("distance", F.lit(0.0)))
+    small = means.groupBy(by).agg((F.avg(l1(F.col("mean"), zero)) * 0.001).alias("regular"), F.count("*").alias("k"))
+    pairs = F.when(F.col("k") > 1, F.coalesce("pushed", F.lit(0.0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0)
+    return pull.join(small, by).join(push, by, "left").select(by, "variance", pairs.alias("distance"), "regular")
 
 
 def embedding_distance(emb: DataFrame, size: int, kind: str = "euclid", full: bool = False, by: str = "scene_id", instance: str = "instance", column: str = "embedding") -> DataFrame:
     """Closeness of each point to its instance's mean, scaled to [0, 1] within the instance (1 where all are alike).
 
     euclid: exp(-d); mahalanobis: exp(-d squared), with only the diagonal of the inverse covariance unless full."""
-    stats = embedding_mean_cov(emb, size, by, instance, column)
     p = F.array(*_parts(column, size))
     gap = F.zip_with(p, F.col("mean"), lambda u, v: u - v)
     if kind == "euclid":
-        joined = emb.join(stats.drop("cov"), [by, instance])
+        means = emb.groupBy(by, instance).agg(F.array(*[F.avg(x) for x in _parts(column, size)]).alias("mean"))
+        joined = emb.join(means, [by, instance])
         score = F.exp(-F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, d: s + d * d)))
     elif kind == "mahalanobis":
+        stats = embedding_mean_cov(emb, size, by, instance, column)
 
         @F.pandas_udf("array<double>")
         def inverse(cov: pd.Series) -> pd.Series:

@@ -183,7 +183,9 @@ def voxel_sampler_sweeps(points: DataFrame, size: float, per_voxel: int, max_vox
     rank = Window.partitionBy(*group, *KEY).orderBy("pid")
     kept = swept.withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= per_voxel)
     first = swept.groupBy(*group, *KEY).agg(F.min("pid").alias("first"))
-    numbered = first.withColumn("slot", F.row_number().over(Window.partitionBy(*group).orderBy("first")) - 1).filter(F.col("slot") < max_voxels)
+    span = first.groupBy(*group).agg(F.min("first").alias("_low"), F.max("first").alias("_high"))
+    along = F.floor((F.col("first") - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * 1024)
+    numbered = placed(first.join(span, group), group, along, [F.col("first")], max_voxels, "slot").drop("_low", "_high")
     count = numbered.groupBy(*group).agg(F.count("*").alias("n_voxels"))
     filled = numbered.join(count, group).withColumn("slot", F.explode(F.when(F.col("slot") == 0, F.concat(F.array(F.lit(0)), F.when(F.col("n_voxels") < max_voxels, F.sequence(F.col("n_voxels").cast("int"), F.lit(max_voxels - 1))).otherwise(F.array().cast("array<int>")))).otherwise(F.array("slot"))))
     return kept.join(filled.select(*group, *KEY, "slot"), [*group, *KEY]).drop(*KEY, "k")

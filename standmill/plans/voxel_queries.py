@@ -163,14 +163,27 @@ def _(spark, sf):
 
 
 def _embedded(spark, sf):
-    """Embeddings as voxels of scenes: five components, the label as instance, a height from the id."""
+    """Embeddings as voxels of scenes: the label as instance, a height from the id."""
     e = table(spark, sf, "embeddings")
-    return e.select((F.col("vec_id") % 4).cast("int").alias("scene_id"), F.col("vec_id").alias("pid"), F.slice("embedding", 1, 5).alias("embedding"), F.col("label").alias("instance"), (F.col("vec_id") % 17).cast("double").alias("z"))
+    return e.select((F.col("vec_id") % 4).cast("int").alias("scene_id"), F.col("vec_id").alias("pid"), "embedding", F.col("label").alias("instance"), (F.col("vec_id") % 17).cast("double").alias("z"))
 
 
 @query("v16_query_adaptive_emb")
 def _(spark, sf):
-    return voxels.select_queries(_embedded(spark, sf), "adaptive_emb", 30).select("scene_id", "pid")
+    return voxels.select_queries(_embedded(spark, sf), "adaptive_emb", 30, size=64).select("scene_id", "pid")
+
+
+@query("u2_select_queries", P + " SELECT DISTINCT scene_id, mode FROM points, (VALUES ('adaptive'), ('fps'), ('grid')) AS m(mode)")
+def _(spark, sf):
+    """Every method gives at most what it is asked for, all of them points of the scene, in each scene."""
+    p = points(spark, sf)
+    found = None
+    for mode, n in (("grid", 300), ("adaptive", 60), ("fps", 20)):
+        rows = voxels.select_queries(voxels.select_queries(p, "grid", 300) if mode == "fps" else p, mode, n).select("scene_id", "pid")
+        good = rows.join(p.select("scene_id", "pid"), ["scene_id", "pid"]).groupBy("scene_id").agg(F.count("*").alias("n")).filter(F.col("n").between(1, n))
+        one = good.select("scene_id", F.lit(mode).alias("mode"))
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 @query("v17_query_fps")
@@ -244,17 +257,19 @@ def _(spark, sf):
     return labels.offset_quality(o).select("scene_id", _r("l1"), _r("direction"))
 
 
-EMB = "WITH e AS (SELECT CAST(vec_id % 4 AS INTEGER) AS scene_id, vec_id AS pid, label AS instance, " + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS e{i}" for i in range(1, 6)) + " FROM embeddings), m AS (SELECT scene_id, instance, count(*) AS n, " + ", ".join(f"avg(e{i}) AS m{i}" for i in range(1, 6)) + " FROM e GROUP BY 1, 2)"
-L1 = " + ".join(f"abs(e{i} - m{i})" for i in range(1, 6))
-L2 = " + ".join(f"abs(a.m{i} - b.m{i})" for i in range(1, 6))
+#: All components of the given embeddings.
+COMPONENTS = 64
+EMB = "WITH e AS (SELECT CAST(vec_id % 4 AS INTEGER) AS scene_id, vec_id AS pid, label AS instance, " + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS e{i}" for i in range(1, COMPONENTS + 1)) + " FROM embeddings), m AS (SELECT scene_id, instance, count(*) AS n, " + ", ".join(f"avg(e{i}) AS m{i}" for i in range(1, COMPONENTS + 1)) + " FROM e GROUP BY 1, 2)"
+L1 = " + ".join(f"abs(e{i} - m{i})" for i in range(1, COMPONENTS + 1))
+L2 = " + ".join(f"abs(a.m{i} - b.m{i})" for i in range(1, COMPONENTS + 1))
 
 
 @query("a14_embedding_cluster_stats", EMB + f""", v AS (SELECT scene_id, instance, avg(greatest({L1} - 0.5, 0) * greatest({L1} - 0.5, 0)) AS v FROM e JOIN m USING (scene_id, instance) GROUP BY 1, 2), v2 AS (SELECT scene_id, avg(v) AS variance FROM v GROUP BY 1),
  d AS (SELECT a.scene_id, avg(greatest(3 - ({L2}), 0) * greatest(3 - ({L2}), 0)) AS distance FROM m a JOIN m b ON a.scene_id = b.scene_id AND a.instance <> b.instance GROUP BY 1),
- r AS (SELECT scene_id, avg({' + '.join(f'abs(m{i})' for i in range(1, 6))}) * 0.001 AS regular FROM m GROUP BY 1)
+ r AS (SELECT scene_id, avg({' + '.join(f'abs(m{i})' for i in range(1, COMPONENTS + 1))}) * 0.001 AS regular FROM m GROUP BY 1)
 SELECT scene_id, round(variance, 6) AS variance, round(coalesce(distance, 0), 6) AS distance, round(regular, 6) AS regular FROM v2 LEFT JOIN d USING (scene_id) JOIN r USING (scene_id)""")
 def _(spark, sf):
-    return labels.embedding_cluster_stats(_embedded(spark, sf), 5).select("scene_id", _r("variance"), _r("distance"), _r("regular"))
+    return labels.embedding_cluster_stats(_embedded(spark, sf), COMPONENTS).select("scene_id", _r("variance"), _r("distance"), _r("regular"))
 
 
 @query("a15_embedding_mean_cov", EMB + ", c AS (SELECT scene_id, instance, count(*) AS n, avg(e1) AS m1, coalesce(covar_samp(e1, e2), 0) AS c12, coalesce(covar_samp(e3, e3), 0) AS c33 FROM e GROUP BY 1, 2) SELECT scene_id, instance, n, round(m1, 6) AS m1, round(c12, 6) AS c12, round(c33, 6) AS c33 FROM c")
@@ -263,10 +278,10 @@ def _(spark, sf):
     return s.select("scene_id", "instance", "n", *[F.round(F.element_at(c, k), 6).alias(n) for n, c, k in (("m1", "mean", 1), ("c12", "cov", 2), ("c33", "cov", 13))])
 
 
-@query("a16_embedding_distance", EMB + f""", s AS (SELECT scene_id, instance, pid, exp(-sqrt({' + '.join(f'(e{i} - m{i}) * (e{i} - m{i})' for i in range(1, 6))})) AS s FROM e JOIN m USING (scene_id, instance)),
+@query("a16_embedding_distance", EMB + f""", s AS (SELECT scene_id, instance, pid, exp(-sqrt({' + '.join(f'(e{i} - m{i}) * (e{i} - m{i})' for i in range(1, COMPONENTS + 1))})) AS s FROM e JOIN m USING (scene_id, instance)),
  w AS (SELECT *, min(s) OVER (PARTITION BY scene_id, instance) AS lo, max(s) OVER (PARTITION BY scene_id, instance) AS hi FROM s) SELECT pid, round(CASE WHEN hi = lo THEN 1 ELSE (s - lo) / (hi - lo) END, 6) AS score FROM w""")
 def _(spark, sf):
-    return labels.embedding_distance(_embedded(spark, sf), 5).select("pid", _r("score"))
+    return labels.embedding_distance(_embedded(spark, sf), COMPONENTS).select("pid", _r("score"))
 
 
 @query("a16_mahalanobis_distance")
