@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,12 +222,26 @@ def query_adaptive(points: DataFrame, n: int, axes: tuple[str, str] = ("x", "y")
 def principal_axes(embeddings: DataFrame, column: str = "embedding", size: int = 5) -> DataFrame:
     """u and v: the coordinates of the first components of each vector along their two principal axes.
 
-    One aggregate gives the moments (size squared numbers); the eigenvectors of that small matrix are found on the driver."""
+    Tasks multiply their centred vectors batch by batch; Spark adds up the products (size squared numbers), and the
+    eigenvectors of that small matrix are found on the driver. A missing component counts as the mean."""
     part = [F.element_at(column, i + 1).cast("double") for i in range(size)]
-    moments = embeddings.agg(F.count("*").alias("n"), *[F.avg(p).alias(f"m{i}") for i, p in enumerate(part)], *[F.covar_pop(part[i], part[j]).alias(f"c{i}_{j}") for i in range(size) for j in range(i, size)]).first()
+    moments = embeddings.agg(F.count("*").alias("n"), *[F.avg(p).alias(f"m{i}") for i, p in enumerate(part)]).first()
     if not moments["n"]:
         return embeddings.withColumns({"u": F.lit(0.0), "v": F.lit(0.0)})
-    cov = np.array([[moments[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(size)] for i in range(size)])
+    means = np.array([moments[f"m{i}"] or 0.0 for i in range(size)])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            x = np.stack([np.asarray(c.fill_null(m), dtype=np.float64) for c, m in zip(batch.columns, means.tolist())], axis=1) - means
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size)), pa.array(total.ravel())], ["k", "v"])
+
+    summed = embeddings.select(*[p.alias(f"p{i}") for i, p in enumerate(part)]).mapInArrow(products, "k long, v double").groupBy("k").agg(F.sum("v").alias("v"))
+    cov = np.zeros(size * size)
+    for r in summed.collect():
+        cov[r.k] = r.v
+    cov = cov.reshape(size, size) / moments["n"]
     vectors = np.linalg.eigh(cov)[1][:, ::-1][:, :2]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), [0, 1]])  # a sign that does not depend on the solver
     along = lambda k: sum(((part[i] - F.lit(moments[f"m{i}"])) * F.lit(float(vectors[i, k])) for i in range(size)), F.lit(0.0))
