@@ -11,7 +11,7 @@ from standmill.plans.frame_queries import PREDS, TILES, TOP, SIZE, GROW, _r, mer
 from standmill.plans.registry import query
 from standmill.sources import files
 from standmill.sources.fixtures import POINTS_SQL, STATUS_SQL, points, status_events, status_of, table
-from standmill.sources.storage import new_path
+from standmill.sources.storage import new_path, written
 from standmill.streaming import status as st, tile_merge
 from standmill.operators import tiles
 
@@ -235,6 +235,23 @@ def _(spark, sf):
     return _plain(_sunk(spark, st.step_timer(status_of(_stream(spark, sf, "events"))), "append"), "started")
 
 
+@query("t3_pending_requests_stream", S + " SELECT c_custkey AS task_id FROM customer WHERE c_custkey NOT IN (SELECT task_id FROM status WHERE step IN ('completed', 'failed'))")
+def _(spark, sf):
+    asked = _stream(spark, sf, "customer").select(F.col("c_custkey").alias("task_id"))
+    return st.latest_pending(_sunk(spark, st.pending_requests_stream(asked, status_of(_stream(spark, sf, "events"))), "append"))
+
+
+@query("t7_progress_stream", TILES + " SELECT t.scene_id, CAST(20 + floor(65 * count(DISTINCT CASE WHEN tile_id < 7 THEN tile_id END) / count(DISTINCT tile_id)) AS INTEGER) AS progress FROM tiled t GROUP BY 1")
+def _(spark, sf):
+    """Tiles come in as files, two at a time; a scene's highest progress is its last one."""
+    path = new_path(spark)
+    t = written(tiles.assign_tiles(points(spark, sf), SIZE, GROW, 20).select("scene_id", "tile_id").distinct())
+    t.filter("tile_id < 7").repartition(4, "tile_id").write.parquet(path)
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    made = st.progress_pct(stream, t.groupBy("scene_id").agg(F.count("*").alias("n_tiles")))
+    return _sunk(spark, made, "complete").groupBy("scene_id").agg(F.max("progress").alias("progress"))
+
+
 @query("t4_run_timeouts_stream", S + """, r AS (SELECT task_id, min(ts) FILTER (step IN ('reading', 'inferring')) AS started, min(ts) FILTER (step IN ('completed', 'failed')) AS ended FROM status GROUP BY 1), n AS (SELECT epoch_ms(max(ts)) - 3600000 AS w FROM status)
 SELECT task_id, started FROM r, n WHERE started IS NOT NULL AND NOT coalesce(ended >= started AND epoch_us(ended) - epoch_us(started) <= 72000000000, false) AND w > epoch_ms(started) + 72000000""")
 def _(spark, sf):

@@ -60,6 +60,41 @@ def pending_requests(requests: DataFrame, status: DataFrame) -> DataFrame:
     return requests.join(done, "task_id", "left_anti")
 
 
+def pending_requests_stream(requests: DataFrame, status: DataFrame, keep: str | None = None) -> DataFrame:
+    """pending_requests on two streams: (task_id, version, pending) whenever it changes for a requested task; the row of the highest
+    version of a task counts (latest_pending). A finish may come before or after its request, or long after. Per task the state
+    holds two flags and the version; with ``keep`` (a duration of processing time) a task that is requested and finished is
+    forgotten after that long without news. A query with ``keep`` wakes up to forget, so it needs a trigger that goes on, not availableNow."""
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else None
+
+    def work(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        asked, finished, version = state.get if state.exists else (False, False, 0)
+        before = asked and not finished if version else None
+        for rows in parts:
+            asked = asked or bool(rows["asked"].any())
+            finished = finished or bool((~rows["asked"]).any())
+        pending = asked and not finished
+        changed = asked and pending != before
+        state.update((asked, finished, version + changed))
+        if keep_ms and asked and finished:
+            state.setTimeoutDuration(keep_ms)
+        if changed:
+            yield pd.DataFrame({"task_id": [key[0]], "version": [version + 1], "pending": [pending]})
+
+    done = status.filter(F.col("step").isin(*FINISHED)).select("task_id", F.lit(False).alias("asked"))
+    both = requests.select("task_id", F.lit(True).alias("asked")).unionByName(done)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
+    return both.groupBy("task_id").applyInPandasWithState(work, "task_id long, version int, pending boolean", "asked boolean, finished boolean, version int", "append", timeout)
+
+
+def latest_pending(changes: DataFrame) -> DataFrame:
+    """The tasks that are pending after all these changes."""
+    return changes.groupBy("task_id").agg(F.max_by("pending", "version").alias("pending")).filter("pending").select("task_id")
+
+
 def run_timeouts(status: DataFrame, limit_s: float, now: Column) -> DataFrame:
     """Tasks that have run (time in the queue does not count) for longer than the limit, and are not finished in time."""
     running = F.min(F.when(~F.col("step").isin("queued", *FINISHED), F.col("ts")))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from standmill.operators import labels, masks, metrics, predict, tiles, voxels
-from standmill.streaming import tile_merge
+from standmill.streaming import status, tile_merge
 
 POINT = "scene_id int, pid long, x double, y double, z double"
 
@@ -224,3 +224,23 @@ def test_farthest_points_in_rounds_are_those_of_one_task(spark, monkeypatch):
     plain = key(voxels.query_fps(points, 60))
     monkeypatch.setattr(voxels, "FPS_ROWS", 100)
     assert key(voxels.query_fps(points, 60)) == plain and len(plain) == 60 * 3 + 30
+
+
+# pending requests on streams
+
+
+def test_pending_requests_over_any_batches(spark, tmp_path):
+    """Requests and reports come in turns: a finish before its request, one long after it, and one that never comes."""
+    def put(name, schema, *batches):
+        for k, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+
+    asked = put("asked", "task_id long", [(1,), (2,)], [(3,), (4,)], [(1,), (5,)])
+    reports = put("reports", "task_id long, step string", [(3, "failed"), (1, "reading")], [(2, "completed"), (9, "completed")], [(4, "reading"), (5, "completed")])
+    changes = status.pending_requests_stream(asked, reports)
+    kept = []
+    changes.writeStream.option("checkpointLocation", f"{tmp_path}/seen").foreachBatch(lambda df, n: kept.extend(map(tuple, df.collect()))).trigger(availableNow=True).start().awaitTermination()
+    found = spark.createDataFrame(kept, "task_id long, version int, pending boolean")
+    assert {x.task_id for x in status.latest_pending(found).collect()} == {1, 4}
+    assert (2, 1, True) in kept and (2, 2, False) in kept and len(kept) == len(set(kept))
