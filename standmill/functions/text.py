@@ -2,47 +2,45 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What the requests say.
-TREE_ROLE = (
-    "You are a forester. The figures of one tree come from a segmented laser scan. Judge its build, and what the build suggests about its vigour; "
-    "rest each statement on a figure, say how sure you are, and name no disease, which a scan cannot show."
-)
-SCENE_ROLE = "You are a forester. The figures of one plot come from a segmented laser scan. Describe the stand, and rest each statement on a figure."
+#: Languages of answers, the request for an empty scene, and the metrics of a tree in their order.
 LANGUAGE = {"en": "Write in English.", "zh": "Write in Simplified Chinese."}
 NO_TREES = "There are no trees in this plot."
 TREE_FIELDS = ("tree_id", "n_points", "height_m", "crown_width_m", "crown_ratio", "wood_points", "leaf_points", "leaf_wood_ratio", "mean_score", "center_x", "center_y", "base_z")
-FIELD_NOTES = {
-    "crown_ratio": "width of the crown divided by the height",
-    "wood_points": "points on trunk and branches",
-    "leaf_points": "points on leaves or needles",
-    "leaf_wood_ratio": "leaf_points divided by wood_points",
-    "mean_score": "how sure the segmentation is",
-}
-TREE_TASKS = ("the build: height and shape of the crown", "what leaves against wood, density and mean_score suggest about its vigour", "what to look at on the ground")
-SCENE_TASKS = ("the build of the stand: spread of heights, number of trees", "the canopy and its likely vigour, from the mean leaf_wood_ratio", "which trees to look at first on the ground, and why")
-
-
-def _request(title: str, fields: list, notes: dict[str, str], tasks: tuple[str, ...], words: int) -> Column:
+
+
+@dataclass(frozen=True)
+class Instructions:
+    """What a request says around the figures: the caller's words."""
+
+    role: str = "Summarise the measurements below in plain words, without adding any."
+    title: str = "Measurements (lengths in metres):"
+    notes: dict[str, str] = field(default_factory=dict)  # of fields
+    tasks: tuple[str, ...] = ()
+    words: int | None = None  # of the answer, at most
+
+
+def _request(fields: list[str], what: Instructions) -> Column:
     """Title, the fields as indented JSON (nulls stay), notes on fields, numbered tasks and the length of the answer."""
     data = F.to_json(F.struct(*fields), {"pretty": "true", "ignoreNullFields": "false"})
-    lines = ["Fields:", *[f"- {name}: {note}" for name, note in notes.items()], ""] if notes else []
-    lines += ["Tell:", *[f"{k}. {task}" for k, task in enumerate(tasks, 1)], "", f"At most {words} words."]
-    return F.concat(F.lit(f"{title}\n"), data, F.lit("\n\n" + "\n".join(lines)))
+    parts = [[f"- {name}: {note}" for name, note in what.notes.items()], [f"{k}. {task}" for k, task in enumerate(what.tasks, 1)], [f"At most {what.words} words."] * bool(what.words)]
+    return F.concat(F.lit(f"{what.title}\n"), data, F.lit("".join("\n\n" + "\n".join(p) for p in parts if p)))
 
 
-def tree_prompts(trees: DataFrame, lang: str = "en", by: str = "scene_id") -> DataFrame:
-    """One request per tree: the role with the language; and the metrics with notes on them and three tasks."""
-    body = _request("Figures of the tree (lengths in metres):", list(TREE_FIELDS), FIELD_NOTES, TREE_TASKS, 120)
-    return trees.select(by, "tree_id", F.lit(f"{TREE_ROLE} {LANGUAGE.get(lang, LANGUAGE['en'])}").alias("system"), body.alias("user"))
+def tree_prompts(trees: DataFrame, lang: str = "en", by: str = "scene_id", instructions: Instructions = Instructions()) -> DataFrame:
+    """One request per tree: system has the role and the language, user the metrics and what is asked."""
+    role = F.lit(f"{instructions.role} {LANGUAGE.get(lang, LANGUAGE['en'])}")
+    return trees.select(by, "tree_id", role.alias("system"), _request(list(TREE_FIELDS), instructions).alias("user"))
 
 
-def scene_prompts(scenes: DataFrame, summary: DataFrame, lang: str = "en", by: str = "scene_id") -> DataFrame:
-    """One request per scene, with three tasks; a scene without trees has no role and says so."""
-    body = _request("Figures of the plot (lengths in metres):", [c for c in summary.columns if c != by], {}, SCENE_TASKS, 160)
-    made = summary.select(by, F.lit(f"{SCENE_ROLE} {LANGUAGE.get(lang, LANGUAGE['en'])}").alias("system"), body.alias("user"))
+def scene_prompts(scenes: DataFrame, summary: DataFrame, lang: str = "en", by: str = "scene_id", instructions: Instructions = Instructions()) -> DataFrame:
+    """One request per scene; a scene without trees has no role and says so."""
+    role = F.lit(f"{instructions.role} {LANGUAGE.get(lang, LANGUAGE['en'])}")
+    made = summary.select(by, role.alias("system"), _request([c for c in summary.columns if c != by], instructions).alias("user"))
     return scenes.select(by).distinct().join(made, by, "left").withColumn("user", F.coalesce("user", F.lit(NO_TREES)))
 
 

@@ -245,9 +245,11 @@ def test_voxel_budget_by_exact_bisection(spark, budget, grid):
 
 def test_requests_hold_fields_notes_and_tasks(spark):
     tree = spark.createDataFrame([(0, 1, *[2.0] * 11)], "scene_id int, tree_id int, " + ", ".join(f"{f} double" for f in text.TREE_FIELDS if f != "tree_id"))
-    made = text.tree_prompts(tree).first()
-    assert all(f'"{f}"' in made.user for f in text.TREE_FIELDS) and all(f"- {k}: {v}" in made.user for k, v in text.FIELD_NOTES.items())
-    assert all(f"{k}. {t}" in made.user for k, t in enumerate(text.TREE_TASKS, 1)) and text.LANGUAGE["en"] in made.system
+    asked = text.Instructions("A role.", "Numbers:", {"height_m": "from the ground"}, ("first", "second"), 40)
+    made = text.tree_prompts(tree, instructions=asked).first()
+    assert all(f'"{f}"' in made.user for f in text.TREE_FIELDS) and made.system == f"A role. {text.LANGUAGE['en']}"
+    assert made.user.startswith("Numbers:\n{") and made.user.endswith("}\n\n- height_m: from the ground\n\n1. first\n2. second\n\nAt most 40 words.")
+    assert text.tree_prompts(tree).first().user.endswith("}")
 
 
 def test_average_precision_on_plain_cases(spark):
