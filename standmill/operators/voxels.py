@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from standmill.functions.keys import floor_long, hash_order, morton2d, voxel
 from standmill.sources.storage import written
 from standmill.operators.frames import voxel_features
-from standmill.operators.places import BUCKET_BITS, lowest_hashes, placed
+from standmill.operators.places import BUCKET_BITS, RANK_LIMIT, lowest_hashes, placed
 
 KEY = ("vx", "vy", "vz")
 
@@ -158,24 +158,59 @@ def shuffle_points(points: DataFrame, seed: int = 0, by: str = "scene_id") -> Da
     return placed(points, [by], F.shiftright(order, BUCKET_BITS), [order, F.col("pid")]).withColumn("place", F.col("place").cast("int"))
 
 
-def sample_patches(points: DataFrame, block: float, n: int, seed: int = 0, tries: int = 10, least_points: int = 10, annotated: float = 0.7, by: str = "scene_id") -> DataFrame:
+#: The cells of a patch along x, y and z, and the share of them that must hold points.
+PATCH_CELLS = (31, 31, 62)
+OCCUPIED = 0.02
+#: Points so far outside a patch still count for its cells.
+PATCH_EDGE = 0.01
+
+
+def sample_patches(
+    points: DataFrame, block: float, n: int, seed: int = 0, tries: int = 10, least_points: int | None = 10, annotated: float = 0.7, by: str = "scene_id",
+    occupied: float = OCCUPIED, enlarge: float = 0.0, features: bool = False,
+) -> DataFrame:
     """A square column of points around a random one of each scene, cut or filled up to n points (column draw).
 
-    The first of the tried centres is taken whose column has enough points, and enough of them annotated (inst_gt > 0)."""
+    The first of the tried centres is taken whose column has enough points, and enough of them annotated (inst_gt > 0).
+    Without least_points, enough of the column's 31 x 31 x 62 cells must hold a point instead: each is a bit of a map that
+    tasks build for themselves, so no points are shuffled to count cells. enlarge widens the column by so much on each side,
+    but not the cells. features adds nx, ny, nz: the place before centring over the scene's largest x, y and z (0 if that is 0).
+    Scenes without a centre that is good enough give no rows."""
     order = Window.partitionBy(by).orderBy(hash_order(F.col("pid"), seed), "pid")
     tried = points.withColumn("attempt", F.row_number().over(order)).filter(F.col("attempt") <= tries).select(by, "attempt", F.col("x").alias("cx"), F.col("y").alias("cy"))
-    half = block / 2
-    cell = lambda c: floor_long(c / F.lit(float(block)))
+    extent = points.groupBy(by).agg(*[F.max(a).alias(f"hi_{a}") for a in "xyz"], F.min("z").alias("lo_z"))
+    tried = tried.join(extent, by)
+    half, reach = block / 2, block / 2 + enlarge
+    cell = lambda c: floor_long(c / F.lit(float(2 * reach)))
     around = F.array([F.lit(k).cast("long") for k in (-1, 0, 1)])
     spread = tried.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
     spread = spread.withColumns({"ix": cell(F.col("cx")) + F.col("dx"), "iy": cell(F.col("cy")) + F.col("dy")}).drop("dx", "dy")
-    inside = points.withColumns({"ix": cell(F.col("x")), "iy": cell(F.col("y"))}).join(spread, [by, "ix", "iy"]).filter((F.abs(F.col("x") - F.col("cx")) <= half) & (F.abs(F.col("y") - F.col("cy")) <= half))
-    good = inside.groupBy(by, "attempt").agg(F.count("*").alias("m"), F.count_if(F.col("inst_gt") > 0).alias("labelled")).filter((F.col("m") >= least_points) & (F.col("labelled") >= annotated * F.col("m")))
+    inside = points.withColumns({"ix": cell(F.col("x")), "iy": cell(F.col("y"))}).join(spread, [by, "ix", "iy"]).filter((F.abs(F.col("x") - F.col("cx")) <= reach) & (F.abs(F.col("y") - F.col("cy")) <= reach))
+    totals = [F.count("*").alias("m"), F.count_if(F.col("inst_gt") > 0).alias("labelled")]
+    if least_points is None:
+        along = lambda a, low, span, k: F.ceil((F.col(a) - low) / span * F.lit(float(k)))
+        (nx, ny, nz), height = PATCH_CELLS, F.col("hi_z") - F.col("lo_z")
+        column = [along(a, F.col(f"c{a}") - half, F.lit(float(block)), k) for a, k in (("x", nx), ("y", ny))]
+        level = F.when(height > 0, along("z", F.col("lo_z"), height, nz)).otherwise(0)
+        near = F.greatest(F.abs(F.col("x") - F.col("cx")), F.abs(F.col("y") - F.col("cy"))) <= half + PATCH_EDGE
+        numbered = inside.withColumn("cell", F.when(near, (column[0] * ny + column[1]) * nz + level))
+        bits = F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("cell"))).alias("cells")
+        parts = numbered.groupBy(by, "attempt", F.bitmap_bucket_number("cell").alias("part")).agg(*totals, bits)
+        seen = parts.groupBy(by, "attempt").agg(*[F.sum(c).alias(c) for c in ("m", "labelled", "cells")])
+        enough = F.col("cells") / F.lit(float(nx * ny * nz)) >= F.lit(float(occupied))
+    else:
+        seen, enough = inside.groupBy(by, "attempt").agg(*totals), F.col("m") >= least_points
+    good = seen.filter(enough & (F.col("labelled") >= annotated * F.col("m")))
     first = good.groupBy(by).agg(F.min("attempt").alias("attempt"), F.min_by("m", "attempt").alias("m"))
+    chosen = inside.join(first, [by, "attempt"])
+    if n > RANK_LIMIT:  # only these are ranked in one task
+        chosen = lowest_hashes(chosen, [by], n, seed + 1)
     rank = Window.partitionBy(by).orderBy(hash_order(F.col("pid"), seed + 1), "pid")
-    chosen = inside.join(first, [by, "attempt"]).withColumn("at", F.row_number().over(rank) - 1).filter(F.col("at") < n)
+    chosen = chosen.withColumn("at", F.row_number().over(rank) - 1).filter(F.col("at") < n)
     copies = F.sequence(F.col("at"), F.lit(n - 1), F.least(F.col("m"), F.lit(n)).cast("int"))
-    return chosen.withColumn("draw", F.explode(copies)).withColumns({"x": F.col("x") - F.col("cx"), "y": F.col("y") - F.col("cy")}).select(by, "draw", "pid", "x", "y", "z", "sem_gt", "inst_gt")
+    share = {f"n{a}": F.when(F.col(f"hi_{a}") == 0, 0.0).otherwise(F.col(a) / F.col(f"hi_{a}")) for a in "xyz"} if features else {}
+    centred = chosen.withColumn("draw", F.explode(copies)).withColumns(share | {"x": F.col("x") - F.col("cx"), "y": F.col("y") - F.col("cy")})
+    return centred.select(by, "draw", "pid", "x", "y", "z", "sem_gt", "inst_gt", *share)
 
 
 def voxel_sampler_sweeps(points: DataFrame, size: float, per_voxel: int, max_voxels: int, by: str = "scene_id") -> DataFrame:

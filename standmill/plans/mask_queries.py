@@ -195,3 +195,16 @@ def _(spark, sf):
     p, path = points(spark, sf), new_path(spark)
     lod.write_lod(*lod.build_lod(p, lod.octree_bounds(p), 3, 40), p, path)
     return spark.read.parquet(f"{path}/points").groupBy("scene_id", "node").agg(F.count("*").alias("n"))
+
+
+@query("o4_lod_binary", LOD + f""" SELECT s.scene_id, node, CAST(row_number() OVER (PARTITION BY s.scene_id, node ORDER BY {hash_order_sql('pid')}, pid) - 1 AS INTEGER) AS place, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 4) AS x, round(CAST(CAST(z AS FLOAT) AS DOUBLE), 4) AS z,
+ CAST(CASE WHEN inst_pred >= 0 THEN 255 WHEN sem_pred = 0 THEN 128 ELSE 0 END AS INTEGER) AS flag FROM samples s JOIN points p USING (scene_id, pid)""")
+def _(spark, sf):
+    """The points of all nodes as they are read back from their ranges of bytes."""
+    from standmill.sources.storage import new_path
+
+    p, path = points(spark, sf), new_path(spark)
+    bounds = lod.octree_bounds(p)
+    lod.write_lod_binary(*lod.build_lod(p, bounds, 3, 40), p, bounds, path, 20_000)
+    found = lod.read_lod_binary(spark, path)
+    return found.select("scene_id", "node", "place", F.round(F.col("x").cast("double"), 4).alias("x"), F.round(F.col("z").cast("double"), 4).alias("z"), F.col("flag").cast("int").alias("flag"))

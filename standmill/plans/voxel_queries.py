@@ -141,6 +141,19 @@ def _(spark, sf):
     return voxels.sample_patches(points(spark, sf), 10.0, 128, 8, annotated=0.3).select("scene_id", F.col("draw").cast("int"), "pid", _r("x"))
 
 
+@query("v13_sample_patches_occupied", P + f""", r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY {H('pid', 8)}, pid) AS attempt FROM points), e AS (SELECT scene_id, max(x) AS hx, max(y) AS hy, max(z) AS hz, min(z) AS lz FROM points GROUP BY 1),
+ t AS (SELECT scene_id, attempt, x AS cx, y AS cy, hx, hy, hz, lz FROM r JOIN e USING (scene_id) WHERE attempt <= 10),
+ i AS (SELECT p.*, attempt, cx, cy, hx, hy, hz, (ceil((x - (cx - 25)) / 50 * 31) * 31 + ceil((y - (cy - 25)) / 50 * 31)) * 62 + ceil((z - lz) / (hz - lz) * 62) AS cell,
+  greatest(abs(x - cx), abs(y - cy)) AS gap FROM points p JOIN t USING (scene_id) WHERE abs(x - cx) <= 25.5 AND abs(y - cy) <= 25.5),
+ g AS (SELECT scene_id, attempt, count(*) AS m FROM i GROUP BY 1, 2 HAVING count(DISTINCT cell) FILTER (gap <= CAST(25.01 AS DOUBLE)) / (31 * 31 * 62) >= CAST(0.002 AS DOUBLE) AND count(*) FILTER (inst_gt > 0) >= CAST(0.5 AS DOUBLE) * count(*)),
+ f AS (SELECT scene_id, min(attempt) AS attempt, arg_min(m, attempt) AS m FROM g GROUP BY 1),
+ c AS (SELECT i.*, m, row_number() OVER (PARTITION BY i.scene_id ORDER BY {H('pid', 9)}, pid) - 1 AS pos FROM i JOIN f USING (scene_id, attempt))
+SELECT scene_id, CAST(draw AS INTEGER) AS draw, pid, round(x - cx, 6) AS x, round(x / hx, 6) AS nx, round(z / hz, 6) AS nz FROM c, range(1200) AS d(draw) WHERE pos < 1200 AND draw % least(m, 1200) = pos""")
+def _(spark, sf):
+    found = voxels.sample_patches(points(spark, sf), 50.0, 1200, 8, least_points=None, annotated=0.5, occupied=0.002, enlarge=0.5, features=True)
+    return found.select("scene_id", F.col("draw").cast("int"), "pid", _r("x"), _r("nx"), _r("nz"))
+
+
 @query("v14_voxel_sampler_sweeps", V.replace("2 AS DOUBLE", "8 AS DOUBLE") + """, s AS (SELECT *, pid % 4 = 0 AS current FROM pv), k AS (SELECT *, row_number() OVER (PARTITION BY scene_id, current, vx, vy, vz ORDER BY pid) AS k FROM s),
  f AS (SELECT scene_id, current, vx, vy, vz, row_number() OVER (PARTITION BY scene_id, current ORDER BY min(pid)) - 1 AS slot, count(*) OVER (PARTITION BY scene_id, current) AS nv FROM s GROUP BY 1, 2, 3, 4, 5),
  w AS (SELECT f.*, CAST(i AS INTEGER) AS slot2 FROM f, range(150) AS t(i) WHERE slot < 150 AND (i = slot OR (slot = 0 AND i >= nv)))

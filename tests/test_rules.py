@@ -177,6 +177,75 @@ def test_lod(spark):
     assert held == {(r.scene_id, r.node): r["count"] for r in table}
 
 
+def test_binary_nodes(spark, tmp_path):
+    points, rows = cloud(spark, 2000, 2)
+    bounds = lod.octree_bounds(points, 100)
+    samples, nodes = lod.build_lod(points, bounds, 3, 50)
+    made = lod.write_lod_binary(samples, nodes, points, bounds, str(tmp_path / "a"), 1_000).collect()
+    assert len(made) > 20 and all(0 < r.n_bytes < 1_000 + 50 * 16 for r in made)
+    kept = {f.name: f.stat().st_size for f in (tmp_path / "a" / "tiles").iterdir() if not f.name.endswith(".crc")}
+    assert kept == {f"{r.scene}-{r.file:05d}.bin": r.n_bytes for r in made}
+    place = {r[0]: r for r in rows}
+    order = {r.pid: (r.order, r.pid) for r in points.select("pid", hash_order(F.col("pid")).alias("order")).collect()}
+    wanted = {}
+    for r in samples.collect():
+        wanted.setdefault((r.scene_id, r.node), []).append(r.pid)
+    for table in (spark.read.parquet(str(tmp_path / "a" / "nodes")).collect(),):
+        laid = sorted((r.scene_id, r.node, r.file, r.start, r.n_bytes) for r in table)
+        for (s, _, file, start, n), (t, _, file2, start2, _) in itertools.pairwise(laid):
+            assert s != t or (file2, start2) in ((file, start + n), (file + 1, 0)) or (file2 > file and start2 == 0)
+    found = {}
+    for r in lod.read_lod_binary(spark, str(tmp_path / "a")).orderBy("place").collect():
+        found.setdefault((r.scene_id, r.node), []).append((r.x, r.y, r.z, r.flag))
+    as_float = lambda p: tuple(float(np.float32(v)) for v in place[p][2:5])
+    flag = lambda p: 255 if place[p][8] >= 0 else 128 if place[p][7] == 0 else 0
+    assert found == {k: [(*as_float(p), flag(p)) for p in sorted(v, key=order.get)] for k, v in wanted.items()}
+    one = lod.read_lod_binary(spark, str(tmp_path / "a"), spark.createDataFrame([(1, "r")], "scene_id int, node string"))
+    assert one.count() == 50 and {(r.scene_id, r.node) for r in one.collect()} == {(1, "r")}
+    with pytest.raises(ValueError, match="no point"):
+        lod.write_lod_binary(samples, nodes, points.filter("pid % 2 = 0"), bounds, str(tmp_path / "b"))
+    assert not (tmp_path / "b" / "nodes").exists()
+    none = points.filter("false")
+    samples, nodes = lod.build_lod(none, lod.octree_bounds(none), 3, 50)
+    assert lod.write_lod_binary(samples, nodes, none, lod.octree_bounds(none), str(tmp_path / "c")).isEmpty()
+    assert lod.read_lod_binary(spark, str(tmp_path / "c")).isEmpty()
+
+
+def test_patches_by_occupied_cells(spark):
+    points, rows = cloud(spark, 1500, 3)
+    share = 38 / (31 * 31 * 62)
+    found = voxels.sample_patches(points, 3.0, 64, 5, least_points=None, annotated=0.0, occupied=share, enlarge=0.25, features=True).collect()
+    order = {r.pid: (r.order, r.pid) for r in points.select("pid", hash_order(F.col("pid"), 5).alias("order")).collect()}
+    late = 0
+    for s in range(3):
+        own = [r for r in rows if r[1] == s]
+        high = [max(r[k] for r in own) for k in (2, 3, 4)]
+        low = min(r[4] for r in own)
+        centre = None
+        for k, c in enumerate(sorted(own, key=lambda r: order[r[0]])[:10]):
+            cells = set()
+            for r in own:
+                if abs(r[2] - c[2]) <= 1.51 and abs(r[3] - c[3]) <= 1.51:
+                    v = [np.ceil((r[2] - (c[2] - 1.5)) / 3.0 * 31.0), np.ceil((r[3] - (c[3] - 1.5)) / 3.0 * 31.0), np.ceil((r[4] - low) / (high[2] - low) * 62.0)]
+                    cells.add((v[0] * 31 + v[1]) * 62 + v[2])
+            if len(cells) / (31 * 31 * 62) >= share:
+                centre, late = c, late + (k > 0)
+                break
+        mine = [r for r in found if r.scene_id == s]
+        if centre is None:
+            assert not mine
+            continue
+        column = {r[0]: r for r in own if abs(r[2] - centre[2]) <= 1.75 and abs(r[3] - centre[3]) <= 1.75}
+        assert sorted(r.draw for r in mine) == list(range(64))
+        assert {r.pid for r in mine} <= set(column) and len({r.pid for r in mine}) == min(64, len(column))
+        assert all(abs(r.nx - column[r.pid][2] / high[0]) < 1e-12 and abs(r.nz - column[r.pid][4] / high[2]) < 1e-12 and abs(r.x - (column[r.pid][2] - centre[2])) < 1e-12 for r in mine)
+    assert found
+    flat = points.withColumn("z", F.lit(0.0))
+    one = voxels.sample_patches(flat, 3.0, 16, 5, least_points=None, annotated=0.0, occupied=1e-5, features=True)
+    assert one.count() == 48 and one.filter("nz <> 0").isEmpty()
+    assert voxels.sample_patches(points.filter("false"), 3.0, 16, least_points=None).isEmpty()
+
+
 def test_lod_of_scenes_with_depths_of_their_own(spark):
     points, rows = cloud(spark, 3000, 2)
     points = points.filter("scene_id = 0 OR pid % 20 = 1")
