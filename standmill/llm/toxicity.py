@@ -27,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ STEM, STEM_WEIGHT = 4, 4
 BLOCK, NEIGHBOURS, PRIOR_WEIGHT = 64, 15, 0.1
 #: Terms (those of most examples, and of a share of them at least) whose postings are kept as whole rows of a block.
 ROWS, ROW_SHARE = 512, 1 / 32
-#: Blocks that are opened together, and examples (evenly chosen) that votes are calibrated with.
-OPENED, CALIBRATION = 16, 2_000
+#: Blocks that are opened together (at first, and then among those whose bounds still reach), and examples (evenly chosen) that votes are calibrated with.
+FIRST_OPENED, OPENED, CALIBRATION = 8, 16, 2_000
 #: Share of the uncalibrated vote in a score: it keeps the order within a step.
 RAW_SHARE = 0.02
 THRESHOLD = 0.3
@@ -58,7 +59,7 @@ def term_counts(text: str | None) -> dict[str, int]:
     """Weighted numbers of the text's terms. A whole word is a term of its own if it is longer than its beginning."""
     text = (text or "").lower()
     found: dict[str, int] = {}
-    runs = _UNSPACED.findall(text)
+    runs = [] if text.isascii() else _UNSPACED.findall(text)
     if runs:
         text = _UNSPACED.sub(" ", text)
         pairs = (run[k : k + 2] for run in runs for k in range(max(1, len(run) - 1)))
@@ -71,6 +72,11 @@ def term_counts(text: str | None) -> dict[str, int]:
     return found
 
 
+def numbers(known: dict[str, int], terms: dict[str, int]) -> np.ndarray:
+    """The number of each term, -1 where it is not known."""
+    return np.fromiter(map(known.get, terms, repeat(-1)), dtype=np.int64, count=len(terms))
+
+
 @dataclass
 class Index:
     """Block-max inverted index of the examples' vectors."""
@@ -91,10 +97,9 @@ class Index:
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the known terms that weigh something, and their weights; both empty where there is none."""
-        found = self.known.keys() & counts.keys()
-        at = np.fromiter(map(self.known.__getitem__, found), dtype=np.int64, count=len(found))
-        number = np.fromiter(map(counts.__getitem__, found), dtype=np.float64, count=len(found))
+        at, number = numbers(self.known, counts), np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
         order = np.argsort(at)
+        order = order[np.searchsorted(at[order], 0) :]
         at = at[order]
         weight = number[order] * self.idf[at]
         length = math.sqrt(float(weight @ weight))
@@ -104,25 +109,30 @@ class Index:
         """Numbers and cosines of the k nearest examples with a cosine above 0; ties go to the lower number."""
         bound = weight @ self.most[at]
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
+        bound = bound[order]
+        order = order[bound > 0]
         best, score = np.empty(0, dtype=np.int64), np.empty(0)
         row, listed = self.row[at], self.row[at] < 0
-        row, in_rows, at, weight = row[~listed], weight[~listed], at[listed], weight[listed]
-        for i in range(0, len(order), OPENED):
-            if len(best) == k and bound[order[i]] < score[-1] - 1e-9:
-                break
-            blocks = np.sort(order[i : i + OPENED])
-            first, last = self.starts[at[:, None], blocks], self.starts[at[:, None], blocks + 1]  # terms x blocks
-            count = last - first
+        row, in_rows, weight = row[~listed], weight[~listed], weight[listed]
+        starts, ends, size = self.starts[at[listed]], len(order), self.most.shape[1] * BLOCK
+        flat, i, step = self.rows.reshape(-1, BLOCK), 0, FIRST_OPENED
+        while i < ends:
+            blocks = np.sort(order[i : min(i + step, ends)])
+            first = starts[:, blocks]  # terms x blocks
+            count = starts[:, blocks + 1] - first
             each = count.ravel()
             place = np.repeat(first.ravel() - np.cumsum(each) + each, each) + np.arange(each.sum())
-            slot = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(at)), each) + self.examples[place] % BLOCK
-            found = np.bincount(slot, self.weights[place] * np.repeat(weight, count.sum(axis=1)), len(blocks) * BLOCK)
-            found = found + (in_rows @ self.rows[blocks[:, None], row]).ravel()
-            hit = np.flatnonzero(found)
-            best, score = np.append(best, blocks[hit // BLOCK] * BLOCK + hit % BLOCK), np.append(score, np.round(found[hit], 12))
+            found = np.bincount(self.examples[place], self.weights[place] * np.repeat(weight, count.sum(axis=1)), size)
+            held = flat.take((blocks[:, None] * self.rows.shape[1] + row).ravel(), axis=0).reshape(len(blocks), len(row), BLOCK)
+            found = np.round((found.reshape(-1, BLOCK)[blocks] + in_rows @ held).ravel(), 12)
+            least = max(0.0, np.partition(found, -k)[-k]) if len(found) > k else 0.0  # what k of these reach
+            hit = np.flatnonzero((found >= least) & (found > 0))
+            best, score = np.append(best, blocks[hit // BLOCK] * BLOCK + hit % BLOCK), np.append(score, found[hit])
             kept = np.lexsort((best, -score))[:k]
             best, score = best[kept], score[kept]
+            i, step = i + step, OPENED
+            if len(best) == k:  # blocks behind this one cannot hold a nearer example
+                ends = min(ends, int(np.searchsorted(-bound, 1e-9 - score[-1], side="right")))
         return best, score
 
     def vote(self, at: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[float, list[int]]:
@@ -222,8 +232,9 @@ def document_frequencies(docs: DataFrame, known: dict[str, int]) -> tuple[np.nda
         sums = np.zeros(len(known), dtype=np.int64)
         for part in slices(batches):
             rows += part.num_rows
-            found = [known[t] for text in part.column("text").to_pylist() for t in known.keys() & term_counts(text).keys()]
-            sums += np.bincount(np.array(found, dtype=np.int64), minlength=len(known))
+            for text in part.column("text").to_pylist():
+                at = numbers(known, term_counts(text))
+                sums[at[at >= 0]] += 1
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(sums[at], rows))], ["term", "n"])
 
