@@ -5,7 +5,8 @@ the last returns the packed pieces. Between stages the rows are written as Parqu
 
 Defined results: a document with a null or empty text, or one without letters, has no language and goes in the first
 stage; very long texts count whole in every stage; of documents whose overlaps link them, of exact copies and of rows of
-one id one row stays, that of the smallest id (of several rows of that id any); rows without an id are never duplicates;
+one id one row stays, that of the smallest id (of several rows of that id the least text's, null first); rows without an id
+are never duplicates;
 an empty table goes through every stage as an empty one; further columns, whatever their names, are carried on unchanged.
 Each operator's docstring has the ties.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standmill.llm import language_id, ngram_join, packing, personal_data, toxicity
-from standmill.llm.common import restored, table, written
+from standmill.llm.common import carried, restored, table, written
 
 #: A language that is less likely than this is rejected, like an undetermined one.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -44,8 +45,10 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    rows = kept.join(repeated, "doc_id", "left_semi").select("doc_id", F.col("text"), carried(docs))
+    least = F.min_by(F.struct("text", "kept"), F.struct("text", F.xxhash64(F.to_json("kept")))).alias("least")
+    once = restored(rows.groupBy("doc_id").agg(least).select("least.*"), docs)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
