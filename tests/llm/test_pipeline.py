@@ -78,6 +78,13 @@ def test_one_row_stays_of_repeated_ids(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in found) == [(False, 1), (False, 3), (False, 4), (True, 0)]
 
 
+def test_the_least_text_stays_of_one_id(spark):
+    texts = [(1, "b a"), (1, "a b"), (1, "c c"), (2, None), (2, "x"), (3, "y")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(texts)], "doc_id long, text string, kept long")
+    found = corpus_pipeline.keep_one_of_group(spark, docs.repartition(5), SF).collect()
+    assert sorted((r.doc_id, r.text, r.kept) for r in found) == [(1, "a b", 1), (2, None, 3), (3, "y", 5)]
+
+
 def test_an_empty_table_goes_through(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
