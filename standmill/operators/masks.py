@@ -166,6 +166,23 @@ def merge_masks_pairwise(mask_points: DataFrame, masks: DataFrame, threshold: fl
     return masks if gone is None else masks.join(gone, [by, "mask_id"], "left_anti")
 
 
+def connected(edges: DataFrame, nodes: DataFrame, by: str = "scene_id") -> DataFrame:
+    """The smallest id that each node (by, id) is connected with, by passing on smallest ids until nothing changes.
+
+    An id goes to a node's neighbours and to the nodes that name them, so whole groups are hung up at once: long chains take few rounds."""
+    both = written(edges.select(by, "a", "b").union(edges.select(by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(nodes.select(by, F.col("id").alias("a"), F.col("id").alias("root")))
+    while True:
+        met = both.join(labels.select(by, F.col("a").alias("b"), F.col("root").alias("near")), [by, "b"]).join(labels, [by, "a"])
+        near = met.select(by, F.explode(F.array("a", "root")).alias("a"), "near").groupBy(by, "a").agg(F.min("near").alias("near"))
+        step = labels.join(near, [by, "a"], "left").withColumn("new", F.least("root", "near"))
+        up = labels.select(by, F.col("a").alias("new"), F.col("root").alias("higher"))  # a label's own label halves the way
+        after = written(step.join(up, [by, "new"], "left").select(by, "a", F.least("new", "higher").alias("root"), F.col("root").alias("old")))
+        labels = after.select(by, "a", "root")
+        if after.filter("root <> old").isEmpty():
+            return labels.withColumnRenamed("a", "id")
+
+
 def merge_masks_by_iou(mask_points: DataFrame, masks: DataFrame, threshold: float = 0.6, by: str = "scene_id") -> tuple[DataFrame, DataFrame]:
     """Unites masks that overlap by more than the threshold, directly or through others: the united points, and the
     smallest mask id and best score of each union."""

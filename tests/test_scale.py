@@ -211,6 +211,24 @@ def test_pairwise_merge_is_that_of_the_list(spark, seed):
     assert masks.merge_masks_pairwise(points.limit(0), listed).count() == len(held)
 
 
+def test_merge_by_overlap_unites_long_chains_in_few_rounds(spark, monkeypatch):
+    """Neighbours in a chain share two of four points (an overlap of a third); the smallest id of scene 0 stands at the far end."""
+    n, r = 60, random.Random(5)
+    chains = {0: [*range(1, n), 0], 1: r.sample(range(n), n)}
+    held = [(s, m, 2 * at + k) for s, chain in chains.items() for at, m in enumerate(chain) for k in range(4)] + [(1, 99, 5000)]
+    score = {(s, m): ((m * 37) % 61) / 61 for s, m, _ in held}
+    points = spark.createDataFrame(held, "scene_id int, mask_id int, pid long").withColumn("prob", F.lit(1.0))
+    listed = spark.createDataFrame([(s, m, 0, v) for (s, m), v in score.items()], "scene_id int, mask_id int, label int, score double")
+    rounds, written = [], masks.written
+    monkeypatch.setattr(masks, "written", lambda df: rounds.append(1) or written(df))
+    united, merged = masks.merge_masks_by_iou(points, listed, 0.3)
+    best = {s: max(v for (t, m), v in score.items() if t == s and m != 99) for s in chains}
+    assert sorted(map(tuple, merged.select("scene_id", "mask_id", "score", "n_masks").collect())) == [(0, 0, best[0], n), (1, 0, best[1], n), (1, 99, score[1, 99], 1)]
+    assert sorted(map(tuple, united.select("scene_id", "mask_id", "pid").collect())) == sorted({(s, m if m == 99 else 0, p) for s, m, p in held})
+    assert len(rounds) < 16
+    assert masks.merge_masks_by_iou(points, listed, 0.4)[1].count() == 2 * n + 1  # nothing overlaps by more
+
+
 # farthest points
 
 
