@@ -220,7 +220,7 @@ def split_leftover(points: DataFrame, previous: DataFrame | None = None) -> tupl
     if previous is not None:
         older = previous.select("pid", F.col("semantic_pred").alias("older"))
         merged = points.join(older, "pid", "left").withColumn("sem_pred", F.coalesce("older", "sem_pred")).drop("older")
-    left = (F.col("sem_pred") != 0) & (F.col("inst_pred") == -1)
+    left = F.coalesce((F.col("sem_pred") != 0) & (F.col("inst_pred") == -1), F.lit(False))  # a point without a class is among the others
     again = merged.filter(left).withColumns({"semantic_seg": F.col("sem_gt") + 1, "tree_id": F.col("inst_gt")})
     return again, merged.filter(~left)
 

@@ -145,12 +145,17 @@ def _(spark, sf):
     return frames.voxel_features(points(spark, sf), "cell").select("pid", _r("fx"), _r("fy"), _r("fz"))
 
 
-@query("p18_split_leftover", P + """, q AS (SELECT *, CAST(pid // 3 % 3 AS INTEGER) AS sem FROM points)
-SELECT pid, sem AS sem_pred, sem_gt + 1 AS semantic_seg, inst_gt AS tree_id FROM q WHERE sem <> 0 AND inst_pred = -1""")
+@query("p18_split_leftover", P + """, q AS (SELECT *, CASE WHEN pid // 3 % 6 <> 3 THEN CAST(pid // 3 % 3 AS INTEGER) ELSE sem_pred END AS sem FROM points),
+ l AS (SELECT *, sem <> 0 AND inst_pred = -1 AS leftover FROM q)
+SELECT pid, leftover, sem AS sem_pred, CASE WHEN leftover THEN sem_gt + 1 END AS semantic_seg, CASE WHEN leftover THEN inst_gt END AS tree_id FROM l""")
 def _(spark, sf):
+    """Every point, with the part it is in. The round before has no class for a sixth of them, which keep their own."""
     p = points(spark, sf)
-    previous = p.select("pid", (F.floor(F.col("pid") / 3) % 3).cast("int").alias("semantic_pred"))
-    return frames.split_leftover(p, previous)[0].select("pid", "sem_pred", "semantic_seg", "tree_id")
+    turn = F.floor(F.col("pid") / 3)
+    previous = p.select("pid", F.when(turn % 6 != 3, turn % 3).cast("int").alias("semantic_pred"))
+    again, others = frames.split_leftover(p, previous)
+    both = again.withColumn("leftover", F.lit(True)).unionByName(others.withColumn("leftover", F.lit(False)), allowMissingColumns=True)
+    return both.select("pid", "leftover", "sem_pred", "semantic_seg", "tree_id")
 
 
 @query("p19_filter_scenes", P + ", q AS (SELECT scene_id, CASE WHEN inst_gt % 8 >= scene_id THEN inst_gt ELSE -1 END AS inst_gt FROM points) SELECT scene_id, count(*) AS n FROM q WHERE scene_id IN (SELECT scene_id FROM q GROUP BY 1 HAVING count(DISTINCT inst_gt) >= 12) GROUP BY 1")

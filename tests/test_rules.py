@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from standmill.functions import keys, text
 from standmill.functions.keys import hash_order
 from standmill.operators import frames, labels, lod, masks, metrics, predict, tiles, voxels
+from standmill.plans.catalog import queries
 from standmill.sources import files
+from standmill.sources.fixtures import points
+
+SF, QUERIES = "/root/testdata/sf0.001", queries()
 
 
 def cloud(spark, n=400, scenes=2, seed=1, grid=100):
@@ -321,6 +325,27 @@ def test_requests_hold_fields_notes_and_tasks(spark):
     assert text.tree_prompts(tree).first().user.endswith("}")
 
 
+def test_leftover_query_has_every_point_and_the_classes_that_stay(spark):
+    """The round before overrides where it has a class; points without one keep their own, and both parts are there."""
+    given = {x.pid: x for x in points(spark, SF).collect()}
+    found = QUERIES["p18_split_leftover"](spark, SF).collect()
+    assert sorted(x.pid for x in found) == sorted(given)
+    kept = 0
+    for x in found:
+        p, turn = given[x.pid], x.pid // 3
+        sem = p.sem_pred if turn % 6 == 3 else turn % 3
+        left = sem != 0 and p.inst_pred == -1
+        assert (x.leftover, x.sem_pred, x.semantic_seg, x.tree_id) == (left, sem, *((p.sem_gt + 1, p.inst_gt) if left else (None, None)))
+        kept += turn % 6 == 3 and sem != turn % 3
+    assert kept and {x.leftover for x in found} == {True, False}
+
+
+def test_leftover_loses_no_point_without_a_class(spark):
+    given = spark.createDataFrame([(0, None, -1, 1, 2), (1, None, -1, 1, 2), (2, 1, None, 1, 2), (3, 0, 5, 1, 2)], "pid long, sem_pred int, inst_pred int, sem_gt int, inst_gt int")
+    again, others = frames.split_leftover(given, spark.createDataFrame([(1, 2), (3, None)], "pid long, semantic_pred int"))
+    assert [x.pid for x in again.collect()] == [1] and sorted(x.pid for x in others.collect()) == [0, 2, 3]
+
+
 def test_average_precision_on_plain_cases(spark):
     truth = spark.createDataFrame([(0, p, 0, 1 if p < 200 else 2) for p in range(400)], "scene_id int, pid long, label int, gt_id int")
     table = spark.createDataFrame([(0, 1, 0, 0.9), (0, 2, 0, 0.8)], "scene_id int, mask_id int, label int, score double")
