@@ -303,10 +303,13 @@ def _(spark, sf):
     return made.select("scene_id", parsed.alias("p")).select("scene_id", "p.*")
 
 
-@query("f2_scene_prompts", TOP + " SELECT scene_id, count(*) AS n_trees FROM top GROUP BY 1")
+@query("f2_scene_prompts", TOP + """, scenes AS (SELECT scene_id FROM points UNION SELECT CAST(n_nationkey AS INTEGER) FROM nation)
+SELECT scene_id, count(top.scene_id) AS n_trees FROM scenes LEFT JOIN top USING (scene_id) GROUP BY 1""")
 def _(spark, sf):
+    """A request for every scene with points, by all its trees, and for the planned scenes (one a nation), most of which have no trees."""
     p = points(spark, sf)
-    made = text.scene_prompts(p, metrics.stand_summary(metrics.tree_metrics(p)), "zh")
+    scenes = p.select("scene_id").union(table(spark, sf, "nation").select(F.col("n_nationkey").cast("int")))
+    made = text.scene_prompts(scenes, metrics.stand_summary(metrics.tree_metrics(p)), "zh")
     n = F.regexp_extract("user", r'"n_trees" : (\d+)', 1)
     return made.select("scene_id", F.when(F.col("user") == text.NO_TREES, 0).otherwise(F.when(n != "", n.cast("long"))).cast("long").alias("n_trees"))
 

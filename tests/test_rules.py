@@ -346,6 +346,13 @@ def test_leftover_loses_no_point_without_a_class(spark):
     assert [x.pid for x in again.collect()] == [1] and sorted(x.pid for x in others.collect()) == [0, 2, 3]
 
 
+def test_scene_prompts_query_has_trees_of_all_scenes_and_scenes_without(spark):
+    trees = {x.scene_id: x.n for x in metrics.tree_metrics(points(spark, SF)).groupBy("scene_id").agg(F.count("*").alias("n")).collect()}
+    found = {x.scene_id: x.n_trees for x in QUERIES["f2_scene_prompts"](spark, SF).collect()}
+    assert set(trees) == set(range(8)) and {s: n for s, n in found.items() if n} == trees
+    assert {s for s, n in found.items() if n == 0} == set(range(8, 25))
+
+
 def test_average_precision_on_plain_cases(spark):
     truth = spark.createDataFrame([(0, p, 0, 1 if p < 200 else 2) for p in range(400)], "scene_id int, pid long, label int, gt_id int")
     table = spark.createDataFrame([(0, 1, 0, 0.9), (0, 2, 0, 0.8)], "scene_id int, mask_id int, label int, score double")
