@@ -9,8 +9,9 @@ in each block, so that blocks whose bound is below the k-th best cosine are not
 labels vote with weights that fall with distance, against a prior. Votes are calibrated by a rising step function,
 fitted to the examples' own votes with each left out in turn; the neighbours are returned as evidence.
 
-Scale: EXAMPLES rows at most come to the driver, and the index is broadcast; its size follows the sample. Counting and
-scoring are one narrow pass each over all documents.
+Scale: EXAMPLES rows at most come to the driver, as Arrow columns, and the index is broadcast; its size follows the sample. The
+driver holds postings alone: tables by blocks are made where the index is searched, in tasks, the examples' own votes
+included. Counting and scoring are one narrow pass each over all documents.
 
 Defined results: a null or empty text, or one without any term of the examples, has the rate of toxic examples among such
 texts as its score; with no usable labels, or no document that has one, the score is 0; several labels of one id count as
@@ -31,7 +32,8 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standmill.llm.common import add_by_slices, carried, held_out, map_slices, slices
@@ -85,19 +87,43 @@ class Index:
     idf: np.ndarray = field(default_factory=lambda: np.empty(0))
     ids: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
     labels: np.ndarray = field(default_factory=lambda: np.empty(0))
-    starts: np.ndarray = field(default_factory=lambda: np.empty((0, 1), dtype=np.int64))  # terms x (blocks + 1): postings of a term in a block
-    examples: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
+    held: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int32))  # postings of each term; they stand in the order of terms and examples
+    examples: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int32))
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
-    row: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))  # of a term in a block's rows, or -1: its postings are in a list
-    rows: np.ndarray = field(default_factory=lambda: np.empty((0, 0, BLOCK)))  # blocks x rows x BLOCK
-    most: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))  # terms x blocks
+    starts: np.ndarray | None = None  # terms x (blocks + 1): postings of a term in a block. Made by ``open``, as are the next three
+    row: np.ndarray | None = None  # of a term in a block's rows, or -1: its postings are in a list
+    rows: np.ndarray | None = None  # blocks x rows x BLOCK
+    most: np.ndarray | None = None  # terms x blocks
     steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))  # votes, and how often they were right
     prior: float = 0.0  # of examples with terms
     empty: float = 0.0  # of examples without
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | dict.fromkeys(("starts", "row", "rows", "most"))
+
+    def open(self) -> None:
+        """Makes the tables by blocks from the postings."""
+        terms, blocks = len(self.held), -(-len(self.ids) // BLOCK)
+        term, block = np.repeat(np.arange(terms), self.held), self.examples // BLOCK
+        self.starts = np.zeros((terms, blocks + 1), dtype=np.int32)
+        np.add.at(self.starts, (term, block + 1), 1)
+        np.cumsum(self.starts, out=self.starts.reshape(-1))
+        by_count = np.argsort(-self.held, kind="stable")[:ROWS]
+        by_count = by_count[self.held[by_count] >= max(1, ROW_SHARE * len(self.ids))]
+        self.row = np.full(terms, -1)
+        self.row[by_count] = np.arange(len(by_count))
+        self.rows = np.zeros((blocks, len(by_count), BLOCK))
+        kept = self.row[term] >= 0
+        self.rows[block[kept], self.row[term[kept]], self.examples[kept] % BLOCK] = self.weights[kept]
+        self.most = np.zeros((terms, blocks))
+        np.maximum.at(self.most, (term, block), self.weights)
+
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the known terms that weigh something, and their weights; both empty where there is none."""
-        at, number = numbers(self.known, counts), np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+        return self.weighted(numbers(self.known, counts), np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))
+
+    def weighted(self, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vector of terms, given by their numbers (-1: not known), that are there so many times."""
         order = np.argsort(at)
         order = order[np.searchsorted(at[order], 0) :]
         at = at[order]
@@ -107,6 +133,8 @@ class Index:
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a cosine above 0; ties go to the lower number."""
+        if self.most is None:
+            self.open()
         bound = weight @ self.most[at]
         order = np.argsort(-bound, kind="stable")
         bound = bound[order]
@@ -164,43 +192,49 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.array([p[2] / p[1] for p in parts]), np.array([p[0] / p[1] for p in parts])
 
 
-def build_index(known: dict[str, int], idf: np.ndarray, rows: list[tuple[int, int, dict[str, int]]]) -> Index:
-    """rows: id, label and term counts of each example."""
+def build_index(known: dict[str, int], idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Index:
+    """The index before its votes are calibrated. rows: id, label, and numbers and counts of the terms of each example."""
     index = Index(known=known, idf=idf)
-    vectors = [(i, y, *index.vector(c)) for i, y, c in rows]
+    vectors = [(i, y, *index.weighted(at, number)) for i, y, at, number in rows]
     bare = [y for _, y, at, _ in vectors if not len(at)]
     index.empty = sum(bare) / (len(bare) + 1)
     vectors = [v for v in vectors if len(v[2])]
     if not vectors:
         return index
     # examples that share their heaviest frequent term, and then their heaviest one, stand together: the bounds of blocks are tight
-    held = np.bincount(np.concatenate([at for _, _, at, _ in vectors]), minlength=len(known))
-    frequent = held >= np.sort(held)[::-1][: max(1, len(known) // 50)][-1]
+    index.held = np.bincount(np.concatenate([at for _, _, at, _ in vectors]), minlength=len(known)).astype(np.int32)
+    frequent = index.held >= np.sort(index.held)[::-1][: max(1, len(known) // 50)][-1]
     lead = lambda at, w: (int(at[np.argmax(np.where(frequent[at], w, -1))]), int(at[np.argmax(w)]))
     vectors.sort(key=lambda v: (*lead(v[2], v[3]), v[0]))
     index.ids, index.labels = np.array([v[0] for v in vectors]), np.array([float(v[1]) for v in vectors])
     index.prior = float((index.labels.sum() + 1) / (len(vectors) + 2))
-    term = np.concatenate([v[2] for v in vectors])
-    example = np.repeat(np.arange(len(vectors)), [len(v[2]) for v in vectors])
-    order = np.argsort(term, kind="stable")
-    term, index.examples, index.weights = term[order], example[order], np.concatenate([v[3] for v in vectors])[order]
-    blocks = -(-len(vectors) // BLOCK)
-    edges = np.searchsorted(term * blocks + index.examples // BLOCK, np.arange(len(known) * blocks + 1))
-    by_count = np.argsort(-held, kind="stable")[:ROWS]
-    by_count = by_count[held[by_count] >= max(1, ROW_SHARE * len(vectors))]
-    index.row = np.full(len(known), -1)
-    index.row[by_count] = np.arange(len(by_count))
-    index.rows = np.zeros((blocks, len(by_count), BLOCK))
-    kept = index.row[term] >= 0
-    index.rows[index.examples[kept] // BLOCK, index.row[term[kept]], index.examples[kept] % BLOCK] = index.weights[kept]
-    index.starts = edges[np.arange(len(known))[:, None] * blocks + np.arange(blocks + 1)].astype(np.int32)
-    index.most = np.zeros((len(known), blocks))
-    np.maximum.at(index.most, (term, index.examples // BLOCK), index.weights)
-    tried = range(0, len(vectors), max(1, -(-len(vectors) // CALIBRATION)))
-    index.steps = isotonic(np.array([index.vote(*vectors[n][2:], n)[0] for n in tried]), index.labels[list(tried)])
+    order = np.argsort(np.concatenate([v[2] for v in vectors]), kind="stable")
+    index.examples = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[2]) for v in vectors])[order]
+    index.weights = np.concatenate([v[3] for v in vectors])[order]
     return index
 
 
+def calibrate(spark: SparkSession, index: Index) -> None:
+    """Fits the steps to the examples' own votes, each left out in turn, which tasks count."""
+    if not len(index.ids):
+        return
+    shared = spark.sparkContext.broadcast(index)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        order = np.argsort(index.examples, kind="stable")
+        edges = np.searchsorted(index.examples[order], np.arange(len(index.ids) + 1))
+        term = np.repeat(np.arange(len(index.held)), index.held)
+        for part in batches:
+            own = [(n, order[edges[n] : edges[n + 1]]) for n in part.column("id").to_pylist()]
+            votes = [index.vote(term[at], index.weights[at], n)[0] for n, at in own]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(votes, pa.float64())], ["id", "vote"])
+
+    tried = spark.range(0, len(index.ids), max(1, -(-len(index.ids) // CALIBRATION)))
+    found = tried.mapInArrow(work, "id long, vote double").toArrow()  # CALIBRATION rows at most
+    index.steps = isotonic(found["vote"].to_numpy(), index.labels[found["id"].to_numpy()])
+
+
 def sample(labels: DataFrame) -> DataFrame:
     """The bounded sample that is learned from: doc_id and toxic of the labelled rows whose ids hash lowest."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
@@ -208,8 +242,9 @@ def sample(labels: DataFrame) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
 
 
-def example_counts(docs: DataFrame, labels: DataFrame) -> list[tuple[int, int, dict[str, int]]]:
-    """Id, label and term counts of the sampled examples (EXAMPLES rows at most)."""
+def example_counts(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """The terms of the sampled examples (EXAMPLES rows at most) with their numbers; and each one's id, label, and numbers and
+    counts of its terms."""
     picked = [(r.doc_id, r.toxic) for r in sample(labels).collect()]
     chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int"))
     examples = docs.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
@@ -219,8 +254,19 @@ def example_counts(docs: DataFrame, labels: DataFrame) -> list[tuple[int, int, d
         arrays = [pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *arrays], ["doc_id", "toxic", "terms", "counts"])
 
-    rows = map_slices(examples, counted, "doc_id long, toxic int, terms array<string>, counts array<long>").collect()
-    return sorted(((r.doc_id, r.toxic, dict(zip(r.terms, r.counts))) for r in rows), key=lambda r: r[0])
+    rows = map_slices(examples, counted, "doc_id long, toxic int, terms array<string>, counts array<long>").toArrow().sort_by("doc_id").combine_chunks()
+    if not rows.num_rows:
+        return {}, []
+    terms, counts = (rows[c].chunk(0) for c in ("terms", "counts"))
+    coded = terms.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    rank = np.empty(len(names), dtype=np.int64)
+    rank[order] = np.arange(len(names))
+    edges = np.append(0, np.cumsum(pc.list_value_length(terms).to_numpy()))
+    at, number = rank[coded.indices.to_numpy()], counts.flatten().to_numpy().astype(np.float64)
+    parts = [(at[a:b], number[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+    return {names[k]: i for i, k in enumerate(order)}, [(i, y, *p) for i, y, p in zip(rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), parts)]
 
 
 def document_frequencies(docs: DataFrame, known: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -239,19 +285,20 @@ def document_frequencies(docs: DataFrame, known: dict[str, int]) -> tuple[np.nda
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(sums[at], rows))], ["term", "n"])
 
     out = np.zeros(len(known) + 1, dtype=np.int64)
-    for r in docs.select("text").mapInArrow(work, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row a known term
-        out[r.term] = r.n
+    found = docs.select("text").mapInArrow(work, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a known term
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
     return out[:-1], int(out[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = example_counts(docs, labels)
-    known = {t: i for i, t in enumerate(sorted({t for _, _, c in rows for t in c}))}
+    known, rows = example_counts(docs, labels)
     if not known:
         return build_index(known, np.empty(0), rows)
     n, total = document_frequencies(docs, known)
-    return build_index(known, np.maximum(0.0, np.log((total + 1) / (n + 0.5))), rows)
+    index = build_index(known, np.maximum(0.0, np.log((total + 1) / (n + 0.5))), rows)
+    calibrate(docs.sparkSession, index)
+    return index
 
 
 def score(docs: DataFrame, index: Index, carry: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import pickle
 import random
 import re
 import time
@@ -387,6 +388,15 @@ def test_scores_are_those_of_all_cosines(spark):
             assert row.score == pytest.approx(score, abs=1e-6)
 
 
+def test_driver_holds_postings_alone(spark):
+    """What the driver keeps of the examples and broadcasts is a few bytes a posting, not tables of terms by blocks."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    index = toxicity.fit(docs, labels)
+    words = sum(len(t.encode()) + 16 for t in index.known)
+    assert len(pickle.dumps(index)) < 16 * len(index.weights) + words + 100_000
+    assert index.most is None and len(index.steps[0]) > 2
+
+
 def test_toxic_documents_are_found(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     found = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").filter("held_out").collect()
