@@ -4,9 +4,13 @@ Candidates are Apriori-safe: a phrase can only occur LEAST times if its words an
 tasks tally 64-bit hashes of the phrases whose parts have passed (of words, the words themselves), and the hashes with
 LEAST or more go on. A hash is shared by phrases only by chance, and then its tally is too high: no phrase is lost, and
 texts of phrases are only shuffled for hashes that passed. These candidates are dealt by their hash into tries of about
-SHARD_KEYS phrases, which tasks build as double arrays over the bytes of word numbers. A bounded batch of tries at a time is
-broadcast and counts all texts: NumPy moves the states of all places of a slice along the trie together, one level at a time; the
-states that are reached at a phrase's end are counted with bincount, and the counts of all tasks are summed.
+SHARD_KEYS phrases, which tasks build as double arrays over the bytes of word numbers.
+
+What the tries count is read from the texts once: tasks note the phrases that pass all filters, as numbers of words and each with
+its occurrences among some millions of places, and deal them by ranges of their hashes (pieces of a trie's). Candidates come from
+these notes, of which one task has nearly all of a piece, and a bounded batch of tries at a time is broadcast and counts its own part
+of them: NumPy moves the states of many phrases along the trie together, one level at a time; the occurrences are added up at the
+states that are reached, and the counts of all tasks are summed.
 
 The filters between levels are bitmaps of bounded size (2^FILTER_BITS bits at most): if hashes that passed outgrow them,
 they let more through, and the tallies still decide. Hot phrases are one row a task in every shuffle.
@@ -41,8 +45,12 @@ COVERED = 50
 LONG_WORD = 40
 #: Bits of a filter at most (as a power of two); phrases of a trie; phrases in tries that are broadcast together.
 FILTER_BITS, SHARD_KEYS, BATCH_KEYS = 27, 1 << 18, 1 << 21
-#: Different hashes that a task gathers before it hands them on; phrases that it remembers to have handed on.
-GATHERED, REMEMBERED = 1 << 21, 1 << 21
+#: Different hashes that a task gathers before it hands them on.
+GATHERED = 1 << 21
+#: Occurrences of phrases that a task gathers before it writes them with their numbers; such rows for each task that counts them.
+NOTED, COUNTED = 1 << 21, 1 << 23
+#: Pieces that the notes are dealt to at least.
+PIECES = 32
 #: Counts that a task hands on together.
 BLOCK = 1 << 12
 #: Bytes of a word's number in a trie: a trie has at most 4 * SHARD_KEYS different words, languages included.
@@ -94,27 +102,13 @@ class Places:
         self.langs: list[str] = langs.dictionary.to_pylist()
         self.lang = np.asarray(langs.indices, dtype=np.int64)[row]
 
-    def _known_hashes(self) -> np.ndarray:
-        ends = np.frombuffer(self.known.buffers()[1], dtype=np.int64)[: len(self.known) + 1]
-        data, size = np.frombuffer(self.known.buffers()[2], dtype=np.uint8), np.diff(ends)
-        short = np.where(size > LONG_WORD, 0, size)
-        first = np.cumsum(short) - short
-        place = np.arange(short.sum()) - np.repeat(first, short)
-        values = (data[np.repeat(ends[:-1], short) + place].astype(np.uint64) + np.uint64(1)) * _POWERS[place]
-        sums = np.append(np.uint64(0), np.cumsum(values))  # sums are modulo 2^64
-        found = sums[first + short] - sums[first]
-        for k in np.flatnonzero(size > LONG_WORD).tolist():
-            found[k] = _number(data[ends[k] : ends[k + 1]].tobytes())
-        return _mixed(found)
-
     def hashes(self, words: int = WORDS) -> list[np.ndarray]:
         """Hashes of the phrases of 1 to so many words that begin at each word; a phrase that crosses a break has one of no use."""
         if not len(self.word):
             return [np.empty(0, dtype=np.uint64)] * words
-        seeds = np.array([_number(x.encode("utf-8", "surrogatepass")) for x in self.langs], dtype=np.uint64)
-        found = [_mixed(self._known_hashes()[self.word] + seeds[self.lang])]
+        found = [_mixed(word_hashes(self.known)[self.word] + seeds(self.langs)[self.lang])]
         for k in range(1, words):
-            found.append(_mixed(found[-1][:-1] * _ODD[0] + found[0][k:]))
+            found.append(_joined(found[-1][:-1], found[0][k:]))
         return found
 
     def whole(self, words: int) -> np.ndarray:
@@ -125,15 +119,34 @@ class Places:
             ok &= self.joined[k : k + n]
         return ok
 
-    def phrases(self, at: np.ndarray, words: int) -> pa.Array:
-        """The texts of phrases that begin at these words."""
-        return pc.binary_join_element_wise(*[self.known.take(pa.array(self.word[at + k])) for k in range(words)], pa.scalar(" ", pa.large_string())).cast(pa.string())
-
 
 def _number(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
+def word_hashes(known: pa.LargeStringArray) -> np.ndarray:
+    ends = np.frombuffer(known.buffers()[1], dtype=np.int64)[known.offset : known.offset + len(known) + 1]
+    data, size = np.frombuffer(known.buffers()[2], dtype=np.uint8), np.diff(ends)
+    short = np.where(size > LONG_WORD, 0, size)
+    first = np.cumsum(short) - short
+    place = np.arange(short.sum()) - np.repeat(first, short)
+    values = (data[np.repeat(ends[:-1], short) + place].astype(np.uint64) + np.uint64(1)) * _POWERS[place]
+    sums = np.append(np.uint64(0), np.cumsum(values))  # sums are modulo 2^64
+    found = sums[first + short] - sums[first]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        found[k] = _number(data[ends[k] : ends[k + 1]].tobytes())
+    return _mixed(found)
+
+
+def seeds(langs: list[str]) -> np.ndarray:
+    return np.array([_number(x.encode("utf-8", "surrogatepass")) for x in langs], dtype=np.uint64)
+
+
+def _joined(phrases: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of phrases with one more word."""
+    return _mixed(phrases * _ODD[0] + words)
+
+
 class Filter:
     """A bitmap of hashes: some that are not in it may pass, none that is in it fails."""
 
@@ -245,18 +258,16 @@ class Trie:
         found[at] = state
         return found
 
-    def count(self, s: Places, number: np.ndarray, places: list[tuple[int, np.ndarray]], counts: np.ndarray) -> None:
-        """Adds to the counts of states those that phrases of so many words at these places of s end in."""
-        langs = np.array([self.numbers.get("\n" + x, 0) for x in s.langs], dtype=np.int64)
-        roots, ends = self.advance(np.zeros(len(langs), dtype=np.int64), langs), []
-        for words, at in places:
-            state = roots[s.lang[at]]
-            for k in range(words):
-                state = self.advance(state, number[s.word[at + k]])
-                alive = np.flatnonzero(state >= 0)
-                at, state = at.take(alive), state.take(alive)
-            ends.append(state)
-        counts += np.bincount(np.concatenate(ends), minlength=len(counts))
+    def count(self, noted: "Noted", counts: np.ndarray) -> None:
+        """Adds the occurrences of phrases to the counts of the states that they end in."""
+        langs = np.array([self.numbers.get("\n" + x, 0) for x in noted.langs], dtype=np.int64)
+        number = np.array([0, *[self.numbers.get(w, 0) for w in noted.known.to_pylist()]], dtype=np.int64)
+        state = self.advance(np.zeros(len(langs), dtype=np.int64), langs)[noted.lang]
+        for word in noted.words:
+            at = np.flatnonzero(word)
+            state[at] = self.advance(state[at], number[word[at]])
+        alive = np.flatnonzero(state >= 0)
+        np.add.at(counts, state[alive], noted.n[alive])
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -317,26 +328,142 @@ def _tallies(docs: DataFrame, words: int, filters) -> DataFrame:
     return docs.mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).select("h")
 
 
-def _candidates(docs: DataFrame, filters) -> DataFrame:
-    """h, lang and phrase of all phrases of 2 or more words that pass the filters; the same one may come from several tasks."""
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 up in as few bytes as hold them all; every array has a number at least."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max()))).tobytes()
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"u{len(data) // size}").astype(np.int64)
+
+
+class Noted:
+    """A row of the noted phrases: their languages and words by number (words from 1; 0 is none), and their occurrences."""
+
+    FIELDS = [f"word{k}" for k in range(1, WORDS + 1)]
+    SCHEMA = "batch int, shard int, piece int, size int, langs array<string>, known string, lang binary, n binary, " + ", ".join(f"{f} binary" for f in FIELDS)
+
+    def __init__(self, row: dict):
+        size = row["size"]
+        self.shard, self.piece, self.langs, self.known = row["shard"], row["piece"], row["langs"], pa.array(row["known"].split("\n"), pa.large_string())
+        self.lang, self.n, *self.words = (_unpacked(row[f], size) for f in ("lang", "n", *self.FIELDS))
+
+    def hashes(self) -> np.ndarray:
+        own, added = word_hashes(self.known), seeds(self.langs)[self.lang]
+        found = _mixed(own[self.words[0] - 1] + added)
+        for word in self.words[1:]:
+            at = np.flatnonzero(word)
+            found[at] = _joined(found[at], _mixed(own[word[at] - 1] + added[at]))
+        return found
+
+    def phrases(self, at: np.ndarray) -> pa.Array:
+        """The texts of these phrases."""
+        parts = [self.known.take(pa.array(word[at] - 1, mask=word[at] == 0)) for word in self.words]
+        return pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()), null_handling="skip").cast(pa.string())
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Noted]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield Noted({name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns)})
+
+
+def _noted(docs: DataFrame, shards: int, parts: int, together: int, filters) -> DataFrame:
+    """The phrases of 2 or more words that pass the filters, with their occurrences among about NOTED places: a row for each piece
+    of the hashes, which belongs to a trie (shard) and its batch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(REMEMBERED, dtype=np.uint64)  # at each place the last hash that went out from there
+        held, size = [], 0
         for part in slices(batches):
             s = Places(part)
             hashes = s.hashes()
-            for words in range(2, WORDS + 1):
-                at = _passing(hashes, filters.value, s, words)
-                h = hashes[words - 1][at]
-                place = (h & np.uint64(REMEMBERED - 1)).astype(np.int64)
-                new = np.flatnonzero(seen[place] != h)
-                h, first = np.unique(h[new], return_index=True)
-                at = at[new[first]]
-                seen[place[new[first]]] = h
-                columns = [pa.array(h.view(np.int64)), pa.array(s.langs, pa.string()).take(pa.array(s.lang[at])), s.phrases(at, words)]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "lang", "phrase"])
+            h, lang, words = [], [], []
+            for k in range(2, WORDS + 1):
+                at = _passing(hashes, filters.value, s, k)
+                h.append(hashes[k - 1][at])
+                lang.append(s.lang[at])
+                words.append(np.stack([s.word[at + j] + 1 if j < k else np.zeros(len(at), dtype=np.int64) for j in range(WORDS)]))
+            h, lang, words = np.concatenate(h), np.concatenate(lang), np.concatenate(words, axis=1)
+            if len(h):
+                own, words = _renumbered(words, len(s.known))
+                held.append((h, lang.astype(np.int32), words, s.langs, s.known.take(pa.array(own))))
+                size += len(h)
+            if size >= NOTED:
+                yield from _summed(held, shards, parts, together)
+                held, size = [], 0
+        if held:
+            yield from _summed(held, shards, parts, together)
+
+    return docs.mapInArrow(work, Noted.SCHEMA).repartition(shards * parts, "piece")
+
+
+def _renumbered(words: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of so many words are in use, and the words by their numbers (from 1) among those."""
+    used = np.zeros(known + 1, dtype=bool)
+    used[words] = True
+    used[0] = False
+    own = np.flatnonzero(used)
+    number = np.zeros(known + 1, dtype=np.int32)
+    number[own] = np.arange(1, len(own) + 1)
+    return own - 1, number[words]
+
+
+def _summed(held: list[tuple], shards: int, parts: int, together: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the phrases of several slices: hashes, languages and words by number, and the slices' languages and words."""
+    langs = {x: k for k, x in enumerate(dict.fromkeys(x for one in held for x in one[3]))}
+    coded = pa.chunked_array([one[4] for one in held]).combine_chunks().dictionary_encode()
+    known, number = coded.dictionary, np.asarray(coded.indices, dtype=np.int64) + 1
+    first = np.cumsum([0, *[len(one[4]) for one in held]])
+    words = np.concatenate([np.append(0, number[low:high])[one[2]] for one, low, high in zip(held, first, first[1:])], axis=1)
+    lang = np.concatenate([np.array([langs[x] for x in one[3]], dtype=np.int64)[one[1]] for one in held])
+    h = np.concatenate([one[0] for one in held])
+    order = np.argsort(h)
+    h, lang, words = h[order], lang[order], words[:, order]
+    new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (lang[1:] != lang[:-1]) | (words[:, 1:] != words[:, :-1]).any(axis=0)))
+    n = np.diff(np.append(new, len(h)))
+    h, lang, words = h[new], lang[new], words[:, new]
+    piece = ((h >> np.uint64(32)) * np.uint64(shards * parts) >> np.uint64(32)).astype(np.int64)  # rises with the hash
+    edges = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+    names = pa.array([list(langs)], pa.list_(pa.string()))
+    for low, high in zip(edges.tolist(), [*edges[1:].tolist(), len(h)]):
+        own, renumbered = _renumbered(words[:, low:high], len(known))
+        text = pa.array(["\n".join(known.take(pa.array(own)).to_pylist())], pa.string())  # a word holds no line's end
+        numbers = [pa.array([_packed(x)], pa.binary()) for x in (lang[low:high], n[low:high], *renumbered)]
+        shard = int(piece[low]) // parts
+        places = [pa.array([int(x)], pa.int32()) for x in (shard // together, shard, piece[low], high - low)]
+        yield pa.RecordBatch.from_arrays([*places, names, text, *numbers], ["batch", "shard", "piece", "size", "langs", "known", "lang", "n", *Noted.FIELDS])
+
+
+class Seen:
+    """Hashes that have been seen: many in order, and the last few in an order of their own."""
+
+    def __init__(self):
+        self.held = [np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)]
+
+    def new(self, hashes: np.ndarray) -> np.ndarray:
+        """Which hashes (in order) are the first of their kind; from now on they have been seen."""
+        found = np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)]
+        for held in self.held:
+            if len(held):
+                found &= held[np.minimum(np.searchsorted(held, hashes), len(held) - 1)] != hashes
+        many, few = self.held
+        few = np.sort(np.concatenate([few, hashes[found]]))
+        self.held = [many, few] if 8 * len(few) < len(many) else [np.sort(np.concatenate([many, few])), few[:0]]
+        return found
+
 
-    return docs.mapInArrow(work, "h long, lang string, phrase string")
+def _candidates(noted: DataFrame) -> DataFrame:
+    """h, lang and phrase of all noted phrases; the same one may come from several tasks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, Seen] = {}
+        for row in _rows(batches):
+            h = row.hashes()
+            new = np.flatnonzero(seen.setdefault(row.piece, Seen()).new(h))
+            columns = [pa.array(h[new].view(np.int64)), pa.array(row.langs, pa.string()).take(pa.array(row.lang[new])), row.phrases(new)]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "lang", "phrase"])
+
+    return noted.mapInArrow(work, "h long, lang string, phrase string")
 
 
 def _trie(rows: pd.DataFrame) -> pd.DataFrame:
@@ -355,31 +482,17 @@ def _trie(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])]} | arrays | phrases)
 
 
-def _counts(docs: DataFrame, shards: int, filters, tries) -> DataFrame:
-    """shard, place (of a phrase in it) and a: how often these tries' phrases occur in the texts, if LEAST times or more.
+def _counts(noted: DataFrame, tries) -> DataFrame:
+    """shard, place (of a phrase in it) and a: how often these tries' phrases are noted, if LEAST times or more.
 
     Tasks hand on blocks of counts; those of a block meet in order and are added up one by one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {k: Trie(*arrays) for k, arrays in tries.value.items()}
         counts = {k: np.zeros(len(trie.base), dtype=np.int64) for k, trie in held.items()}
-        for part in slices(batches):
-            s = Places(part)
-            hashes = s.hashes()
-            places = []
-            for words in range(2, WORDS + 1):
-                at = _passing(hashes, filters.value, s, words)
-                places.append((words, at, np.mod(hashes[words - 1][at].view(np.int64), shards)))  # as Spark's pmod of the signed hash
-            useful = np.zeros(len(s.known), dtype=bool)
-            for words, at, _ in places:
-                for k in range(words):
-                    useful[s.word[at + k]] = True
-            useful = np.flatnonzero(useful)
-            words = s.known.take(pa.array(useful)).to_pylist()
-            for shard, trie in held.items():
-                number = np.zeros(len(s.known), dtype=np.int64)
-                number[useful] = [trie.numbers.get(w, 0) for w in words]
-                trie.count(s, number, [(n, at[own == shard]) for n, at, own in places], counts[shard])
+        for row in _rows(batches):
+            if row.shard in held:  # else none of its phrases is a candidate
+                held[row.shard].count(row, counts[row.shard])
         for shard, trie in held.items():
             n = counts[shard][trie.ends]
             for block in range(0, len(n), BLOCK):
@@ -404,7 +517,7 @@ def _counts(docs: DataFrame, shards: int, filters, tries) -> DataFrame:
         some = np.flatnonzero(total >= LEAST)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), place[0], dtype=np.int32)), pa.array((place[1] + some).astype(np.int32)), pa.array(total[some])], ["shard", "place", "a"])
 
-    parts = docs.mapInArrow(work, "shard int, block int, size int, counts binary")
+    parts = noted.mapInArrow(work, "shard int, block int, size int, counts binary")
     return parts.repartition("shard", "block").sortWithinPartitions("shard", "block").mapInArrow(summed, "shard int, place int, a long")
 
 
@@ -452,26 +565,29 @@ def phrase_counts(docs: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
         shared.unpersist()
         filters = [*filters, hash_filter(level)]
         passed = level if passed is None else passed.unionByName(level)
+    shards, together = math.ceil(passed.count() / SHARD_KEYS), max(BATCH_KEYS // SHARD_KEYS, 1)
+    parts = math.ceil(PIECES / max(shards, 1))
+    if not shards:
+        return words, spark.createDataFrame([], "lang string, phrase string, a long")
     shared = sc.broadcast(filters)
-    once = _candidates(docs, shared).repartition("h").dropDuplicates(["h", "lang", "phrase"])  # before the join, by the same shuffle
+    noted = keep(_noted(docs, shards, parts, together, shared), "batch")
+    shared.unpersist()
+    once = _candidates(noted).repartition("h").dropDuplicates(["h", "lang", "phrase"])  # before the join, by the same shuffle
     found = keep(once.join(passed.hint("shuffle_hash"), "h", "left_semi"))
-    shards = math.ceil(found.count() / SHARD_KEYS)
-    empty = spark.createDataFrame([], "lang string, phrase string, a long")
-    if not shards:
-        return words, empty
-    tries = found.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).select("shard", "lang", "phrase")
+    own = F.expr(f"CAST(shiftright(shiftrightunsigned(h, 32) * {shards * parts}L, 32) div {parts} AS INT)")  # as in _summed
     schema = "shard int, base binary, check binary, ends binary, words array<string>, langs array<string>, phrases array<string>"
-    tries = keep(tries.groupBy("shard").applyInPandas(_trie, schema))
-    together = max(BATCH_KEYS // SHARD_KEYS, 1)
+    tries = keep(found.select(own.alias("shard"), "lang", "phrase").groupBy("shard").applyInPandas(_trie, schema))
+    rows = {r.batch: r.rows for r in noted.groupBy("batch").agg(F.sum("size").alias("rows")).collect()}
     counted = None
-    for low in range(0, shards, together):  # all texts again for each batch of tries
+    for number, some in sorted(rows.items()):  # each batch of tries counts what was noted for it
+        low = number * together
         batch = tries.filter(f"shard >= {low} AND shard < {low + together}").select("shard", "base", "check", "ends", "words").collect()
         sent = sc.broadcast({r.shard: (bytes(r.base), bytes(r.check), bytes(r.ends), r.words) for r in batch})
         del batch
-        one = keep(_counts(docs, shards, shared, sent))
+        given = noted.filter(f"batch = {number}").coalesce(max(sc.defaultParallelism, math.ceil(some / COUNTED)))
+        one = keep(_counts(given, sent))
         sent.unpersist()
         counted = one if counted is None else counted.unionByName(one)
-    shared.unpersist()
     phrases = tries.select("shard", F.posexplode(F.arrays_zip("langs", "phrases")).alias("place", "p")).join(counted, ["shard", "place"])
     return words, keep(phrases.select(F.col("p.langs").alias("lang"), F.col("p.phrases").alias("phrase"), "a"))
 

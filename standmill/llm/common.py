@@ -35,8 +35,8 @@ def work_dir(spark: SparkSession) -> str:
     return set_dir
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def _stored(df: DataFrame, path: str, *by: str) -> DataFrame:
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,11 +46,12 @@ def written(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """A function like ``written`` whose tables are deleted at the end: what is to stay must have been written elsewhere by then."""
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """A function like ``written``, also by columns in folders of their own, whose tables are deleted at the end: what is to stay
+    must have been written elsewhere by then."""
     root = f"{work_dir(spark)}/{uuid.uuid4().hex}"
     try:
-        yield lambda df: _stored(df, f"{root}/{uuid.uuid4().hex}")
+        yield lambda df, *by: _stored(df, f"{root}/{uuid.uuid4().hex}", *by)
     finally:
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,41 @@ def test_against_a_plain_count(spark, monkeypatch, shard):
     assert given(collocations.collocations(docs)) == plain(rows)
 
 
+def test_more_tries_read_the_texts_no_more_often(spark, monkeypatch):
+    rows = made(3, 150)
+
+    def reads():
+        seen = spark.sparkContext.accumulator(0)
+
+        def work(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        docs = spark.createDataFrame(rows, SCHEMA)
+        return given(collocations.collocations(docs.mapInArrow(work, docs.schema))), seen.value
+
+    found, often = reads()
+    monkeypatch.setattr(collocations, "SHARD_KEYS", 100)
+    monkeypatch.setattr(collocations, "BATCH_KEYS", 200)  # ten batches and more
+    assert reads() == (found, often) and found == plain(rows)
+
+
+def test_noted_phrases_are_summed_exactly_whatever_their_hashes():
+    """Two phrases of one hash stay two, and those of several slices are one."""
+    h = np.array([5, 1 << 63, 5, 5], dtype=np.uint64)
+    words = np.array([[1, 2, 2, 1], [2, 1, 1, 2], [0, 2, 0, 0]])
+    held = [(h, np.zeros(4, dtype=np.int32), words, ["en"], pa.array(["a", "b"], pa.large_string())), (h[:1], np.ones(1, dtype=np.int32), words[:, :1], ["de", "en"], pa.array(["b", "a"], pa.large_string()))]
+    rows = [collocations.Noted(r) for b in collocations._summed(held, 2, 1, 1) for r in b.to_pylist()]
+    assert [r.shard for r in rows] == [0, 1]
+    got = collections.Counter()
+    for r in rows:
+        assert r.phrases(np.arange(len(r.n))).type == pa.string()
+        for lang, phrase, n in zip(r.lang, r.phrases(np.arange(len(r.n))).to_pylist(), r.n):
+            got[r.langs[lang], phrase] += n
+    assert got == {("en", "a b"): 2, ("en", "b a"): 2, ("en", "b a b"): 1}
+
+
 def test_only_the_first_of_a_language_stay(spark, monkeypatch):
     monkeypatch.setattr(collocations, "TOP", 7)
     rows = made(9)
