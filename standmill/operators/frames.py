@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from standmill.functions.keys import floor_long, hash_order, uniform
+from standmill.sources.storage import written
 
 #: Colours of the viewer.
 GROUND_COLOUR, GREY = (139, 115, 85), (80, 80, 80)
 N_COLOURS = 26
+#: Cells of noise (27 numbers each) that are broadcast.
+FEW_CELLS = 50_000
 
 
 def scene_offsets(points: DataFrame, by: str = "scene_id", z_ref: str = "scene", unmoved: Column | None = None) -> DataFrame:
@@ -172,28 +175,38 @@ def jitter(points: DataFrame, std: float = 0.01, clip: float = 0.05, seed: int =
 
 def elastic_distort(points: DataFrame, gran: float, mag: float, seed: int = 0, by: str = "scene_id") -> DataFrame:
     """Shifts points by smooth noise: gaussian noise on a grid of step gran, blurred twice by three-cell means along each
-    axis, interpolated linearly between the eight nodes around a point, times mag. Only nodes near points are made."""
-    node = {f"i{a}": floor_long(F.col(a) / F.lit(float(gran))) for a in "xyz"}
-    placed = points.withColumns(node).withColumns({f"f{a}": F.col(a) / F.lit(float(gran)) - F.col(f"i{a}") for a in "xyz"})
+    axis, interpolated linearly between the eight nodes around a point, times mag. Only nodes near points are made.
+
+    A cell's eight nodes are one row, and every point meets that of its cell once: by a broadcast if the cells are few."""
+    index = {f"_i{a}": floor_long(F.col(a) / F.lit(float(gran))) for a in "xyz"}
+    cell = [by, *index]
+    placed = points.withColumns(index)
     steps = lambda lo, hi: F.explode(F.array([F.lit(k).cast("long") for k in range(lo, hi + 1)]))
-    nodes = placed.select(by, "ix", "iy", "iz").distinct()
+    cells = nodes = placed.select(*cell).distinct()
     for a in "xyz":  # corners, and as far as two blurs reach
-        nodes = nodes.withColumn("d", steps(-2, 3)).withColumn(f"i{a}", F.col(f"i{a}") + F.col("d")).drop("d").distinct()
-    key = F.pmod(F.xxhash64(by, "ix", "iy", "iz"), F.lit(1 << 40))
+        nodes = nodes.withColumn("d", steps(-2, 3)).withColumn(f"_i{a}", F.col(f"_i{a}") + F.col("d")).drop("d").distinct()
+    key = F.pmod(F.xxhash64(*cell), F.lit(1 << 40))
     gauss = lambda k: F.sqrt(-2 * F.log(1 - uniform(key, seed + 2 * k + 1))) * F.cos(2 * F.lit(3.141592653589793) * uniform(key, seed + 2 * k + 2))
-    noise = nodes.select(by, "ix", "iy", "iz", *[gauss(k).alias(f"n{a}") for k, a in enumerate("xyz")])
+    noise = nodes.select(*cell, *[gauss(k).alias(f"n{a}") for k, a in enumerate("xyz")])
     for _ in range(2):
         for a in "xyz":
-            spread = noise.withColumn("d", steps(-1, 1)).withColumn(f"i{a}", F.col(f"i{a}") + F.col("d"))
-            noise = spread.groupBy(by, "ix", "iy", "iz").agg(*[(F.sum(f"n{b}") / 3).alias(f"n{b}") for b in "xyz"])
-    corners = placed.select(by, "pid", "ix", "iy", "iz", "fx", "fy", "fz")
-    for a in "xyz":
-        corners = corners.withColumn(f"d{a}", steps(0, 1)).withColumn(f"i{a}", F.col(f"i{a}") + F.col(f"d{a}"))
-    weight = F.lit(1.0)
+            spread = noise.withColumn("d", steps(-1, 1)).withColumn(f"_i{a}", F.col(f"_i{a}") + F.col("d"))
+            noise = spread.groupBy(*cell).agg(*[(F.sum(f"n{b}") / 3).alias(f"n{b}") for b in "xyz"])
+    corners = cells.withColumns({f"c{a}": F.col(f"_i{a}") for a in "xyz"})
     for a in "xyz":
-        weight = weight * F.when(F.col(f"d{a}") == 1, F.col(f"f{a}")).otherwise(1 - F.col(f"f{a}"))
-    shift = corners.join(noise, [by, "ix", "iy", "iz"]).groupBy("pid").agg(*[F.sum(weight * F.col(f"n{a}")).alias(f"s{a}") for a in "xyz"])
-    return points.join(shift, "pid").withColumns({a: F.col(a) + F.col(f"s{a}") * F.lit(float(mag)) for a in "xyz"}).drop("sx", "sy", "sz")
+        corners = corners.withColumn(f"d{a}", steps(0, 1)).withColumn(f"_i{a}", F.col(f"_i{a}") + F.col(f"d{a}"))
+    own = F.col("dx") * 4 + F.col("dy") * 2 + F.col("dz")
+    of = corners.join(noise, cell).groupBy(by, "cx", "cy", "cz").agg(*[F.max(F.when(own == k, F.col(f"n{a}"))).alias(f"_{a}{k}") for a in "xyz" for k in range(8)])
+    made = written(of.withColumnsRenamed({f"c{a}": f"_i{a}" for a in "xyz"}))
+    if made.count() <= FEW_CELLS:
+        made = F.broadcast(made)
+    fraction = {a: F.col(a) / F.lit(float(gran)) - F.col(f"_i{a}") for a in "xyz"}
+
+    def shift(a: str) -> Column:
+        weights = [[fraction[b] if k >> at & 1 else 1 - fraction[b] for b, at in (("x", 2), ("y", 1), ("z", 0))] for k in range(8)]
+        return sum((x * y * z * F.col(f"_{a}{k}") for k, (x, y, z) in enumerate(weights)), F.lit(0.0))
+
+    return placed.join(made, cell).select(*[(F.col(c) + shift(c) * F.lit(float(mag))).alias(c) if c in ("x", "y", "z") else F.col(f"`{c}`") for c in points.columns])
 
 
 def voxel_features(points: DataFrame, mode: str, cell: float = 2.0, by: str = "scene_id") -> DataFrame:

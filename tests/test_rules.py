@@ -494,3 +494,17 @@ def test_elastic_noise_is_smooth_and_reproducible(spark):
     assert a == b
     moved = frames.elastic_distort(points, 3.0, 0.5, 1).join(points.select("pid", F.col("x").alias("old")), "pid").agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0]
     assert 0 < moved < 1.5
+
+
+@pytest.mark.parametrize("few", [frames.FEW_CELLS, 0])
+def test_elastic_points_are_moved_by_a_row_each(spark, monkeypatch, few):
+    """Every point goes through one join at most, the same with a broadcast and without, and ids of other scenes do not mix."""
+    monkeypatch.setattr(frames, "FEW_CELLS", few)
+    points, _ = cloud(spark, 60, 1)
+    one, other = points.withColumn("scene_id", F.lit(0)), points.withColumn("scene_id", F.lit(1)).withColumn("ix", F.lit("own"))
+    alone = {(r.pid, round(r.x, 6), round(r.y, 6), round(r.z, 6)) for r in frames.elastic_distort(one, 3.0, 0.5, 1).collect()}
+    both = frames.elastic_distort(one.withColumn("ix", F.lit("own")).unionByName(other), 3.0, 0.5, 1)
+    assert both.columns == other.columns and both.filter("ix = 'own'").count() == 120
+    assert {(r.pid, round(r.x, 6), round(r.y, 6), round(r.z, 6)) for r in both.filter("scene_id = 0").collect()} == alone
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Generate" not in plan and "Aggregate" not in plan
