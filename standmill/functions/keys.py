@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +15,12 @@ def hash_order(pid: Column, seed: int = 0) -> Column:
     return F.pmod(F.pmod(first * F.lit(69621) + F.lit(12345), F.lit(_PRIME)) * F.lit(16807), F.lit(_PRIME))
 
 
+def order_of(pid: np.ndarray, seed: int = 0) -> np.ndarray:
+    """hash_order() of ids in a task."""
+    first = (pid.astype(np.int64) % _PRIME * 48271 + seed % _PRIME) % _PRIME
+    return (first * 69621 + 12345) % _PRIME * 16807 % _PRIME
+
+
 def hash_order_sql(pid: str, seed: int = 0) -> str:
     """The same as SQL text, for ids of 0 or more."""
     return f"(((((CAST({pid} AS BIGINT) % {_PRIME}) * 48271 + {seed % _PRIME}) % {_PRIME}) * 69621 + 12345) % {_PRIME} * 16807 % {_PRIME})"

@@ -140,6 +140,37 @@ def test_small_scenes_are_predicted_whole(spark):
     assert {(x.scene_id, x.pid) for x in rows} == {(x.scene_id, x.pid) for x in points.collect()}
 
 
+@pytest.mark.parametrize("group", [predict.GROUP_ROWS, 100])
+def test_scenes_are_predicted_in_the_adaptive_tiles_and_written_once(spark, monkeypatch, group):
+    """Tiles, and parts of too full ones in several groups, as adaptive_tiles() has them; only points and results are written."""
+    monkeypatch.setattr(predict, "GROUP_ROWS", group)
+    points = spark.createDataFrame(cloud(random.Random(6), 700), POINT)
+    key = lambda df: sorted(tuple(x) for x in df.select("scene_id", "pid", "tile_id").collect())
+    wanted = key(predict.adaptive_tiles(points.filter("scene_id = 0"), 20.0, 1.0, 64, 5, levels=2))
+    tables, real = [], predict.written
+    monkeypatch.setattr(predict, "written", lambda df: tables.append(df.columns) or real(df))
+    high = lambda xyz: (xyz[:, 2], xyz[:, 2], xyz[:, 0] if (np.diff(xyz[:, 2]) >= 0).all() else xyz[:, 0, 0])
+    found, failed = predict.segment_scenes(points, high, 20.0, 1.0, 64, 5, levels=2)
+    assert failed.isEmpty() and key(found.filter("scene_id = 0")) == wanted
+    assert found.filter("scene_id = 1").count() == 60 and found.join(points, ["scene_id", "pid"]).filter("score != x OR semantic_pred != z").isEmpty()
+    assert [t for t in tables if "pid" in t] == [["scene_id", "pid", "x", "y", "z"], ["scene_id", "tile_id", "pid", "semantic_pred", "instance_pred", "score", "error"]]
+
+
+def test_tiles_that_fail_are_told_apart_in_a_group(spark):
+    points = spark.createDataFrame(cloud(random.Random(6), 700), POINT)
+
+    def some(xyz):
+        if xyz[0, 0] < 12:
+            raise ValueError("no")
+        return np.zeros(len(xyz)), np.zeros(len(xyz)), xyz[:, 0]
+
+    made = predict.adaptive_tiles(points.filter("scene_id = 0"), 20.0, 1.0, 64, 5, levels=2)
+    found, failed = predict.segment_scenes(points.filter("scene_id = 0"), some, 20.0, 1.0, 64, 5, levels=2)
+    lost = {r.tile_id for r in made.groupBy("tile_id").agg(F.min_by("x", "pid").alias("x")).filter("x < 12").collect()}
+    assert lost and {(r.tile_id, r.error) for r in failed.collect()} == {(t, "ValueError: no") for t in lost}
+    assert {r.tile_id for r in found.collect()} == {r.tile_id for r in made.collect()} - lost
+
+
 # tiles on a stream
 
 
